@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathwise.llm import jpeg_media, mixing, quality_rules
+from pathwise.llm import bpe_codec, jpeg_media, mixing, quality_rules
 
 QUERIES = {
+    "op4_bpe_codec": bpe_codec.query,
     "op10_jpeg_media": jpeg_media.query,
     "op8_mix_sources": mixing.query,
     "op9_host_quality_rules": quality_rules.query,
