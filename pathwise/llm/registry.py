@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathwise.llm import bpe_codec, jpeg_media, mixing, quality_rules, token_shards
+from pathwise.llm import bpe_codec, jpeg_media, language_id, mixing, quality_rules, token_shards
 
 QUERIES = {
+    "op3_language_id": language_id.query,
     "op1_repair_token_shards": token_shards.query,
     "op4_bpe_codec": bpe_codec.query,
     "op10_jpeg_media": jpeg_media.query,
