@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathwise.llm.common import held_out, table, text_of
-from pathwise.llm.sampling import labelled_sample
+from pathwise.llm.sampling import sampled
 
 #: Bounds of the training sample: texts of each language, and characters of each.
 TEXTS_PER_LANGUAGE, TEXT_CHARS = 1500, 8000
@@ -137,8 +137,9 @@ def _calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> None:
 def fit(docs: DataFrame) -> Model | None:
     """A model from the rows of `docs` that are not held out and have text and lang; None where there are none."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sample = labelled_sample(rows, "lang", TEXTS_PER_LANGUAGE, TEXT_CHARS)
-    return train(sample["text"].tolist(), sample["label"].tolist()) if len(sample) else None
+    rows = rows.withColumn("text", F.substring("text", 1, TEXT_CHARS))
+    sample = sampled(rows, "lang", TEXTS_PER_LANGUAGE).toPandas().sort_values(["doc_id", "text"])
+    return train(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

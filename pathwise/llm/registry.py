@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathwise.llm import bpe_codec, html_extract, jpeg_media, language_id, mixing, quality_rules, token_shards
+from pathwise.llm import bpe_codec, html_extract, jpeg_media, language_id, mixing, quality_mil, quality_rules, token_shards
 
 QUERIES = {
+    "op6_quality_attention": quality_mil.query,
     "op5_html_consensus": html_extract.query,
     "op3_language_id": language_id.query,
     "op1_repair_token_shards": token_shards.query,

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, chars: int, seed: int = 5):
-    """About `per_label` rows of each value of `label` (all where there are fewer), texts cut at `chars`, as a pandas
-    frame in doc_id order. Whether a row is in follows a hash of its doc_id against a rate from the label's count, so
-    that no task ranks or holds a label's rows, and what reaches the driver is bounded by the two parameters."""
+def sampled(rows: DataFrame, label: str, per_label: int, labels: int = 64, seed: int = 5) -> DataFrame:
+    """About `per_label` rows of each value of `label` (all where there are fewer), `per_label * labels` in all at most.
+    Whether a row is in follows a hash of its doc_id against a rate from its label's count, so that no task ranks or
+    holds a label's rows."""
     rates = rows.groupBy(F.col(label).alias("_label")).agg((F.lit(float(per_label)) / F.count("*")).alias("_rate"))
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.withColumn("_unit", unit).join(rates, rows[label] == rates["_label"]).filter("_unit < _rate")
-    return picked.select("doc_id", F.substring("text", 1, chars).alias("text"), F.col(label).alias("label")).toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+    return picked.orderBy("_unit", "doc_id").limit(per_label * labels).drop("_unit", "_label", "_rate")
