@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,12 +37,13 @@ VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 SHARD_TOKENS = 400_000
 #: Rounds of replacement, pairs replaced in a round, and the least occurrences that pay for a rule.
 ROUNDS, PAIRS, LEAST = 5, 2048, 16
-KEPT = 700_000
+KEPT = 1_200_000
 HASH_BITS = 18
 
 
 class Encoder(dict):
-    """Word after a blank -> its ids as little-endian 16-bit integers; `first` has those at the start of a line."""
+    """Piece -> its ids as little-endian 16-bit integers: a word after a blank under the word itself, a line break with
+    the word after it under both; `first` has words at the start of a text."""
 
     def __init__(self, name: str):
         super().__init__()
@@ -53,42 +55,53 @@ class Encoder(dict):
         if self.size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.first: dict[str, bytes] = {}
-        self.line = self._encode(["\n"])[0]
         self.marks = dict(zip(",.;:", self._encode(list(",.;:")), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], blank: str) -> None:
-        new = [w for w in words if w not in known]
+    def _learn(self, new: set[str]) -> None:
         # A letter before a closing mark ends a piece of this vocabulary's splitting.
         marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        stems = {w[:-1] for w in marked if w[:-1] not in known}
-        plain = [*stems.union(w for w in new if not (w[-1:] in self.marks and w[-2:-1].isalpha()))]
+        plain = [*{w[:-1] for w in marked if w[:-1] not in self}.union(new.difference(marked))]
         for k in range(0, len(plain), 10_000):
             part = plain[k : k + 10_000]
-            known.update(zip(part, self._encode([blank + w for w in part]), strict=True))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+            self.update(zip(part, self._encode([w if w[:1] == "\n" else " " + w for w in part]), strict=True))
+        for w in marked:
+            self[w] = self[w[:-1]] + self.marks[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self) > KEPT:
             self.clear()
-        if len(self.first) > KEPT:
+        if len(self.first) > KEPT // 8:
             self.first.clear()
-        simple = [len(t.split()) == t.count(" ") + t.count("\n") + 1 and "<|" not in t for t in texts]
-        lines = [[x.split(" ") for x in t.split("\n")] if ok else [] for t, ok in zip(texts, simple, strict=True)]
-        words: set[str] = set()
-        starts: set[str] = set()
-        for text in lines:
-            for line in text:
-                starts.add(line[0])
-                words.update(line[1:])
-        self._learn(self, words, " ")
-        self._learn(self.first, starts, "")
-        whole = iter(self._encode([t for t, ok in zip(texts, simple, strict=True) if not ok]))
-        get, first = self.__getitem__, self.first
-        return [self.line.join([first[x[0]] + b"".join(map(get, x[1:])) for x in text]) if ok else next(whole) for text, ok in zip(lines, simple, strict=True)]
+        out: list = [None] * len(texts)
+        whole, cut, heads, new = [], {}, set(), set()
+        for k, text in enumerate(texts):
+            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "<|" in text:
+                whole.append(k)
+                continue
+            words = text.replace("\n", " \n").split(" ")
+            found = list(map(self.get, words))
+            found[0] = self.first.get(words[0])
+            if found[0] is None:
+                heads.add(words[0])
+            if None in found:
+                new.update([w for w, ids in zip(words, found, strict=True) if ids is None])
+                cut[k] = words, found
+            else:
+                out[k] = b"".join(found)
+        self._learn(new)
+        self.first.update(zip(heads, self._encode(list(heads)), strict=True))
+        for k, (words, found) in cut.items():
+            head = found[0] or self.first[words[0]]
+            found = [self[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            found[0] = head
+            out[k] = b"".join(found)
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -203,7 +216,7 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """part, seq, n_docs, n_tokens, doc_ids and record of every shard, as a table in the shared folder. Shards in order
+    """part, seq, n_docs, n_tokens, before (ids in the part's shards before), doc_ids and record of every shard, as a table in the shared folder. Shards in order
     of part and seq hold the documents in ascending doc_id order."""
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int"):
         raise ValueError("doc_id is to be an integer")
@@ -213,13 +226,13 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
         end = np.array([end_id], "<u2").tobytes()
         names: list = []
         texts: list[bytes] = []
-        held = 0
+        held = before = 0
 
         def shard() -> pa.RecordBatch:
             lengths = np.array([len(x) // 2 for x in texts], np.int64)
             record = pack(np.frombuffer(b"".join(texts), "<u2"), lengths, np.cumsum(lengths) - lengths, of.size)
-            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([record], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_docs", "n_tokens", "doc_ids", "record"])
+            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([record], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["part", "seq", "n_docs", "n_tokens", "before", "doc_ids", "record"])
 
         for batch in batches:
             ids, rows = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
@@ -230,24 +243,22 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
                     held += len(encoded) // 2 + 1
                     if held >= SHARD_TOKENS:
                         yield shard()
-                        seq, held = seq + 1, 0
+                        seq, before, held = seq + 1, before + held, 0
                         names.clear()
                         texts.clear()
         if names:
             yield shard()
 
     ordered = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, doc_ids array<bigint>, record binary"), "token-shards")
+    return written(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, before long, doc_ids array<bigint>, record binary"), "token-shards")
 
 
 def _placed(shards: DataFrame) -> DataFrame:
-    """`shards` with base, the number of ids in all shards before: sums by part first, so that no window holds more
-    than the parts or the shards of one part."""
+    """`shards` with base, the number of ids in all shards before. There are at most as many parts as partitions of the
+    writing shuffle, hence the window over them and the broadcast."""
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
-    inside = shards.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("_inside"))
-    bases = inside.join(parts, "part").select("part", "seq", (F.col("_before") + F.col("_inside")).alias("base"))
-    return shards.join(bases, ["part", "seq"])
+    return shards.join(F.broadcast(parts), "part").withColumn("base", F.col("_before") + F.col("before"))
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
