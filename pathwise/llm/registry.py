@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pathwise.llm import bpe_codec, html_extract, jaccard_join, jpeg_media, language_id, mixing, quality_mil, quality_rules, token_shards
+from pathwise.llm import bpe_codec, html_extract, jaccard_join, jpeg_media, language_id, mixing, quality_mil, quality_rules, suffix_dedup, token_shards
 
 QUERIES = {
+    "op2_suffix_array_dedup": suffix_dedup.query,
     "op7_minhash_forest_join": jaccard_join.query,
     "op6_quality_attention": quality_mil.query,
     "op5_html_consensus": html_extract.query,
