@@ -1,17 +1,17 @@
 """Exact removal of long byte strings that occur more than once in a corpus, by suffix arrays over what can repeat.
 
-A string of `LENGTH` bytes is anchored at one of its `gram`-byte pieces, the one with the least hash (the first of
+A string of `length` bytes is anchored at one of its `gram`-byte pieces, the one with the least hash (the first of
 equals). The same string has the same anchor wherever it stands, so strings with different anchors differ, and each
 document falls into contexts: runs of start positions with one anchor, with the bytes that their strings cover. Equal
 contexts under an anchor are counted, not compared. The different contexts under one anchor are laid out together and
-their suffixes ordered by two-stage sorting (`two_stage`); a start whose suffix shares `LENGTH` bytes or more with a
+their suffixes ordered by two-stage sorting (`two_stage`); a start whose suffix shares `length` bytes or more with a
 neighbour in that order repeats. An anchor with more than `HOT` different contexts is never gathered: its contexts are
 cut again by anchors of a longer gram, at the last level of the whole string, where equal strings are merely counted.
 
 Work and shuffles are linear in the text: about one context in 170 bytes, and only those whose anchor repeats go on.
 
-Defined cases: a null text is empty; a text shorter than `LENGTH` bytes loses nothing; repeated rows are repeats of each
-other; texts of any length are read whole, in pieces that overlap by LENGTH - 1 bytes; an empty table gives an empty
+Defined cases: a null text is empty; a text shorter than `length` bytes loses nothing; repeated rows are repeats of each
+other; texts of any length are read whole, in pieces that overlap by length - 1 bytes; an empty table gives an empty
 result; other columns of any name are carried by `remove_repeats`.
 """
 
@@ -30,8 +30,6 @@ from pathwise.llm.common import table, text_of, written
 from pathwise.llm.two_stage import Strings, common_prefixes, suffix_array
 
 LENGTH = 400
-#: Bytes of an anchor at each level; at the last one it is the whole string.
-GRAMS = (64, 368, LENGTH)
 #: Different contexts under one anchor that a task may gather.
 HOT = 192
 #: Bytes handled at a time, and bytes under one suffix array.
@@ -57,12 +55,12 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def contexts(pieces: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(pieces: list[bytes], gram: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchor (hash), context (hash), piece, first start in the piece and number of starts of every context."""
     lengths = np.array([len(x) for x in pieces], np.int64)
     raw = b"".join(pieces)
-    n, window = len(raw), LENGTH - gram + 1
-    if n < LENGTH:
+    n, window = len(raw), length - gram + 1
+    if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
     up, down = _Powers.of(n)
@@ -83,7 +81,7 @@ def contexts(pieces: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray, np
         behind = np.minimum.accumulate(keys[:, ::-1], 1)[:, ::-1].ravel()
         at = (np.minimum(behind[: m - window + 1], ahead[window - 1 : m]) & POSITION).astype(np.int64)
     ends = np.repeat(np.cumsum(lengths), lengths)[: len(at)]
-    starts = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends)
+    starts = np.flatnonzero(np.arange(len(at)) + length <= ends)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
@@ -91,12 +89,12 @@ def contexts(pieces: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray, np
     fresh = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (np.diff(starts) != 1)]))
     first, many = starts[fresh], np.diff(np.append(fresh, len(starts)))
     digest = xxhash.xxh3_64_intdigest
-    named = np.array([digest(raw[a : a + c + LENGTH - 1]) for a, c in zip(first.tolist(), many.tolist(), strict=True)], np.uint64)
+    named = np.array([digest(raw[a : a + c + length - 1]) for a, c in zip(first.tolist(), many.tolist(), strict=True)], np.uint64)
     piece = np.searchsorted(np.cumsum(lengths), first, "right")
     return hashed[of[fresh]].view(np.int64), named.view(np.int64), piece, first - (np.cumsum(lengths) - lengths)[piece], many
 
 
-def _occurrences(segments: DataFrame, gram: int) -> DataFrame:
+def _occurrences(segments: DataFrame, gram: int, length: int) -> DataFrame:
     """a, c, id, hash, lo and n: the contexts of all segments (id, hash, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +103,15 @@ def _occurrences(segments: DataFrame, gram: int) -> DataFrame:
             held, owners, size = [], [], 0
 
             def result() -> pa.RecordBatch:
-                a, c, piece, lo, n = contexts(held, gram)
+                a, c, piece, lo, n = contexts(held, gram, length)
                 row = np.array([k for k, _ in owners], np.int64)[piece] if len(piece) else piece
                 shift = np.array([x for _, x in owners], np.int64)[piece] if len(piece) else piece
                 columns = [a, c, np.array(ids, np.int64)[row], np.array(hashes, np.int64)[row], lo + shift, n]
                 return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "c", "id", "hash", "lo", "n"])
 
             for k, body in enumerate(bodies):
-                for at in range(0, max(1, len(body) - LENGTH + 1), PIECE):
-                    held.append(body[at : at + PIECE + LENGTH - 1])
+                for at in range(0, max(1, len(body) - length + 1), PIECE):
+                    held.append(body[at : at + PIECE + length - 1])
                     owners.append((k, at))
                     size += len(held[-1])
                     if size >= PIECE:
@@ -125,12 +123,12 @@ def _occurrences(segments: DataFrame, gram: int) -> DataFrame:
     return segments.select("id", "hash", "body").mapInArrow(run, "a long, c long, id long, hash long, lo long, n long")
 
 
-def _compared(groups: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+def _compared(groups: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
     """(anchor, context, first start, number) of the runs of repeated starts in contexts seen once, among contexts
     (anchor, context, times seen, bytes) that hold all of their anchors' different ones."""
     strings = Strings([x[3] for x in groups])
     order = suffix_array(strings)
-    shared = common_prefixes(strings, order) >= LENGTH
+    shared = common_prefixes(strings, order) >= length
     repeated = np.zeros(len(strings.data), bool)
     repeated[order[shared]] = True
     repeated[order[np.flatnonzero(shared) - 1]] = True
@@ -144,7 +142,7 @@ def _compared(groups: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int,
     return out
 
 
-def _sorted_out(bodies: DataFrame) -> DataFrame:
+def _sorted_out(bodies: DataFrame, length: int) -> DataFrame:
     """Runs of repeated starts (a, c, at, n) in contexts (a, c, k, body), from suffix arrays over whole anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +150,7 @@ def _sorted_out(bodies: DataFrame) -> DataFrame:
         size, last = 0, None
 
         def result() -> pa.RecordBatch:
-            rows = _compared(held)
+            rows = _compared(held, length)
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["a", "c", "at", "n"])
 
         for batch in batches:
@@ -169,36 +167,37 @@ def _sorted_out(bodies: DataFrame) -> DataFrame:
     return bodies.repartition("a").sortWithinPartitions("a", "c").mapInArrow(run, "a long, c long, at long, n long")
 
 
-def _bodies(wanted: DataFrame, segments: DataFrame) -> DataFrame:
+def _bodies(wanted: DataFrame, segments: DataFrame, length: int) -> DataFrame:
     """a, c, k, d and body of the wanted contexts, cut from their first places' segments."""
     lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "c", "k", "d", "lo", "n")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(x["a"], x["c"], x["k"], x["d"], body[x["lo"] : x["lo"] + x["n"] + LENGTH - 1]) for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True) for x in cuts]
+            rows = [(x["a"], x["c"], x["k"], x["d"], body[x["lo"] : x["lo"] + x["n"] + length - 1]) for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True) for x in cuts]
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "c", "k", "d", "body"])
 
     return segments.join(lists, ["id", "hash"]).select("body", "cuts").mapInArrow(run, "a long, c long, k long, d long, body binary")
 
 
-def repeats(segments: DataFrame, level: int = 0) -> DataFrame:
-    """id, hash, lo and n: runs of starts whose LENGTH bytes also start elsewhere, for segments (id, hash, body)."""
-    every = written(_occurrences(segments, GRAMS[level]), "contexts")
+def repeats(segments: DataFrame, length: int = LENGTH, level: int = 0) -> DataFrame:
+    """id, hash, lo and n: runs of starts whose `length` bytes also start elsewhere, for segments (id, hash, body)."""
+    grams = 64, length - 32, length  # of the anchors at each level; at the last one the whole string
+    every = written(_occurrences(segments, grams[level], length), "contexts")
     often = written(every.groupBy("a").agg(F.count("*").alias("total")).filter("total > 1").select("a"), "anchors")
     again = written(every.join(often, "a"), "contexts-again")
     counted = again.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "hash", "lo", "n")).alias("at"))
     counted = written(counted.select("a", "c", "k", "at.*"), "contexts-counted")
     whole = counted.filter("k > 1").select("a", "c", F.lit(0).cast("long").alias("at"), "n")
     found = [whole]
-    if level < len(GRAMS) - 1:
+    if level < len(grams) - 1:
         several = written(counted.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1"), "anchors-several")
-        bodies = written(_bodies(counted.join(several, "a"), segments).dropDuplicates(["a", "c"]), "bodies")
-        found.append(_sorted_out(bodies.filter(F.col("d") <= HOT)))
+        bodies = written(_bodies(counted.join(several, "a"), segments, length).dropDuplicates(["a", "c"]), "bodies")
+        found.append(_sorted_out(bodies.filter(F.col("d") <= HOT), length))
         hot = bodies.filter(F.col("d") > HOT)
         if not hot.isEmpty():
             hot = hot.select(F.xxhash64("a", "c").alias("id"), F.col("c").alias("hash"), "body", "a", "k")
-            inner = repeats(hot, level + 1).join(hot.filter("k = 1").select("id", "hash", "a"), ["id", "hash"])
+            inner = repeats(hot, length, level + 1).join(hot.filter("k = 1").select("id", "hash", "a"), ["id", "hash"])
             found.append(inner.select("a", F.col("hash").alias("c"), F.col("lo").alias("at"), "n"))
     verdicts = found[0]
     for x in found[1:]:
@@ -211,11 +210,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "hash": F.xxhash64(text_of()), "body": F.encode(text_of(), "utf-8")})
 
 
-def spans(cuts: list[dict] | None) -> list[tuple[int, int]]:
+def spans(cuts: list[dict] | None, length: int) -> list[tuple[int, int]]:
     """Maximal covered byte spans from runs of starts."""
     out: list[tuple[int, int]] = []
     for lo, n in sorted((x["lo"], x["n"]) for x in cuts or ()):
-        end = lo + n + LENGTH - 1
+        end = lo + n + length - 1
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], end)
         else:
@@ -231,13 +230,13 @@ def _kept(body: bytes, covered: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, body[at:]])
 
 
-def _with_cuts(docs: DataFrame) -> DataFrame:
+def _with_cuts(docs: DataFrame, length: int) -> DataFrame:
     """`docs` (with id, hash, body) and cuts, the runs of repeated starts of each row."""
-    cuts = repeats(docs.select("id", "hash", "body")).groupBy("id", "hash").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
+    cuts = repeats(docs.select("id", "hash", "body"), length).groupBy("id", "hash").agg(F.collect_set(F.struct("lo", "n")).alias("cuts"))
     return docs.join(cuts, ["id", "hash"], "left")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -245,26 +244,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
-                covered = spans(cuts)
+                covered = spans(cuts, length)
                 rows.append((len(body), sum(b - a for a, b in covered), len(covered), hashlib.sha256(_kept(body, covered)).hexdigest(), [{"begin": a, "end": b} for a, b in covered]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names)
 
-    cut = _with_cuts(_keyed(docs.select("doc_id", "text")).drop("text"))
+    cut = _with_cuts(_keyed(docs.select("doc_id", "text")).drop("text"), length)
     return cut.select("doc_id", "body", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of `docs`, all columns, with text less its repeated spans (and characters that a span cuts through).
     Rows that lose nothing are as they were, null texts included."""
 
     @F.pandas_udf("string")
     def without(body, cuts):
-        return body.combine(cuts, lambda b, c: _kept(b, spans(list(c))).decode("utf-8", "ignore"))
+        return body.combine(cuts, lambda b, c: _kept(b, spans(list(c), length)).decode("utf-8", "ignore"))
 
     packed = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")).select("_row", "id", "hash", "body")
-    cut = _with_cuts(packed)
+    cut = _with_cuts(packed, length)
     text = F.when(F.col("cuts").isNotNull(), without("body", F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,n:bigint>>")))).otherwise(F.col("_row.text"))
     return cut.withColumn("_text", text).select(*(F.col("_text").alias("text") if x == "text" else F.col("_row")[x].alias(x) for x in docs.columns))
 
