@@ -26,6 +26,7 @@ from pathwise.llm.common import table
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
+SALTS = 16
 #: HTML's void elements, elements whose content is no text, and elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button canvas".split())
@@ -241,8 +242,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(x, p) for x, p in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch["path"]], ["page_id", "url", "text", "n_chars", "path"])
 
-    winners = host_paths(pages)
-    joined = pages.select("page_id", "url", "html", host_of(pages).alias("host_key")).join(winners, "host_key", "left")
+    # A host's pages are dealt over SALTS keys, and its path is given to each.
+    winners = host_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    joined = pages.select("page_id", "url", "html", host_of(pages).alias("host_key"), salt.alias("salt")).join(winners, ["host_key", "salt"], "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path string")
 
 
