@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pathwise.plans import sequence
+
+MODULES = (sequence,)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.plans.queries.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.plans.oracles.items()}
