@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pathwise.plans import relational, sequence
+from pathwise.plans import labels, relational, sequence
 
-MODULES = (sequence, relational)
+MODULES = (sequence, relational, labels)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.plans.queries.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.plans.oracles.items()}
