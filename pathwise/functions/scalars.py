@@ -17,6 +17,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, use) -> Column:
+    """`use` of x, evaluated once: a lambda's free expression is else computed for every element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 # Names and text
 
 
@@ -79,8 +88,7 @@ def token_overlap(a, b) -> Column:
 
     def numbered(arr: Column) -> Column:
         """Sorted tokens with the occurrence number of each: position less that of its first, so that a set intersection counts."""
-        ordered = F.array_sort(arr)
-        return F.transform(ordered, lambda t, i: F.concat(t, F.lit("#"), (i + 1 - F.array_position(ordered, t)).cast("string")))
+        return let(F.array_sort(arr), lambda ordered: F.transform(ordered, lambda t, i: F.concat(t, F.lit("#"), (i + 1 - F.array_position(ordered, t)).cast("string"))))
 
     return F.try_divide(F.size(F.array_intersect(numbered(x), numbered(y))).cast("double"), F.greatest(F.size(x), F.size(y)))
 
@@ -208,15 +216,13 @@ def expected_score(p) -> Column:
 
 
 def normalized(values) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(values, lambda x: F.try_divide(x, total))
+    return let(values, lambda v: let(total(v), lambda t: F.transform(v, lambda x: F.try_divide(x, t))))
 
 
 def shifted_softmax(logits, priors=None, tau: float = 0.0) -> Column:
     """Softmax of logits - tau * ln(prior), the largest taken off first."""
     z = _c(logits) if not tau else F.zip_with(_c(logits), _c(priors), lambda x, p: x - tau * F.ln(p))
-    top = F.array_max(z)
-    return normalized(F.transform(z, lambda x: F.exp(x - top)))
+    return normalized(let(z, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))))
 
 
 def temperature_scaled(p, t: float) -> Column:
@@ -261,23 +267,21 @@ def two_stage_probabilities(active, positive) -> Column:
 def mixture(ps, weights) -> tuple[Column, Column]:
     """Mean distribution of weighted distributions, and the variance of its score -1, 0, 1 within and between them."""
     w = normalized(_c(weights))
-    mean = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.aggregate(F.zip_with(_c(ps), w, lambda p, x: F.get(p, k) * x), F.lit(0.0), lambda a, x: a + x))
-    second = F.aggregate(F.zip_with(_c(ps), w, lambda p, x: (F.get(p, F.lit(0)) + F.get(p, F.lit(2))) * x), F.lit(0.0), lambda a, x: a + x)
-    centre = F.get(mean, F.lit(2)) - F.get(mean, F.lit(0))
-    return mean, second - centre * centre
+    part = lambda k: total(F.zip_with(_c(ps), w, lambda p, x: F.get(p, F.lit(k)) * x))
+    mean = F.array(part(0), part(1), part(2))
+    return mean, let(mean, lambda m: m[0] + m[2] - (m[2] - m[0]) * (m[2] - m[0]))
 
 
 def ldam_margins(counts, most: float = 0.5) -> Column:
     """most * n^(-1/4), scaled so that the rarest class has `most`."""
     raw = F.transform(_c(counts), lambda n: F.pow(F.greatest(n.cast("double"), F.lit(1.0)), F.lit(-0.25)))
-    return F.transform(raw, lambda m: m * most / F.array_max(raw))
+    return let(raw, lambda r: let(F.array_max(r), lambda top: F.transform(r, lambda m: m * most / top)))
 
 
 def effective_weights(counts, beta: float = 0.99) -> Column:
     """(1 - beta) / (1 - beta^n), scaled to mean 1."""
     raw = F.transform(_c(counts), lambda n: (1 - beta) / (1 - F.pow(F.lit(beta), F.greatest(n, F.lit(1)))))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raw, lambda x: x * F.size(raw) / total)
+    return let(raw, lambda r: let(F.size(r) / total(r), lambda scale: F.transform(r, lambda x: x * scale)))
 
 
 def entropy_bits(p) -> Column:
@@ -325,18 +329,15 @@ def response_mode(overall_mean, uncertainty, distress, core_tension, any_strengt
 # Vectors
 
 
-def unit(v, floor: float = 1e-8) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(floor)))
+def unit(v: Column, floor: float = 1e-8) -> Column:
+    return let(v, lambda x: let(F.greatest(F.sqrt(dot(x, x)), F.lit(floor)), lambda norm: F.transform(x, lambda y: y / norm)))
 
 
 def truncated_embedding(v, size: int) -> Column:
     """Standardized over its length (population variance + 1e-5), cut to `size`, scaled to length one."""
-    d = F.transform(_c(v), lambda x: x.cast("double"))
-    n = F.size(d)
-    mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / n
-    variance = F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return unit(F.slice(F.transform(d, lambda x: (x - mean) / F.sqrt(variance + 1e-5)), 1, size))
+    double = F.transform(_c(v), lambda x: x.cast("double"))
+    centred = let(double, lambda d: let(total(d) / F.size(d), lambda mean: F.transform(d, lambda x: x - mean)))
+    return unit(let(centred, lambda d: let(F.sqrt(dot(d, d) / F.size(d) + 1e-5), lambda sd: F.transform(F.slice(d, 1, size), lambda x: x / sd))))
 
 
 def dot(a, b) -> Column:

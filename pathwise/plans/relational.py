@@ -194,7 +194,7 @@ def _(spark, sf):
     return adapter.entry(spark, sf).select("persona_id", "t_index", F.row_number().over(w).alias("place"))
 
 
-@plans.add("p29_evidence_adapters", "SELECT persona_id, t_index, dimension, CASE WHEN score IS NULL THEN NULL WHEN score = -1 THEN 1.0 ELSE 0.0 END AS p_minus1, CAST(NULL AS DOUBLE) AS uncertainty FROM label", views=True)
+@plans.add("p29_evidence_adapters", "SELECT persona_id, t_index, dimension, CASE WHEN score IS NULL THEN NULL WHEN score = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p_minus1, CAST(NULL AS DOUBLE) AS uncertainty FROM label", views=True)
 def _(spark, sf):
     hard = F.when(F.col("score") == -1, 1.0).when(F.col("score").isNotNull(), 0.0)
     return adapter.label(spark, sf).select("persona_id", "t_index", "dimension", hard.alias("p_minus1"), F.lit(None).cast("double").alias("uncertainty"))
