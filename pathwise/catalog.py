@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pathwise.plans import labels, relational, scalars, sequence, weekly
+from pathwise.plans import labels, relational, scalars, sequence, service, weekly
 
-MODULES = (sequence, relational, labels, scalars, weekly)
+MODULES = (sequence, relational, labels, scalars, weekly, service)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.plans.queries.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.plans.oracles.items()}

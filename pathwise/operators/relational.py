@@ -102,9 +102,10 @@ def wide_to_long(df: DataFrame, ids: list[str], prefix: str, names, value: str,
 
 def long_to_wide(df: DataFrame, ids: list[str], prefix: str, names, value: str, dimension: str = "dimension") -> DataFrame:
     """The inverse: one column per name, by one aggregation; a name given twice for an id raises."""
-    cell = lambda n: F.when(F.col(dimension) == n, F.col(value))
-    twice = F.assert_true(F.count(F.lit(1)) == F.count_distinct(dimension), "a dimension occurs twice for a row")
-    return df.groupBy(*ids).agg(*(F.max(cell(n)).alias(prefix + n) for n in names), twice.alias("_checked")).drop("_checked")
+    is_ = lambda n: F.col(dimension) == n
+    kind = df.schema[value].dataType
+    cell = lambda n: F.when(F.count_if(is_(n)) > 1, F.raise_error(F.lit(f"{n} occurs twice for a row")).cast(kind)).otherwise(F.max(F.when(is_(n), F.col(value))))
+    return df.groupBy(*ids).agg(*(cell(n).alias(prefix + n) for n in names))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
