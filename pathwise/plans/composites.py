@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pathwise import adapter
 from pathwise.adapter import table
 from pathwise.functions import scalars as fn
+from pathwise.operators import change_points as cps
 from pathwise.operators import metrics as met
 from pathwise.operators import relational as rel
 from pathwise.plans import labels as lab
@@ -171,3 +172,8 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_type", (F.col("event_id") % 3).cast("string").alias("repeat"), F.coalesce("value", F.raise_error(F.lit("missing latency")).cast("double")).alias("v"))
     return DataFrame.unionByName(e.groupBy("event_type", "repeat").agg(F.round(F.median("v"), 6).alias("mid")), e.groupBy("event_type").agg(F.round(F.median("v"), 6).alias("mid")).withColumn("repeat", F.lit("all")))
+
+
+@plans.add("w24_change_points")
+def regimes(spark, sf):
+    return cps.change_points(adapter.label(spark, sf).where("is_core")).withColumn("p_change", F.round("p_change", 6))

@@ -217,6 +217,38 @@ def test_detectors_against_loops(spark):
     assert len(found(det.cusum(df, 0.12, 0.5)) ^ cusum) <= 1  # sums in another order
 
 
+def test_change_points_against_all_segmentations(spark):
+    """The posterior of a run beginning at t, summed over every way to cut the rows up to t."""
+    from itertools import product
+
+    from pathwise.operators import change_points as cps
+
+    scores, h = [0, 0, 1, 1, -1, 1, 1], 0.1
+
+    def likelihood(part):
+        p, n = 1.0, {-1: 1.0, 0: 1.0, 1: 1.0}
+        for s in part:
+            p *= n[s] / sum(n.values())
+            n[s] += 1
+        return p
+
+    want = []
+    for t in range(1, len(scores) + 1):
+        mass = {True: 0.0, False: 0.0}
+        for cuts in product([False, True], repeat=t):  # cuts[k]: a run begins at k; with none at 0 the first run began before
+            p, begin = 1.0, 0
+            for k, cut in enumerate(cuts):
+                p *= h if cut else 1 - h
+                if cut and k > begin:
+                    p *= likelihood(scores[begin:k])
+                    begin = k
+            mass[cuts[-1]] += p * likelihood(scores[begin:t])
+        want.append(mass[True] / sum(mass.values()))
+    df = spark.createDataFrame([(1, "a", k, s) for k, s in enumerate(scores)], "persona_id long, dimension string, t_index long, score int")
+    got = [r.p_change for r in cps.change_points(df).orderBy("t_index").collect()]
+    assert got == pytest.approx(want)
+
+
 def test_empty_tables(spark):
     no_labels, no_decisions, no_evidence = labels(spark, []), decisions(spark, []), evidence(spark, [], [])
     assert seq.reference_episodes(no_labels).count() == 0 == epi.transitions(no_decisions).count() == seq.predicted_episodes(no_evidence, 0.5, None).count()
