@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pathwise.llm.common import table, text_of
+from pathwise.llm.common import slices, table, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens kept by a Python worker before its table is emptied.
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(ranks, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [of.encode(x) for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -176,15 +176,29 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(ranks)
-        for batch in batches:
+        for batch in slices(batches):
             decoded = [of.decode(x) for x in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], batch["ids"], pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None) -> DataFrame:
+    """`decode(encode(docs))` in one pass, by one Python worker and one set of tables."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = codec(ranks, pattern)
+        for batch in slices(batches):
+            ids = [of.encode(x) for x in batch["text"].to_pylist()]
+            decoded = [of.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = round_trip(table(spark, sf_dir, "documents"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

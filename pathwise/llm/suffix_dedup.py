@@ -26,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import table, text_of, written
+from pathwise.llm.common import slices, table, text_of, written
 from pathwise.llm.two_stage import Strings, common_prefixes, suffix_array
 
 LENGTH = 400
 #: Different contexts under one anchor that a task may gather.
 HOT = 192
 #: Bytes handled at a time, and bytes under one suffix array.
-PIECE, TOGETHER = 1 << 20, 1 << 21
+PIECE, TOGETHER = 1 << 19, 1 << 20
 
 _rng = np.random.default_rng(400)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -98,7 +98,7 @@ def _occurrences(segments: DataFrame, gram: int, length: int) -> DataFrame:
     """a, c, id, hash, lo and n: the contexts of all segments (id, hash, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes, bodies = (batch[x].to_pylist() for x in ("id", "hash", "body"))
             held, owners, size = [], [], 0
 
@@ -172,7 +172,7 @@ def _bodies(wanted: DataFrame, segments: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "c", "k", "d", "lo", "n")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(x["a"], x["c"], x["k"], x["d"], body[x["lo"] : x["lo"] + x["n"] + length - 1]) for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True) for x in cuts]
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "c", "k", "d", "body"])
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
                 covered = spans(cuts, length)

@@ -166,6 +166,8 @@ def test_bpe_matches_tiktoken(spark):
     got = sorted((r["ids"], r["decoded"], r["n_tokens"]) for r in rows_of(bpe_codec.decode(bpe_codec.encode(docs))))
     expected = sorted((np.array(ids := library.encode_ordinary(t), "<u4").tobytes(), t.encode(), len(ids)) for _, t in keyed(docs))
     assert [(bytes(a), bytes(b), n) for a, b, n in got] == expected
+    once = sorted((bytes(r["ids"]), bytes(r["decoded"]), r["n_tokens"]) for r in rows_of(bpe_codec.round_trip(docs)))
+    assert once == expected
     of, rng = bpe_codec.codec(bpe_codec.RANKS), random.Random(4)
     for text in ["ab" * 5000, "theth" * 3000, "".join(rng.choice("abeinrst") for _ in range(30000)), *("".join(rng.choices("abeinrst é\n1'", k=rng.randrange(30))) for _ in range(2000))]:
         assert np.frombuffer(of.encode(text), "<u4").tolist() == library.encode_ordinary(text)
