@@ -9,7 +9,7 @@ the lengths they expand to, its symbols, and for each document where its symbols
 
 Encoding is the tokenizers library's: a text is cut at single blanks and line breaks between words, where this
 vocabulary's own splitting always cuts; each different piece is encoded by the library once per worker, and a text with
-any other white space is encoded whole.
+any other white space, wherever it stands, is encoded whole.
 
 Defined cases: a null or empty text has the end id alone; a text of any length lies in one shard; a null doc_id comes
 before all others; rows that share a doc_id follow each other in order of their texts; an empty table gives an empty
@@ -19,6 +19,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ SHARD_TOKENS = 400_000
 ROUNDS, PAIRS, LEAST = 5, 2048, 16
 KEPT = 1_200_000
 HASH_BITS = 18
+#: White space that is no single blank or line break between words; a line break stands before its word here.
+OTHER_SPACE = re.compile(r"[^\S \n]|(?:\A|[ \n])(?: |\Z)").search
 
 
 class Encoder(dict):
@@ -79,16 +82,21 @@ class Encoder(dict):
         out: list = [None] * len(texts)
         whole, cut, heads, new = [], {}, set(), set()
         for k, text in enumerate(texts):
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "<|" in text:
+            if "<|" in text:
                 whole.append(k)
                 continue
             words = text.replace("\n", " \n").split(" ")
             found = list(map(self.get, words))
             found[0] = self.first.get(words[0])
-            if found[0] is None:
-                heads.add(words[0])
             if None in found:
-                new.update([w for w, ids in zip(words, found, strict=True) if ids is None])
+                # Learnt words have passed this: no other white space, and no two of blanks and line breaks in a row.
+                unknown = [w for w, ids in zip(words, found, strict=True) if ids is None]
+                if not words[0] or OTHER_SPACE(" ".join(unknown)):
+                    whole.append(k)
+                    continue
+                if found[0] is None:
+                    heads.add(words[0])
+                new.update(unknown)
                 cut[k] = words, found
             else:
                 out[k] = b"".join(found)
