@@ -5,10 +5,10 @@ other 63 are AC terms in zigzag order, mapped to the non-zero values that one co
 are chosen so that code and amplitude take 8 bits for any AC term and 16 for any DC difference. That is an ordinary
 baseline file; its reader here parses the markers and decodes any baseline scan bit by bit (several components,
 sampling, restarts, zero runs), and a scan whose tables give every term the same width in one step in numpy. The
-luminance thumbnail is rebuilt from the DC terms alone.
+luminance thumbnail is rebuilt from the DC terms alone. Blocks are laid out nearly square, and the thumbnail's hash
+averages all of its samples.
 
-Defined cases: a null text is empty; an empty text is one unit of 192 spaces; a text of any length is one image (rows
-of blocks widen beyond 65,535 pixels of height); equal texts give equal files; an empty table gives an empty result;
+Defined cases: a null text is empty; an empty text is one unit of 192 spaces; a text of any length is one image; equal texts give equal files; an empty table gives an empty result;
 other columns are ignored. Bytes that no UTF-8 text contains are refused.
 """
 
@@ -18,6 +18,8 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,6 @@ from pathwise.llm.common import table, text_of, written
 UNIT, BLOCK = 192, 64
 #: The byte values that occur in UTF-8, in order; 0xC0, 0xC1 and 0xF5 to 0xFF never do.
 USED = np.array([b for b in range(256) if b not in (0xC0, 0xC1) and b < 0xF5])
-#: Rows of blocks that a height of at most 65,535 pixels allows.
-MAX_ROWS = 65535 // 8
 
 
 def _amplitude(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def encode(text: bytes) -> bytes:
     """The image of one text's padded payload; the text's length is in a comment segment."""
     payload = pad(text)
     blocks = len(payload) // BLOCK
-    wide = 3 * max(1, -(-blocks // 3 // MAX_ROWS))
+    wide = isqrt(blocks)
     high = -(-blocks // wide)
     body = np.frombuffer(payload.ljust(wide * high * BLOCK), np.uint8).reshape(-1, BLOCK)
     if (body >= 0xF5).any() or ((body == 0xC0) | (body == 0xC1)).any():
@@ -255,10 +255,17 @@ def thumbnail(image: dict, blocks: list[np.ndarray]) -> np.ndarray:
     return dc.reshape(-1, units, c["v"], c["h"]).transpose(0, 2, 1, 3).reshape(-1, units * c["h"])
 
 
+@lru_cache(maxsize=256)
+def _cells(n: int) -> np.ndarray:
+    """How much of each of `n` samples lies in each of 8 cells, in eighths of a sample."""
+    cell, sample = np.arange(8)[:, None], np.arange(n)
+    return np.maximum(0, np.minimum((cell + 1) * n, (sample + 1) * 8) - np.maximum(cell * n, sample * 8)).astype(np.float64)
+
+
 def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: which cells of the thumbnail, sampled to 8 x 8, are above their mean."""
-    rows, cols = np.arange(8) * thumb.shape[0] // 8, np.arange(8) * thumb.shape[1] // 8
-    small = thumb[np.ix_(rows, cols)].astype(np.int64)
+    """64 bits: which of the thumbnail's 8 x 8 cells, each the average of all samples in it, are above their mean."""
+    # Whole numbers below 2^53, hence exact.
+    small = (_cells(thumb.shape[0]) @ thumb @ _cells(thumb.shape[1]).T).astype(np.int64)
     return np.packbits(small.ravel() * 64 > small.sum()).tobytes().hex()
 
 

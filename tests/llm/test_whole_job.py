@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 from array import array
 
-from pathwise.llm import token_shards
+import numpy as np
+
+from pathwise.llm import jpeg_media, token_shards
 
 
 def test_mixed_white_space_is_encoded_as_the_library_does():
@@ -18,3 +20,27 @@ def test_mixed_white_space_is_encoded_as_the_library_does():
     for _ in range(2):  # the second time all words are known
         for k in range(0, len(texts), 200):
             assert of.encode(texts[k : k + 200]) == whole[k : k + 200]
+
+
+def test_thumbnail_hash_reads_every_sample():
+    for high, wide in ((1, 1), (1, 3), (5, 7), (8, 8), (31, 17), (130, 126)):
+        thumb = np.random.default_rng(high).integers(0, 256, (high, wide))
+        cells = thumb.repeat(8, 0).repeat(8, 1).reshape(8, high, 8, wide).sum((1, 3))
+        assert jpeg_media.thumbnail_hash(thumb) == np.packbits(cells.ravel() * 64 > cells.sum()).tobytes().hex()
+        # Each sample alone decides in which cells the hash has a bit.
+        for r, c in {(0, 0), (high // 3, wide // 2), (high - 1, wide - 1)}:
+            one = np.zeros((high, wide), np.int64)
+            one[r, c] = 255
+            assert (jpeg_media.thumbnail_hash(one) != "0" * 16) == (high * wide > 1)
+
+
+def test_images_are_nearly_square():
+    for n in (1, 500, 20_000, 1_000_000):
+        image = jpeg_media.parse(jpeg_media.encode(b"a" * n))
+        assert image["width"] <= image["height"] + 8 <= image["width"] + 32
+    # Texts of one size that differ in a part that a stride of the thumbnail would not meet.
+    text = bytearray(b"a" * 64 * 900)
+    other = text.copy()
+    for k in range(64, 64 * 13, 64):
+        other[k] = ord("z")
+    assert jpeg_media.decode(jpeg_media.encode(bytes(text)))[2] != jpeg_media.decode(jpeg_media.encode(bytes(other)))[2]
