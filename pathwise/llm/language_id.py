@@ -2,8 +2,8 @@
 
 A text is lower-cased ASCII and UTF-8 bytes with everything that is no letter turned into single blanks; its subwords
 are the runs of 2, 3 and 4 bytes. Each hashes to a row of an embedding table, the rows are averaged, and a linear layer
-gives the languages. Table and layer are trained together by stochastic gradient descent in numpy on pieces of a
-bounded sample of labelled texts; a temperature fitted on texts kept aside calibrates the score, and the lowest score
+gives the languages. Table and layer are trained together by stochastic gradient descent in numpy on pieces of whole
+texts, a bounded sample of each language that occurs; a temperature fitted on texts kept aside calibrates the score, and the lowest score
 that keeps the accepted ones' error under a bound becomes the threshold for `accepted`. At prediction the table times
 the layer is one matrix, so that the whole text costs one look-up a subword.
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pathwise.llm.common import held_out, table, text_of
 from pathwise.llm.sampling import sampled
 
-#: Bounds of the training sample: texts of each language, and characters of each.
-TEXTS_PER_LANGUAGE, TEXT_CHARS = 1500, 8000
+#: Bound of the training sample: texts of each language. They are whole, and every language is in.
+TEXTS_PER_LANGUAGE = 1500
 ROWS, WIDTH, ORDERS = 1 << 14, 16, (2, 3, 4)
 STEPS, BATCH, RATE, SEED = 700, 64, 0.5, 11
 #: Error that the accepted predictions of the calibration texts may have.
@@ -95,13 +95,16 @@ def train(texts: list[str], labels: list[str]) -> Model:
     cleaned = [clean(x) for x in texts]
     y = np.array([of[x] for x in labels])
     aside = np.arange(len(y)) % 5 == 4 if len(y) >= 20 else np.zeros(len(y), bool)
+    aside[np.unique(y, return_index=True)[1]] = False  # each language has a text to learn from
     learn = np.flatnonzero(~aside)
     embed = rng.normal(0, 0.1, (ROWS, WIDTH)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     pools = [learn[y[learn] == k] for k in range(len(languages))]
     pools = [x for x in pools if len(x)]
-    for step in range(STEPS):
-        rows = np.array([rng.choice(pools[k % len(pools)]) for k in range(BATCH)])
+    # Batches go round all pools; more than BATCH of them get as many draws each as BATCH pools do.
+    steps = STEPS * max(1, -(-len(pools) // BATCH))
+    for step in range(steps):
+        rows = np.array([rng.choice(pools[k % len(pools)]) for k in range(step * BATCH, (step + 1) * BATCH)])
         pieces = []
         for r in rows:
             n = int(rng.integers(20, 600))
@@ -112,7 +115,7 @@ def train(texts: list[str], labels: list[str]) -> Model:
         p = _softmax(hidden @ layer + bias)
         p[np.arange(BATCH), y[rows]] -= 1
         p /= BATCH
-        rate = np.float32(RATE * (1 - step / STEPS))
+        rate = np.float32(RATE * (1 - step / steps))
         down = p @ layer.T
         layer -= rate * 20 * (hidden.T @ p)
         bias -= rate * p.sum(0)
@@ -137,8 +140,7 @@ def _calibrate(model: Model, texts: list[bytes], y: np.ndarray) -> None:
 def fit(docs: DataFrame) -> Model | None:
     """A model from the rows of `docs` that are not held out and have text and lang; None where there are none."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    rows = rows.withColumn("text", F.substring("text", 1, TEXT_CHARS))
-    sample = sampled(rows, "lang", TEXTS_PER_LANGUAGE).toPandas().sort_values(["doc_id", "text"])
+    sample = sampled(rows, "lang", TEXTS_PER_LANGUAGE, labels=None).toPandas().sort_values(["doc_id", "text"])
     return train(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
 
 

@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-from pathwise.llm import jpeg_media, token_shards
+from pathwise.llm import jpeg_media, language_id, sampling, token_shards
 
 
 def test_mixed_white_space_is_encoded_as_the_library_does():
@@ -44,3 +44,29 @@ def test_images_are_nearly_square():
     for k in range(64, 64 * 13, 64):
         other[k] = ord("z")
     assert jpeg_media.decode(jpeg_media.encode(bytes(text)))[2] != jpeg_media.decode(jpeg_media.encode(bytes(other)))[2]
+
+
+def test_every_language_is_learned_from_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 100)
+    words = [f"{a}{b}{a}{a}{b}" for a in "bcdfghklm" for b in "aeiou"] + [f"{b}{a}{a}{b}" for a in "bcdfghklm" for b in "aeiou"]
+    langs = {f"l{k:02}": w for k, w in enumerate(words[:70])}
+    # The last language is the rarest, and its letters come after more than 8,000 other characters.
+    rows = [(k * 1000 + j, " ".join([w] * 30), x) for k, (x, w) in enumerate(langs.items()) for j in range(8)]
+    rows += [(10**6 + j, "1 " * 5000 + "quüx " * 100, "late") for j in range(6)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == sorted([*langs, "late"])
+    texts = [*(" ".join([w] * 30) for w in langs.values()), "quüx " * 100]
+    best = model.scores([language_id.clean(t) for t in texts]).argmax(1)
+    assert [model.languages[k] for k in best] == [*langs, "late"]
+
+
+def test_a_language_with_one_text_is_learned(monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 50)
+    model = language_id.train(["quüx " * 50 if k == 4 else "aba " * 50 for k in range(30)], ["b" if k == 4 else "a" for k in range(30)])
+    assert model.languages[model.scores([language_id.clean("quüx " * 50)]).argmax()] == "b"
+
+
+def test_a_sample_keeps_every_label_at_its_bound(spark):
+    rows = [(k, f"l{k % 100:02}") for k in range(20_000)] + [(10**6, "rare")]
+    got = sampling.sampled(spark.createDataFrame(rows, "doc_id long, lang string"), "lang", 5, labels=None).groupBy("lang").count().collect()
+    assert len(got) >= 99 and "rare" in {r["lang"] for r in got} and sum(r["count"] for r in got) <= 505
