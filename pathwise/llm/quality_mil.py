@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pathwise.llm.common import held_out, table, text_of
 from pathwise.llm.sampling import sampled
 
-#: Bounds of the training sample: documents of each label, and characters of each.
-DOCS_PER_LABEL, TEXT_CHARS = 2000, 20_000
+#: Bound of the training sample: documents of each label. Every passage of them is read.
+DOCS_PER_LABEL = 2000
 PASSAGE_WORDS, WIDTH, GATE = 64, 16, 8
 EPOCHS, BATCH, RATE, SEED = 30, 32, 0.02, 7
 PREDICT_FROM = 0.3
@@ -110,7 +110,11 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, begins: np.ndarray, y: n
 def train(texts: list[str], labels: list[int], ratio: float) -> dict[str, np.ndarray]:
     """Parameters from document labels; `ratio` is the labels' true count of 1 over that of 0, and moves the intercept."""
     rng = np.random.default_rng(SEED)
-    x, begins = features(texts)
+    parts = [features(texts[k : k + 128]) for k in range(0, len(texts), 128)]  # what `features` holds per byte stays small
+    x = np.concatenate([own for own, _ in parts])
+    offsets = np.cumsum([0, *(len(own) for own, _ in parts[:-1])])
+    begins = np.concatenate([first + at for (_, first), at in zip(parts, offsets, strict=True)])
+    del parts
     ends, y = np.append(begins[1:], len(x)), np.array(labels, float)
     scale = {"W": (FEATURES, WIDTH), "V": (WIDTH, GATE), "U": (WIDTH, GATE), "w": (GATE,), "c": (WIDTH,)}
     p = {k: rng.normal(0, 0.3, v) for k, v in scale.items()} | {"b": np.zeros(WIDTH), "d": np.zeros(())}
@@ -140,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
         return None
     # At most 2 * DOCS_PER_LABEL ids, hence the broadcast: the documents stay where they are.
     picked = F.broadcast(sampled(known, "quality", DOCS_PER_LABEL, labels=2))
-    rows = docs.select("doc_id", F.substring(text_of(), 1, TEXT_CHARS).alias("text")).join(picked, "doc_id")
+    rows = docs.select("doc_id", text_of().alias("text")).join(picked, "doc_id")
     sample = rows.toPandas().sort_values(["doc_id", "text", "quality"])
     if not len(sample):
         return None

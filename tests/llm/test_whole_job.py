@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-from pathwise.llm import jpeg_media, language_id, sampling, token_shards
+from pathwise.llm import jpeg_media, language_id, quality_mil, sampling, token_shards
 
 
 def test_mixed_white_space_is_encoded_as_the_library_does():
@@ -70,3 +70,13 @@ def test_a_sample_keeps_every_label_at_its_bound(spark):
     rows = [(k, f"l{k % 100:02}") for k in range(20_000)] + [(10**6, "rare")]
     got = sampling.sampled(spark.createDataFrame(rows, "doc_id long, lang string"), "lang", 5, labels=None).groupBy("lang").count().collect()
     assert len(got) >= 99 and "rare" in {r["lang"] for r in got} and sum(r["count"] for r in got) <= 505
+
+
+def test_attention_learns_from_late_passages(spark):
+    good = "the quiet river ran past the old mill and on to the sea " * 500  # over 20,000 characters
+    bad = "$$ ## %% && || << >> " * 300
+    rows = [(k, good + (bad if k % 2 else good[: len(bad)])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(120)], "doc_id long, quality int")
+    got = quality_mil.score(docs, quality_mil.fit(docs, labels)).collect()
+    assert min(r["score"] for r in got if r["doc_id"] % 2 == 0) > max(r["score"] for r in got if r["doc_id"] % 2)
