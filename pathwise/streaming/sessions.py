@@ -18,8 +18,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "session_id string, kind string, key string, revision long, entry_id string, t_index long, date string, body string"
 ANSWER = "session_id string, key string, outcome string, reason string, revision long, seq long, week_start string"
-#: The longest run of entries that a session's state keeps: those of weeks that are still open, and the answers of recent keys.
-RECENT_KEYS = 1000
 STATE = "json string"
 
 
@@ -95,9 +93,7 @@ def step(state: dict, event: dict) -> list[dict]:
     else:
         out.append(_answer(state, event, "rejected", "unknown kind"))
     if event["key"] is not None:
-        state["answers"][event["key"]] = (print_, out[0]["outcome"])
-        for old in list(state["answers"])[:-RECENT_KEYS]:
-            del state["answers"][old]
+        state["answers"][event["key"]] = (print_, out[0]["outcome"])  # all keys, as `ids` has all entries: a repeat can come at any time
     return out
 
 
