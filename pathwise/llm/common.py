@@ -19,19 +19,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests on one machine) a fresh local one."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, as in tests, all in one
+    process, a folder of that machine; on a cluster ValueError."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="pathwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share; intermediate tables go there")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="pathwise-"))
+        path = _OWN[0]
     return path.rstrip("/")
 
 
+#: The folder of this process where spark.checkpoint.dir is unset.
+_OWN: list[str] = []
+#: Paths of the tables that `written` made and nobody has deleted.
+_LEFT: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: lineage ends there and nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _LEFT.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _LEFT:
+        _LEFT.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that no DataFrame in use reads."""
+    for df in tables:
+        _delete(df.sparkSession, df._written_at)
+
+
+def discard_all(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
+    """Deletes every table that `written` made and that is left, but for those paths: for callers that have stored what
+    they wanted of the operators' results."""
+    for path in [x for x in _LEFT if x not in but]:
+        _delete(spark, path)
 
 
 def text_of(column: str = "text") -> Column:

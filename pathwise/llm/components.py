@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import written
+from pathwise.llm.common import discard, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = written(small.filter("u <> v").distinct(), "links")
+        before, now = now, written(small.filter("u <> v").distinct(), "links")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -257,9 +257,10 @@ def _brute_classes(texts: dict):
     return {k: (least[root(k)], len(links[k])) for k in sets}
 
 
-@pytest.mark.parametrize("block", [96, 5])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "wide"), [(384, 64), (5, 64), (384, 3), (7, 3)])
+def test_near_duplicates(spark, monkeypatch, block, wide):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeinorst") for _ in range(5))
     base = [word() for _ in range(200)]
