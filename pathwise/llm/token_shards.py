@@ -3,7 +3,7 @@
 Documents in ascending doc_id order are encoded, an end id closes each, and shards of about `SHARD_TOKENS` ids are
 compressed on their own: frequent pairs of neighbouring ids are replaced by nonterminals, round after round, until no
 pair pays for its rule or a shard's 16-bit ids are used up. A round counts all pairs of the shard and replaces the most
-frequent ones together; where occurrences overlap, the more frequent pair wins. A shard's record holds its rules with
+frequent ones together; where occurrences overlap, the more frequent pair wins, and a pair left with too few waits. A shard's record holds its rules with
 the lengths they expand to, its symbols, and for each document where its symbols and its ids begin, so one document
 (`Shard.document`) or any run of ids (`Shard.ids`) is decoded without the rest.
 
@@ -19,9 +19,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,20 +34,28 @@ from pathwise.llm.common import table, text_of, written
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 SHARD_TOKENS = 400_000
-#: Rounds of replacement, pairs replaced in a round, and the least occurrences that pay for a rule.
-ROUNDS, PAIRS, LEAST = 5, 2048, 16
-KEPT = 1_200_000
-HASH_BITS = 18
-#: White space that is no single blank or line break between words; a line break stands before its word here.
-OTHER_SPACE = re.compile(r"[^\S \n]|(?:\A|[ \n])(?: |\Z)").search
-
-
-class Encoder(dict):
-    """Piece -> its ids as little-endian 16-bit integers: a word after a blank under the word itself, a line break with
-    the word after it under both; `first` has words at the start of a text."""
+#: Pairs replaced together in a round, and the least occurrences that pay for a rule: it takes 8 bytes, a replacement saves 2.
+PAIRS, LEAST = 2048, 5
+#: Slots of a worker's table of pieces, the most ids of a piece in it, and bytes encoded at a time.
+SLOT_BITS = 20
+SLOTS, INLINE, TOGETHER = 1 << SLOT_BITS, 8, 1 << 20
+#: Unicode white space but for blanks and line breaks, and where these don't stand single between words.
+OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+DOUBLE = "  ", " \n", "\n ", "\n\n"
+#: How the vocabulary writes a blank at the start of a token, and marks that end a word.
+BLANK, MARKS = "\u0120", ",.;:"
+
+_rng = np.random.default_rng(50257)
+BYTE_VALUE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Encoder:
+    """Texts to ids, by pieces: a word after a blank, or one at the start of a text or after a line break, by which its ids
+    differ. A worker keeps pieces of up to `INLINE` ids in a table by hash, in which a later piece takes an older one's
+    slot; two 64-bit hashes of a piece's bytes have to agree."""
 
     def __init__(self, name: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,61 +63,129 @@ class Encoder(dict):
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.first: dict[str, bytes] = {}
-        self.marks = dict(zip(",.;:", self._encode(list(",.;:")), strict=True))
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("H", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        tokens = self.tokenizer.get_vocab()
+        self.begins = {" ": np.zeros(self.size, bool), "\n": np.zeros(self.size, bool)}  # ids whose token begins with it
+        for token, k in tokens.items():
+            self.begins[" "][k] = token[:1] == BLANK
+        *marks, line_break = (self._encode([x])[0] for x in [*MARKS, "\n"])
+        self.mark, self.line_break = np.zeros(256, np.uint16), line_break[0]
+        self.mark[[ord(x) for x in MARKS]] = [x[0] for x in marks]
+        self.begins["\n"][self.line_break] = True
+        self.names = np.zeros((SLOTS, 2), np.uint64)
+        self.ids, self.count = np.zeros((SLOTS, INLINE), np.uint16), np.zeros(SLOTS, np.int64)
+        self.powers = np.ones((2, 1), np.uint64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str], between: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each after `between`, and where each word's begin: encoded as one text and cut where a
+        token begins with `between`."""
+        ids = np.concatenate([np.zeros(0, np.uint16), *(self._encode([between + between.join(words[k : k + 5000])])[0] for k in range(0, len(words), 5000))])
+        return ids, np.append(np.flatnonzero(self.begins[between][ids]), len(ids))
+
+    def _hashes(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, after_blank: np.ndarray) -> np.ndarray:
+        if self.powers.shape[1] < len(data):
+            steps = np.array([[STEP], [BACK]]).repeat(2 * len(data), 1)
+            self.powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), steps], 1), axis=1, dtype=np.uint64)
+        out = np.empty((len(lo), 2), np.uint64)
+        for k in range(2):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[k][data] * self.powers[0, : len(data)], dtype=np.uint64, out=sums[1:])
+            x = (sums[hi] - sums[lo]) * self.powers[1][lo] + (hi - lo).astype(np.uint64) * np.uint64(2) + after_blank
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            out[:, k] = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return out
 
-    def _learn(self, new: set[str]) -> None:
+    def _pieces(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of words between single blanks or line breaks, and how many each text has."""
+        raw = b"\n" + b"\n".join(bodies) + b"\n"
+        data = np.frombuffer(raw, np.uint8)
+        space = np.flatnonzero((data == 32) | (data == 10))
+        lo, hi = space[:-1] + 1, space[1:].copy()
+        heads = np.cumsum([1, *(len(x) + 1 for x in bodies[:-1])])
+        first = np.searchsorted(lo, heads)
+        before = data[space[:-1]] == 10
+        before[first] = False  # line breaks of their own
+        after_blank = data[space[:-1]] == 32
         # A letter before a closing mark ends a piece of this vocabulary's splitting.
-        marked = [w for w in new if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        plain = [*{w[:-1] for w in marked if w[:-1] not in self}.union(new.difference(marked))]
-        for k in range(0, len(plain), 10_000):
-            part = plain[k : k + 10_000]
-            self.update(zip(part, self._encode([w if w[:1] == "\n" else " " + w for w in part]), strict=True))
-        for w in marked:
-            self[w] = self[w[:-1]] + self.marks[w[-1]]
+        closed = (self.mark[data[hi - 1]] > 0) & (((data[hi - 2] | 32) - ord("a")) < 26) & (hi - lo > 1)
+        hi -= closed
+        names = self._hashes(data, lo, hi, after_blank)
+        slot = (names[:, 0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        ids, count = self.ids[slot], self.count[slot]
+        missing = np.flatnonzero((count == 0) | (self.names[slot] != names).any(1))
+        long: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(missing):
+            _, some, which = np.unique(names[missing, 0], return_index=True, return_inverse=True)
+            some = missing[some]
+            for between in (" ", "\n"):
+                new = np.flatnonzero(after_blank[some] == (between == " "))
+                words = [raw[a:b].decode() for a, b in zip(lo[some[new]].tolist(), hi[some[new]].tolist(), strict=True)]
+                flat, begin = self._joined(words, between)
+                start, n = begin[:-1] + (between == "\n"), np.diff(begin) - (between == "\n")
+                inline = np.zeros((len(new), INLINE), np.uint16)
+                for k in range(INLINE):
+                    has = n > k
+                    inline[has, k] = flat[start[has] + k]
+                ids_new, at = inline, some[new]
+                fits = n <= INLINE
+                self.names[slot[at[fits]]], self.ids[slot[at[fits]]], self.count[slot[at[fits]]] = names[at[fits]], ids_new[fits], n[fits]
+                place = np.full(len(some), -1)
+                place[new] = np.arange(len(new))
+                mine = place[which] >= 0
+                to, of = missing[mine], place[which][mine]
+                ids[to], count[to] = ids_new[of], n[of]
+                long += [(to[of == k], flat[start[k] : start[k] + n[k]]) for k in np.flatnonzero(~fits)]
+        total = count + before + closed
+        ends = np.cumsum(total)
+        out = np.empty(int(ends[-1]), np.uint16)
+        at = ends - total
+        out[at[before]] = self.line_break
+        at += before
+        for k in range(INLINE):
+            has = np.flatnonzero(count > k)
+            out[at[has] + k] = ids[has, k]
+        for rows, whole in long:
+            for row in rows.tolist():
+                out[at[row] : at[row] + len(whole)] = whole
+        out[at[closed] + count[closed]] = self.mark[data[hi[closed]]]
+        return out, np.add.reduceat(total, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        if len(self) > KEPT:
-            self.clear()
-        if len(self.first) > KEPT // 8:
-            self.first.clear()
+        """The ids of each text as little-endian 16-bit integers."""
+        whole = [k for k, x in enumerate(texts) if is_odd(x)]
         out: list = [None] * len(texts)
-        whole, cut, heads, new = [], {}, set(), set()
-        for k, text in enumerate(texts):
-            if "<|" in text:
-                whole.append(k)
-                continue
-            words = text.replace("\n", " \n").split(" ")
-            found = list(map(self.get, words))
-            found[0] = self.first.get(words[0])
-            if None in found:
-                # Learnt words have passed this: no other white space, and no two of blanks and line breaks in a row.
-                unknown = [w for w, ids in zip(words, found, strict=True) if ids is None]
-                if not words[0] or OTHER_SPACE(" ".join(unknown)):
-                    whole.append(k)
-                    continue
-                if found[0] is None:
-                    heads.add(words[0])
-                new.update(unknown)
-                cut[k] = words, found
-            else:
-                out[k] = b"".join(found)
-        self._learn(new)
-        self.first.update(zip(heads, self._encode(list(heads)), strict=True))
-        for k, (words, found) in cut.items():
-            head = found[0] or self.first[words[0]]
-            found = [self[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            found[0] = head
-            out[k] = b"".join(found)
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
-            out[k] = ids
+            out[k] = ids.tobytes()
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            flat, lengths = self._pieces([x for _, x in held])
+            ends = np.cumsum(lengths).tolist()
+            for (k, _), a, b in zip(held, [0, *ends[:-1]], ends, strict=True):
+                out[k] = flat[a:b].tobytes()
+            held.clear()
+
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                held.append((k, text.encode()))
+                size += len(held[-1][1])
+                if size > TOGETHER:
+                    flush()
+                    size = 0
+        if held:
+            flush()
         return out
 
 
+def is_odd(text: str) -> bool:
+    """Whether a text can't be cut at its blanks and line breaks: there is other white space, some stand together or at an
+    end, or a special token may be spelled out."""
+    return text[:1] in ("", " ", "\n") or text[-1] in " \n" or "<|" in text or any(x in text for x in DOUBLE) or any(x in text for x in OTHER_SPACE)
+
+
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
     return Encoder(name)
@@ -119,44 +193,58 @@ def encoder(name: str) -> Encoder:
 
 def compress(ids: np.ndarray, first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and where each document begins among the symbols, for `ids` whose documents begin
-    at `first`. Symbols from `base` on are rules; no rule crosses documents. A pair is counted in a table over hashes of
-    pairs, which holds the count of one pair in each slot: the one that occurs last among those that share it."""
+    at `first`. Symbols from `base` on are rules; no rule crosses documents. Each round sorts the pairs to count them."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
     begins = np.zeros(len(seq), bool)
     begins[first] = True
-    in_slot, rank_in_slot = np.zeros(1 << HASH_BITS, np.uint32), np.zeros(1 << HASH_BITS, np.int32)
-    for _ in range(ROUNDS):
-        room = min(PAIRS, (1 << 16) - base - len(rules))
-        if len(seq) < 2 or room <= 0:
-            break
+    is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    while len(seq) > 1 and len(rules) < (1 << 16) - base:
         packed = (seq[:-1] << np.uint32(16)) | seq[1:]
-        slot = (packed * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
-        in_slot[slot] = packed
-        same = np.flatnonzero((in_slot[slot] == packed) & ~begins[1:])
-        slot = slot[same]
-        counts = np.bincount(slot, minlength=1 << HASH_BITS)
-        best = np.flatnonzero(counts >= LEAST)
-        best = best[np.argsort(-counts[best], kind="stable")][:room]
-        if not len(best):
+        ordered = np.sort(packed[~begins[1:]])
+        edges = np.flatnonzero(ordered[LEAST - 1 :] == ordered[: len(ordered) - LEAST + 1])  # inside runs of LEAST or more
+        if not len(edges):
             break
-        rank_in_slot[:] = -1
-        rank_in_slot[best] = np.arange(len(best), dtype=np.int32)
-        rank = rank_in_slot[slot]
-        hit = rank >= 0
-        at, rank = same[hit], rank[hit]
+        at = edges[np.concatenate([[True], ordered[edges[1:]] != ordered[edges[:-1]]])]
+        chosen, counts = ordered[at], np.searchsorted(ordered, ordered[at], "right") - at
+        if len(chosen) > PAIRS:
+            most = np.argsort(-counts, kind="stable")[:PAIRS]
+            most.sort()
+            chosen, counts = chosen[most], counts[most]
+        rank = np.empty(len(chosen), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(chosen))
+        is_left[:], is_right[:] = False, False
+        is_left[chosen >> np.uint32(16)], is_right[chosen & np.uint32(0xFFFF)] = True, True
+        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]] & ~begins[1:])
+        where = np.searchsorted(chosen, packed[at])
+        where[where == len(chosen)] = 0
+        hit = chosen[where] == packed[at]
+        at, rank = at[hit], rank[where[hit]]
         # of occurrences that overlap the more frequent pair wins, of one pair's the first
-        over = np.flatnonzero(np.diff(at) == 1)
-        ahead = rank[over] <= rank[over + 1]
-        lost = np.zeros(len(at), bool)
-        lost[over[~ahead]] = True
-        lost[over[ahead] + 1] = True
-        at, rank = at[~lost], rank[~lost]
-        seq[at] = (base + len(rules) + rank).astype(np.uint32)
+        while True:
+            over = np.flatnonzero(np.diff(at) == 1)
+            if not len(over):
+                break
+            ahead = rank[over] <= rank[over + 1]
+            lost = np.zeros(len(at), bool)
+            lost[over[~ahead]] = True
+            lost[over[ahead] + 1] = True
+            # one that lost to another that lost too may come again
+            at, rank = at[~lost], rank[~lost]
+        uses = np.bincount(rank, minlength=len(chosen))
+        paying = np.flatnonzero(uses >= LEAST)[: (1 << 16) - base - len(rules)]
+        if not len(paying):
+            break
+        name = np.full(len(chosen), -1)
+        name[paying] = np.arange(len(paying))
+        name = name[rank]
+        at, name = at[name >= 0], name[name >= 0]
+        new = np.zeros((len(paying), 2), np.uint32)
+        new[name, 0], new[name, 1] = seq[at], seq[at + 1]
+        seq[at] = (base + len(rules) + name).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, begins = seq[keep], begins[keep]
-        chosen = in_slot[best]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], 1)])
+        rules = np.concatenate([rules, new])
     return seq.astype(np.uint16), rules.astype(np.uint16), np.flatnonzero(begins)
 
 

@@ -68,6 +68,24 @@ def test_repair_round_trip_and_random_access():
     assert len(record) < 2 * 60000  # fewer bytes than the ids themselves, even of random ids
 
 
+def test_repair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(6)
+    for base, n in ((50257, 30000), ((1 << 16) - 40, 30000), (200, 1000)):
+        ids = np.minimum(rng.geometric(0.05, n), base - 1).astype(np.uint16)
+        first = np.unique(np.concatenate([[0], rng.integers(0, n, 9)]))
+        symbols, rules, starts = token_shards.compress(ids, first, base)
+        bounds = [*starts.tolist(), len(symbols)]
+        left = collections.Counter()
+        for a, b in itertools.pairwise(bounds):
+            pairs, k = symbols[a:b].tolist(), 0
+            for k in range(len(pairs) - 1):
+                left[pairs[k], pairs[k + 1]] += pairs[k] != pairs[k + 1]
+        full = base + len(rules) == 1 << 16
+        assert full == (base > 60000) and (full or max(left.values()) < token_shards.LEAST)
+        counts = collections.Counter(symbols.tolist()) + collections.Counter(rules.ravel().tolist())
+        assert all(counts[base + k] for k in range(len(rules)))
+
+
 # 2 suffix arrays
 
 
