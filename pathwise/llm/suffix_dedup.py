@@ -2,17 +2,22 @@
 
 A string of `length` bytes is anchored at one of its `gram`-byte pieces, the one with the least hash (the first of
 equals). The same string has the same anchor wherever it stands, so strings with different anchors differ, and each
-document falls into contexts: runs of start positions with one anchor, with the bytes that their strings cover. Equal
-contexts under an anchor are counted, not compared. The different contexts under one anchor are laid out together and
-their suffixes ordered by two-stage sorting (`two_stage`); a start whose suffix shares `length` bytes or more with a
-neighbour in that order repeats. An anchor with more than `HOT` different contexts is never gathered: its contexts are
-cut again by anchors of a longer gram, at the last level of the whole string, where equal strings are merely counted.
+document falls into contexts: runs of start positions with one anchor, with the bytes that their strings cover. Only
+contexts whose anchor repeats go on, and in two ways, both to suffix arrays:
+
+* Contexts that recur whole by their hash: the first and the last place of each, in chains of contexts that follow each
+  other at both places, so that a repeated document or passage is laid out twice, and not once for each of its copies.
+* The different contexts under one anchor, laid out together. An anchor with more than `HOT` of them is never gathered:
+  they are cut again by anchors of a longer gram, at the last level of the whole string.
+
+The suffixes of what is laid out are ordered by two-stage sorting (`two_stage`), and a start whose suffix shares `length`
+bytes or more with a neighbour in that order repeats. Nothing else decides it.
 
 Work and shuffles are linear in the text: about one context in 170 bytes, and only those whose anchor repeats go on.
 
 Defined cases: a null text is empty; a text shorter than `length` bytes loses nothing; repeated rows are repeats of each
 other; texts of any length are read whole, in pieces that overlap by length - 1 bytes; an empty table gives an empty
-result; other columns of any name are carried by `remove_repeats`.
+result; a null doc_id is as good as any; other columns of any name are carried by `remove_repeats`.
 """
 
 from __future__ import annotations
@@ -23,17 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import slices, table, text_of, written
+from pathwise.llm.common import discard, slices, table, text_of, written
 from pathwise.llm.two_stage import Strings, common_prefixes, suffix_array
 
 LENGTH = 400
 #: Different contexts under one anchor that a task may gather.
 HOT = 192
-#: Bytes handled at a time, and bytes under one suffix array.
-PIECE, TOGETHER = 1 << 19, 1 << 20
+#: Bytes handled at a time, bytes under one suffix array, and starts of a chain.
+PIECE, TOGETHER, CHAIN = 1 << 19, 1 << 20, 1 << 18
 
 _rng = np.random.default_rng(400)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -123,86 +128,120 @@ def _occurrences(segments: DataFrame, gram: int, length: int) -> DataFrame:
     return segments.select("id", "hash", "body").mapInArrow(run, "a long, c long, id long, hash long, lo long, n long")
 
 
-def _compared(groups: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int, int]]:
-    """(anchor, context, first start, number) of the runs of repeated starts in contexts seen once, among contexts
-    (anchor, context, times seen, bytes) that hold all of their anchors' different ones."""
-    strings = Strings([x[3] for x in groups])
+def _compared(rows: list[dict], length: int) -> list[tuple[int, int, int, int]]:
+    """(anchor, context, first start, number) of the runs of repeated starts in the rows' members: contexts (off, n, a, c)
+    by their place in the row's body."""
+    strings = Strings([x["body"] for x in rows])
     order = suffix_array(strings)
     shared = common_prefixes(strings, order) >= length
     repeated = np.zeros(len(strings.data), bool)
     repeated[order[shared]] = True
     repeated[order[np.flatnonzero(shared) - 1]] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[False], repeated, [False]]).astype(np.int8)))
-    out = []
+    runs: dict[int, list[tuple[int, int]]] = {}
     for lo, hi in edges.reshape(-1, 2).tolist():
         k = int(np.searchsorted(strings.begins, lo, "right")) - 1
-        anchor, context, times, _ = groups[k]
-        if times == 1:
-            out.append((anchor, context, lo - int(strings.begins[k]), hi - lo))
+        runs.setdefault(k, []).append((lo - int(strings.begins[k]), hi - int(strings.begins[k])))
+    out = []
+    for k, found in runs.items():
+        members = sorted(rows[k]["members"], key=lambda x: x["off"])
+        at = 0
+        for x in members:
+            lo, hi = x["off"], x["off"] + x["n"]
+            while at < len(found) and found[at][1] <= lo:
+                at += 1
+            for a, b in found[at:]:
+                if a >= hi:
+                    break
+                out.append((x["a"], x["c"], max(a, lo) - lo, min(b, hi) - max(a, lo)))
     return out
 
 
 def _sorted_out(bodies: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated starts (a, c, at, n) in contexts (a, c, k, body), from suffix arrays over whole anchors."""
+    """Runs of repeated starts (a, c, at, n) in the members of bodies (g, o, members, body): bodies of one g are under one
+    suffix array, and those with one g and o are the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        size, last = 0, None
+        size, last = 0, {}
 
         def result() -> pa.RecordBatch:
             rows = _compared(held, length)
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["a", "c", "at", "n"])
 
-        for batch in batches:
-            for row in zip(*(batch[x].to_pylist() for x in ("a", "c", "k", "body")), strict=True):
-                if size >= TOGETHER and row[0] != last:
+        for batch in slices(batches):
+            for row in batch.to_pylist():
+                if last and all(row[x] == last[x] for x in ("g", "o", "body")):
+                    continue
+                if size >= TOGETHER and row["g"] != last["g"]:
                     yield result()
                     held.clear()
                     size = 0
                 held.append(row)
-                size, last = size + len(row[3]), row[0]
+                size, last = size + len(row["body"]), row
         if held:
             yield result()
 
-    return bodies.repartition("a").sortWithinPartitions("a", "c").mapInArrow(run, "a long, c long, at long, n long")
+    return bodies.select("g", "o", "members", "body").repartition("g").sortWithinPartitions("g", "o").mapInArrow(run, "a long, c long, at long, n long")
+
+
+MEMBERS = "array<struct<off:bigint,n:bigint,a:bigint,c:bigint>>"
 
 
 def _bodies(wanted: DataFrame, segments: DataFrame, length: int) -> DataFrame:
-    """a, c, k, d and body of the wanted contexts, cut from their first places' segments."""
-    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("a", "c", "k", "d", "lo", "n")).alias("cuts"))
+    """g, o, hot, k, members and body of the wanted runs of starts (id, hash, lo, n), cut from their segments."""
+    lists = wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("g", "o", "hot", "k", "lo", "n", "members")).alias("cuts"))
+    kept = {"g": pa.int64(), "o": pa.int64(), "hot": pa.bool_(), "k": pa.int64(), "members": pa.list_(pa.struct([(x, pa.int64()) for x in ("off", "n", "a", "c")]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = [(x["a"], x["c"], x["k"], x["d"], body[x["lo"] : x["lo"] + x["n"] + length - 1]) for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True) for x in cuts]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "c", "k", "d", "body"])
+        for batch in slices(batches, 128):
+            for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
+                for k in range(0, len(cuts), 2000):
+                    part = cuts[k : k + 2000]
+                    columns = [pa.array([x[name] for x in part], kind) for name, kind in kept.items()]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([body[x["lo"] : x["lo"] + x["n"] + length - 1] for x in part], pa.binary())], [*kept, "body"])
+
+    return segments.join(lists, ["id", "hash"]).select("body", "cuts").mapInArrow(run, f"g long, o long, hot boolean, k long, members {MEMBERS}, body binary")
+
 
-    return segments.join(lists, ["id", "hash"]).select("body", "cuts").mapInArrow(run, "a long, c long, k long, d long, body binary")
+def _chains(counted: DataFrame) -> DataFrame:
+    """The first and the last place of contexts that recur whole, as wanted runs; contexts that follow each other at both
+    places are one run."""
+    place = Window.partitionBy("first.id", "first.hash").orderBy("first.lo")
+    ahead = lambda x: F.lag(x).over(place)
+    follows = (F.col("first.lo") == ahead(F.col("first.lo") + F.col("n"))) & (F.col("last.lo") == ahead(F.col("last.lo") + F.col("n"))) & (F.struct("last.id", "last.hash") == ahead(F.struct("last.id", "last.hash")))
+    one = follows & (F.floor(F.col("first.lo") / CHAIN) == ahead(F.floor(F.col("first.lo") / CHAIN)))
+    runs = counted.filter("k > 1").withColumn("_fresh", (~F.coalesce(one, F.lit(False))).cast("int")).withColumn("run", F.sum("_fresh").over(place))
+    chains = runs.groupBy("first.id", "first.hash", "run").agg(
+        F.min("first").alias("first"), F.min_by("last", "first.lo").alias("last"), F.sum("n").alias("n"), F.collect_list(F.struct("first.lo", "n", "a", "c")).alias("all"))
+    chains = chains.select("first", "last", "n", F.xxhash64("first", F.lit(1)).alias("g"), F.transform("all", lambda x: F.struct((x["lo"] - F.col("first.lo")).alias("off"), x["n"].alias("n"), x["a"].alias("a"), x["c"].alias("c"))).alias("members"))
+    laid = F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(0).alias("o"), "members"), F.struct(F.col("last").alias("at"), F.lit(1).alias("o"), F.array().cast(MEMBERS).alias("members"))))
+    return chains.select("g", "n", laid.alias("x")).select("g", F.col("x.o").cast("long").alias("o"), F.lit(False).alias("hot"), F.lit(2).cast("long").alias("k"), "x.at.id", "x.at.hash", "x.at.lo", "n", "x.members")
 
 
 def repeats(segments: DataFrame, length: int = LENGTH, level: int = 0) -> DataFrame:
     """id, hash, lo and n: runs of starts whose `length` bytes also start elsewhere, for segments (id, hash, body)."""
     grams = 64, length - 32, length  # of the anchors at each level; at the last one the whole string
     every = written(_occurrences(segments, grams[level], length), "contexts")
-    often = written(every.groupBy("a").agg(F.count("*").alias("total")).filter("total > 1").select("a"), "anchors")
-    again = written(every.join(often, "a"), "contexts-again")
-    counted = again.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(F.struct("id", "hash", "lo", "n")).alias("at"))
-    counted = written(counted.select("a", "c", "k", "at.*"), "contexts-counted")
-    whole = counted.filter("k > 1").select("a", "c", F.lit(0).cast("long").alias("at"), "n")
-    found = [whole]
+    again = written(every.join(every.groupBy("a").agg(F.count("*").alias("total")).filter("total > 1").select("a"), "a"), "contexts-again")
+    discard(every)
+    place = F.struct("id", "hash", "lo")
+    counted = written(again.groupBy("a", "c").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "contexts-counted")
+    several = counted.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1")
+    own = F.array(F.struct(F.lit(0).cast("long").alias("off"), "n", "a", "c"))
+    hot = (F.col("d") > HOT) & F.lit(level < len(grams) - 1)
+    # Contexts that recur whole stand among their anchor's others, but are decided in their chains.
+    members = F.when((F.col("k") == 1) | hot, own).otherwise(F.array().cast(MEMBERS))
+    others = counted.join(several, "a").select(F.xxhash64("a").alias("g"), F.col("c").alias("o"), hot.alias("hot"), "k", "first.*", "n", members.alias("members"))
+    bodies = written(_bodies(_chains(counted).unionByName(others), segments, length), "bodies")
+    found = _sorted_out(bodies.filter("not hot"), length)
     if level < len(grams) - 1:
-        several = written(counted.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1"), "anchors-several")
-        bodies = written(_bodies(counted.join(several, "a"), segments, length).dropDuplicates(["a", "c"]), "bodies")
-        found.append(_sorted_out(bodies.filter(F.col("d") <= HOT), length))
-        hot = bodies.filter(F.col("d") > HOT)
+        hot = bodies.filter("hot").select(F.col("members")[0]["a"].alias("a"), F.col("members")[0]["c"].alias("hash"), "k", "body").dropDuplicates(["a", "hash"]).withColumn("id", F.xxhash64("a", "hash"))
         if not hot.isEmpty():
-            hot = hot.select(F.xxhash64("a", "c").alias("id"), F.col("c").alias("hash"), "body", "a", "k")
             inner = repeats(hot, length, level + 1).join(hot.filter("k = 1").select("id", "hash", "a"), ["id", "hash"])
-            found.append(inner.select("a", F.col("hash").alias("c"), F.col("lo").alias("at"), "n"))
-    verdicts = found[0]
-    for x in found[1:]:
-        verdicts = verdicts.union(x)
-    verdicts = written(verdicts, "repeated").withColumnsRenamed({"n": "many"})
+            found = found.union(inner.select("a", F.col("hash").alias("c"), F.col("lo").alias("at"), "n"))
+    verdicts = written(found, "repeated").withColumnsRenamed({"n": "many"})
+    discard(counted, bodies)
     return again.join(verdicts, ["a", "c"]).select("id", "hash", (F.col("lo") + F.col("at")).alias("lo"), F.col("many").alias("n"))
 
 
@@ -237,7 +276,8 @@ def _with_cuts(docs: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (begin, end) of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left, less characters that a span cuts through) and
+    spans (begin, end) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +285,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = []
             for body, cuts in zip(batch["body"].to_pylist(), batch["cuts"].to_pylist(), strict=True):
                 covered = spans(cuts, length)
-                rows.append((len(body), sum(b - a for a, b in covered), len(covered), hashlib.sha256(_kept(body, covered)).hexdigest(), [{"begin": a, "end": b} for a, b in covered]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+                kept = _kept(body, covered)
+                rows.append((len(body), sum(b - a for a, b in covered), len(covered), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), [{"begin": a, "end": b} for a, b in covered]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "spans"]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names)
 
     cut = _with_cuts(_keyed(docs.select("doc_id", "text")).drop("text"), length)
-    return cut.select("doc_id", "body", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>")
+    return cut.select("doc_id", "body", "cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<struct<begin:bigint,end:bigint>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -135,6 +135,19 @@ def test_repeats_hot_anchor(spark, monkeypatch):
     assert got == list(_brute_repeats([t.encode() for t in texts], 400))
 
 
+def test_the_suffix_array_decides():
+    rng = random.Random(8)
+    text = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    one, other = text(900), text(900)
+    member = lambda off, n, c: {"off": off, "n": n, "a": 7, "c": c}
+    chain = [{"g": 1, "o": 0, "members": [member(0, 200, 1), member(200, 301, 2)], "body": one}, {"g": 1, "o": 1, "members": [], "body": one}]
+    assert sorted(suffix_dedup._compared(chain, 400)) == [(7, 1, 0, 200), (7, 2, 0, 301)]
+    chain[1]["body"] = other  # were the hashes wrong, the bytes would tell
+    assert suffix_dedup._compared(chain, 400) == []
+    chain[1]["body"] = other[:50] + one[150:700] + other[:9]
+    assert sorted(suffix_dedup._compared(chain, 400)) == [(7, 1, 150, 50), (7, 2, 0, 101)]
+
+
 def test_remove_repeats_keeps_columns(spark):
     docs = documents(spark, clashing=True)
     out = suffix_dedup.remove_repeats(docs)
