@@ -4,8 +4,9 @@ Sources, sorted by code point with null last, weigh 5, 2, 1, repeating, and shar
 twice its source's words and the excess goes to the others by weight (`source_targets`). A source then gives all its
 documents `floor(target / words)` times, and the remaining budget is fitted from its counts of documents by exact
 length: a proportional draft, and bounded-knapsack dynamic programming for what the draft leaves (`fit_counts`). Which
-documents of a length are taken follows a seeded hash: counts by 1/256 of the hash range give whole takes, and only
-the range at the boundary is ranked, so that no task sees all documents of a common length.
+documents of a length are taken follows a seeded hash of id and text: counts by 1/256 of the hash range give whole takes, and only
+the range at the boundary is ranked, so that no task sees all documents of a common length. All this moves numbers, not
+texts; the mix itself joins them to the rows by the rows' own numbers.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own; repeated rows
 are mixed as separate documents; sources without words have target 0; an empty table gives an empty result; extra
@@ -98,18 +99,20 @@ def source_targets(sources: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame, seed: int, *carried) -> DataFrame:
-    """skey, source, _id, size and the seeded hash of every row, written once: the text is read and its words counted once."""
+    """uid (the row's number), skey, source, _id, size and the seeded hash of every row, written once: the text is read and
+    its words counted once."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), text_of())
     sized = docs.select(
-        *carried, key.alias("skey"), "source", F.col("doc_id").alias("_id"),
+        *carried, F.monotonically_increasing_id().alias("uid"), key.alias("skey"), "source", F.col("doc_id").alias("_id"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), hashed.alias("_hash"), F.pmod(hashed, F.lit(RANGES)).cast("int").alias("_range"),
     )
     return written(sized, "mix-sized")
 
 
 def _times(sized: DataFrame) -> DataFrame:
-    """`sized` with source_size, target and times, how often the mix takes the row."""
+    """uid, _id, size, source_size, target and times, how often the mix takes the row, for every row of `sized`."""
+    sized = sized.select("uid", "skey", "source", "_id", "size", "_hash", "_range")
     ranges = sized.groupBy("skey", "source", "size", "_range").agg(F.count("*").alias("_n"))
     lengths = ranges.groupBy("skey", "source", "size").agg(F.sum("_n").alias("n"))
     targets = source_targets(lengths.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
@@ -117,10 +120,15 @@ def _times(sized: DataFrame) -> DataFrame:
     plan = fitted.groupBy("skey").applyInPandas(_fit_source, "skey string, size long, whole long, extra long")
     upto = Window.partitionBy("skey", "size").orderBy("_range")
     cut = ranges.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(plan, ["skey", "size"], "left").join(targets, "skey")
-    cut = cut.select("skey", "size", "_range", "source_size", "target", F.coalesce("whole", F.lit(0)).alias("_whole"), (F.coalesce("extra", F.lit(0)) - F.col("_before")).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "_range").orderBy("_hash", "_id"))
-    ranked = sized.withColumn("_rank", rank).join(cut, ["skey", "size", "_range"])
-    return ranked.withColumn("times", F.col("_whole") + (F.col("_rank") <= F.col("_first")).cast("long"))
+    # Of a range the first `_take` rows are taken once more than `_whole` times.
+    take = F.least(F.col("_n"), F.greatest(F.lit(0), F.coalesce("extra", F.lit(0)) - F.col("_before")))
+    cut = written(cut.select("skey", "size", "_range", "source_size", "target", "_n", F.coalesce("whole", F.lit(0)).alias("_whole"), take.alias("_take")), "mix-cut")
+    placed = sized.join(cut, ["skey", "size", "_range"])
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "_range").orderBy("_hash", "_id", "uid"))
+    split = (F.col("_take") > 0) & (F.col("_take") < F.col("_n"))
+    one = placed.filter(~split).withColumn("_more", (F.col("_take") > 0).cast("long"))
+    other = placed.filter(split).withColumn("_rank", rank).withColumn("_more", (F.col("_rank") <= F.col("_take")).cast("long")).drop("_rank")
+    return one.unionByName(other).select("uid", "_id", "size", "source_size", "target", (F.col("_whole") + F.col("_more")).alias("times"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -131,8 +139,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each row of `docs`, all columns, as often as it is taken."""
-    out = _times(_sized(docs, seed, F.struct(*docs.columns).alias("row"))).filter("times > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
+    sized = _sized(docs, seed, F.struct(*docs.columns).alias("row"))
+    taken = _times(sized).filter("times > 0").select("uid", "times")
+    return sized.select("uid", "row").join(taken, "uid").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
