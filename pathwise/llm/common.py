@@ -60,10 +60,14 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._written_at)
 
 
-def discard_all(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
-    """Deletes every table that `written` made and that is left, but for those paths: for callers that have stored what
-    they wanted of the operators' results."""
-    for path in [x for x in _LEFT if x not in but]:
+def left_tables() -> list[str]:
+    """Paths of the tables that `written` made and nobody has deleted."""
+    return list(_LEFT)
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables by path: for callers that have stored what they wanted of an operator's result."""
+    for path in paths:
         _delete(spark, path)
 
 
