@@ -38,7 +38,7 @@ LENGTH = 400
 #: Different contexts under one anchor that a task may gather.
 HOT = 192
 #: Bytes handled at a time, bytes under one suffix array, and starts of a chain.
-PIECE, TOGETHER, CHAIN = 1 << 19, 1 << 20, 1 << 18
+PIECE, TOGETHER, CHAIN = 1 << 19, 1 << 20, 1 << 14
 
 _rng = np.random.default_rng(400)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+NEAR = 256
+
 
 class Strings:
     """Byte strings laid out one after another, each closed by a mark below all bytes; marks rank by position."""
@@ -18,6 +20,21 @@ class Strings:
         self.close = np.repeat(self.marks, self.lengths + 1)  # where the string of each position is closed
 
 
+def _compared(raw: bytes, begins: list[int], ends: list[int]) -> list[int]:
+    """The order of the suffixes from begins to ends, equal ones by position. Only those that share their first `NEAR`
+    bytes are laid out whole, those of one beginning at a time."""
+    text = [raw[a : min(b, a + NEAR)] for a, b in zip(begins, ends, strict=True)]
+    order = sorted(range(len(text)), key=text.__getitem__)
+    k = 0
+    for j in range(1, len(order) + 1):
+        if j < len(order) and text[order[j]] == text[order[k]]:
+            continue
+        if j - k > 1 and len(text[order[k]]) == NEAR:
+            order[k:j] = sorted(order[k:j], key=lambda x: raw[begins[x] : ends[x]])
+        k = j
+    return order
+
+
 def suffix_array(strings: Strings) -> np.ndarray:
     """All suffixes in order, marks first.
 
@@ -48,8 +65,7 @@ def suffix_array(strings: Strings) -> np.ndarray:
     for byte in range(1, 257):
         if counts[byte]:
             some = by_first[at[byte] : at[byte] + counts[byte]]
-            text = [raw[a:b] for a, b in zip(some.tolist(), close[some].tolist(), strict=True)]
-            order = sorted(range(len(text)), key=text.__getitem__)  # equal ones keep their positions' order
+            order = _compared(raw, some.tolist(), close[some].tolist())
             out[heads[byte] + sizes[byte] - counts[byte] : heads[byte] + sizes[byte]] = some[order]
     del by_first
 

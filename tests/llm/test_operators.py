@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pathwise.llm import bpe_codec, html_extract, jaccard_join, jpeg_media, language_id, mixing, quality_mil, quality_rules, suffix_dedup, token_shards
+from pathwise.llm import bpe_codec, html_extract, jaccard_join, jpeg_media, language_id, mixing, quality_mil, quality_rules, suffix_dedup, token_shards, two_stage
 from pathwise.llm.two_stage import Strings, common_prefixes, suffix_array
 from tests.llm.fixtures import documents, empty
 
@@ -100,7 +100,9 @@ def _brute_repeats(texts: list[bytes], length: int):
         yield len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone, [0]])) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-def test_two_stage_suffix_array():
+@pytest.mark.parametrize("near", [256, 3])
+def test_two_stage_suffix_array(monkeypatch, near):
+    monkeypatch.setattr(two_stage, "NEAR", near)
     rng = random.Random(3)
     for _ in range(300):
         letters = rng.choice([b"ab", b"a", b"abcdefgh", bytes(range(256))])
