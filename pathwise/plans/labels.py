@@ -66,7 +66,8 @@ def _answers(spark, sf, number: int) -> DataFrame:
 
 
 ANSWERS = """WITH x AS (SELECT persona_id, event_id, dimension, pass, CASE score WHEN 0 THEN 'no' WHEN -1 THEN 'yes' ELSE 'unclear' END AS answer FROM vote),
-y AS (SELECT a.persona_id, a.event_id, a.dimension, a.answer AS a, b.answer AS b, a.answer = b.answer AND a.answer IN ('yes', 'no') AS agreed FROM x a JOIN x b ON a.event_id = b.event_id AND a.dimension = b.dimension AND a.pass = 1 AND b.pass = 2)
+z AS MATERIALIZED (SELECT persona_id, event_id, dimension, max(answer) FILTER (WHERE pass = 1) AS a, max(answer) FILTER (WHERE pass = 2) AS b, max(answer) FILTER (WHERE pass = 3) AS c FROM x GROUP BY ALL),
+y AS (SELECT *, a = b AND a IN ('yes', 'no') AS agreed FROM z)
 """
 
 
@@ -76,12 +77,12 @@ def _(spark, sf):
     return vot.reconcile(_answers(spark, sf, 1), _answers(spark, sf, 2), keys, case=["persona_id", "dimension"]).select("event_id", "dimension", "agreed", "answer")
 
 
-@plans.add("v08_reconcile", ANSWERS + "SELECT event_id, dimension, agreed, CASE WHEN agreed THEN a END AS answer FROM y", views=True)
+@plans.add("v08_reconcile", ANSWERS + "SELECT event_id, dimension, agreed, CASE WHEN agreed THEN a END AS answer FROM y ORDER BY ALL", views=True)
 def _(spark, sf):
     return vot.reconcile(_answers(spark, sf, 1), _answers(spark, sf, 2), CELL).select(*CELL, "agreed", "answer")
 
 
-@plans.add("v09_adjudicate", ANSWERS + "SELECT y.event_id, y.dimension, CASE WHEN agreed THEN a ELSE c.answer END AS answer FROM y JOIN x c ON c.event_id = y.event_id AND c.dimension = y.dimension AND c.pass = 3", views=True)
+@plans.add("v09_adjudicate", ANSWERS + "SELECT event_id, dimension, CASE WHEN agreed THEN a ELSE c END AS answer FROM y ORDER BY ALL", views=True)
 def _(spark, sf):
     open_ = vot.reconcile(_answers(spark, sf, 1), _answers(spark, sf, 2), CELL)
     rulings = _answers(spark, sf, 3).join(open_.where("answer is null").select(*CELL), CELL, "left_semi")
@@ -121,7 +122,9 @@ def _(spark, sf):
     return adapter.table(spark, sf, "events").select("event_id", F.substring(d, 1, 12).alias("blind_id"), (F.conv(F.substring(d, 1, 1), 16, 10).cast("int") % 2 == 1).alias("swapped"))
 
 
-@plans.add("v15_fail_closed", "SELECT l.persona_id, l.t_index, l.dimension, CASE WHEN d.review_status = 'ok' THEN d.verdict ELSE 'abstain' END AS verdict FROM label l LEFT JOIN decision d ON d.persona_id = l.persona_id AND d.t_index = l.t_index AND d.dimension = l.dimension WHERE l.is_core", views=True)
+@plans.add("v15_fail_closed", """WITH u AS (SELECT persona_id, t_index, dimension, is_core, NULL AS verdict, NULL AS review_status FROM label WHERE is_core UNION ALL SELECT persona_id, t_index, dimension, NULL, verdict, review_status FROM decision),
+g AS MATERIALIZED (SELECT persona_id, t_index, dimension, bool_or(is_core) AS known, max(verdict) FILTER (WHERE review_status = 'ok') AS verdict FROM u GROUP BY ALL)
+SELECT persona_id, t_index, dimension, coalesce(verdict, 'abstain') AS verdict FROM g WHERE known ORDER BY ALL""", views=True)
 def _(spark, sf):
     keys = ["persona_id", "t_index", "dimension"]
     return vot.fail_closed(adapter.label(spark, sf).where("is_core").select(*keys), adapter.decision(spark, sf), keys)

@@ -163,7 +163,9 @@ def _(spark, sf):
     return df.withColumn("entropy", F.round(-(bits("p_neg") + bits("p_zero") + bits("p_pos")), 6))
 
 
-@plans.add("p24_comparison_rows", """SELECT v.persona_id, v.t_index, v.dimension, v.pass, v.score AS pass_score, l.score AS label_score FROM vote v JOIN label l ON l.persona_id = v.persona_id AND l.t_index = v.t_index AND l.dimension = v.dimension""", views=True)
+@plans.add("p24_comparison_rows", """WITH u AS (SELECT persona_id, t_index, dimension, pass, score FROM vote UNION ALL SELECT persona_id, t_index, dimension, 0, score FROM label),
+w AS MATERIALIZED (SELECT persona_id, t_index, dimension, pass, score AS pass_score, min(pass) OVER k AS first, first_value(score) OVER (k ORDER BY pass) AS label_score FROM u WINDOW k AS (PARTITION BY persona_id, t_index, dimension))
+SELECT persona_id, t_index, dimension, pass, pass_score, label_score FROM w WHERE pass > 0 AND first = 0 ORDER BY ALL""", views=True)
 def _(spark, sf):
     keys = ["persona_id", "t_index", "dimension"]
     return adapter.vote(spark, sf).select(*keys, "pass", F.col("score").alias("pass_score")).join(adapter.label(spark, sf).select(*keys, F.col("score").alias("label_score")), keys)

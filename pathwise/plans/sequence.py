@@ -274,9 +274,9 @@ def _(spark, sf):
     return seq.history_rows(adapter.evidence(spark, sf), ["p_minus1"], 2).select(*CORE, "t_index", "before_1_p_minus1", "before_2_p_minus1")
 
 
-@plans.add("w35_history_by_index", """SELECT a.persona_id, a.dimension, a.t_index, coalesce(b.p_minus1, 0) AS before_1_p_minus1, coalesce(c.p_minus1, 0) AS before_2_p_minus1 FROM evidence a
-  LEFT JOIN evidence b ON b.persona_id = a.persona_id AND b.dimension = a.dimension AND b.t_index = a.t_index - 1
-  LEFT JOIN evidence c ON c.persona_id = a.persona_id AND c.dimension = a.dimension AND c.t_index = a.t_index - 2""", views=True)
+@plans.add("w35_history_by_index", """WITH h AS MATERIALIZED (SELECT persona_id, dimension, t_index, t_index - lag(t_index, 1) OVER w AS g1, lag(p_minus1, 1) OVER w AS p1, t_index - lag(t_index, 2) OVER w AS g2, lag(p_minus1, 2) OVER w AS p2
+  FROM evidence WINDOW w AS (PARTITION BY persona_id, dimension ORDER BY t_index))
+SELECT persona_id, dimension, t_index, coalesce(CASE WHEN g1 = 1 THEN p1 END, 0) AS before_1_p_minus1, coalesce(CASE WHEN g1 = 2 THEN p1 WHEN g2 = 2 THEN p2 END, 0) AS before_2_p_minus1 FROM h ORDER BY ALL""", views=True)
 def _(spark, sf):
     return seq.history_rows(adapter.evidence(spark, sf), ["p_minus1"], 2, by_index=True).select(*CORE, "t_index", "before_1_p_minus1", "before_2_p_minus1")
 

@@ -111,12 +111,15 @@ def thresholds(spark, sf):
     return out.orderBy(F.desc("guarded"), F.desc_nulls_last("f1"), F.desc_nulls_last("recall"), F.asc("p"), F.desc("u")).limit(1)
 
 
-RUNS = "SELECT user_id AS run, event_id % 20 AS epoch, round(avg(value), 4) AS q, round(avg(event_id % 100), 4) AS r FROM events GROUP BY ALL"
+#: Means to four places by whole numbers (of amounts in hundredths): no order of summation shows in them.
+RUNS = "SELECT user_id AS run, event_id % 20 AS epoch, CAST((200 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 10000 AS q, CAST((20000 * sum(event_id % 100) + count(*)) // (2 * count(*)) AS DOUBLE) / 10000 AS r FROM events GROUP BY ALL"
 
 
 def _runs(spark, sf):
     e = F.col("event_id")
-    return table(spark, sf, "events").groupBy(F.col("user_id").alias("run"), (e % 20).alias("epoch")).agg(F.round(F.avg("value"), 4).alias("q"), F.round(F.avg(e % 100), 4).alias("r"))
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("run"), (e % 20).alias("epoch")).agg(
+        F.expr("cast((200 * sum(cast(round(value * 100) as bigint)) + count(*)) div (2 * count(*)) as double) / 10000").alias("q"),
+        F.expr("cast((20000 * sum(event_id % 100) + count(*)) div (2 * count(*)) as double) / 10000").alias("r"))
 
 
 @plans.add("q06_best_epoch", f"SELECT run, epoch FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY q DESC, epoch) AS i FROM ({RUNS})) WHERE i = 1")
