@@ -1,14 +1,21 @@
 """Main text of web pages by consensus of each host's pages.
 
-Pass one parses every page, scores its containers by the text of their blocks (less what stands in links) and votes
-for the containers' generalised paths, tag and class from the body down with digits dropped. Spark sums the votes by
-host and path and keeps each host's best path. Pass two parses the page again and takes the containers on its host's
-path; a page that has none keeps its own best container. What the container holds is cut into blocks, without menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+Pass one reads every page into containers (sections, lists, tables, and blocks with a class) and scores what stands
+directly in each by its characters outside links less those inside. Each page votes with these scores for the containers'
+generalised paths, tag and class from the body down with digits dropped, and says by a hash what it has there. Spark sums
+the votes by host and path. A path is no article's where most of a host's different pages, three at least, say the same
+there; the others win, the one with the most votes first. Pass two reads the page again and takes what stands on its
+host's winning paths, in page order and cut into blocks; containers of links only inside the first path's containers.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag and role,
+and by class and id unless what is named so has most of the text of a host's pages, three at least, or all of a page's.
+
+Reading is one pass over the page without recursion: its time and memory grow with the page's length, however deep its
+elements are nested and however its tags are broken.
 
 Defined cases: null or empty html, and pages without text, give an empty text; a null or unreadable url puts the page
-with the other such pages; markup that is cut off or badly nested is closed as browsers do; pages of any length are
-read whole; repeated rows vote as often as they occur; other columns are ignored.
+with the other such pages; a null page_id is as good as any; markup that is cut off or badly nested is closed as browsers
+do; pages of any length are read whole; copies of a page say the same once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +25,18 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import table
+from pathwise.llm.common import slices, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
+UNQUOTED = re.compile(r"[^>\"']*")
 SPACE = re.compile(r"\s+")
-SALTS = 16
+#: Different pages of a host that say the same on a path, from which on it may be no article's.
+SAME_PAGES = 3
 #: HTML's void elements, elements whose content is no text, and elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button canvas".split())
@@ -39,181 +49,218 @@ ASIDE_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|prom
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 
-class Node:
-    __slots__ = ("aside", "items", "label", "path", "tag")
-
-    def __init__(self, tag: str, label: str, path: str, aside: bool):
-        self.tag, self.label, self.path, self.aside, self.items = tag, label, path, aside, []
-
-
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with its first class, digits dropped, and whether tag or names say that the element stands beside the text."""
-    if not attributes:
-        return tag, tag in ASIDE_TAGS
-    names = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in NAMES.finditer(attributes)}
-    first = names.get("class", "").split()[:1]
-    label = tag + "." + re.sub(r"\d+", "", first[0]) if first else tag
-    beside = tag in ASIDE_TAGS or names.get("role", "").lower() in ASIDE_ROLES
-    if not beside and tag not in ("body", "html", "article", "main"):
-        beside = any(ASIDE_NAMES.search(x) for x in (names.get("class", ""), names.get("id", "")) if x)
-    return label, beside
-
-
-def parse(page: str) -> Node:
-    """The tree of a page: an element's items are its elements and its texts in order."""
-    root = Node("html", "html", "", False)
-    stack, at, size = [root], 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            stack[-1].items.append(page[at:])
-            break
-        if m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
-        at = m.end()
-        close, tag = m[1], m[2]
-        if close:
-            close = close.lower()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == close:
-                    del stack[k:]
-                    break
-                if stack[k].tag in LIMITS and close not in BLOCKS:
-                    break  # a stray inline end tag closes nothing outside its container
-        elif tag:
-            tag = tag.lower()
+CONTAINERS = frozenset("html body address article blockquote center details dir div dl fieldset figure main ol section table ul".split())
+
+
+class Page:
+    """A page as runs of text and breaks between blocks in order. `runs` holds (element, text), with None for a break;
+    of an element `path` (a hash), `container` (the element that its text counts for), `linked`, `beside` (by tag or role)
+    and `named` (the innermost element around it, if any, whose name stands beside articles) are known."""
+
+    def __init__(self, page: str, released: frozenset[int] = frozenset()):
+        self.runs: list[tuple[int, str | None]] = []
+        self.path, self.container, self.linked, self.beside, self.named = [_hash("html")], [0], [False], [False], [-1]
+        self.around = [0]
+        self.up_named: dict[int, int] = {}  # a named element's next one outward
+        self.named_path: dict[int, int] = {}
+        self._read(page)
+        self._settle(released)
+
+    def _read(self, page: str) -> None:
+        stack = [(0, "html")]
+        at_tag: dict[str, list[int]] = {}  # where in the stack an element of the tag is open
+        limits = [0]  # where in the stack elements are that close nothing outside themselves
+        none_after: dict[str, int] = {}  # from where on a quote or an end tag is known to be missing
+
+        def pop(k: int) -> None:
+            for place in range(len(stack) - 1, k - 1, -1):
+                tag = stack.pop()[1]
+                at_tag[tag].pop()
+                if limits[-1] == place:
+                    limits.pop()
+                if tag in BLOCKS:
+                    self.runs.append((stack[-1][0], None))
+
+        def close(tags: tuple[str, ...]) -> None:
+            k = max((at_tag[x][-1] for x in tags if at_tag.get(x)), default=0)
+            if k > limits[-1]:
+                pop(k)
+
+        def find(what: str, start: int) -> int:
+            if none_after.get(what, start + 1) <= start:
+                return -1
+            k = page.find(what, start)
+            if k < 0:
+                none_after[what] = start
+            return k
+
+        def tag_end(start: int) -> int:
+            """The place of the > that ends the tag, quoted ones aside; -1 if the page ends before."""
+            while True:
+                start = UNQUOTED.match(page, start).end()
+                if start == size:
+                    return -1
+                if page[start] == ">":
+                    return start
+                k = find(page[start], start + 1)
+                start = start + 1 if k < 0 else k + 1  # a quote that is never closed is a character
+
+        at, size = 0, len(page)
+        while at < size:
+            k = find("<", at)
+            if k < 0:
+                self.runs.append((stack[-1][0], page[at:]))
+                break
+            if k > at:
+                self.runs.append((stack[-1][0], page[at:k]))
+            at = k
+            following = page[k + 1 : k + 2]
+            if following in ("!", "?"):
+                mark = "-->" if page.startswith("<!--", k) else "]]>" if page.startswith("<![CDATA[", k) else ">"
+                end = find(mark, k + (4 if mark == "-->" else 1))
+                at = size if end < 0 else end + len(mark)
+                continue
+            ending = following == "/"
+            name = OPEN.match(page, k + 1 + ending)
+            if name is None:
+                at = k + 1
+                self.runs.append((stack[-1][0], "<"))
+                continue
+            tag = name[0].lower()
+            end = find(">", name.end()) if ending else tag_end(name.end())
+            if end < 0:
+                break
+            attributes, at = page[name.end() : end], end + 1
+            if ending:
+                open_at = at_tag.get(tag)
+                if open_at and (tag in BLOCKS or open_at[-1] >= limits[-1]):  # a stray inline end tag closes nothing outside its container
+                    pop(open_at[-1])
+                continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else (size if tag in ("script", "style") else at)
+                missing = "</" + tag
+                if none_after.get(missing, at + 1) > at:
+                    found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                    if found is None:
+                        none_after[missing] = at
+                else:
+                    found = None
+                at = found.end() if found else size if tag in ("script", "style") else at
                 continue
             if tag in ("html", "head"):
                 continue
             if tag == "br":
-                stack[-1].items.append(" ")
+                self.runs.append((stack[-1][0], " "))
                 continue
             if tag in BLOCKS:
-                _close(stack, ("p",))
+                close(("p",))
+                self.runs.append((stack[-1][0], None))
             if tag in ENDS:
-                _close(stack, ENDS[tag])
-            label, beside = _label(tag, m[3])
+                close(ENDS[tag])
             if tag in VOID:
                 continue
-            up = stack[-1]
-            node = Node(tag, label, f"{up.path}/{label}" if tag in BLOCKS else up.path, beside)
-            up.items.append(node)
-            if not m[3].endswith("/"):
-                stack.append(node)
-    return root
-
-
-def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
-    """Ends the innermost open element of `tags`, with what is open inside, unless a container lies between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in LIMITS:
-            return
-
-
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks in a container, in page order, white space squeezed."""
-    out: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        if run:
-            text = SPACE.sub(" ", html.unescape("".join(run))).strip()
-            if text:
-                out.append(text)
-            run.clear()
-
-    todo: list = [iter(node.items)]
-    ends: list[bool] = []
-    while todo:
-        item = next(todo[-1], None)
-        if item is None:
-            todo.pop()
-            if ends and ends.pop():
-                flush()
-        elif isinstance(item, str):
-            run.append(item)
-        elif not item.aside:
-            block = item.tag in BLOCKS
-            if block:
-                flush()
-            todo.append(iter(item.items))
-            ends.append(block)
-    flush()
-    return out
-
-
-def containers(root: Node) -> list[tuple[float, Node]]:
-    """Score of each container: the characters of the blocks that stand directly in it, less those in links, with a
-    tenth of its inner containers' scores. Best first, ties in page order."""
-    found: list[tuple[float, int, Node]] = []
-
-    def text(node: Node, linked: bool) -> int:
-        n = 0
-        for item in node.items:
-            if isinstance(item, str):
-                n += 0 if linked else len(item.strip())
-            elif not item.aside:
-                n += text(item, linked or item.tag == "a")
-        return n
-
-    def leaf(node: Node) -> bool:
-        return all(isinstance(x, str) or (x.tag not in BLOCKS and leaf(x)) for x in node.items)
-
-    order = [root]
-    for node in order:
-        order.extend(x for x in node.items if not isinstance(x, str) and not x.aside)
-    inner: dict[int, float] = {}
-    for k in range(len(order) - 1, -1, -1):
-        node = order[k]
-        if node.tag not in BLOCKS and node is not root:
-            continue
-        score = 0.0
-        for item in node.items:
-            if isinstance(item, str):
-                score += len(item.strip())
-            elif not item.aside:
-                if item.tag not in BLOCKS:
-                    score += text(item, item.tag == "a")
-                elif leaf(item):
-                    score += text(item, False)
-                else:
-                    score += 0.1 * inner.get(id(item), 0.0)
-        inner[id(node)] = score
-        if not (node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or (leaf(node) and node is not root)):
-            found.append((score, k, node))
-    return [(score, node) for score, k, node in sorted(found, key=lambda x: (-x[0], x[1]))]
-
-
-def votes(page: str | None, most: int = 3) -> list[tuple[str, float]]:
-    """A page's best container paths with their scores."""
-    out: dict[str, float] = {}
-    for score, node in containers(parse(page or ""))[:most]:
-        if score > 0:
-            out[node.path] = max(score, out.get(node.path, 0.0))
-    return list(out.items())
-
-
-def extract(page: str | None, path: str | None) -> str:
-    """Text of the containers on `path`, outermost only; where there are none, of the page's best container."""
-    root = parse(page or "")
-    on_path: list[Node] = []
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if path is not None and node.path == path and (node.tag in BLOCKS or node is root):
-            on_path.append(node)
-        else:
-            todo.extend(x for x in reversed(node.items) if not isinstance(x, str) and not x.aside)
-    if not on_path:
-        best = containers(root)
-        on_path = [best[0][1]] if best and best[0][0] > 0 else []
-    return "\n\n".join(x for node in on_path for x in blocks(node))
+            up = stack[-1][0]
+            label, classed, beside, named = _label(tag, attributes)
+            node = len(self.path)
+            block = tag in BLOCKS
+            self.around.append(up)
+            self.path.append(_hash(f"{self.path[up]:x}/{label}") if block else self.path[up])
+            self.container.append(node if block and (tag in CONTAINERS or classed) else self.container[up])
+            self.linked.append(self.linked[up] or tag == "a")
+            self.beside.append(self.beside[up] or beside)
+            self.named.append(node if named else self.named[up])
+            if named:
+                self.up_named[node] = self.named[up]
+                self.named_path[node] = _hash(f"{self.path[up]:x}/named/{label}")
+            if not attributes.endswith("/"):
+                at_tag.setdefault(tag, []).append(len(stack))
+                if tag in LIMITS:
+                    limits.append(len(stack))
+                stack.append((node, tag))
+
+    def _settle(self, released: frozenset[int]) -> None:
+        """Leaves out what stands beside the text: named elements, too, but for the released paths and pages without other text."""
+        self.inside = dict.fromkeys(self.up_named, 0)  # characters outside links
+        for node, text in self.runs:
+            if text is not None and self.named[node] >= 0 and not self.beside[node] and not self.linked[node]:
+                self.inside[self.named[node]] += len(text.strip())
+        for node in sorted(self.inside, reverse=True):
+            if self.up_named[node] >= 0:
+                self.inside[self.up_named[node]] += self.inside[node]
+        hidden = {-1: False}
+        for node in sorted(self.inside):
+            hidden[node] = hidden[self.up_named[node]] or self.named_path[node] not in released
+        runs = [(k, x) for k, x in self.runs if not self.beside[k]]
+        seen = [(k, x) for k, x in runs if not hidden[self.named[k]]]
+        self.runs = seen if any(x is not None and x.strip() for _, x in seen) else runs
+
+    def containers(self) -> dict[int, tuple[int, int, list[str]]]:
+        """Of each container with text the characters outside links, those inside, and its runs of text."""
+        out: dict[int, list] = {}
+        for node, text in self.runs:
+            if text is not None and (n := len(text.strip())):
+                own = out.setdefault(self.container[node], [0, 0, []])
+                own[self.linked[node]] += n
+                own[2].append(text)
+        return out
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Tag with its first class, digits dropped; whether it has one; whether tag or role, and whether class or id, say that
+    the element stands beside the text."""
+    if not attributes:
+        return tag, False, tag in ASIDE_TAGS, False
+    names = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in NAMES.finditer(attributes)}
+    first = names.get("class", "").split()[:1]
+    label = tag + "." + re.sub(r"\d+", "", first[0]) if first else tag
+    beside = tag in ASIDE_TAGS or names.get("role", "").lower() in ASIDE_ROLES
+    named = tag not in ("body", "article", "main") and any(ASIDE_NAMES.search(x) for x in (names.get("class", ""), names.get("id", "")) if x)
+    return label, bool(first), beside, named
+
+
+def votes(page: str | None) -> list[tuple[int, int, int, int, bool]]:
+    """A page's container paths with score, hash of what stands there, and hash of the whole page's text; and, marked as
+    such, the paths of its outermost named elements."""
+    read = Page(page or "")
+    by_path: dict[int, list] = {}
+    for node, (free, linked, texts) in read.containers().items():
+        own = by_path.setdefault(read.path[node], [0, []])
+        own[0] += max(0, free - linked)
+        own[1] += texts
+    said = {path: _hash(" ".join(" ".join(texts).split())) for path, (_, texts) in by_path.items()}
+    whole = _hash(",".join(map(str, said.values())))
+    named: dict[int, int] = {}
+    for node, n in read.inside.items():
+        if read.up_named[node] < 0 and n:
+            named[read.named_path[node]] = named.get(read.named_path[node], 0) + n
+    return [(path, score, said[path], whole, False) for path, (score, _) in by_path.items()] + [(path, n, whole, whole, True) for path, n in named.items()]
+
+
+def extract(page: str | None, first: int | None, rejected: list[int] | None, released: list[int] | None = None) -> str:
+    """Text of a page's containers on other paths than the rejected ones; those that are mostly links only within a
+    container on the first path. released: paths of named elements that are read nevertheless."""
+    read, out = Page(page or "", frozenset(released or ())), []
+    against = set(rejected or ())
+    within = [False] * len(read.path)
+    for node, up in enumerate(read.around):  # elements come after those around them
+        within[node] = read.path[node] == first or (node > 0 and within[up])
+    kept = set()
+    for node, (free, linked, _) in read.containers().items():
+        if read.path[node] not in against and (free >= linked or within[node]):
+            kept.add(node)
+    block: list[str] = []
+    for node, text in [*read.runs, (0, None)]:
+        if text is None:
+            joined = SPACE.sub(" ", html.unescape("".join(block))).strip()
+            if joined:
+                out.append(joined)
+            block.clear()
+        elif read.container[node] in kept:
+            block.append(text)
+    return "\n\n".join(out)
 
 
 def host_of(pages: DataFrame):
@@ -221,32 +268,39 @@ def host_of(pages: DataFrame):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host_key and path: each host's container path with the most votes, ties by path."""
+    """host_key, path (the one with the most votes, ties by path), rejected (paths where pages say the same) and released
+    (paths of named elements with most of the host's text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(h, p, round(s)) for h, x in zip(batch["host_key"].to_pylist(), batch["html"].to_pylist(), strict=True) for p, s in votes(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["host_key", "path", "votes"])
-
-    cast = pages.select(host_of(pages).alias("host_key"), "html").mapInArrow(run, "host_key string, path string, votes long")
-    summed = cast.groupBy("host_key", "path").agg(F.sum("votes").alias("votes"))
-    return summed.groupBy("host_key").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+        for batch in slices(batches, 128):
+            rows = [(h, *v) for h, x in zip(batch["host_key"].to_pylist(), batch["html"].to_pylist(), strict=True) for v in votes(x)]
+            kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["host_key", "path", "votes", "said", "page", "named"])
+
+    cast = pages.select(host_of(pages).alias("host_key"), "html").mapInArrow(run, "host_key string, path long, votes long, said long, page long, named boolean")
+    said = cast.groupBy("host_key", "named", "path", "said", "page").agg(F.sum("votes").alias("votes"))
+    said = said.groupBy("host_key", "named", "path", "said").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
+    paths = said.groupBy("host_key", "named", "path").agg(F.max("n").alias("most"), F.sum("n").alias("pages"), F.sum("votes").alias("votes"))
+    same = ~F.col("named") & (F.col("most") >= SAME_PAGES) & (2 * F.col("most") > F.col("pages"))
+    first = F.max_by("path", F.struct((~F.col("named")).alias("own"), (~same).alias("won"), "votes", "path"))
+    named = F.collect_list(F.when(F.col("named") & (F.col("pages") >= SAME_PAGES), F.struct("path", "votes")))
+    hosts = paths.groupBy("host_key").agg(first.alias("path"), F.sum("votes").alias("total"), F.collect_list(F.when(same, F.col("path"))).alias("rejected"), named.alias("named"))
+    released = F.transform(F.filter("named", lambda x: 2 * x["votes"] > F.col("total")), lambda x: x["path"])
+    return hosts.select("host_key", "path", F.array_remove("rejected", F.col("path")).alias("rejected"), released.alias("released"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and path (its host's) of every page."""
+    """page_id, url, text, n_chars and path (its host's first) of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [extract(x, p) for x, p in zip(batch["html"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+        for batch in slices(batches, 128):
+            texts = [extract(*x) for x in zip(*(batch[c].to_pylist() for c in ("html", "path", "rejected", "released")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch["path"]], ["page_id", "url", "text", "n_chars", "path"])
 
-    # A host's pages are dealt over SALTS keys, and its path is given to each.
-    winners = host_paths(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = pages.select("page_id", "url", "html", host_of(pages).alias("host_key"), salt.alias("salt")).join(winners, ["host_key", "salt"], "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path string")
+    # One small row a host: Spark broadcasts them where they fit its limit, and else splits the hosts with most pages.
+    joined = pages.select("page_id", "url", "html", host_of(pages).alias("host_key")).join(host_paths(pages), "host_key", "left")
+    return joined.select("page_id", "url", "html", "path", "rejected", "released").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

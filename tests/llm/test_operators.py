@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -224,6 +225,85 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _plain_text(page: str) -> list[str]:
+    """Blocks of well-formed pages by Python's own parser, without elements that are known by tag."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        out, run, skip = None, "", 0
+
+        def handle_starttag(self, tag, attrs):
+            self.flush(tag)
+            self.skip += tag in html_extract.ASIDE_TAGS or tag in html_extract.RAW
+
+        def handle_endtag(self, tag):
+            self.flush(tag)
+            self.skip -= tag in html_extract.ASIDE_TAGS or tag in html_extract.RAW
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.run += data
+
+        def flush(self, tag=None):
+            if tag is None or tag in html_extract.BLOCKS:
+                if self.run.split():
+                    self.out.append(" ".join(self.run.split()))
+                self.run = ""
+
+    reader = Reader()
+    reader.out = []
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    return reader.out
+
+
+def test_pages_against_another_parser():
+    rng = random.Random(12)
+    words = lambda: " ".join(rng.choice(["alpha", "beta &amp; more", "gamma", "d&eacute;j&agrave;", "x\n y"]) for _ in range(rng.randrange(1, 9)))
+
+    def element(depth: int) -> str:
+        tag = rng.choice("div section article ul p h2 blockquote table nav footer aside form script span b".split())
+        inner = "".join(rng.choice([words, lambda: element(depth - 1) if depth and tag not in ("p", "h2", "span", "b", "script") else words()])() for _ in range(rng.randrange(1, 4)))
+        inner = {"ul": f"<li>{inner}</li>", "table": f"<tr><td>{inner}</td></tr>"}.get(tag, inner)
+        return f"<{tag} class='c{rng.randrange(3)}'>{inner}</{tag}>"
+
+    for _ in range(300):
+        page = "<html><body>" + "".join(element(4) for _ in range(4)) + "</body></html>"
+        assert html_extract.extract(page, None, None).split("\n\n") == (_plain_text(page) or [""])
+
+
+def test_pages_of_any_shape_take_linear_time():
+    n = 30_000
+    for page in ("<p>" + "<b>" * n + "x", "<div>" * n + "x", "<a " * 300_000, "<a '" * n + "<b \"" * n, "<span>" * n + "<h1>x" * n, "<noscript>" * n + "x", "<li>" * n, "<div class=c>x" * n, "<ul><li>" * n + "x", "<!--" * n, "<b></div></i>" * n):
+        began = time.process_time()
+        text, seen = html_extract.extract(page, 1, [2]), html_extract.votes(page)
+        assert time.process_time() - began < 6, page[:20]
+        assert text.count("x") == page.count("x") and len(seen) <= n
+
+
+def test_pages_by_consensus(spark):
+    words = lambda k, n: " ".join(f"word{k}a{j}" for j in range(n))
+    lines, rows = {}, []
+    for k in range(8):  # the lead, unequal sections, a long list and a table belong to the article; what repeats does not
+        parts = [words(k, 4), words(k + 100, 30), words(k + 200, 80), *[words(k + 300 + j, 9) for j in range(5)], words(k + 400, 6)]
+        lines[k] = parts
+        listed = "".join(f"<li>{x}</li>" for x in parts[3:8])
+        body = f"<article><h1>{parts[0]}</h1><p>{parts[1]}</p><section class='s{k}'><p>{parts[2]}</p></section><section><ul>{listed}</ul></section><table><tr><td>{parts[8]}</td></tr></table></article>"
+        rows.append((k, f"http://a.example/{k}", f"<body><div class='box'>Always the same words here, on every page of the host.</div><div class='links'><a href=x>{words(k, 9)}</a></div>{body}<div class='box2'><p>And these.</p></div></body>", "x"))
+    for k in range(8, 12):  # another template of the same host
+        lines[k] = [words(k, 50)]
+        rows.append((k, f"http://A.example/{k}", f"<div class='story'><p>{words(k, 50)}</p></div><div class='sidebar'>{words(k + 500, 90)}</div>", "x"))
+    for k in range(12, 16):  # a host whose texts stand in an element named like a banner
+        lines[k] = [words(k + 600, 3), words(k, 50)]
+        rows.append((k, f"http://d.example/{k}", f"<h1>{words(k + 600, 3)}</h1><div class='banner-story'><p>{words(k, 50)}</p></div><div class='sidebar'>{words(k + 500, 9)}</div>", "x"))
+    rows += [rows[0], rows[0], rows[0], (None, "http://b.example/", "<p>alone</p>", "x"), (20, "http://c.example/", "<p>" + "long text " * 100_000, "x")]
+    out = rows_of(html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host_key string")))
+    texts = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == len(rows) and texts[None] == "alone" and texts[20] == ("long text " * 100_000).strip()
+    assert {k: texts[k].split("\n\n") for k in lines} == lines
+
+
 # 6 quality
 
 
