@@ -197,6 +197,25 @@ def test_raw_markdown(spark, nudge):
     assert (r.t_index, r.date, r.initial_entry, r.nudge_text, r.response_text, r.problem) == (0, "2025-02-01", "Some text of the entry.", "Why so?", "Because.", None)
 
 
+def test_raw_markdown_marks(spark):
+    at = folder()
+    head = "## Entry {} - 2025-02-0{}\n\n### Initial Entry\n**Tone:** calm | **Verbosity**: long\n\n{}\n\n"
+    nudge = '### Nudge\n**Trigger:** x\n\n"Why "so"?"\n\n'
+    parts = [
+        head.format(7, 1, "*(No nudge for this entry)*\n\nFirst.\n\nMore: of it.") + "---\n",
+        head.format(9, 2, "Second.") + nudge + "*(no response - she slept)*\n\n---\n",
+        head.format(9, 3, "Third.") + "[ No nudge generated: cap\nreached ]\n\n### Nudge\nnothing\n---\n",
+        *(head.format(9, 4, "Fourth.") + nudge + f"### Response (Answering directly)\n**Response Mode:** short\n{x}\n\n---\n" for x in ("[N/A - No nudge provided]", "`[No response recorded]`", "**[No Response]**", "*No response recorded*", "Said.\n\nTwice.")),
+        head.format(9, 5, "Fifth.") + "### Nudge\n**Category:** x\ntoo close\n\n### Response\nx\n",
+    ]
+    write(at, "p_12345678.md", "# Persona 12345678: Ann\n\n" + "\n".join(parts))
+    rows = sorted(readers.raw_entries(readers.whole_files(spark, at)).collect())
+    assert [r.t_index for r in rows] == list(range(9)) and rows[0].initial_entry == "First.\n\nMore: of it." and [r.initial_entry for r in rows[1:3]] == ["Second.", "Third.\n\n[ No nudge generated: cap\nreached ]"]
+    assert [r.nudge_text for r in rows] == [None, 'Why "so"?', None, *['Why "so"?'] * 5, None]
+    assert [r.response_text for r in rows] == [*[None] * 7, "Said.\n\nTwice.", None]
+    assert [bool(r.problem) for r in rows] == [*[False] * 8, True]
+
+
 def test_raw_markdown_problem(spark):
     at = folder()
     write(at, "p_12345678.md", RAW.format(nudge="nothing known"))
