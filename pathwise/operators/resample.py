@@ -41,8 +41,9 @@ def percentile_interval(replicates: DataFrame, by: tuple[str, ...] = (), level:
     return replicates.groupBy(*by).agg(F.percentile("value", F.lit(tail)).alias("low"), F.median("value").alias("mid"), F.percentile("value", F.lit(1 - tail)).alias("high"), F.count("value").alias("n_replicates"))
 
 
-def bca_bounds(values: list[float], estimate: float, jackknife: list[float], level: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval of a replicate list; plain percentiles where a correction is not defined."""
+def bca_bounds(values: list[float], estimate: float, squares: float, cubes: float, level: float = 0.95) -> tuple[float, float]:
+    """Bias-corrected and accelerated interval of a replicate list; plain percentiles where a correction is not defined.
+    squares and cubes: the sums of what the leave-one-out values lack of their mean, to the second and third power."""
     xs = sorted(v for v in values if v is not None and math.isfinite(v))
     if not xs:
         return math.nan, math.nan
@@ -54,11 +55,9 @@ def bca_bounds(values: list[float], estimate: float, jackknife: list[float], lev
 
     tail, normal = (1 - level) / 2, NormalDist()
     below = sum(v < estimate for v in xs) / len(xs)
-    centre = sum(jackknife) / len(jackknife) if jackknife else math.nan
-    spread = sum((centre - j) ** 2 for j in jackknife)
-    if not 0 < below < 1 or not spread > 0:
+    if not 0 < below < 1 or not squares > 0:
         return at(tail), at(1 - tail)
-    z0, a = normal.inv_cdf(below), sum((centre - j) ** 3 for j in jackknife) / (6 * spread**1.5)
+    z0, a = normal.inv_cdf(below), cubes / (6 * squares**1.5)
 
     def corrected(q: float) -> float:
         z = z0 + normal.inv_cdf(q)
@@ -68,14 +67,16 @@ def bca_bounds(values: list[float], estimate: float, jackknife: list[float], lev
 
 
 def bca_interval(clusters: DataFrame, cluster: str, top: str, bottom: str, replicates: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """One row: estimate and BCa bounds of a ratio. The driver sees the replicates and 1,000 grouped jackknife values, never the clusters."""
+    """One row: estimate and BCa bounds of a ratio. Each cluster is left out once: its value is the totals less its own sums,
+    and two aggregations give the mean and the powers. The driver sees the replicates, never the clusters."""
     spark = clusters.sparkSession
     total = clusters.agg(F.sum(top).alias("t"), F.sum(bottom).alias("b")).first()
     estimate = float(total["t"]) / float(total["b"]) if total["b"] else math.nan
-    groups = clusters.groupBy(F.pmod(F.xxhash64(cluster), F.lit(1000)).alias("g")).agg(F.sum(top).alias("t"), F.sum(bottom).alias("b")).collect()
-    jackknife = [(total["t"] - g["t"]) / (total["b"] - g["b"]) for g in groups if total["b"] - g["b"]]
+    left_out = clusters.select(F.try_divide(F.lit(total["t"]).cast("double") - F.col(top), F.lit(total["b"]).cast("double") - F.col(bottom)).alias("j"))
+    lacks = F.lit(left_out.agg(F.avg("j")).first()[0]) - F.col("j")
+    squares, cubes = (x or 0.0 for x in left_out.agg(F.sum(F.pow(lacks, 2)), F.sum(F.pow(lacks, 3))).first())
     values = [r["value"] for r in cluster_bootstrap(clusters, cluster, top, bottom, replicates, seed).collect()]
-    low, high = bca_bounds(values, estimate, jackknife, level)
+    low, high = bca_bounds(values, estimate, squares, cubes, level)
     return spark.createDataFrame([(estimate, low, high, replicates)], "estimate double, low double, high double, n_replicates int")
 
 

@@ -40,11 +40,12 @@ def _(spark, sf):
     return adapter.vote(spark, sf).groupBy(*CORE).agg(differ.alias("differ")).where("differ").drop("differ")
 
 
-@plans.add("x21_aggregate_parity", "SELECT dimension, count(*) AS n, true AS equal FROM label GROUP BY 1", views=True)
+@plans.add("x21_aggregate_parity", "WITH s AS (SELECT dimension, count(*) AS stored FROM vote WHERE pass = 1 AND (dim_index <> 3 OR score <> 0) GROUP BY 1) SELECT dimension, count(*) AS n, count(*) = (SELECT stored FROM s WHERE s.dimension = label.dimension) AS equal FROM label GROUP BY 1", views=True)
 def _(spark, sf):
-    rows = adapter.label(spark, sf)
-    stored = rows.groupBy("dimension", "persona_id").agg(F.count(F.lit(1)).alias("n")).groupBy("dimension").agg(F.sum("n").alias("stored"))
-    now = rows.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
+    """Counts of the labels against those that a pass's aggregate stores, which lacks one dimension's neutral votes."""
+    votes = adapter.vote(spark, sf).where("pass = 1 and (dim_index <> 3 or score <> 0)")
+    stored = votes.groupBy("dimension", "persona_id").agg(F.count(F.lit(1)).alias("n")).groupBy("dimension").agg(F.sum("n").alias("stored"))
+    now = adapter.label(spark, sf).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
     return now.join(stored, "dimension").select("dimension", "n", (F.col("n") == F.col("stored")).alias("equal"))
 
 

@@ -264,12 +264,12 @@ def _(spark, sf):
     return weeks.withColumn("n_history", F.sum("n_current").over(Window.partitionBy("persona_id").orderBy("week")))
 
 
-@plans.add("j15_pair_expansion", """SELECT p.pair_id, p.role, e.event_type FROM (SELECT event_id AS pair_id, persona_id, t_index, unnest(['first', 'second']) AS role, unnest([t_index, t_index + 1]) AS at FROM entry WHERE event_id % 4 = 0) p
+@plans.add("j15_pair_expansion", """SELECT p.pair_id, p.role, e.event_type FROM (SELECT event_id AS pair_id, persona_id, t_index, unnest(['first', 'second']) AS role, unnest([t_index, t_index + 1]) AS at FROM entry) p
   JOIN entry e ON e.persona_id = p.persona_id AND e.t_index = p.at""", views=True)
 def _(spark, sf):
     e = adapter.entry(spark, sf)
     member = lambda role, at: F.struct(F.lit(role).alias("role"), at.alias("t_index"))
-    pairs = e.where("event_id % 4 = 0").select(F.col("event_id").alias("pair_id"), "persona_id", F.inline(F.array(member("first", F.col("t_index")), member("second", F.col("t_index") + 1))))
+    pairs = e.select(F.col("event_id").alias("pair_id"), "persona_id", F.inline(F.array(member("first", F.col("t_index")), member("second", F.col("t_index") + 1))))
     return pairs.join(e.select("persona_id", "t_index", "event_type"), ["persona_id", "t_index"]).select("pair_id", "role", "event_type")
 
 
@@ -281,10 +281,9 @@ def _(spark, sf):
     return rel.pass_differences(vectors, "event_id", "pass", "v")
 
 
-@plans.add("j17_chained_left", "SELECT event_id, " + ", ".join(f"max(CASE WHEN pass = {p} THEN score END) AS pass_{p}" for p in range(1, 6)) + " FROM vote WHERE dim_index = 3 GROUP BY event_id", views=True)
+@plans.add("j17_chained_left", "SELECT event_id, dimension, " + ", ".join(f"max(CASE WHEN pass = {p} THEN score END) AS pass_{p}" for p in range(1, 6)) + " FROM vote GROUP BY event_id, dimension", views=True)
 def _(spark, sf):
-    votes = adapter.vote(spark, sf).where("dim_index = 3")
-    return votes.groupBy("event_id").agg(*(F.max(F.when(F.col("pass") == p, F.col("score"))).alias(f"pass_{p}") for p in range(1, 6)))  # five joins on one key are one aggregation
+    return adapter.vote(spark, sf).groupBy("event_id", "dimension").agg(*(F.max(F.when(F.col("pass") == p, F.col("score"))).alias(f"pass_{p}") for p in range(1, 6)))  # five joins on one key are one aggregation
 
 
 @plans.add("a01_group_count", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
@@ -484,15 +483,16 @@ def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").orderBy(rel.digest(F.lit("7"), "o_orderkey"), "o_orderkey").limit(50)
 
 
-@plans.add("q01_mixed_sort", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey LIMIT 100")
+@plans.add("q01_mixed_sort", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment DESC, c_acctbal, c_custkey")
 def _(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").orderBy(F.desc("c_mktsegment"), "c_acctbal", "c_custkey").limit(100)
+    return table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").orderBy(F.desc("c_mktsegment"), "c_acctbal", "c_custkey")
 
 
-@plans.add("q02_display_order", "SELECT doc_id, row_number() OVER (ORDER BY coalesce(nullif(doc_id % 7, 3), 999999), doc_id) AS place FROM documents ORDER BY place LIMIT 200")
+@plans.add("q02_display_order", "SELECT doc_id, row_number() OVER (ORDER BY coalesce(nullif(doc_id % 7, 3), 999999), doc_id) AS place FROM documents")
 def _(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.coalesce(F.nullif(F.col("doc_id") % 7, F.lit(3)), F.lit(999999)).alias("o")).orderBy("o", "doc_id").limit(200)
-    return df.select("doc_id", F.row_number().over(Window.orderBy("o", "doc_id")).alias("place"))  # 200 rows
+    order = F.struct(F.coalesce(F.nullif(F.col("doc_id") % 7, F.lit(3)), F.lit(999999)).alias("o"), "doc_id")
+    df = table(spark, sf, "documents").select("doc_id", order.alias("o"), F.lit(1).alias("one"))
+    return rel.running_sum(df, "o", "one").select("doc_id", F.col("upto").alias("place"))
 
 
 @plans.add("q03_top_k", "SELECT * FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 3")
@@ -528,9 +528,9 @@ def _(spark, sf):
     return rel.round_robin(adapter.entry(spark, sf), "persona_id", "t_index").select("persona_id", "t_index", "turn")
 
 
-@plans.add("q17_stable_shuffle", "SELECT c_custkey, sha256('seed|' || c_custkey) AS digest FROM customer ORDER BY digest LIMIT 100")
+@plans.add("q17_stable_shuffle", "SELECT c_custkey, sha256('seed|' || c_custkey) AS digest FROM customer ORDER BY digest")
 def _(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", rel.digest(F.lit("seed"), "c_custkey").alias("digest")).orderBy("digest").limit(100)
+    return table(spark, sf, "customer").select("c_custkey", rel.digest(F.lit("seed"), "c_custkey").alias("digest")).orderBy("digest")
 
 
 @plans.add("q19_ranking_scores", """WITH r AS (SELECT user_id, event_type = 'purchase' AS rel, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS i FROM events),
@@ -577,18 +577,21 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf, "supplier").select(F.col("s_nationkey")))
 
 
-@plans.add("u06_split_cover", "SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 10 < 8) AS n_train, count(*) FILTER (WHERE c_custkey % 10 >= 8) AS n_test, 0 AS n_overlap, 0 AS n_uncovered FROM customer")
+@plans.add("u06_split_cover", """WITH t AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 < 8), s AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 >= 7 AND c_custkey % 50 <> 9)
+SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM t) AS n_train, (SELECT count(*) FROM s) AS n_test, (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM s)) AS n_overlap, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT * FROM t EXCEPT SELECT * FROM s)) AS n_uncovered""")
 def _(spark, sf):
     ids = table(spark, sf, "customer").select("c_custkey")
-    train, test = ids.where("c_custkey % 10 < 8").withColumn("train", F.lit(1)), ids.where("c_custkey % 10 >= 8").withColumn("test", F.lit(1))
+    train, test = ids.where("c_custkey % 10 < 8").withColumn("train", F.lit(1)), ids.where("c_custkey % 10 >= 7 and c_custkey % 50 <> 9").withColumn("test", F.lit(1))
     both = ids.join(train, "c_custkey", "left").join(test, "c_custkey", "left")
     return both.agg(F.count(F.lit(1)).alias("n"), F.count("train").alias("n_train"), F.count("test").alias("n_test"), F.count_if(F.col("train").isNotNull() & F.col("test").isNotNull()).alias("n_overlap"), F.count_if(F.col("train").isNull() & F.col("test").isNull()).alias("n_uncovered"))
 
 
-@plans.add("u07_shard_cover", "SELECT c_custkey AS id, 1 AS n_shards FROM customer")
+@plans.add("u07_shard_cover", "WITH a AS (SELECT c_custkey AS id, c_custkey % 4 AS shard FROM customer WHERE c_custkey % 11 <> 0 UNION ALL SELECT c_custkey, (c_custkey + 1) % 4 FROM customer WHERE c_custkey % 9 = 0) SELECT c_custkey AS id, (SELECT count(DISTINCT shard) FROM a WHERE a.id = c_custkey) AS n_shards FROM customer")
 def _(spark, sf):
     ids = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    shards = ids.withColumn("shard", F.xxhash64("id") % 4)
+    k = F.col("id")
+    placed = F.filter(F.array(F.when(k % 11 != 0, k % 4), F.when(k % 9 == 0, (k + 1) % 4)), lambda x: x.isNotNull())
+    shards = ids.select("id", F.explode(placed).alias("shard"))
     return ids.join(shards.groupBy("id").agg(F.count_distinct("shard").alias("n_shards")), "id", "full_outer").select("id", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
 
 

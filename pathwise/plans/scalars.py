@@ -15,7 +15,7 @@ plans = Plans()
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").where("text is not null")
+    return table(spark, sf, "documents")
 
 
 @plans.add("f01_normalized_name", "SELECT p_partkey, translate(lower(trim(p_name)), '- ', '__') AS name FROM part")
@@ -33,35 +33,36 @@ def _(spark, sf):
 WORDS = "[w FOR w IN regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') IF w <> '']"
 
 
-@plans.add("f04_excerpt", f"SELECT doc_id, sha256(array_to_string(list_slice(w, 1, 40), ' ') || CASE WHEN len(w) > 40 THEN '...' ELSE '' END) AS digest FROM (SELECT doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL)")
+@plans.add("f04_excerpt", f"SELECT doc_id, sha256(array_to_string(list_slice(w, 1, 40), ' ') || CASE WHEN len(w) > 40 THEN '...' ELSE '' END) AS digest FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(fn.excerpt("text"), 256).alias("digest"))
 
 
-@plans.add("f05_char_excerpt", """SELECT doc_id, sha256(CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substring(t, 1, 60)) || '...' END) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)""")
+@plans.add("f05_char_excerpt", """SELECT doc_id, sha256(CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substring(t, 1, 60)) || '...' END) AS digest FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents)""")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(fn.char_excerpt("text", 60), 256).alias("digest"))
 
 
-TURNS = "SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS a, max(CASE WHEN turn = 1 THEN text END) AS b, max(CASE WHEN turn = 2 THEN text END) AS c FROM conversations WHERE turn <= 2 GROUP BY 1"
+#: Turns by threes: an entry, a nudge and a response.
+TURNS = "SELECT conv_id, turn // 3 AS part, max(CASE WHEN turn % 3 = 0 THEN text END) AS a, max(CASE WHEN turn % 3 = 1 THEN text END) AS b, max(CASE WHEN turn % 3 = 2 THEN text END) AS c FROM conversations GROUP BY 1, 2"
 
 
 def _turns(spark, sf):
-    part = lambda k, n: F.max(F.when(F.col("turn") == k, F.col("text"))).alias(n)
-    return table(spark, sf, "conversations").where("turn <= 2").groupBy("conv_id").agg(part(0, "a"), part(1, "b"), part(2, "c"))
+    part = lambda k, n: F.max(F.when(F.col("turn") % 3 == k, F.col("text"))).alias(n)
+    return table(spark, sf, "conversations").groupBy("conv_id", F.expr("turn div 3").alias("part")).agg(part(0, "a"), part(1, "b"), part(2, "c"))
 
 
-@plans.add("f06_entry_text", f"""SELECT conv_id, sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(a) <> '' THEN a END, CASE WHEN trim(b) <> '' THEN 'Nudge: "' || b || '"' END, CASE WHEN trim(c) <> '' THEN 'Response: ' || c END)) AS digest FROM ({TURNS})""")
+@plans.add("f06_entry_text", f"""SELECT conv_id, part, sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(a) <> '' THEN a END, CASE WHEN trim(b) <> '' THEN 'Nudge: "' || b || '"' END, CASE WHEN trim(c) <> '' THEN 'Response: ' || c END)) AS digest FROM ({TURNS})""")
 def _(spark, sf):
-    return _turns(spark, sf).select("conv_id", F.sha2(fn.entry_text("a", "b", "c"), 256).alias("digest"))
+    return _turns(spark, sf).select("conv_id", "part", F.sha2(fn.entry_text("a", "b", "c"), 256).alias("digest"))
 
 
-@plans.add("f07_session_text", f"""SELECT conv_id, sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(a) <> '' THEN trim(a) END, CASE WHEN trim(b) <> '' THEN '**Nudge:** "' || trim(b) || '"' END, CASE WHEN trim(c) <> '' THEN '**Response:** ' || trim(c) END)) AS digest FROM ({TURNS})""")
+@plans.add("f07_session_text", f"""SELECT conv_id, part, sha256(concat_ws(chr(10) || chr(10), CASE WHEN trim(a) <> '' THEN trim(a) END, CASE WHEN trim(b) <> '' THEN '**Nudge:** "' || trim(b) || '"' END, CASE WHEN trim(c) <> '' THEN '**Response:** ' || trim(c) END)) AS digest FROM ({TURNS})""")
 def _(spark, sf):
-    return _turns(spark, sf).select("conv_id", F.sha2(fn.session_text("a", "b", "c"), 256).alias("digest"))
+    return _turns(spark, sf).select("conv_id", "part", F.sha2(fn.session_text("a", "b", "c"), 256).alias("digest"))
 
 
-@plans.add("f08_word_count", f"SELECT doc_id, len({WORDS}) AS n_words FROM documents WHERE text IS NOT NULL")
+@plans.add("f08_word_count", f"SELECT doc_id, len({WORDS}) AS n_words FROM documents")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", fn.word_count("text").alias("n_words"))
 
@@ -86,22 +87,23 @@ def _(spark, sf):
     return words.select("item_id", "w", F.array_position("l", F.col("w")).alias("first_place"))
 
 
-@plans.add("f12_occurrences")
+@plans.add("f12_occurrences", r"""WITH p AS (SELECT item_id, string_split_regex(lower(text), '\bthe\b') AS l FROM benchmark)
+SELECT item_id, unnest([CAST(list_sum([length(x) FOR x IN list_slice(l, 1, k)]) AS INTEGER) + 3 * (k - 1) FOR k IN range(1, len(l))]) AS start FROM p""")
 def occurrences(spark, sf):
     """Start (in characters) of every token 'the': lengths of the pieces between them add up."""
     pieces = F.split(F.lower("text"), r"\bthe\b")
-    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + 3 * (k - 1))
-    return table(spark, sf, "benchmark").where(F.lower("text").rlike(r"\bthe\b")).withColumn("text", F.lower("text")).select("item_id", F.explode(starts).alias("start"))
+    starts = F.transform(F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda k: k < F.size(pieces)), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + 3 * (k - 1))
+    return table(spark, sf, "benchmark").select("item_id", F.explode(starts).alias("start"))
 
 
-@plans.add("f13_without_word")
+@plans.add("f13_without_word", r"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ([.,;:!?])', '\1', 'g')) AS text FROM benchmark")
 def without(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", fn.without_phrase("text", "the").alias("text"))
 
 
-@plans.add("f14_banned", "SELECT doc_id, regexp_matches(text, '(?i)\\b(the|und)\\b') AS hit FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~\\n\\t]*')")
+@plans.add("f14_banned", r"SELECT doc_id, regexp_matches(text, '(?i)(?:^|[^\pL\pN_])(?:the|und)(?:$|[^\pL\pN_])') AS hit FROM documents")
 def _(spark, sf):
-    return _docs(spark, sf).where(F.col("text").rlike(r"^[ -~\n\t]*$")).select("doc_id", fn.banned("text", ["the", "und"]).alias("hit"))
+    return _docs(spark, sf).select("doc_id", fn.banned("text", ["the", "und"]).alias("hit"))
 
 
 @plans.add("f15_leaked_labels", "SELECT p_partkey, concat_ws(',', CASE WHEN regexp_matches(lower(p_name), '\\bring\\b') THEN 'ring' END, CASE WHEN regexp_matches(lower(p_name), '\\bsmall\\b') THEN 'small' END) AS leaked FROM part")
@@ -117,12 +119,12 @@ def _(spark, sf):
 
 @plans.add("f17_narrative_checks")
 def narrative(spark, sf):
-    df = _turns(spark, sf).where("b is not null").select("conv_id", F.concat(F.lit('You said "'), F.substring("a", 1, 12), F.lit('". '), F.col("b")).alias("text"), F.array("a").alias("evidence"), (F.col("conv_id") % 2 == 0).alias("ended"))
+    df = _turns(spark, sf).where("b is not null").select("conv_id", "part", F.concat(F.lit('You said "'), F.substring("a", 1, 12), F.lit('". '), F.col("b")).alias("text"), F.array("a").alias("evidence"), (F.col("conv_id") % 2 == 0).alias("ended"))
     checks = fn.narrative_checks("text", "evidence", [d.replace("_", " ") for d in DIMS], ("score", "alignment", "mean="), r"\b(better|improv\w*|progress\w*|recover\w*|success\w*)\b", r"\b(did not continue|didn't continue|pattern (has )?(ended|stopped))\b", "ended")
-    return df.select("conv_id", *(c.alias(k) for k, c in checks.items()))
+    return df.select("conv_id", "part", *(c.alias(k) for k, c in checks.items()))
 
 
-@plans.add("f18_contexts", "SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'und') AS hit FROM documents WHERE text IS NOT NULL")
+@plans.add("f18_contexts", "SELECT doc_id, contains(lower(text), 'the') OR contains(lower(text), 'und') AS hit FROM documents")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", fn.contains_any("text", ["the", "und"]).alias("hit"))
 
@@ -142,12 +144,12 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", fn.placeholder(wrapped, r"(?i)(small|large) \w+").alias("hit"))
 
 
-@plans.add("f21_valid_quote", """SELECT conv_id, contains(a, q) AND (conv_id % 2 = 1 OR (trim(q) <> '' AND conv_id % 3 <> 0)) AS valid FROM (SELECT conv_id, a, CASE WHEN conv_id % 4 = 0 THEN 'not there at all' ELSE substring(a, 2, 9) END AS q FROM (SELECT conv_id, max(text) AS a FROM conversations WHERE turn = 0 AND text IS NOT NULL GROUP BY 1))""")
+@plans.add("f21_valid_quote", """SELECT conv_id, turn, contains(a, q) AND (conv_id % 2 = 1 OR (trim(q) <> '' AND conv_id % 3 <> 0)) AS valid FROM (SELECT conv_id, turn, text AS a, CASE WHEN conv_id % 4 = 0 THEN 'not there at all' ELSE substring(text, 2, 9) END AS q FROM conversations WHERE text IS NOT NULL)""")
 def _(spark, sf):
     c = F.col("conv_id")
-    df = table(spark, sf, "conversations").where("turn = 0 and text is not null").groupBy("conv_id").agg(F.max("text").alias("a"))
+    df = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", F.col("text").alias("a"))
     quote = F.when(c % 4 == 0, "not there at all").otherwise(F.substring("a", 2, 9))
-    return df.select("conv_id", fn.valid_quote("a", F.when(c % 2 == 0, "conflict").otherwise("abstain"), quote, F.lit("why"), F.when(c % 3 == 0, "low").otherwise("high")).alias("valid"))
+    return df.select("conv_id", "turn", fn.valid_quote("a", F.when(c % 2 == 0, "conflict").otherwise("abstain"), quote, F.lit("why"), F.when(c % 3 == 0, "low").otherwise("high")).alias("valid"))
 
 
 @plans.add("f22_canonical_hash", """SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS digest FROM orders""")
@@ -161,7 +163,7 @@ def _(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(row))), 256).alias("digest"))
 
 
-@plans.add("f24_approx_tokens", "SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL")
+@plans.add("f24_approx_tokens", "SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4)) AS BIGINT) AS n_tokens FROM documents")
 def _(spark, sf):
     return _docs(spark, sf).select("doc_id", fn.approx_tokens("text").alias("n_tokens"))
 
@@ -189,10 +191,12 @@ def _(spark, sf):
     return cores.select("persona_id", F.posexplode(fn.profile_weights("v")).alias("dim_index", "weight"))
 
 
-@plans.add("f30_detector_weights", "SELECT c_custkey, CAST(0 AS DOUBLE) AS total FROM customer")
+@plans.add("f30_detector_weights", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS total, CAST(CASE WHEN c_custkey % 3 <> 0 THEN 0 WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 1 END AS DOUBLE) AS most FROM customer")
 def _(spark, sf):
-    w = fn.profile_weights(F.array("c_mktsegment"), uniform=False)
-    return table(spark, sf, "customer").select("c_custkey", F.aggregate(w, F.lit(0.0), lambda a, x: a + x).alias("total"))
+    k = F.col("c_custkey")
+    declared = F.when(k % 6 == 0, F.array("c_mktsegment", F.lit("Security"), F.lit("Power"))).when(k % 3 == 0, F.array("c_mktsegment", F.lit("Security"))).otherwise(F.array("c_mktsegment"))
+    w = fn.profile_weights(declared, uniform=False)
+    return table(spark, sf, "customer").select("c_custkey", F.aggregate(w, F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max(w).alias("most"))
 
 
 @plans.add("f31_expected_alignment", "SELECT event_id, round(least(1.0, greatest(0.0, (value / 100 - 0.15) / 0.85)), 6) AS expected FROM events")

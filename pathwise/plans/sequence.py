@@ -509,7 +509,7 @@ def _(spark, sf):
 
 @plans.add("x30_merge_overlaps")
 def merged(spark, sf):
-    spans = adapter.entry(spark, sf).select(F.col("persona_id").alias("case_id"), F.col("event_id").alias("alert"), F.col("t_index").alias("onset"), (F.col("t_index") + F.col("k") % 3).alias("end")).where("alert % 3 = 0")
+    spans = adapter.entry(spark, sf).select(F.col("persona_id").alias("case_id"), F.col("event_id").alias("alert"), F.col("t_index").alias("onset"), (F.col("t_index") + F.col("k") % 3).alias("end"))
     return epi.merge_overlaps(spans)
 
 

@@ -155,8 +155,8 @@ def bca(spark, sf):
 
 @plans.add("b03_permutation_test")
 def permutation(spark, sf):
-    c = adapter.label(spark, sf).where("dim_index < 2").groupBy("persona_id").agg(
-        F.coalesce(F.avg(F.when(F.col("dim_index") == 0, F.col("score"))), F.lit(0.0)).alias("x"), F.coalesce(F.avg(F.when(F.col("dim_index") == 1, F.col("score"))), F.lit(0.0)).alias("y"), F.floor(F.count(F.lit(1)) / 100).alias("stratum"))
+    c = adapter.label(spark, sf).groupBy("persona_id").agg(
+        F.coalesce(F.avg(F.when(F.col("dim_index") % 2 == 0, F.col("score"))), F.lit(0.0)).alias("x"), F.coalesce(F.avg(F.when(F.col("dim_index") % 2 == 1, F.col("score"))), F.lit(0.0)).alias("y"), F.floor(F.count(F.lit(1)) / 100).alias("stratum"))
     return res.permutation_test(c, "persona_id", "stratum", "x", "y", 100)
 
 
