@@ -223,11 +223,13 @@ def repeats(segments: DataFrame, length: int = LENGTH, level: int = 0) -> DataFr
     """id, hash, lo and n: runs of starts whose `length` bytes also start elsewhere, for segments (id, hash, body)."""
     grams = 64, length - 32, length  # of the anchors at each level; at the last one the whole string
     every = written(_occurrences(segments, grams[level], length), "contexts")
-    again = written(every.join(every.groupBy("a").agg(F.count("*").alias("total")).filter("total > 1").select("a"), "a"), "contexts-again")
-    discard(every)
+    # A table of its own, so that Spark can split the join where an anchor has very many contexts.
+    often = written(every.groupBy("a").agg(F.count("*").alias("total")).filter("total > 1").select("a"), "anchors")
+    again = written(every.join(often, "a"), "contexts-again")
+    discard(every, often)
     place = F.struct("id", "hash", "lo")
     counted = written(again.groupBy("a", "c").agg(F.count("*").alias("k"), F.min("n").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "contexts-counted")
-    several = counted.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1")
+    several = written(counted.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1"), "anchors-several")
     own = F.array(F.struct(F.lit(0).cast("long").alias("off"), "n", "a", "c"))
     hot = (F.col("d") > HOT) & F.lit(level < len(grams) - 1)
     # Contexts that recur whole stand among their anchor's others, but are decided in their chains.
@@ -241,7 +243,7 @@ def repeats(segments: DataFrame, length: int = LENGTH, level: int = 0) -> DataFr
             inner = repeats(hot, length, level + 1).join(hot.filter("k = 1").select("id", "hash", "a"), ["id", "hash"])
             found = found.union(inner.select("a", F.col("hash").alias("c"), F.col("lo").alias("at"), "n"))
     verdicts = written(found, "repeated").withColumnsRenamed({"n": "many"})
-    discard(counted, bodies)
+    discard(counted, several, bodies)
     return again.join(verdicts, ["a", "c"]).select("id", "hash", (F.col("lo") + F.col("at")).alias("lo"), F.col("many").alias("n"))
 
 
