@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import islice
+from operator import eq
+
 import numpy as np
 
-NEAR = 256
+NEAR = 80
 
 
 class Strings:
@@ -20,18 +23,24 @@ class Strings:
         self.close = np.repeat(self.marks, self.lengths + 1)  # where the string of each position is closed
 
 
-def _compared(raw: bytes, begins: list[int], ends: list[int]) -> list[int]:
+def _compared(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> list[int]:
     """The order of the suffixes from begins to ends, equal ones by position. Only those that share their first `NEAR`
     bytes are laid out whole, those of one beginning at a time."""
-    text = [raw[a : min(b, a + NEAR)] for a, b in zip(begins, ends, strict=True)]
+    text = list(map(raw.__getitem__, map(slice, begins.tolist(), np.minimum(ends, begins + NEAR).tolist())))
     order = sorted(range(len(text)), key=text.__getitem__)
-    k = 0
-    for j in range(1, len(order) + 1):
-        if j < len(order) and text[order[j]] == text[order[k]]:
+    inorder = list(map(text.__getitem__, order))
+    same = np.fromiter(map(eq, inorder, islice(inorder, 1, None)), bool, max(0, len(order) - 1))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    lo, hi = begins.tolist(), ends.tolist()
+    for k, j in edges.reshape(-1, 2).tolist():
+        if len(inorder[k]) < NEAR:
             continue
-        if j - k > 1 and len(text[order[k]]) == NEAR:
-            order[k:j] = sorted(order[k:j], key=lambda x: raw[begins[x] : ends[x]])
-        k = j
+        if j == k + 1:
+            a, b = order[k], order[j]
+            if raw[lo[a] : hi[a]] > raw[lo[b] : hi[b]]:
+                order[k], order[j] = b, a
+        else:
+            order[k : j + 1] = sorted(order[k : j + 1], key=lambda x: raw[lo[x] : hi[x]])
     return order
 
 
@@ -65,7 +74,7 @@ def suffix_array(strings: Strings) -> np.ndarray:
     for byte in range(1, 257):
         if counts[byte]:
             some = by_first[at[byte] : at[byte] + counts[byte]]
-            order = _compared(raw, some.tolist(), close[some].tolist())
+            order = _compared(raw, some, close[some])
             out[heads[byte] + sizes[byte] - counts[byte] : heads[byte] + sizes[byte]] = some[order]
     del by_first
 
