@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pathwise import adapter
 from pathwise.adapter import table
 from pathwise.plans.base import Plans
+from pathwise.plans.sequence import CORE, MACHINE, _recursive
 from pathwise.sources import readers
-from pathwise.streaming import sessions
+from pathwise.streaming import reviews, sessions
 
 plans = Plans()
 
@@ -58,3 +59,93 @@ def _(spark, sf):
 @plans.add("x49_snapshot", "SELECT DISTINCT user_id FROM events ORDER BY user_id")
 def _(spark, sf):
     return table(spark, sf, "events").select("user_id").distinct().orderBy("user_id")
+
+
+# Reviews of the sessions: nudges, statuses and reviews are made of the entries and decisions by whole-number rules.
+
+NUDGES = """nudge AS (SELECT persona_id, event_id, CASE event_id % 6 WHEN 0 THEN 'skipped' WHEN 1 THEN 'answered' ELSE CASE WHEN event_id % 60 = 2 THEN 'displayed' ELSE 'expired' END END AS outcome FROM entry WHERE event_id % 6 < 3),
+status AS (SELECT persona_id, event_id, 1 AS seq, CASE event_id % 4 WHEN 0 THEN 'error' ELSE 'complete' END AS status FROM entry WHERE event_id % 50 <> 0 UNION ALL SELECT persona_id, event_id, 2, 'invalid' FROM entry WHERE event_id % 8 = 0)"""
+
+
+def _nudges(spark, sf):
+    e = adapter.entry(spark, sf)
+    k = F.col("event_id")
+    outcome = F.when(k % 6 == 0, "skipped").when(k % 6 == 1, "answered").when(k % 60 == 2, "displayed").otherwise("expired")
+    statuses = F.inline(F.array_compact(F.array(
+        F.when(k % 50 != 0, F.struct(F.lit(1).alias("seq"), F.when(k % 4 == 0, "error").otherwise("complete").alias("status"))),
+        F.when(k % 8 == 0, F.struct(F.lit(2).alias("seq"), F.lit("invalid").alias("status"))))))
+    return e, e.where("event_id % 6 < 3").select("persona_id", "event_id", outcome.alias("outcome")), e.select("persona_id", "event_id", statuses)
+
+
+FINAL = f"""WITH {NUDGES}, last AS (SELECT persona_id, event_id, arg_max(status, seq) AS status FROM status GROUP BY 1, 2),
+fin AS (SELECT e.persona_id, CAST(date_trunc('week', e.d) AS DATE) AS week, count(*) AS n_entries, bool_and((n.outcome IS NOT NULL OR coalesce(l.status IN ('complete', 'refused', 'invalid'), false)) AND coalesce(n.outcome, '') <> 'displayed') AS finalized
+  FROM entry e LEFT JOIN nudge n ON n.event_id = e.event_id LEFT JOIN last l ON l.event_id = e.event_id GROUP BY 1, 2)"""
+
+
+@plans.add("t05_finalized_weeks", FINAL + " SELECT * FROM fin", views=True)
+def _(spark, sf):
+    return reviews.finalized_weeks(*_nudges(spark, sf))
+
+
+@plans.add("t04_due_weeks", FINAL + ", r AS (SELECT DISTINCT persona_id, CAST(date_trunc('week', d) AS DATE) AS week FROM entry WHERE event_id % 3 = 0 AND persona_id % 2 = 0) SELECT f.persona_id, f.week, row_number() OVER (PARTITION BY f.persona_id ORDER BY f.week) AS place FROM fin f LEFT JOIN r ON r.persona_id = f.persona_id AND r.week = f.week WHERE finalized AND f.week + 6 < DATE '2024-01-25' AND r.week IS NULL", views=True)
+def _(spark, sf):
+    e, n, s = _nudges(spark, sf)
+    reviewed = e.where("event_id % 3 = 0 and persona_id % 2 = 0").select("persona_id", F.date_trunc("week", "d").cast("date").alias("week"))
+    return reviews.due_weeks(reviews.finalized_weeks(e, n, s), reviewed, F.lit("2024-01-25").cast("date")).select("persona_id", "week", "place")
+
+
+@plans.add("t06_state_suppression", f"WITH {NUDGES}, s AS (SELECT e.persona_id, e.event_id, e.t_index, coalesce(n.outcome IN ('displayed', 'skipped', 'answered'), false) AS shown FROM entry e LEFT JOIN nudge n ON n.event_id = e.event_id) SELECT persona_id, event_id, coalesce(sum(CAST(shown AS INTEGER)) OVER (PARTITION BY persona_id ORDER BY t_index ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) >= 2, false) AS suppress FROM s", views=True)
+def _(spark, sf):
+    e, n, _s = _nudges(spark, sf)
+    return reviews.suppressed(e, n).select("persona_id", "event_id", "suppress")
+
+
+REVIEWS = """weekly AS (SELECT *, CAST(date_trunc('week', d) AS DATE) AS week FROM decision),
+review AS (SELECT *, 1 AS review FROM weekly UNION ALL SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN 'not_conflict' ELSE verdict END AS verdict), 2 FROM weekly WHERE persona_id % 3 = 0 AND day(week) % 2 = 0)"""
+
+
+def _reviews(spark, sf):
+    rows = adapter.decision(spark, sf).withColumn("week", F.date_trunc("week", "d").cast("date"))
+    again = rows.where((F.col("persona_id") % 3 == 0) & (F.dayofmonth("week") % 2 == 0)).withColumn("verdict", F.when(F.col("event_id") % 2 == 0, "not_conflict").otherwise(F.col("verdict")))
+    return rows.withColumn("review", F.lit(1)).unionByName(again.withColumn("review", F.lit(2)))
+
+
+def _standing(where: str = "true") -> str:
+    """The state machine over the reviews that stand."""
+    latest = f"{REVIEWS}, latest AS (SELECT * FROM (SELECT *, max(review) OVER (PARTITION BY persona_id, week) AS top FROM review) WHERE review = top AND {where})"
+    return "WITH RECURSIVE " + latest + ", " + MACHINE.strip().removeprefix("WITH RECURSIVE").strip().replace("FROM decision", "FROM latest")
+
+
+@plans.add("t07_weekly_review", _recursive(_standing() + """, w AS (SELECT m.persona_id, m.dimension, l.week, arg_max(m.state, m.t_index) AS state, CAST(arg_max(m.run, m.t_index) AS BIGINT) AS run_length, count(*) AS n_current FROM m JOIN latest l ON l.persona_id = m.persona_id AND l.dimension = m.dimension AND l.t_index = m.t_index GROUP BY ALL)
+SELECT *, CAST(sum(n_current) OVER (PARTITION BY persona_id, dimension ORDER BY week) AS BIGINT) AS n_history FROM w"""))
+def _(spark, sf):
+    return reviews.weekly_review(_reviews(spark, sf))
+
+
+CORRECTED = "SELECT persona_id, min(CAST(date_trunc('week', d) AS DATE)) AS affected FROM entry WHERE event_id % 40 = 7 GROUP BY 1"
+
+
+@plans.add("t08_retracted_states", _recursive(_standing(f"week < coalesce((SELECT affected FROM ({CORRECTED}) c WHERE c.persona_id = top_.persona_id), DATE '9999-01-01')").replace("FROM review) WHERE", "FROM review) top_ WHERE") + " SELECT persona_id, dimension, arg_max(state, t_index) AS state, max(t_index) AS t_index FROM m GROUP BY 1, 2"))
+def _(spark, sf):
+    from pathwise.operators import episodes
+
+    e = adapter.entry(spark, sf)
+    kept, _again = reviews.retract(_reviews(spark, sf), e, e.where("event_id % 40 = 7"))
+    return episodes.current_states(reviews.standing(kept)).select(*CORE, "state", "t_index")
+
+
+@plans.add("t08_weeks_again", f"WITH {REVIEWS}, c AS ({CORRECTED}) SELECT r.persona_id, r.week, row_number() OVER (PARTITION BY r.persona_id ORDER BY r.week) AS place FROM (SELECT DISTINCT persona_id, week FROM review) r JOIN c ON c.persona_id = r.persona_id WHERE r.week >= c.affected AND EXISTS (SELECT 1 FROM entry e WHERE e.persona_id = r.persona_id AND e.event_id % 40 <> 7 AND CAST(date_trunc('week', e.d) AS DATE) = r.week)", views=True)
+def _(spark, sf):
+    e = adapter.entry(spark, sf)
+    return reviews.retract(_reviews(spark, sf), e.where("event_id % 40 <> 7"), e.where("event_id % 40 = 7"))[1]  # deleted entries
+
+
+@plans.add("t09_next_clock", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(ts AS DATE) + 1 WHEN 1 THEN CAST(date_trunc('week', ts) AS DATE) + 7 END AS clock FROM events")
+def _(spark, sf):
+    step = F.when(F.col("event_id") % 3 == 0, "next_day").when(F.col("event_id") % 3 == 1, "close_week").otherwise("stay")
+    return table(spark, sf, "events").select("event_id", reviews.next_clock(F.col("ts").cast("date"), step).alias("clock"))
+
+
+@plans.add("t12_rule_steps", _recursive(MACHINE + "SELECT persona_id, dimension, t_index, verdict, CAST(run AS BIGINT) AS run_length, state, gap AS gap_before, effect FROM m"))
+def _(spark, sf):
+    return reviews.rule_steps(adapter.decision(spark, sf))
