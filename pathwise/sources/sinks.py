@@ -57,7 +57,8 @@ def write_new(df: DataFrame, path: str, keys: list[str]) -> None:
 def swap_in(df: DataFrame, path: str) -> None:
     """Replaces a Parquet folder by `df`, which may read it: written beside it, then renamed into place.
 
-    Readers find the old or the new folder; a failure before the renames leaves the old one. One writer at a time.
+    A failure before the renames leaves the old folder; between the two renames there is a moment without one, and a failure
+    there leaves the old rows beside it under '.old-'. One writer at a time.
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex
     fresh, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"

@@ -1,7 +1,9 @@
 """Journal sessions as streams: ordered, idempotent ingestion per session, week closes, corrections, and plain windows.
 
-A stream row is an event: session_id, kind (entry, advance, edit, delete), key (idempotency), revision, entry_id, t_index,
-date, body. `ingest` is stateful per session and stricter than a watermark: what is out of order is answered, not dropped.
+A stream row is an event: session_id, kind (entry, advance, edit, remove, delete), key (idempotency), revision, entry_id,
+t_index, date, body, seq_in (order of arrival). An edit or removal counts for the week in which its entry stands; delete
+ends the session. `ingest` is stateful per session and stricter than a watermark: what is out of order is answered, not
+dropped. What a closed week's review decides, and what a correction takes back, is in `reviews`.
 """
 
 from __future__ import annotations
@@ -16,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EVENT = "session_id string, kind string, key string, revision long, entry_id string, t_index long, date string, body string"
+EVENT = "session_id string, kind string, key string, revision long, entry_id string, t_index long, date string, body string, seq_in long"
 ANSWER = "session_id string, key string, outcome string, reason string, revision long, seq long, week_start string"
 STATE = "json string"
 
 
 def fresh() -> dict:
-    return {"revision": 0, "seq": 0, "clock": None, "last_t": None, "last_date": None, "ids": {}, "open": {}, "closed": [], "answers": {}}
+    return {"revision": 0, "seq": 0, "clock": None, "last_t": None, "last_date": None, "ids": {}, "taken": {}, "open": {}, "closed": [], "answers": {}}
 
 
 def _monday(day: str) -> str:
@@ -30,19 +32,26 @@ def _monday(day: str) -> str:
     return (d - dt.timedelta(days=d.weekday())).isoformat()
 
 
+def _is_day(day: str | None) -> bool:
+    try:
+        return bool(day) and dt.date.fromisoformat(day) is not None
+    except ValueError:
+        return False
+
+
 def _refusal(state: dict, event: dict) -> str | None:
     """Why an entry is out of order, or None."""
     if event["revision"] != state["revision"]:
         return "stale revision"
+    if event["entry_id"] is None or event["t_index"] is None:
+        return "no entry or position"
     if event["entry_id"] in state["ids"]:
         return "entry exists"
-    if event["t_index"] in state["ids"].values():
+    if str(event["t_index"]) in state["taken"]:
         return "position is taken"
     if state["last_t"] is not None and event["t_index"] <= state["last_t"]:
         return "position goes back"
-    try:
-        dt.date.fromisoformat(event["date"] or "")
-    except ValueError:
+    if not _is_day(event["date"]):
         return "bad date"
     if state["clock"] is not None and event["date"] != state["clock"]:
         return "not the current date"
@@ -66,7 +75,8 @@ def step(state: dict, event: dict) -> list[dict]:
     if event["kind"] == "entry":
         why = _refusal(state, event)
         if why is None:
-            state["ids"][event["entry_id"]], state["last_t"], state["last_date"] = event["t_index"], event["t_index"], event["date"]
+            state["ids"][event["entry_id"]], state["last_t"], state["last_date"] = [event["t_index"], event["date"]], event["t_index"], event["date"]
+            state["taken"][str(event["t_index"])] = event["entry_id"]
             week = _monday(event["date"])
             state["open"][week] = state["open"].get(week, 0) + 1
             state["revision"] += 1
@@ -75,19 +85,28 @@ def step(state: dict, event: dict) -> list[dict]:
         else:
             out.append(_answer(state, event, "rejected", why))
     elif event["kind"] == "advance":
-        if state["clock"] is not None and event["date"] <= state["clock"]:
+        if not _is_day(event["date"]):
+            out.append(_answer(state, event, "rejected", "bad date"))
+        elif state["clock"] is not None and event["date"] <= state["clock"]:
             out.append(_answer(state, event, "rejected", "clock goes back"))
         else:
             state["clock"] = event["date"]
             state["revision"] += 1
             out.append(_answer(state, event, "accepted", None))
             out += _due(state, event, event["date"])
-    elif event["kind"] == "edit":
-        week = _monday(event["date"])
+    elif event["kind"] in ("edit", "remove"):
         if event["entry_id"] not in state["ids"]:
             out.append(_answer(state, event, "rejected", "no such entry"))
         else:
+            at, day = state["ids"][event["entry_id"]]
+            week = _monday(day)
             state["revision"] += 1
+            if event["kind"] == "remove":
+                del state["ids"][event["entry_id"]], state["taken"][str(at)]
+                if week in state["open"]:
+                    state["open"][week] -= 1
+                    if not state["open"][week]:
+                        del state["open"][week]
             out.append(_answer(state, event, "accepted", None, week))
             out += [_answer(state, event, "week_recomputed", None, w) for w in state["closed"] if w >= week]  # in week order
     else:
@@ -116,7 +135,7 @@ def _due(state: dict, event: dict, now: str) -> list[dict]:
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     for pdf in batches:
         for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-            for c in ("revision", "t_index"):
+            for c in ("revision", "t_index", "seq_in"):
                 row[c] = None if row[c] is None else int(row[c])
             yield row
 
@@ -127,11 +146,12 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def ingest(events: DataFrame) -> DataFrame:
-    """Streaming: answers to the events of each session in the order of arrival; state is one JSON per session."""
+    """Streaming: answers to the events of each session; those of one batch in order of seq_in, as a shuffle keeps none.
+    State is one JSON per session: it grows with the session's entries and keys."""
 
     def run(key, batches, state: GroupState):
         held = json.loads(state.get[0]) if state.exists else fresh()
-        out = [a for row in _rows(batches) for a in step(held, row)]
+        out = [a for row in sorted(_rows(batches), key=lambda r: (r["seq_in"] is None, r["seq_in"] or 0)) for a in step(held, row)]
         if held["seq"] == 1 and out and out[-1]["outcome"] == "deleted":
             if state.exists:
                 state.remove()
@@ -156,7 +176,8 @@ def replay(events: DataFrame, order: str = "seq_in") -> DataFrame:
             yield _frame(out)
 
     names = [c.split()[0] for c in EVENT.split(", ")]
-    return events.select(*names, order).repartition("session_id").sortWithinPartitions("session_id", order).select(*names).mapInPandas(run, ANSWER)
+    events = events.withColumn("seq_in", F.col(order))
+    return events.select(*names).repartition("session_id").sortWithinPartitions("session_id", "seq_in").mapInPandas(run, ANSWER)
 
 
 def weekly_counts(events: DataFrame, ts: str, keys: list[str], late: str = "1 day") -> DataFrame:

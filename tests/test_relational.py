@@ -269,10 +269,31 @@ def test_sinks(spark):
     assert readers.read_csv(spark, f"{at}/x.csv", "k long, alignment_power int").count() == 2
 
 
+def test_json_sinks(spark):
+    import json
+
+    at = folder()
+    df = spark.createDataFrame([(2, None, "x")], "b long, c string, a string")
+    sinks.append_jsonl(df, f"{at}/log")
+    sinks.append_jsonl(df, f"{at}/log")
+    assert [r.value for r in spark.read.text(f"{at}/log").collect()] == ['{"a":"x","b":2,"c":null}'] * 2
+    sinks.as_json(df, f"{at}/one")
+    assert json.loads(spark.read.text(f"{at}/one").first().value) == {"b": 2, "a": "x"}
+    tiers = spark.createDataFrame([("p", "strong", 1)], "persona_id string, confidence string, extra int")
+    sinks.write_consensus(tiers, f"{at}/tiers", ["persona_id", "confidence"], ["confidence"])
+    assert spark.read.parquet(f"{at}/tiers").columns == ["persona_id", "confidence"]
+    with pytest.raises(ValueError):
+        sinks.write_consensus(tiers.withColumn("confidence", F.lit("sure")), f"{at}/tiers", ["persona_id"], ["confidence"])
+
+
 def event(session, kind, key, revision, entry=None, t=None, date=None):
     return (session, kind, key, revision, entry, t, date, "")
 
 
+def numbered(log):
+    return [(*e, k) for k, e in enumerate(log)]
+
+
 LOG = [
     event("s", "entry", "a", 0, "e0", 0, "2025-01-06"), event("s", "entry", "a", 0, "e0", 0, "2025-01-06"), event("s", "entry", "a", 0, "e9", 0, "2025-01-06"),
     event("s", "entry", "b", 0, "e1", 1, "2025-01-07"), event("s", "entry", "c", 1, "e1", 0, "2025-01-07"), event("s", "entry", "d", 1, "e1", 1, "2025-01-05"),
@@ -282,19 +303,39 @@ ANSWERS = ["accepted", "replayed", "conflict", "rejected", "rejected", "rejected
 
 
 def test_replayed_session(spark):
-    df = spark.createDataFrame([(*e, k) for k, e in enumerate(LOG)], sessions.EVENT + ", seq_in long")
+    df = spark.createDataFrame(numbered(LOG), sessions.EVENT)
     assert [r.outcome for r in sessions.replay(df).collect()] == ANSWERS
 
 
 def test_streamed_session(spark):
     source, out = folder(), folder()
-    spark.createDataFrame(LOG, sessions.EVENT).coalesce(1).write.mode("append").json(source)
+    spark.createDataFrame(numbered(LOG)[::-1], sessions.EVENT).repartition(3).write.mode("append").json(source)  # in no order
     stream = sessions.ingest(spark.readStream.schema(sessions.EVENT).json(source))
     query = stream.writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r.outcome for r in spark.table("answers").collect()) == sorted(ANSWERS)
 
 
+def test_session_corrections_and_nulls(spark):
+    log = [
+        event("s", "entry", None, 0, "e0", 0, "2025-01-06"), event("s", "entry", None, 1, "e1", 1, "2025-01-14"), event("s", "entry", None, 2, "e2", 2, "2025-01-15"), event("s", "advance", None, 3),
+        event("s", "edit", None, 3, "e0"), event("s", "remove", None, 4, "e0"), event("s", "edit", None, 5, "e0"), event("s", "entry", None, 5, None, 3, "2025-01-15"), event("s", "entry", None, 5, "e5", 3), event("s", "remove", None, 5, "e2"),
+        event("s", "advance", None, 6, date="2025-01-20"), event("s", None, None, 7), event("s", "remove", None, 7, "e1"), (None,) * 8,
+    ]
+    got = [(r.outcome, r.reason, r.week_start) for r in sessions.replay(spark.createDataFrame(numbered(log), sessions.EVENT)).collect() if r.session_id]
+    monday = "2025-01-06", "2025-01-13"
+    assert got == [
+        ("accepted", None, monday[0]), ("accepted", None, monday[1]), ("week_closed", None, monday[0]), ("accepted", None, monday[1]), ("rejected", "bad date", None),
+        ("accepted", None, monday[0]), ("week_recomputed", None, monday[0]), ("accepted", None, monday[0]), ("week_recomputed", None, monday[0]), ("rejected", "no such entry", None), ("rejected", "no entry or position", None), ("rejected", "bad date", None), ("accepted", None, monday[1]),
+        ("accepted", None, None), ("week_closed", None, monday[1]), ("rejected", "unknown kind", None), ("accepted", None, monday[1]), ("week_recomputed", None, monday[1]),
+    ]
+
+
+def test_session_problems(spark):
+    log = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 1, 3), ("b", 2, 3), ("c", 1, 0), ("c", 1, 1)], "session_id string, seq long, t_index long")
+    assert {r.session_id: (r.goes_back, r.repeats_seq) for r in sessions.session_problems(log).collect()}.keys() == {"b", "c"}
+
+
 def test_weekly_stream(spark):
     source, out = folder(), folder()
     spark.sql("select 1 as user_id, timestamp'2025-01-06 10:00:00' ts union all select 1, timestamp'2025-01-12 10:00:00' union all select 1, timestamp'2025-01-25 10:00:00'").write.mode("append").parquet(source)
