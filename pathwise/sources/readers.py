@@ -215,6 +215,84 @@ def union_runs(spark: SparkSession, runs: dict[str, str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(path).withColumn("run_id", F.lit(run)) for run, path in runs.items()))
 
 
+def readable_runs(spark: SparkSession, runs: dict[str, str]) -> DataFrame:
+    """`union_runs` of the tables that can be read and have a row; ValueError if none can."""
+    from pyspark.errors import PySparkException
+
+    good = {}
+    for run, path in runs.items():
+        try:
+            if not spark.read.parquet(path).isEmpty():
+                good[run] = path
+        except PySparkException:
+            continue
+    if not good:
+        raise ValueError("no table can be read")
+    return union_runs(spark, good)
+
+
+def resolve_paths(spark: SparkSession, paths: list[str], pattern: str = "persona_*.md") -> list[str]:
+    """Files of the paths, in order and each once: a folder stands for its files of the pattern, by name. FileNotFoundError for
+    a path that doesn't exist, a folder without such files, and no path at all."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    out: dict[str, None] = {}
+    for path in paths:
+        at = hadoop(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            raise FileNotFoundError(path)
+        found = [at]
+        if fs.getFileStatus(at).isDirectory():
+            found = [x.getPath() for x in fs.globStatus(hadoop(at, pattern))]
+            if not found:
+                raise FileNotFoundError(f"{path}/{pattern}")
+        out.update(dict.fromkeys(str(fs.resolvePath(x)) for x in found))
+    if not out:
+        raise FileNotFoundError("no path")
+    return list(out)
+
+
+def holdout_ids(spark: SparkSession, path: str, fields=("val_persona_ids", "test_persona_ids")) -> DataFrame:
+    """persona_id and split of a manifest of YAML lists, one id a line under each field; ValueError if a field is missing or
+    an id is in both."""
+    ids: dict[str, list[str]] = {}
+    field = None
+    for row in spark.read.text(path, wholetext=True).first()["value"].split("\n"):
+        line = row.split(" #")[0].rstrip()
+        if line[:1] not in ("", " ", "-", "#") and ":" in line:
+            field, rest = line.split(":", 1)
+            ids[field] = [x.strip().strip("'\"") for x in rest.strip(" []").split(",") if x.strip()]
+        elif line.lstrip().startswith("- ") and field:
+            ids[field].append(line.lstrip()[2:].strip().strip("'\""))
+    lacking = [f for f in fields if not ids.get(f)]
+    both = set(ids.get(fields[0], ())) & set(ids.get(fields[1], ()))
+    if lacking or both:
+        raise ValueError(f"holdout manifest lacks {lacking}" if lacking else f"ids in both splits: {sorted(both)}")
+    return spark.createDataFrame([(i, f.split("_")[0]) for f in fields for i in dict.fromkeys(ids[f])], "persona_id string, split string")
+
+
+def load_frozen(spark: SparkSession, tables: dict[str, dict]) -> dict[str, DataFrame]:
+    """Tables by name, each checked: `rows` and `fingerprint` as given, and `complete` (key, other table, its key): every key
+    has a row there. ValueError names all that fail."""
+    from pathwise.sources.sinks import fingerprint
+
+    loaded = {name: spark.read.parquet(t["path"]) for name, t in tables.items()}
+    wrong = []
+    for name, t in tables.items():
+        df = loaded[name]
+        if "rows" in t and df.count() != t["rows"]:
+            wrong.append(f"{name}: number of rows")
+        if "fingerprint" in t and fingerprint(df) != t["fingerprint"]:
+            wrong.append(f"{name}: fingerprint")
+        if "complete" in t:
+            key, other, its = t["complete"]
+            if not df.join(loaded[other].select(F.col(its).alias(key)), key, "left_anti").isEmpty():
+                wrong.append(f"{name}: {key} without a row of {other}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return loaded
+
+
 def packed(long: DataFrame, keys: list[str], values: list[str], size: int = len(DIMS)) -> DataFrame:
     """Rows of (keys, dim_index, values) as one row per key with aligned arrays; another number or order of dimensions raises."""
     assert_columns(long, [*keys, "dim_index", *values])
