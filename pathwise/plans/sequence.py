@@ -391,7 +391,23 @@ def _predicted(spark, sf):
     return seq.predicted_episodes(adapter.evidence(spark, sf), 0.55, 0.5)
 
 
-@plans.add("j09_match_episodes")
+#: Greedy one-to-one matching, reference by reference: what is used is carried along.
+MATCHES = "WITH RECURSIVE " + REFERENCE.strip().removeprefix("WITH").strip() + ", " + PREDICTED.strip().removeprefix("WITH").strip() + """,
+rs AS (SELECT persona_id, dimension, list({'id': episode_id, 'conf': confirmation_t_index, 'onset': onset_t_index, 'until': end_t_index + 2, 'state': delivery_state} ORDER BY confirmation_t_index, episode_id) AS refs FROM ref GROUP BY 1, 2),
+ps AS (SELECT persona_id, dimension, list({'id': episode_id, 'conf': confirmation_t_index, 'state': delivery_state} ORDER BY confirmation_t_index, episode_id) AS preds FROM pred GROUP BY 1, 2),
+both_ AS (SELECT rs.*, preds FROM rs JOIN ps ON ps.persona_id = rs.persona_id AND ps.dimension = rs.dimension),
+greedy AS (
+  SELECT persona_id, dimension, 0 AS i, CAST([] AS VARCHAR[]) AS used, NULL::STRUCT(id VARCHAR, conf BIGINT, state VARCHAR) AS hit FROM both_
+  UNION ALL
+  SELECT persona_id, dimension, i + 1, CASE WHEN h IS NULL THEN used ELSE list_append(used, h.id) END, h FROM (
+    SELECT g.persona_id, g.dimension, g.i, g.used, list_filter(b.preds, lambda p: p.conf >= b.refs[g.i + 1].onset AND p.conf <= b.refs[g.i + 1].until AND NOT list_contains(g.used, p.id))[1] AS h
+    FROM greedy g JOIN both_ b ON b.persona_id = g.persona_id AND b.dimension = g.dimension WHERE g.i < len(b.refs))),
+matched AS (SELECT g.persona_id, g.dimension, b.refs[g.i].id AS reference_episode_id, g.hit.id AS predicted_episode_id, b.refs[g.i].conf AS reference_confirmation, g.hit.conf AS predicted_confirmation,
+  g.hit.conf - b.refs[g.i].conf AS latency_entries, b.refs[g.i].state AS reference_state, g.hit.state AS predicted_state FROM greedy g JOIN both_ b ON b.persona_id = g.persona_id AND b.dimension = g.dimension WHERE g.hit IS NOT NULL)
+"""
+
+
+@plans.add("j09_match_episodes", _recursive(MATCHES + "SELECT * FROM matched"))
 def match(spark, sf):
     return epi.match_episodes(_reference(spark, sf), _predicted(spark, sf))
 
@@ -424,14 +440,26 @@ def _(spark, sf):
     return rows.groupBy(*CORE).agg(F.max("t_index").alias("t_index"), F.max_by("state", "t_index").alias("state"))
 
 
-@plans.add("m16_episode_metrics")
+@plans.add("m16_episode_metrics", _recursive(MATCHES + """, k AS (SELECT persona_id, dimension, count(*) AS n FROM evidence GROUP BY 1, 2 HAVING count(*) >= 2),
+neg AS (SELECT k.persona_id, k.dimension, EXISTS (SELECT 1 FROM pred p WHERE p.persona_id = k.persona_id AND p.dimension = k.dimension) AS hit FROM k WHERE NOT EXISTS (SELECT 1 FROM ref r WHERE r.persona_id = k.persona_id AND r.dimension = k.dimension)),
+pairs AS (SELECT persona_id, dimension, nt AS window_end, coalesce((p_minus1 + np) / 2 >= 0.55 AND uncertainty <= 0.5 AND nu <= 0.5, false) AS alert FROM e WHERE nt = t_index + 1),
+win AS (SELECT alert FROM pairs w WHERE NOT EXISTS (SELECT 1 FROM ref r WHERE r.persona_id = w.persona_id AND r.dimension = w.dimension AND w.window_end BETWEEN r.onset_t_index AND r.end_t_index)),
+a AS (SELECT count(*) AS true_positive, avg(latency_entries) AS mean_latency, max(latency_entries) AS max_latency, median(latency_entries) AS median_latency, count(*) FILTER (WHERE reference_state = predicted_state) AS delivery_correct,
+  count(*) FILTER (WHERE reference_state = 'recovered') AS recovery_cases, count(*) FILTER (WHERE reference_state = 'recovered' AND predicted_state = 'recovered') AS recovery_correct FROM matched),
+b AS (SELECT *, (SELECT count(*) FROM ref) AS reference_episodes, (SELECT count(*) FROM pred) AS predicted_episodes, (SELECT count(*) FROM neg) AS negative_trajectories, (SELECT count(*) FROM neg WHERE hit) AS false_alarm_trajectories,
+  (SELECT count(*) FROM win) AS negative_windows, (SELECT count(*) FROM win WHERE alert) AS alerted_windows FROM a),
+c AS (SELECT *, coalesce(true_positive / nullif(predicted_episodes, 0), 0) AS precision, coalesce(true_positive / nullif(reference_episodes, 0), 0) AS recall FROM b)
+SELECT * REPLACE (round(mean_latency, 6) AS mean_latency, round(precision, 6) AS precision, round(recall, 6) AS recall), round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, round(coalesce(false_alarm_trajectories / nullif(negative_trajectories, 0), 0), 6) AS trajectory_false_alarm_rate,
+  round(alerted_windows / nullif(negative_windows, 0), 6) AS false_positive_rate, round(delivery_correct / nullif(true_positive, 0), 6) AS delivery_accuracy, round(recovery_correct / nullif(recovery_cases, 0), 6) AS recovery_accuracy FROM c"""))
 def metrics(spark, sf):
     evidence = adapter.evidence(spark, sf)
     eligible = evidence.groupBy(*CORE).agg(F.count(F.lit(1)).alias("n_entries"))
-    return epi.episode_metrics(_reference(spark, sf), _predicted(spark, sf), eligible, seq.detection_decisions(evidence, 0.55, 0.5))
+    row = epi.episode_metrics(_reference(spark, sf), _predicted(spark, sf), eligible, seq.detection_decisions(evidence, 0.55, 0.5))
+    return row.withColumns({c: F.round(c, 6) for c in ("mean_latency", "precision", "recall", "f1", "trajectory_false_alarm_rate", "false_positive_rate", "delivery_accuracy", "recovery_accuracy")})
 
 
-@plans.add("m17_delay_days")
+@plans.add("m17_delay_days", _recursive(MATCHES + """SELECT date_trunc('week', a.d) = date_trunc('week', b.d) AS same_week, count(*) AS hits, median(date_diff('day', a.d, b.d)) AS median_delay_days FROM matched m
+  JOIN entry a ON a.persona_id = m.persona_id AND a.t_index = m.reference_confirmation JOIN entry b ON b.persona_id = m.persona_id AND b.t_index = m.predicted_confirmation GROUP BY 1"""))
 def delays(spark, sf):
     """Days from a reference's confirmation to that of its match, by whether both fall in one week."""
     pairs = epi.match_episodes(_reference(spark, sf), _predicted(spark, sf))

@@ -16,6 +16,7 @@ from pathwise.operators import sequence as seq
 from pathwise.operators import weekly as wk
 from pathwise.plans import labels as lab
 from pathwise.plans.base import Plans
+from pathwise.plans.sequence import REFERENCE
 
 plans = Plans()
 CORE = ["persona_id", "dimension"]
@@ -97,7 +98,14 @@ def _(spark, sf):
     return wk.week_state_reason(d, d.select(*CORE).distinct().withColumn("last_t", F.lit(10)))
 
 
-@plans.add("q05_threshold_search")
+@plans.add("q05_threshold_search", REFERENCE + """, e AS (SELECT persona_id, dimension, t_index, p_minus1, uncertainty, lead(t_index) OVER w AS nt, lead(p_minus1) OVER w AS np, lead(uncertainty) OVER w AS nu FROM evidence WINDOW w AS (PARTITION BY persona_id, dimension ORDER BY t_index)),
+pairs AS (SELECT persona_id, dimension, nt AS window_end, (p_minus1 + np) / 2 AS p, CASE WHEN uncertainty IS NOT NULL AND nu IS NOT NULL THEN greatest(uncertainty, nu) END AS u FROM e WHERE nt = t_index + 1),
+x AS (SELECT p, u, EXISTS (SELECT 1 FROM ref r WHERE r.persona_id = pairs.persona_id AND r.dimension = pairs.dimension AND window_end BETWEEN r.onset_t_index AND r.end_t_index) AS inside FROM pairs),
+g AS (SELECT gp.v AS p, gu.v AS u, coalesce(x.p >= gp.v AND x.u <= gu.v, false) AS alert, inside FROM x CROSS JOIN (VALUES (0.5::DOUBLE), (0.6), (0.7)) gp(v) CROSS JOIN (VALUES (0.3::DOUBLE), (0.5)) gu(v)),
+c AS (SELECT p, u, count(*) FILTER (WHERE alert AND inside) AS tp, count(*) FILTER (WHERE alert) AS n, count(*) FILTER (WHERE inside) AS m FROM g GROUP BY 1, 2),
+s AS (SELECT p, u, tp / nullif(n, 0) AS precision, tp / nullif(m, 0) AS recall FROM c),
+f AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1, coalesce(precision >= 0.6, false) AS guarded FROM s)
+SELECT * REPLACE (round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1) FROM f ORDER BY guarded DESC, f1 DESC NULLS LAST, recall DESC NULLS LAST, p, u DESC LIMIT 1""", views=True)
 def thresholds(spark, sf):
     """A gate's measures over a grid of thresholds, in one pass over the pairs per grid point; the best guarded one first."""
     reference = seq.reference_episodes(adapter.label(spark, sf).where("is_core"))
@@ -108,7 +116,7 @@ def thresholds(spark, sf):
     m = met.binary_measures(F.col("inside"), alert)
     out = inside.select("*", grid).groupBy("g.p", "g.u").agg(*(m[k].alias(k) for k in ("precision", "recall", "f1")))
     out = out.withColumn("guarded", F.coalesce(F.col("precision") >= 0.6, F.lit(False)))
-    return out.orderBy(F.desc("guarded"), F.desc_nulls_last("f1"), F.desc_nulls_last("recall"), F.asc("p"), F.desc("u")).limit(1)
+    return out.orderBy(F.desc("guarded"), F.desc_nulls_last("f1"), F.desc_nulls_last("recall"), F.asc("p"), F.desc("u")).limit(1).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 #: Means to four places by whole numbers (of amounts in hundredths): no order of summation shows in them.
