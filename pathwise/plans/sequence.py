@@ -368,12 +368,22 @@ def _(spark, sf):
     return det.kl_divergence(_signal(spark, sf))
 
 
-@plans.add("w22_detector_votes")
+def _alerts(name: str) -> str:
+    """The alerts of a detector's oracle as rows of the votes' union."""
+    return f"SELECT persona_id, dimension, t_index, '{name}' AS detector FROM ({plans.oracles[name]})"
+
+
+@plans.add("w22_detector_votes", """WITH u AS (""" + " UNION ALL ".join(map(_alerts, ("w16_crash_or_rut", "w17_ema", "w18_cusum", "w20_control_chart", "w21_kl"))) + f"""
+  UNION ALL SELECT c.persona_id, l.dimension, c.t_index, 'w19_cosine' FROM ({plans.oracles["w19_cosine"]}) c JOIN label l ON l.persona_id = c.persona_id AND l.t_index = c.t_index),
+own AS (SELECT DISTINCT persona_id, dimension FROM label WHERE is_core),
+n AS (SELECT u.persona_id, u.dimension, t_index, count(DISTINCT detector) AS n_detectors FROM u JOIN own ON own.persona_id = u.persona_id AND own.dimension = u.dimension GROUP BY ALL)
+SELECT *, CASE WHEN n_detectors >= 4 THEN 'strong' WHEN n_detectors >= 2 THEN 'weak' ELSE 'single' END AS band FROM n""", views=True)
 def detector_votes(spark, sf):
     rows = _signal(spark, sf)
     core = rows.where("is_core")
-    vector = det.cosine(rows).select("persona_id", "t_index").join(core.select(*CORE, "t_index"), ["persona_id", "t_index"])
-    return det.votes({"crash_or_rut": det.crash_or_rut(core), "ema": det.ema(core), "cusum": det.cusum(core), "cosine": vector, "control": det.control_chart(core), "kl": det.kl_divergence(core)})
+    vector = det.cosine(rows, below=-1e-7).select("persona_id", "t_index").join(core.select(*CORE, "t_index"), ["persona_id", "t_index"])
+    control = det.control_chart(core.withColumn("score", F.round("score", 9)))
+    return det.votes({"crash_or_rut": det.crash_or_rut(core), "ema": det.ema(core), "cusum": det.cusum(core, slack=0.2, above=0.500001), "cosine": vector, "control": control, "kl": det.kl_divergence(core)})
 
 
 @plans.add("w23_detector_scores", f"""WITH {SIGNAL},
