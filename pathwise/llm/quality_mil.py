@@ -40,7 +40,9 @@ CLASS_OF[128:] = 4
 CLASS_OF[[46, 44, 59, 58, 39, 45]] = 5
 CLASS_OF[[33, 63]] = 6
 CLASS_OF[[35, 42, 36, 37, 38, 124, 60, 62]] = 7
-FEATURES = CLASSES * CLASSES + 6
+#: Buckets of hashed subwords, runs of three bytes.
+HASHED = 256
+FEATURES = CLASSES * CLASSES + 6 + HASHED
 
 
 def passages(text: str) -> tuple[list[bytes], list[tuple[int, int, int]]]:
@@ -66,13 +68,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts += own
         stats += numbers
     lengths = np.array([len(x) for x in parts])
-    kinds = CLASS_OF[np.frombuffer(b"".join(parts), np.uint8)].astype(np.int64)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    kinds = CLASS_OF[data].astype(np.int64)
     of = np.repeat(np.arange(len(parts)), lengths)
     pairs = of[1:] * (CLASSES * CLASSES) + kinds[:-1] * CLASSES + kinds[1:]
     pairs = pairs[of[1:] == of[:-1]]
-    out = np.zeros((len(parts), FEATURES))
+    out = np.zeros((len(parts), FEATURES), np.float32)
     out[:, : CLASSES * CLASSES] = np.bincount(pairs, minlength=len(parts) * CLASSES * CLASSES).reshape(len(parts), -1) / np.maximum(1, lengths - 1)[:, None]
     n, different, new = np.array(stats, float).reshape(-1, 3).T
+    runs = (data[:-2].astype(np.uint32) << np.uint32(16)) | (data[1:-1].astype(np.uint32) << np.uint32(8)) | data[2:]
+    buckets = of[2:] * HASHED + ((runs * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.int64)
+    buckets = buckets[of[2:] == of[:-2]]
+    own = slice(CLASSES * CLASSES, CLASSES * CLASSES + HASHED)
+    out[:, own] = np.bincount(buckets, minlength=len(parts) * HASHED).reshape(len(parts), -1) / np.maximum(1, lengths - 2)[:, None]
     out[:, -6:] = np.stack([n / PASSAGE_WORDS, different / np.maximum(1, n), new / np.maximum(1, n), lengths / np.maximum(1, n) / 10, n == 0, np.minimum(1, n / 8)], 1)
     return np.sqrt(out), np.array(begins)
 

@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -186,6 +187,30 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_language_scores_by_plain_loops(spark):
+    docs = spark.createDataFrame(list(_language_rows(200)), "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    very_long = "the ing and " * 40_000
+    texts = ["the ing", "a", "é", "Schön IST 3 die-Welt!", "the the the", very_long]
+    rows = [(k, t, None) for k, t in enumerate([*texts, *texts])]  # repeated rows
+    got = {r["doc_id"]: r for r in rows_of(language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model))}
+    for k, text in enumerate(texts):
+        kept = "".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in text)
+        data = b" " + b" ".join(kept.encode().split()) + b" "
+        counts: collections.Counter = collections.Counter()
+        for order in (2, 3, 4):
+            for i in range(len(data) - order + 1):
+                counts[((int.from_bytes(data[i : i + order], "big") + order) * 0x9E3779B1 % 2**32) >> 18] += 1
+        total = sum(counts.values())
+        logits = [(sum(float(model.table[row, j]) * n for row, n in counts.items()) / total + model.bias[j]) / model.temperature for j in range(len(model.languages))]
+        top = max(logits)
+        p = [math.exp(x - top) for x in logits]
+        best = max(range(len(p)), key=p.__getitem__)
+        for row in (got[k], got[k + len(texts)]):
+            assert row["lang_pred"] == model.languages[best] and abs(row["score"] - p[best] / sum(p)) < 1e-4
+            assert row["accepted"] == (row["score"] >= model.threshold)
+
+
 # 4 byte-level BPE
 
 
@@ -341,6 +366,38 @@ def test_attention_gradients():
         assert abs(slope - float(np.sum(move * grads[name]))) < 1e-6
 
 
+def test_quality_scores_by_plain_loops(spark):
+    rng = np.random.default_rng(4)
+    sizes = {"W": (quality_mil.FEATURES, quality_mil.WIDTH), "V": (quality_mil.WIDTH, quality_mil.GATE), "U": (quality_mil.WIDTH, quality_mil.GATE), "w": (quality_mil.GATE,), "c": (quality_mil.WIDTH,), "b": (quality_mil.WIDTH,), "d": ()}
+    p = {k: rng.normal(0, 0.5, v) for k, v in sizes.items()}
+    docs = documents(spark, clashing=True)
+    got = collections.defaultdict(list)
+    for r in rows_of(quality_mil.score(docs, p)):
+        got[r["doc_id"]].append(r)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for doc_id, text in keyed(docs):
+        words, seen, bag = text.split(), set(), []
+        for k in range(0, max(1, len(words)), 64):
+            part = words[k : k + 64]
+            data = " ".join(part).encode()
+            x = [0.0] * quality_mil.FEATURES
+            kind = [int(quality_mil.CLASS_OF[b]) for b in data]
+            for a, b in itertools.pairwise(kind):
+                x[9 * a + b] += 1 / (len(data) - 1)
+            for i in range(len(data) - 2):
+                x[81 + ((int.from_bytes(data[i : i + 3], "big") * 0x9E3779B1 % 2**32) >> 24)] += 1 / (len(data) - 2)
+            n, different = len(part), len(set(part))
+            x[-6:] = [n / 64, different / max(1, n), len(set(part) - seen) / max(1, n), len(data) / max(1, n) / 10, float(n == 0), min(1, n / 8)]
+            seen |= set(part)
+            h = [math.tanh(sum(math.sqrt(v) * p["W"][i, j] for i, v in enumerate(x) if v) + p["b"][j]) for j in range(16)]
+            gate = [math.tanh(sum(h[j] * p["V"][j, g] for j in range(16))) * sigmoid(sum(h[j] * p["U"][j, g] for j in range(16))) for g in range(8)]
+            bag.append((math.exp(sum(a * b for a, b in zip(gate, p["w"], strict=True))), h))
+        whole = sum(a for a, _ in bag)
+        z = [sum(a * h[j] for a, h in bag) / whole for j in range(16)]
+        expected = sigmoid(sum(z[j] * p["c"][j] for j in range(16)) + p["d"])
+        assert min(abs(r["score"] - expected) for r in got[doc_id]) < 1e-4 and all(r["passages"] == len(bag) or len(got[doc_id]) > 1 for r in got[doc_id])
+
+
 # 7 near duplicates
 
 
@@ -494,6 +551,21 @@ def test_images(spark):
     assert sorted((r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == sorted((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) for p in payloads)
     assert sorted(r["n_bytes"] for r in got) == sorted(len(t.encode()) for _, t in keyed(docs))
     assert jpeg_media.store_images(empty(spark)).count() == 0
+    by_payload = {r["payload_sha256"]: r for r in got}
+    for _, text in keyed(docs):  # what is stored, bit by bit, and its thumbnail by plain loops
+        if len(text) > 20_000:
+            continue
+        media = jpeg_media.encode(text.encode())
+        image = jpeg_media.parse(media)
+        (blocks,) = jpeg_media._decode_bits(image)
+        assert (blocks == jpeg_media._decode_uniform(jpeg_media.parse(media))).all()
+        row = by_payload[hashlib.sha256(jpeg_media.pad(text.encode())).hexdigest()]
+        assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        wide, high, step = image["width"] // 8, image["height"] // 8, int(image["quant"][0][0])
+        samples = [[min(255, max(0, round(int(blocks[y * wide + x, 0]) * step / 8 + 128))) for x in range(wide)] for y in range(high)]
+        cells = [sum(max(0, min((r + 1) * high, (y + 1) * 8) - max(r * high, y * 8)) * max(0, min((c + 1) * wide, (x + 1) * 8) - max(c * wide, x * 8)) * samples[y][x] for y in range(high) for x in range(wide)) for r in range(8) for c in range(8)]
+        bits = "".join("1" if v * 64 > sum(cells) else "0" for v in cells)
+        assert row["feature"] == f"{8 * wide}x{8 * high}:{int(bits, 2):016x}"
 
 
 def test_scans_decode_alike_and_by_hand():
