@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pathwise.operators import episodes
 from pathwise.operators.relational import pass_differences
 from pathwise.schema import DIMS
 
@@ -128,3 +129,57 @@ def survey_problems(responses: DataFrame, sets: DataFrame, by: str = "session_id
     n = sets.agg(F.count(F.lit(1)).alias("_all"))  # one row
     short = responses.groupBy(by).agg(F.count_distinct("set_number").alias("_n")).join(F.broadcast(n), F.lit(True)).where("_n < _all")
     return found.unionByName(short.select(by, F.lit(None).cast(responses.schema["set_number"].dataType).alias("set_number"), F.lit("sets are missing").alias("problem")))
+
+
+def _rated(df: DataFrame) -> DataFrame:
+    """`df` with precision, recall and coverage of its counts; 0 where there is nothing to divide by."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return df.withColumns({"precision": ratio("hits", "n_predicted"), "recall": ratio("hits", "n_reference"), "coverage": ratio("n_covered", "n_cases")})
+
+
+def case_metrics(cases: DataFrame, reference: DataFrame, predicted: DataFrame, covered: DataFrame, responses: DataFrame, lag: int = 2, run=("setup", "repeat"), case=("persona_id", "dimension")) -> DataFrame:
+    """Per run and case: reference, predicted, hits, misses, false alerts, median delays in entries and days, whether it is
+    covered, and valid and invalid responses.
+
+    cases: run and case; reference: episodes by case with confirmation_d; predicted: episodes by run and case with
+    detection_d; covered: by run and case; responses: by run and case with `ok`, one a week.
+    """
+    keys = (*run, *case)
+    wanted = cases.select(*keys).distinct()
+    targets = wanted.join(reference, list(case))
+    matches = episodes.match_episodes(targets, predicted, lag, keys)
+    dated = matches.join(targets.select(*keys, F.col("episode_id").alias("reference_episode_id"), F.col("confirmation_d").alias("_rd")), [*keys, "reference_episode_id"]).join(
+        predicted.select(*keys, F.col("episode_id").alias("predicted_episode_id"), F.col("detection_d").alias("_pd")), [*keys, "predicted_episode_id"])
+    parts = [
+        targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reference")), predicted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_predicted")),
+        dated.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"), F.median("latency_entries").alias("median_delay_entries"), F.median(F.datediff("_pd", "_rd")).alias("median_delay_days")),
+        covered.select(*keys, "covered"), responses.groupBy(*keys).agg(F.count_if("ok").alias("valid_responses"), F.count_if(~F.col("ok")).alias("invalid_responses")),
+    ]
+    out = wanted
+    for part in parts:  # all on one key
+        out = out.join(part, list(keys), "left")
+    out = out.na.fill(0, ["n_reference", "n_predicted", "hits", "valid_responses", "invalid_responses"]).na.fill(False, ["covered"])
+    return out.withColumns({"missed": F.col("n_reference") - F.col("hits"), "false_alerts": F.col("n_predicted") - F.col("hits")})
+
+
+def pair_metrics(reference: DataFrame, pairs: DataFrame, cases: DataFrame, lag: int = 2, case=("persona_id", "dimension")) -> DataFrame:
+    """One row: drift metrics of verdicts on adjacent pairs (case, t_index of the first entry, decision yes, no or abstain).
+
+    Runs of yes pairs are predicted drifts. A case is covered by any yes, or if it has pairs and all are no. Hits are told
+    apart by whether the reference (with onset_d and confirmation_d) lies in one week.
+    """
+    w = Window.partitionBy(*case).orderBy("t_index")
+    yes = pairs.where("decision = 'yes'").withColumn("_run", F.col("t_index") - F.row_number().over(w))
+    predicted = yes.groupBy(*case, "_run").agg(F.min("t_index").alias("onset_t_index"), (F.max("t_index") + 1).alias("end_t_index")).select(
+        *case, F.concat_ws("::", *(F.col(c).cast("string") for c in case), F.col("onset_t_index").cast("string")).alias("episode_id"), "onset_t_index", (F.col("onset_t_index") + 1).alias("confirmation_t_index"), "end_t_index", F.lit("yes").alias("delivery_state"))
+    matches = episodes.match_episodes(reference, predicted, lag, case)
+    hit = matches.select(*case, F.col("reference_episode_id").alias("episode_id"), F.lit(1).alias("_hit"))
+    week = lambda c: F.date_trunc("week", c)
+    same = week("onset_d") == week("confirmation_d")
+    found = reference.join(hit, [*case, "episode_id"], "left").agg(
+        F.count(F.lit(1)).alias("n_reference"), F.count("_hit").alias("hits"), F.count_if(same).alias("same_week_reference"), F.count_if(same & F.col("_hit").isNotNull()).alias("same_week_hits"),
+        F.count_if(~same).alias("cross_week_reference"), F.count_if(~same & F.col("_hit").isNotNull()).alias("cross_week_hits"))
+    verdicts = pairs.groupBy(*case).agg((F.bool_or(F.col("decision") == "yes") | F.bool_and(F.col("decision") == "no")).alias("_covered"))
+    covered = cases.select(*case).distinct().join(verdicts, list(case), "left").agg(F.count(F.lit(1)).alias("n_cases"), F.count_if("_covered").alias("n_covered"))
+    alerts = predicted.agg(F.count(F.lit(1)).alias("n_predicted"))
+    return _rated(found.crossJoin(covered).crossJoin(alerts))  # one row each

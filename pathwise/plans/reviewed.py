@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pathwise import adapter
 from pathwise.adapter import table
 from pathwise.operators import reviewed as rev
+from pathwise.operators import sequence as seq
 from pathwise.plans.base import Plans
+from pathwise.plans.sequence import CORE, GREEDY, REFERENCE, _recursive
 from pathwise.schema import DIMS
 from pathwise.sources import readers
 
@@ -154,3 +156,62 @@ def _(spark, sf):
     loaded = readers.load_frozen(spark, frozen)
     counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in loaded.items()]
     return counts[0].unionByName(counts[1])
+
+
+def _reference(spark, sf):
+    """Reference episodes with the dates of their onset and confirmation."""
+    label = adapter.label(spark, sf).where("is_core")
+    days = label.select(*CORE, "t_index", "d")
+    ref = seq.reference_episodes(label)
+    at = lambda c, name: days.withColumnsRenamed({"t_index": c, "d": name})
+    return ref.join(at("onset_t_index", "onset_d"), [*CORE, "onset_t_index"]).join(at("confirmation_t_index", "confirmation_d"), [*CORE, "confirmation_t_index"])
+
+
+PAIR_VERDICTS = """nx AS (SELECT persona_id, dimension, t_index, verdict AS a, review_status, lead(verdict) OVER w AS b, lead(t_index) OVER w AS nt, lead(review_status) OVER w AS nr FROM decision WINDOW w AS (PARTITION BY persona_id, dimension ORDER BY t_index)),
+pv AS (SELECT persona_id, dimension, t_index, CASE WHEN a = 'abstain' OR b = 'abstain' THEN 'abstain' WHEN a = 'conflict' AND b = 'conflict' THEN 'yes' ELSE 'no' END AS decision FROM nx WHERE nt = t_index + 1),
+yr AS (SELECT *, t_index - row_number() OVER (PARTITION BY persona_id, dimension ORDER BY t_index) AS g FROM pv WHERE decision = 'yes'),
+pred AS (SELECT persona_id || '::' || dimension || '::' || min(t_index) AS episode_id, persona_id, dimension, min(t_index) + 1 AS confirmation_t_index, 'yes' AS delivery_state FROM yr GROUP BY persona_id, dimension, g),"""
+
+
+@plans.add("x51_pair_metrics", _recursive("WITH RECURSIVE " + REFERENCE.strip().removeprefix("WITH").strip() + ", " + PAIR_VERDICTS + GREEDY + """,
+rd AS (SELECT r.*, date_trunc('week', a.d) = date_trunc('week', b.d) AS same, m.predicted_episode_id IS NOT NULL AS hit FROM ref r JOIN entry a ON a.persona_id = r.persona_id AND a.t_index = r.onset_t_index JOIN entry b ON b.persona_id = r.persona_id AND b.t_index = r.confirmation_t_index LEFT JOIN matched m ON m.reference_episode_id = r.episode_id),
+cv AS (SELECT count(*) AS n_cases, count(*) FILTER (WHERE coalesce(c, false)) AS n_covered FROM (SELECT DISTINCT persona_id, dimension FROM label WHERE is_core) k LEFT JOIN (SELECT persona_id, dimension, bool_or(decision = 'yes') OR bool_and(decision = 'no') AS c FROM pv GROUP BY 1, 2) v ON v.persona_id = k.persona_id AND v.dimension = k.dimension),
+o AS (SELECT count(*) AS n_reference, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE same) AS same_week_reference, count(*) FILTER (WHERE same AND hit) AS same_week_hits, count(*) FILTER (WHERE NOT same) AS cross_week_reference, count(*) FILTER (WHERE NOT same AND hit) AS cross_week_hits FROM rd)
+SELECT o.*, cv.*, (SELECT count(*) FROM pred) AS n_predicted, round(hits / (SELECT count(*) FROM pred), 6) AS precision, round(hits / n_reference, 6) AS recall, round(n_covered / n_cases, 6) AS coverage FROM o, cv"""))
+def _(spark, sf):
+    d = adapter.decision(spark, sf)
+    a, b = F.col("verdict"), F.col("next_verdict")
+    decision = F.when((a == "abstain") | (b == "abstain"), "abstain").when((a == "conflict") & (b == "conflict"), "yes").otherwise("no")
+    pairs = seq.adjacent_pairs(d, columns=("verdict",)).select(*CORE, "t_index", decision.alias("decision"))
+    out = rev.pair_metrics(_reference(spark, sf), pairs, adapter.label(spark, sf).where("is_core"))
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "coverage")})
+
+
+RUN_LABELS = """rl AS (SELECT persona_id * 10 + run AS persona_id, dimension, t_index, d, review_status = 'ok' AND (event_id + run) % 9 <> 0 AS ok, CASE WHEN review_status <> 'ok' OR verdict = 'abstain' OR (event_id + run) % 9 = 0 THEN NULL ELSE verdict = 'conflict' END AS l FROM decision CROSS JOIN (VALUES (1), (2), (3)) v(run)),
+rt AS (SELECT *, t_index - row_number() OVER (PARTITION BY persona_id, dimension ORDER BY t_index) AS g FROM rl WHERE l),
+pred AS (SELECT persona_id || '::' || dimension || '::' || min(t_index) AS episode_id, persona_id, dimension, min(t_index) + 1 AS confirmation_t_index, 'drift' AS delivery_state FROM rt GROUP BY persona_id, dimension, g HAVING count(*) >= 2),"""
+
+
+@plans.add("x20_case_metrics", _recursive("WITH RECURSIVE " + REFERENCE.strip().removeprefix("WITH").strip().replace("ref AS (", "ref0 AS (") + """, ref AS (SELECT r.* REPLACE (r.persona_id * 10 + v.run AS persona_id, (r.persona_id * 10 + v.run) || r.episode_id AS episode_id) FROM ref0 r CROSS JOIN (VALUES (1), (2), (3)) v(run)), """ + RUN_LABELS + GREEDY + """,
+days AS (SELECT persona_id, t_index, d FROM entry),
+delay AS (SELECT m.persona_id, m.dimension, count(*) AS hits, median(latency_entries) AS median_delay_entries, median(date_diff('day', b.d, CAST(date_trunc('week', a.d) AS DATE) + 7)) AS median_delay_days FROM matched m JOIN days a ON a.persona_id = m.persona_id // 10 AND a.t_index = m.predicted_confirmation JOIN days b ON b.persona_id = m.persona_id // 10 AND b.t_index = m.reference_confirmation GROUP BY 1, 2),
+pr AS (SELECT persona_id, dimension, l, lead(l) OVER w AS nl, lead(t_index) OVER w = t_index + 1 AS near FROM rl WINDOW w AS (PARTITION BY persona_id, dimension ORDER BY t_index)),
+cov AS (SELECT persona_id, dimension, coalesce(bool_or(l AND nl) FILTER (WHERE near), false) OR coalesce(bool_and(coalesce(NOT l, false) OR coalesce(NOT nl, false)) FILTER (WHERE near), false) AS covered FROM pr GROUP BY 1, 2),
+resp AS (SELECT persona_id, dimension, count(*) FILTER (WHERE ok) AS valid_responses, count(*) FILTER (WHERE NOT ok) AS invalid_responses FROM (SELECT persona_id, dimension, date_trunc('week', d) AS wk, bool_and(ok) AS ok FROM rl GROUP BY 1, 2, 3) GROUP BY 1, 2),
+nr AS (SELECT persona_id, dimension, count(*) AS n FROM ref GROUP BY 1, 2), np AS (SELECT persona_id, dimension, count(*) AS n FROM pred GROUP BY 1, 2)
+SELECT 'plain' AS setup, CAST(k.persona_id % 10 AS INTEGER) AS repeat, k.persona_id // 10 AS persona_id, k.dimension, coalesce(nr.n, 0) AS n_reference, coalesce(np.n, 0) AS n_predicted, coalesce(y.hits, 0) AS hits, median_delay_entries, median_delay_days, c.covered, valid_responses, invalid_responses,
+  coalesce(nr.n, 0) - coalesce(y.hits, 0) AS missed, coalesce(np.n, 0) - coalesce(y.hits, 0) AS false_alerts
+FROM (SELECT DISTINCT persona_id, dimension FROM rl) k LEFT JOIN nr ON nr.persona_id = k.persona_id AND nr.dimension = k.dimension LEFT JOIN np ON np.persona_id = k.persona_id AND np.dimension = k.dimension LEFT JOIN delay y ON y.persona_id = k.persona_id AND y.dimension = k.dimension
+  JOIN cov c ON c.persona_id = k.persona_id AND c.dimension = k.dimension JOIN resp q ON q.persona_id = k.persona_id AND q.dimension = k.dimension"""))
+def _(spark, sf):
+    d = adapter.decision(spark, sf)
+    run = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("repeat")
+    off = (F.col("event_id") + F.col("repeat")) % 9 == 0
+    rows = d.select("*", F.lit("plain").alias("setup"), run).withColumns({"ok": (F.col("review_status") == "ok") & ~off})
+    rows = rows.withColumn("label", F.when(F.col("ok") & (F.col("verdict") != "abstain"), F.col("verdict") == "conflict"))
+    keys = ("setup", "repeat", *CORE)
+    spans = seq.drift_spans(rows, F.coalesce(F.col("label"), F.lit(False)), keys)
+    days = rows.select(*keys, F.col("t_index").alias("confirmation_t_index"), F.date_add(F.date_trunc("week", "d").cast("date"), 7).alias("detection_d"))
+    predicted = spans.select(*keys, F.concat_ws("::", *(F.col(k).cast("string") for k in keys), F.col("onset").cast("string")).alias("episode_id"), F.col("onset").alias("onset_t_index"), F.col("confirmation").alias("confirmation_t_index"), F.lit("drift").alias("delivery_state")).join(days, [*keys, "confirmation_t_index"])
+    weeks = rows.groupBy(*keys, F.date_trunc("week", "d").alias("week")).agg(F.bool_and("ok").alias("ok"))
+    return rev.case_metrics(rows, _reference(spark, sf), predicted, seq.coverage(rows, keys=keys), weeks)

@@ -401,8 +401,8 @@ def _predicted(spark, sf):
     return seq.predicted_episodes(adapter.evidence(spark, sf), 0.55, 0.5)
 
 
-#: Greedy one-to-one matching, reference by reference: what is used is carried along.
-MATCHES = "WITH RECURSIVE " + REFERENCE.strip().removeprefix("WITH").strip() + ", " + PREDICTED.strip().removeprefix("WITH").strip() + """,
+#: Greedy one-to-one matching of `ref` and `pred`, reference by reference: what is used is carried along.
+GREEDY = """
 rs AS (SELECT persona_id, dimension, list({'id': episode_id, 'conf': confirmation_t_index, 'onset': onset_t_index, 'until': end_t_index + 2, 'state': delivery_state} ORDER BY confirmation_t_index, episode_id) AS refs FROM ref GROUP BY 1, 2),
 ps AS (SELECT persona_id, dimension, list({'id': episode_id, 'conf': confirmation_t_index, 'state': delivery_state} ORDER BY confirmation_t_index, episode_id) AS preds FROM pred GROUP BY 1, 2),
 both_ AS (SELECT rs.*, preds FROM rs JOIN ps ON ps.persona_id = rs.persona_id AND ps.dimension = rs.dimension),
@@ -415,6 +415,7 @@ greedy AS (
 matched AS (SELECT g.persona_id, g.dimension, b.refs[g.i].id AS reference_episode_id, g.hit.id AS predicted_episode_id, b.refs[g.i].conf AS reference_confirmation, g.hit.conf AS predicted_confirmation,
   g.hit.conf - b.refs[g.i].conf AS latency_entries, b.refs[g.i].state AS reference_state, g.hit.state AS predicted_state FROM greedy g JOIN both_ b ON b.persona_id = g.persona_id AND b.dimension = g.dimension WHERE g.hit IS NOT NULL)
 """
+MATCHES = "WITH RECURSIVE " + REFERENCE.strip().removeprefix("WITH").strip() + ", " + PREDICTED.strip().removeprefix("WITH").strip() + "," + GREEDY
 
 
 @plans.add("j09_match_episodes", _recursive(MATCHES + "SELECT * FROM matched"))
