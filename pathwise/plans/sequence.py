@@ -546,7 +546,14 @@ def _(spark, sf):
     return seq.dips(df, keys=(*CORE, "is_core")).groupBy("is_core").agg(F.count("recovered").alias("n_dips"), F.round(F.avg(F.col("recovered").cast("double")), 6).alias("share"))
 
 
-@plans.add("x30_merge_overlaps")
+@plans.add("x30_merge_overlaps", _recursive("""WITH RECURSIVE sp AS (SELECT persona_id AS case_id, event_id AS alert, t_index AS onset, t_index + k % 3 AS fin FROM entry),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY alert, onset, fin) AS i FROM sp),
+g AS (SELECT case_id, i, [{'alert': alert, 'onset': onset, 'fin': fin}] AS kept FROM o WHERE i = 1
+  UNION ALL
+  SELECT case_id, i, CASE WHEN coalesce(h, 0) = 0 THEN list_append(kept, {'alert': alert, 'onset': onset, 'fin': fin}) ELSE list_transform(kept, lambda x, j: CASE WHEN j = h THEN {'alert': x.alert, 'onset': x.onset, 'fin': greatest(x.fin, fin)} ELSE x END) END
+  FROM (SELECT o.case_id, o.i, o.alert, o.onset, o.fin, g.kept, list_position(list_transform(g.kept, lambda x: o.onset <= x.fin AND o.fin >= x.onset), true) AS h FROM g JOIN o ON o.case_id = g.case_id AND o.i = g.i + 1)),
+z AS (SELECT case_id, unnest(arg_max(kept, i)) AS x FROM g GROUP BY 1)
+SELECT case_id, x.alert AS alert, x.onset AS onset, x.fin AS "end" FROM z"""))
 def merged(spark, sf):
     spans = adapter.entry(spark, sf).select(F.col("persona_id").alias("case_id"), F.col("event_id").alias("alert"), F.col("t_index").alias("onset"), (F.col("t_index") + F.col("k") % 3).alias("end"))
     return epi.merge_overlaps(spans)
