@@ -23,7 +23,15 @@ def _log(spark, sf):
                     F.when(back, t - 1).otherwise(t).alias("t_index"), F.col("d").cast("string").alias("date"), F.lit("").alias("body"), t.alias("seq_in"))
 
 
-@plans.add("t02_ordered_ingest")
+@plans.add("t02_ordered_ingest", _recursive("""WITH RECURSIVE ev AS (SELECT persona_id AS s, t_index AS i, d, CASE WHEN event_id % 7 = 0 THEN event_id - 1 ELSE event_id END AS key, CASE WHEN event_id % 9 = 0 THEN t_index - 1 ELSE t_index END AS t FROM entry),
+k AS (SELECT *, row_number() OVER (PARTITION BY s, key ORDER BY i) > 1 AS again FROM ev),
+m AS (SELECT DISTINCT s, CAST(-1 AS BIGINT) AS i, NULL::DATE AS d, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS last_t, CAST(NULL AS VARCHAR) AS why FROM ev
+  UNION ALL
+  SELECT s, i, d, CASE WHEN why IS NULL THEN r + 1 ELSE r END, CASE WHEN why IS NULL THEN list_append(taken, t) ELSE taken END, CASE WHEN why IS NULL THEN t ELSE last_t END, why FROM (
+    SELECT k.s, k.i, k.d, k.t, m.r, m.taken, m.last_t, CASE WHEN k.again THEN 'key was used for another request' WHEN k.i <> m.r THEN 'stale revision' WHEN list_contains(m.taken, k.t) THEN 'position is taken' WHEN k.t <= m.last_t THEN 'position goes back' END AS why
+    FROM m JOIN k ON k.s = m.s AND k.i = m.i + 1))
+SELECT CASE WHEN why IS NULL THEN 'accepted' WHEN why LIKE 'key%' THEN 'conflict' ELSE 'rejected' END AS outcome, why AS reason, count(*) AS n FROM m WHERE i >= 0 GROUP BY 1, 2
+UNION ALL SELECT 'week_closed', NULL, CAST(sum(n - 1) AS BIGINT) FROM (SELECT s, count(DISTINCT date_trunc('week', d)) AS n FROM m WHERE i >= 0 AND why IS NULL GROUP BY 1) HAVING sum(n - 1) > 0"""))
 def ordered(spark, sf):
     return sessions.replay(_log(spark, sf)).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
 
