@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pathwise.llm.common import slices, table, text_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens kept by a Python worker before its table is emptied.
-KEPT = 600_000
+#: Pre-tokens that a Python worker keeps, twice over.
+KEPT = 300_000
 KEPT_BYTES = 64
 BITS = 256
 BIT = [1 << k for k in range(BITS)]
@@ -130,13 +130,15 @@ class Codec(dict):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = {i: b for b, i in self.ranks.items()}
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
         word = piece.encode()
-        ids = np.array(merge(word, self.ranks), "<u4").tobytes()
+        ids = self.older.get(piece) or np.array(merge(word, self.ranks), "<u4").tobytes()
         if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT:  # pieces that have come since the last time stay
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

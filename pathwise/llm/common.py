@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -80,8 +81,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on from stage to stage, and what one stage had at its peak
+    would add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches cut into at most `rows` rows, so that a Python worker holds few texts and results at a time."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+    try:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+    finally:
+        give_back()
