@@ -11,17 +11,29 @@ from pyspark.sql.window import Window
 
 
 def uniform(*parts) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / float(1 << 52)
+    """A number in [0, 1) that depends on the parts alone: the first 52 bits of the MD5 of their texts with '|' between, which
+    any engine can repeat."""
+    text = F.concat_ws("|", *((F.col(p) if isinstance(p, str) else p).cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)
 
 
-def poisson_weight(u: Column, most: int = 9) -> Column:
-    """Number of draws in a bootstrap of many clusters: Poisson with mean one, by inversion."""
-    acc, term, out = math.exp(-1.0), math.exp(-1.0), F.when(u < math.exp(-1.0), 0)
+def poisson_steps(most: int = 9) -> list[float]:
+    """The chances of at most 0, 1, ... most - 1 draws, Poisson with mean one."""
+    acc = term = math.exp(-1.0)
+    steps = [acc]
     for k in range(1, most):
         term /= k
         acc += term
-        out = out.when(u < acc, k)
+        steps.append(acc)
+    return steps
+
+
+def poisson_weight(u: Column, most: int = 9) -> Column:
+    """Number of draws in a bootstrap of many clusters: Poisson with mean one, by inversion."""
+    steps = poisson_steps(most)
+    out = F.when(u < steps[0], 0)
+    for k, step in enumerate(steps[1:], 1):
+        out = out.when(u < step, k)
     return out.otherwise(most)
 
 

@@ -16,7 +16,7 @@ from pathwise.operators import sequence as seq
 from pathwise.operators import weekly as wk
 from pathwise.plans import labels as lab
 from pathwise.plans.base import Plans
-from pathwise.plans.sequence import REFERENCE
+from pathwise.plans.sequence import PREDICTED, REFERENCE
 
 plans = Plans()
 CORE = ["persona_id", "dimension"]
@@ -149,10 +149,28 @@ def _(spark, sf):
     return rows.groupBy("run").agg(F.coalesce(-best["e"], F.lit(0)).alias("epoch"))
 
 
-@plans.add("b01_cluster_bootstrap")
+def _u(*parts: str) -> str:
+    """SQL of the draw that the hash of the parts gives."""
+    return "(CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + f")), 1, 13) AS BIGINT) / {float(1 << 52)!r})"
+
+
+def _drawn(clusters: str, cluster: str, top: str, bottom: str, replicates: int, by: str = "") -> str:
+    """SQL of a cluster bootstrap's interval over the rows of `clusters`."""
+    weight = "CASE " + " ".join(f"WHEN u < {step!r} THEN {k}" for k, step in enumerate(res.poisson_steps())) + " ELSE 9 END"
+    first = f"{by}, " if by else ""
+    return f"""dr AS (SELECT *, {_u("7", "replicate", cluster)} AS u FROM ({clusters}) CROSS JOIN (SELECT unnest(range(0, {replicates})) AS replicate)),
+bv AS (SELECT {first}replicate, sum(w * {top}) / nullif(sum(w * {bottom}), 0) AS value FROM (SELECT *, {weight} AS w FROM dr) GROUP BY {first}replicate)
+SELECT {first}round(quantile_cont(value, 0.025), 9) AS low, round(median(value), 9) AS mid, round(quantile_cont(value, 0.975), 9) AS high, count(value) AS n_replicates FROM bv""" + (f" GROUP BY {by}" if by else "")
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 9) for c in ("low", "mid", "high")})
+
+
+@plans.add("b01_cluster_bootstrap", "WITH " + _drawn("SELECT persona_id, dimension, count(*) FILTER (WHERE score = -1) AS hits, count(score) AS n FROM label GROUP BY 1, 2", "persona_id", "hits", "n", 200, "dimension"), views=True)
 def bootstrap(spark, sf):
     c = adapter.label(spark, sf).groupBy("persona_id", "dimension").agg(F.count_if(F.col("score") == -1).alias("hits"), F.count("score").alias("n"))
-    return res.percentile_interval(res.cluster_bootstrap(c, "persona_id", "hits", "n", 200, by=("dimension",)), ("dimension",))
+    return _rounded(res.percentile_interval(res.cluster_bootstrap(c, "persona_id", "hits", "n", 200, by=("dimension",)), ("dimension",)))
 
 
 @plans.add("b02_bca_interval")
@@ -161,31 +179,40 @@ def bca(spark, sf):
     return res.bca_interval(c, "persona_id", "hits", "n", 400)
 
 
-@plans.add("b03_permutation_test")
+@plans.add("b03_permutation_test", f"""WITH c AS (SELECT persona_id, coalesce(avg(score) FILTER (WHERE dim_index % 2 = 0), 0) AS x, coalesce(avg(score) FILTER (WHERE dim_index % 2 = 1), 0) AS y, count(*) // 100 AS stratum FROM label GROUP BY 1),
+dr AS (SELECT *, row_number() OVER (PARTITION BY replicate, stratum ORDER BY persona_id) AS k, row_number() OVER (PARTITION BY replicate, stratum ORDER BY {_u("7", "replicate", "persona_id")}, persona_id) AS j FROM c CROSS JOIN (SELECT unnest(range(0, 100)) AS replicate)),
+s AS (SELECT a.replicate, sum(a.x * b.y) AS s FROM dr a JOIN dr b ON b.replicate = a.replicate AND b.stratum = a.stratum AND b.j = a.k GROUP BY 1), o AS (SELECT sum(x * y) AS observed FROM c)
+SELECT round(observed, 9) AS observed, (1 + count(*) FILTER (WHERE abs(s) >= abs(observed))) / (count(*) + 1) AS p, count(*) AS n_replicates FROM s, o GROUP BY observed""", views=True)
 def permutation(spark, sf):
     c = adapter.label(spark, sf).groupBy("persona_id").agg(
         F.coalesce(F.avg(F.when(F.col("dim_index") % 2 == 0, F.col("score"))), F.lit(0.0)).alias("x"), F.coalesce(F.avg(F.when(F.col("dim_index") % 2 == 1, F.col("score"))), F.lit(0.0)).alias("y"), F.floor(F.count(F.lit(1)) / 100).alias("stratum"))
-    return res.permutation_test(c, "persona_id", "stratum", "x", "y", 100)
+    return res.permutation_test(c, "persona_id", "stratum", "x", "y", 100).withColumn("observed", F.round("observed", 9))
 
 
-@plans.add("b04_ratio_bootstrap")
+@plans.add("b04_ratio_bootstrap", "WITH " + _drawn("SELECT persona_id, sum(split) AS top, count(*) AS n FROM (SELECT persona_id, event_id, dimension, CASE WHEN min(score) <> max(score) THEN 1 ELSE 0 END AS split FROM vote GROUP BY 1, 2, 3) GROUP BY 1", "persona_id", "top", "n", 400), views=True)
 def ratios(spark, sf):
     cells = adapter.vote(spark, sf).groupBy("persona_id", "event_id", "dimension").agg((F.min("score") != F.max("score")).cast("int").alias("split"))
     c = cells.groupBy("persona_id").agg(F.sum("split").alias("top"), F.count(F.lit(1)).alias("n"))
-    return res.percentile_interval(res.cluster_bootstrap(c, "persona_id", "top", "n", 400))
+    return _rounded(res.percentile_interval(res.cluster_bootstrap(c, "persona_id", "top", "n", 400)))
+
+
+def _episodes(probability: float) -> str:
+    return f"({PREDICTED.replace('0.55', str(probability))} SELECT persona_id, dimension, count(*) AS n FROM pred GROUP BY 1, 2)"
 
 
-@plans.add("b05_paired_bootstrap")
+@plans.add("b05_paired_bootstrap", "WITH " + _drawn(f"SELECT persona_id || '|' || dimension AS cluster, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta, 1 AS one FROM (SELECT DISTINCT persona_id, dimension FROM evidence) k LEFT JOIN {_episodes(0.5)} a USING (persona_id, dimension) LEFT JOIN {_episodes(0.6)} b USING (persona_id, dimension)", "cluster", "delta", "one", 200), views=True)
 def paired(spark, sf):
     """Difference of two detectors' hits per trajectory, resampled by trajectory."""
     e = adapter.evidence(spark, sf)
     n = lambda p, name: seq.predicted_episodes(e, p, 0.5).groupBy(*CORE).agg(F.count(F.lit(1)).alias(name))
     both = e.select(*CORE).distinct().join(n(0.5, "a"), CORE, "left").join(n(0.6, "b"), CORE, "left").na.fill(0)
     c = both.select(F.concat_ws("|", F.col("persona_id").cast("string"), "dimension").alias("cluster"), (F.col("a") - F.col("b")).alias("delta"), F.lit(1).alias("one"))
-    return res.percentile_interval(res.cluster_bootstrap(c, "cluster", "delta", "one", 200))
+    return _rounded(res.percentile_interval(res.cluster_bootstrap(c, "cluster", "delta", "one", 200)))
 
 
-@plans.add("b06_placement_test")
+@plans.add("b06_placement_test", f"""WITH w AS (SELECT persona_id, CAST(date_trunc('week', d) AS DATE) AS week, count(*) FILTER (WHERE score = -1) AS n FROM label GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY {_u("7", "persona_id", "week")}) AS k FROM w), g AS (SELECT persona_id, max(n) AS most, max(n) FILTER (WHERE k = 1) AS drawn FROM r GROUP BY 1)
+SELECT round(avg(CASE WHEN drawn >= most THEN 1.0 ELSE 0 END), 6) AS share FROM g""", views=True)
 def placement(spark, sf):
     """Share of random weeks that hold as many conflicts as the week of each persona's first predicted episode."""
     weeks = adapter.label(spark, sf).groupBy("persona_id", fn.week_start("d").alias("week")).agg(F.count_if(F.col("score") == -1).alias("n"))
@@ -337,7 +364,7 @@ def _(spark, sf):
     return p.groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("hi") > F.col("lo")).cast("double")), 6).alias("directional"), F.round(F.avg(F.col("hi") - F.col("lo")), 6).alias("margin"))
 
 
-@plans.add("x60_weighted_choice")
+@plans.add("x60_weighted_choice", f"SELECT CASE WHEN u < 0.5 THEN 'none' WHEN u < 0.8 THEN 'soft' ELSE 'deep' END AS choice, count(*) AS n FROM (SELECT {_u('7', 'event_id')} AS u FROM events) GROUP BY 1")
 def choices(spark, sf):
     return res.weighted_choice(table(spark, sf, "events").select("event_id"), {"none": 0.5, "soft": 0.3, "deep": 0.2}, F.lit(7), F.col("event_id")).groupBy("choice").agg(F.count(F.lit(1)).alias("n"))
 
