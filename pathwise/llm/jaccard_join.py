@@ -169,7 +169,7 @@ def _matched(nodes: DataFrame) -> DataFrame:
         length = F.when(F.col(f"under{k}") <= WIDE, k).otherwise(length)
     length = length if LONGEST > SHORTEST else F.lit(SHORTEST)
     stops = counts.select("tree", "label", length.alias("length"))
-    deep = written(crowded.drop("n", "cell").join(stops, ["tree", "label"]), "forest-deep")
+    deep = stopped = written(crowded.drop("n", "cell").join(stops, ["tree", "label"]), "forest-deep")
 
     # Step 2: nodes whose recall is under the target.
     uniform = uniform_length()
@@ -180,7 +180,9 @@ def _matched(nodes: DataFrame) -> DataFrame:
     deep = deep.select("uid", "words", "tree", "label", F.least("length", F.coalesce("_wide", "length")).alias("length"))
     deep = deep.select("uid", "words", "tree", "length", _cell("tree", F.concat(_prefix(F.col("length")), F.col("length").cast("string").cast("binary"))).alias("cell"))
     near = placed.filter(F.col("n") <= WIDE).select("uid", "words", "tree", F.lit(SHORTEST).alias("length"), "cell")
-    return written(near.unionByName(deep), "forest-matched")
+    matched = written(near.unionByName(deep), "forest-matched")
+    discard(placed, stopped)
+    return matched
 
 
 def _groups(matched: DataFrame) -> DataFrame:
