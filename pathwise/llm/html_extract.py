@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import slices, table
+from pathwise.llm.common import slices, table, written
 
 NAMES = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -37,6 +37,8 @@ UNQUOTED = re.compile(r"[^>\"']*")
 SPACE = re.compile(r"\s+")
 #: Different pages of a host that say the same on a path, from which on it may be no article's.
 SAME_PAGES = 3
+#: Bytes of all hosts' verdicts up to which they are sent to the pages; beyond, both are dealt over hosts and SALTS parts.
+SENT_BYTES, SALTS = 16 << 20, 64
 #: HTML's void elements, elements whose content is no text, and elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button canvas".split())
@@ -298,8 +300,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(*x) for x in zip(*(batch[c].to_pylist() for c in ("html", "path", "rejected", "released")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch["path"]], ["page_id", "url", "text", "n_chars", "path"])
 
-    # One small row a host: Spark broadcasts them where they fit its limit, and else splits the hosts with most pages.
-    joined = pages.select("page_id", "url", "html", host_of(pages).alias("host_key")).join(host_paths(pages), "host_key", "left")
+    hosts = written(host_paths(pages), "host-paths")
+    size = hosts.agg(F.sum(F.octet_length("host_key") + 8 * (F.size("rejected") + F.size("released") + 8))).first()[0] or 0
+    rows = pages.select("page_id", "url", "html", host_of(pages).alias("host_key"))
+    if size <= SENT_BYTES:
+        joined = rows.join(F.broadcast(hosts), "host_key", "left")  # the pages stay where they are
+    else:
+        salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host_key", "salt"], "left")
     return joined.select("page_id", "url", "html", "path", "rejected", "released").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path long")
 
 

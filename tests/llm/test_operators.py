@@ -307,7 +307,9 @@ def test_pages_of_any_shape_take_linear_time():
         assert text.count("x") == page.count("x") and len(seen) <= n
 
 
-def test_pages_by_consensus(spark):
+@pytest.mark.parametrize("sent", [1 << 24, 0])
+def test_pages_by_consensus(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_extract, "SENT_BYTES", sent)
     words = lambda k, n: " ".join(f"word{k}a{j}" for j in range(n))
     lines, rows = {}, []
     for k in range(8):  # the lead, unequal sections, a long list and a table belong to the article; what repeats does not
