@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathwise.llm import bpe_codec, html_extract, jaccard_join, jpeg_media, language_id, mixing, quality_mil, quality_rules, suffix_dedup, token_shards
+from pathwise.llm import bpe_codec, html_extract, jaccard_join, jpeg_media, language_id, merkle, mixing, quality_mil, quality_rules, suffix_dedup, token_shards, url_filter, whitening
 
 QUERIES = {
     "op2_suffix_array_dedup": suffix_dedup.query,
@@ -15,7 +15,12 @@ QUERIES = {
     "op10_jpeg_media": jpeg_media.query,
     "op8_mix_sources": mixing.query,
     "op9_host_quality_rules": quality_rules.query,
+    "op11_url_digest_array": url_filter.query,
+    "op12_digit_slice_whitening": whitening.query,
+    "op13_merkle_manifest": merkle.query,
 }
 ORACLES = {
     "op9_host_quality_rules": quality_rules.ORACLE,
+    "op11_url_digest_array": url_filter.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
