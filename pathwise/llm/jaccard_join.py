@@ -1,6 +1,6 @@
 """Near-duplicate documents by n-gram Jaccard similarity: a MinHash LSH forest, then exact verification.
 
-Texts with the same set of five-word shingles are one node, named by its first row. A node has a label of `LONGEST`
+Texts with the same set of five-word shingles (by a 128-bit hash of the set) are one node, named by its first row. A node has a label of `LONGEST`
 MinHashes in each of `TREES` trees; in a tree's sorted labels the nodes that share a prefix stand together, and how many
 stand under each prefix is counted from whole labels up. Which prefixes are matched is settled in two steps:
 
@@ -12,7 +12,7 @@ stand under each prefix is counted from whole labels up. Which prefixes are matc
 
 Each group of nodes under one matched prefix is verified once, however many trees show the same group. A large group is
 cut into blocks of bounded size by a seeded hash and every two blocks meet in one unit of work, so that no pair is lost.
-Inside a unit similarities are exact, from the shingle sets. A pair counts in the first tree where it meets only. A unit
+Inside a unit similarities are exact, from the sets of the shingles' 64-bit hashes. A pair counts in the first tree where it meets only. A unit
 returns its nodes' numbers of links and a spanning forest of them, not the pairs; classes are connected components.
 
 Defined cases: null, empty and wordless texts have no shingles, link to nothing and are classes of their own; a text of
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,9 @@ WIDE = 64
 BLOCK, BLOCK_SHINGLES = 384, 150_000
 
 _rng = np.random.default_rng(20240229)
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-STEP = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: What is kept of eight bytes of which the first k belong to a word.
+KEPT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 XORS = _rng.integers(1, 1 << 63, TREES * LONGEST, dtype=np.uint64)
 ODDS = _rng.integers(1, 1 << 63, TREES * LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,29 +69,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: the sum of its bytes' values times powers of STEP, from its first byte on."""
+    """A 64-bit hash of each word: mixed from its bytes and length up to 16 bytes, by which words of up to 8 bytes and one
+    length never share a hash; xxh3 of longer words."""
     data = np.frombuffer(text, np.uint8)
     word = (data != 32) & ((data < 9) | (data > 13))
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    begins, ends = edges[::2], edges[1::2]
-    if not len(begins):
+    lo, hi = edges[::2], edges[1::2]
+    if not len(lo):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(data)) - np.repeat(np.append(begins, 0)[:-1], np.diff(np.append(begins, len(data)))) if begins[0] == 0 else None
-    if place is None:
-        place = np.concatenate([np.zeros(begins[0], np.int64), np.arange(begins[0], len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))])
-    values = BYTE_VALUE[data] * _powers(int(place.max()) + 1)[place]
-    total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-    return mix((total[ends] - total[begins]) ^ (ends - begins).astype(np.uint64))
-
-
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, STEP)]), dtype=np.uint64)
-    return _POWERS
+    at_any = np.ndarray((len(text) + 1,), "<u8", text + bytes(8), 0, (1,))  # the eight bytes from any place on
+    size = hi - lo
+    out = mix((at_any[lo] & KEPT[np.minimum(size, 8)]) + STEP)
+    out = mix((out ^ (at_any[np.minimum(lo + 8, len(text))] & KEPT[np.clip(size - 8, 0, 8)])) * STEP + size.astype(np.uint64))
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(text[lo[k] : hi[k]])
+    return out
 
 
 def shingles(text: str) -> np.ndarray:
@@ -115,21 +109,21 @@ def labels(of: np.ndarray) -> np.ndarray:
 
 
 def _described(texts: pa.Array) -> pa.Array:
-    """The hash and size of each text's shingle set and its labels, one tree after another; nulls without words."""
+    """A 128-bit hash and the size of each text's shingle set and its labels, one tree after another; nulls without words."""
     nodes, words, of = [], [], []
     for k in range(0, len(texts), 256):
         for text in texts[k : k + 256].to_pylist():
             own = shingles(text)
             some = len(own) > 0
-            nodes.append(int(mix(own + np.uint64(len(own))).sum().view(np.int64)) if some else None)
+            nodes.append(xxhash.xxh3_128_digest(own.tobytes()) if some else None)
             words.append(len(own))
             of.append(labels(own).tobytes() if some else None)
-    return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.int32()), pa.array(of, pa.binary())], ["node", "words", "labels"])
+    return pa.StructArray.from_arrays([pa.array(nodes, pa.binary()), pa.array(words, pa.int32()), pa.array(of, pa.binary())], ["node", "words", "labels"])
 
 
 def _describe(docs: DataFrame) -> DataFrame:
     """Every row of `docs` as _row, with uid (its number), thash (of its text), node, words and labels of its set."""
-    described = F.arrow_udf(_described, "struct<node:bigint,words:int,labels:binary>")
+    described = F.arrow_udf(_described, "struct<node:binary,words:int,labels:binary>")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text_of()).alias("thash"), F.monotonically_increasing_id().alias("uid"), described(text_of()).alias("d"))
     return written(rows, "forest-rows").select("_row", "uid", "thash", "d.*")
 

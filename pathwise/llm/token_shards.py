@@ -8,8 +8,8 @@ the lengths they expand to, its symbols, and for each document where its symbols
 (`Shard.document`) or any run of ids (`Shard.ids`) is decoded without the rest.
 
 Encoding is the tokenizers library's: a text is cut at single blanks and line breaks between words, where this
-vocabulary's own splitting always cuts; each different piece is encoded by the library once per worker, and a text with
-any other white space, wherever it stands, is encoded whole.
+vocabulary's own splitting always cuts; each different piece is encoded by the library once and kept by a worker, and a text
+with any other white space, wherever it stands, is encoded whole.
 
 Defined cases: a null or empty text has the end id alone; a text of any length lies in one shard; a null doc_id comes
 before all others; rows that share a doc_id follow each other in order of their texts; an empty table gives an empty
@@ -45,15 +45,17 @@ DOUBLE = "  ", " \n", "\n ", "\n\n"
 #: How the vocabulary writes a blank at the start of a token, and marks that end a word.
 BLANK, MARKS = "\u0120", ",.;:"
 
-_rng = np.random.default_rng(50257)
-BYTE_VALUE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes up to which a piece is its own name in the table; longer ones are looked up as bytes, kept up to `LONG_BYTES` and `LONG` of them.
+NAMED, LONG_BYTES, LONG = 16, 64, 1 << 15
+#: What is kept of eight bytes of which the first k belong to a piece.
+KEPT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class Encoder:
     """Texts to ids, by pieces: a word after a blank, or one at the start of a text or after a line break, by which its ids
-    differ. A worker keeps pieces of up to `INLINE` ids in a table by hash, in which a later piece takes an older one's
-    slot; two 64-bit hashes of a piece's bytes have to agree."""
+    differ. A worker keeps pieces of up to `NAMED` bytes and `INLINE` ids in a table by hash, in which a later piece takes
+    an older one's slot. The table holds a piece's bytes themselves, its length and what it follows, so that only equal
+    pieces agree."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,9 +73,9 @@ class Encoder:
         self.mark, self.line_break = np.zeros(256, np.uint16), line_break[0]
         self.mark[[ord(x) for x in MARKS]] = [x[0] for x in marks]
         self.begins["\n"][self.line_break] = True
-        self.names = np.zeros((SLOTS, 2), np.uint64)
+        self.names = np.zeros((SLOTS, 3), np.uint64)
         self.ids, self.count = np.zeros((SLOTS, INLINE), np.uint16), np.zeros(SLOTS, np.int64)
-        self.powers = np.ones((2, 1), np.uint64)
+        self.long: dict[tuple[bytes, bool], np.ndarray] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -84,18 +86,33 @@ class Encoder:
         ids = np.concatenate([np.zeros(0, np.uint16), *(self._encode([between + between.join(words[k : k + 5000])])[0] for k in range(0, len(words), 5000))])
         return ids, np.append(np.flatnonzero(self.begins[between][ids]), len(ids))
 
-    def _hashes(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray, after_blank: np.ndarray) -> np.ndarray:
-        if self.powers.shape[1] < len(data):
-            steps = np.array([[STEP], [BACK]]).repeat(2 * len(data), 1)
-            self.powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), steps], 1), axis=1, dtype=np.uint64)
-        out = np.empty((len(lo), 2), np.uint64)
-        for k in range(2):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[k][data] * self.powers[0, : len(data)], dtype=np.uint64, out=sums[1:])
-            x = (sums[hi] - sums[lo]) * self.powers[1][lo] + (hi - lo).astype(np.uint64) * np.uint64(2) + after_blank
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[:, k] = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return out
+    def _named(self, raw: bytes, lo: np.ndarray, hi: np.ndarray, after_blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The names of the pieces (their first 16 bytes as two integers; length and what stands before) and a hash of each
+        name. Of a longer piece the name is that of its beginning."""
+        at_any = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8 + NAMED), 0, (1,))  # the eight bytes from any place on
+        size = hi - lo
+        names = np.empty((len(lo), 3), np.uint64)
+        names[:, 0] = at_any[lo] & KEPT[np.minimum(size, 8)]
+        names[:, 1] = at_any[np.minimum(lo + 8, len(raw))] & KEPT[np.clip(size - 8, 0, 8)]
+        names[:, 2] = (size.astype(np.uint64) << np.uint64(1)) | after_blank
+        x = (names[:, 0] + names[:, 2]) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29)) ^ names[:, 1]) * np.uint64(0x94D049BB133111EB)
+        return names, (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+
+    def _long_pieces(self, pieces: list[tuple[bytes, bool]]) -> list[np.ndarray]:
+        """The ids of pieces too long for the table, by their bytes and whether a blank stands before."""
+        known = {x: self.long[x] for x in pieces if x in self.long}
+        new = [x for x in dict.fromkeys(pieces) if x not in known]
+        for after in (True, False):
+            words = [x for x in new if x[1] == after]
+            flat, begin = self._joined([x[0].decode() for x in words], " " if after else "\n")
+            start = begin[:-1] + (not after)
+            for word, a, b in zip(words, start.tolist(), begin[1:].tolist(), strict=True):
+                known[word] = flat[a:b]
+        if len(self.long) > LONG:
+            self.long.clear()
+        self.long.update((x, known[x].copy()) for x in new if len(x[0]) <= LONG_BYTES)
+        return [known[x] for x in pieces]
 
     def _pieces(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts of words between single blanks or line breaks, and how many each text has."""
@@ -111,13 +128,21 @@ class Encoder:
         # A letter before a closing mark ends a piece of this vocabulary's splitting.
         closed = (self.mark[data[hi - 1]] > 0) & (((data[hi - 2] | 32) - ord("a")) < 26) & (hi - lo > 1)
         hi -= closed
-        names = self._hashes(data, lo, hi, after_blank)
-        slot = (names[:, 0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        names, hashes = self._named(raw, lo, hi, after_blank)
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         ids, count = self.ids[slot], self.count[slot]
         missing = np.flatnonzero((count == 0) | (self.names[slot] != names).any(1))
+        _, some, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        alone = (hi[missing] - lo[missing] > NAMED) | (names[missing] != names[missing[some[which]]]).any(1)  # or another piece has the hash
+        beyond, missing = missing[alone], missing[~alone]
         long: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(beyond):
+            spans = zip(lo[beyond].tolist(), hi[beyond].tolist(), after_blank[beyond].tolist(), strict=True)
+            for k, own in zip(beyond.tolist(), self._long_pieces([(raw[a:b], after) for a, b, after in spans]), strict=True):
+                count[k] = len(own)
+                long.append((np.array([k]), own))
         if len(missing):
-            _, some, which = np.unique(names[missing, 0], return_index=True, return_inverse=True)
+            _, some, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             some = missing[some]
             for between in (" ", "\n"):
                 new = np.flatnonzero(after_blank[some] == (between == " "))
@@ -146,7 +171,7 @@ class Encoder:
         for k in range(INLINE):
             has = np.flatnonzero(count > k)
             out[at[has] + k] = ids[has, k]
-        for rows, whole in long:
+        for rows, whole in long:  # over what the table had there
             for row in rows.tolist():
                 out[at[row] : at[row] + len(whole)] = whole
         out[at[closed] + count[closed]] = self.mark[data[hi[closed]]]

@@ -52,6 +52,30 @@ def test_shards_match_the_library(spark):
     assert token_shards.read_documents(token_shards.write_shards(empty(spark))).count() == 0
 
 
+def _thue_morse(n: int) -> tuple[str, str]:
+    """Two words with equal sums of letters times powers of any odd base modulo 2^64."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_are_told_apart_by_their_bytes(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(token_shards.VOCABULARY))
+    rng = random.Random(8)
+    piece = lambda: "".join(rng.choice("abcdeé1.,'😀-") for _ in range(rng.choice([1, 3, 7, 8, 9, 15, 16, 17, 18, 70])))
+    texts = [x for n in (1024, 2048, 4096) for a, b in [_thue_morse(n)] for x in (a, b, f"{a} {b}", f"{b}\n{a}")]
+    texts += [rng.choice([" ", "\n"]).join(piece() for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    own = token_shards.Encoder(token_shards.VOCABULARY)
+    clashing = token_shards.Encoder(token_shards.VOCABULARY)
+    named = clashing._named
+    monkeypatch.setattr(clashing, "_named", lambda *a: (named(*a)[0], named(*a)[1] & np.uint64(3 << 44)))  # all pieces in one slot, with four hashes
+    for some in (texts, texts[::-1], texts[:12]):
+        ids = [np.array(x.ids, "<u2").tobytes() for x in library.encode_batch(some, add_special_tokens=False)]
+        assert own.encode(some) == ids and clashing.encode(some) == ids
+
+
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for n, most in ((1, 5), (50, 2), (5000, 3), (60000, 40)):
@@ -454,6 +478,42 @@ def test_near_duplicates(spark, monkeypatch, block, wide):
     assert kept == sorted({c for c, _ in expected.values()})
 
 
+def test_different_words_make_different_shingles(spark):
+    """Words with equal sums of letters times powers stay different: neither copies nor links, and both documents stay."""
+    for n in (1024, 4096):
+        a, b = _thue_morse(n)
+        assert set(jaccard_join.shingles(f"w x y z {a}").tolist()).isdisjoint(jaccard_join.shingles(f"w x y z {b}").tolist())
+    shared = "one two three four five six seven"
+    df = spark.createDataFrame([(k, f"{shared} {word}") for k, word in enumerate(_thue_morse(1024))], "doc_id long, text string")
+    assert {(r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard_join.near_duplicates(df).collect()} == {(0, 0, 0), (1, 0, 0)}
+    assert jaccard_join.drop_near_duplicates(df).count() == 2
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("ab") for _ in range(rng.choice([3, 8, 9, 16, 17, 40]))) for _ in range(4000)})
+    assert len(set(jaccard_join._word_hashes(" ".join(words).encode()).tolist())) == len(words)
+    assert jaccard_join._word_hashes(b" a  a\taa\n").tolist()[:2] == jaccard_join._word_hashes(b"a a").tolist()
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of 0.8 to 0.85 among texts of which many begin alike: all that brute force finds are linked."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(6))
+    shared, texts = [word() for _ in range(40)], []
+    for _ in range(150):
+        own = shared + [word() for _ in range(160)]
+        other = list(own)
+        for at in rng.sample(range(45, 200), rng.choice([3, 4])):
+            other[at] = word()
+        texts += [" ".join(own), " ".join(other)]
+    sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
+    ratio = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, len(sets), 2)]
+    close = [k for k, x in enumerate(ratio) if 0.8 <= x <= 0.85]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(df).collect()}
+    found = sum(links[2 * k] for k in close)
+    assert len(close) > 40 and found >= 0.99 * len(close)
+    assert sum(links.values()) <= 2 * sum(x >= 0.8 for x in ratio)
+
+
 def test_near_duplicates_defined_cases(spark):
     docs = documents(spark, clashing=True)
     out = jaccard_join.drop_near_duplicates(docs)
