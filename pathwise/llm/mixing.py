@@ -3,7 +3,8 @@
 Sources, sorted by code point with null last, weigh 5, 2, 1, repeating, and share 150 % of all words; a target stops at
 twice its source's words and the excess goes to the others by weight (`source_targets`). A source then gives all its
 documents `floor(target / words)` times, and the remaining budget is fitted from its counts of documents by exact
-length: a proportional draft, and bounded-knapsack dynamic programming for what the draft leaves (`fit_counts`). Which
+length: a proportional draft, and bounded-knapsack dynamic programming for what the draft leaves, all of it where the draft
+would miss (`fit_counts`). Which
 documents of a length are taken follows a seeded hash of id and text: counts by 1/256 of the hash range give whole takes, and only
 the range at the boundary is ranked, so that no task sees all documents of a common length. All this moves numbers, not
 texts; the mix itself joins them to the rows by the rows' own numbers.
@@ -27,29 +28,43 @@ SHARE = 1.5
 MAX_REPEAT = 2
 SEED = 17
 RANGES = 256
-#: Mean document lengths that the draft leaves to the dynamic programme.
-SLACK_DOCS = 8
+#: Mean document lengths that the draft leaves to the dynamic programme at first, and the part of the budget up to which
+#: a gap is taken; a wider one has a smaller draft tried, four times as much left each time, while sums up to MOST_SUMS are
+#: in reach of the programme's table. Without a draft the best sum of all is found.
+SLACK_DOCS, GAP, MOST_SUMS = 8, 1000, 1 << 24
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take (at most `counts`) for a total near `budget`, never above it.
 
     The draft takes the same share of every length, then one more of some lengths while they fit. The rest of the
-    budget, a few documents' words, is fitted by bounded-knapsack dynamic programming over the documents left: each
-    length's count is split into powers of two, and `made_by` holds the piece that first reached a sum."""
-    take = np.zeros(len(sizes), np.int64)
+    budget, a few documents' words, is fitted by bounded-knapsack dynamic programming over the documents left. Where
+    that misses the budget by more than one part in `GAP`, more is left to the programme."""
     total = int((sizes * counts).sum())
     if budget <= 0 or total == 0:
-        return take
+        return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    draft = max(0, budget - SLACK_DOCS * -(-total // int(counts.sum())))
+    slack, best, best_gap = SLACK_DOCS * -(-total // int(counts.sum())), None, budget + 1
+    while True:
+        take = _fitted(sizes, counts, budget, total, max(0, budget - slack))
+        gap = budget - int((sizes * take).sum())
+        if gap < best_gap:
+            best, best_gap = take, gap
+        if best_gap * GAP <= budget or slack >= budget or 4 * slack > MOST_SUMS:
+            return best
+        slack *= 4
+
+
+def _fitted(sizes: np.ndarray, counts: np.ndarray, budget: int, total: int, draft: int) -> np.ndarray:
+    """A draft of `draft` words, the rest by dynamic programming: each length's count is split into powers of two, and
+    `made_by` holds the piece that first reached a sum."""
     exact = counts * (draft / total)
     take = np.minimum(np.floor(exact).astype(np.int64), counts)
     left = budget - int((sizes * take).sum())
     slack = budget - draft
     shuffled = np.random.default_rng(SEED).permutation(len(sizes))
-    for k in shuffled[np.argsort((np.floor(exact) - exact)[shuffled], kind="stable")]:  # the largest fractions first, ties in seeded order
+    for k in shuffled[np.argsort((np.floor(exact) - exact)[shuffled], kind="stable")] if draft else ():  # the largest fractions first, ties in seeded order
         if take[k] < counts[k] and left - sizes[k] >= slack:
             take[k] += 1
             left -= int(sizes[k])
@@ -84,18 +99,31 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"skey": rows["skey"], "size": rows["size"], "whole": np.int64(whole), "extra": extra})
 
 
+def _before(rows: DataFrame, order: list, sums: dict, name: str) -> DataFrame:
+    """`rows` with the sums of what stands before each in `order`, by ranges: sums within a range's part add to those of
+    the parts before, of which there are as many as partitions, hence the window over them and the broadcast."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    dealt = written(dealt.withColumn("_part", F.shiftright("_row", 33)), name)
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("_part").agg(*(F.sum(value).alias(f"_{c}") for c, value in sums.items()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums))
+    out = dealt.join(F.broadcast(parts), "_part")
+    return out.select(*rows.columns, *((F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(f"_{c}")).alias(c) for c, value in sums.items()))
+
+
 def source_targets(sources: DataFrame) -> DataFrame:
-    """Adds `target` to one row per source (skey, source, source_size). Level filling in closed form: sorted by cap over
-    weight, the first source whose cap is above the level of those from it on is where capping ends. The windows are
-    over sources, not documents."""
-    in_order, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("_ratio", "skey")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(in_order) - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")
-    out = sources.withColumn("_weight", weight).withColumn("_cap", F.col("source_size") * float(MAX_REPEAT)).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    budget = F.sum("source_size").over(Window.partitionBy()) * SHARE
-    before = F.coalesce(F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    out = out.withColumn("_level", (budget - before) / F.sum("_weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "skey", "_level"))).over(Window.partitionBy())["_level"]
-    return out.withColumn("target", F.least(F.col("_cap"), level * F.col("_weight"))).select("skey", "source_size", "target")
+    """skey, source_size and target of one row per source (skey, source, source_size), however many sources there are.
+    Level filling in closed form: sorted by cap over weight, the first source whose cap is above the level of those from
+    it on is where capping ends. Sums are of whole numbers, so any dealing gives the same."""
+    ranked = _before(sources, [F.col("source").asc_nulls_last(), "skey"], {"place": F.lit(1)}, "mix-ranked")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    rows = ranked.select("skey", "source_size", weight.alias("weight"), (F.col("source_size") * MAX_REPEAT).alias("cap")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    rows = _before(rows, ["ratio", "skey"], {"caps": F.col("cap"), "weights": F.col("weight")}, "mix-ratios")
+    whole = rows.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("all"))  # one row, as is the level
+    above = rows.join(F.broadcast(whole), F.lit(True)).withColumn("level", (F.col("size") * SHARE - F.col("caps")) / (F.col("all") - F.col("weights")))
+    level = above.agg(F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "skey", "level"))).alias("first")).select(F.col("first.level").alias("level"))
+    return rows.join(F.broadcast(level), F.lit(True)).select("skey", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
 def _sized(docs: DataFrame, seed: int, *carried) -> DataFrame:

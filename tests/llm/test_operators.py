@@ -576,6 +576,46 @@ def test_fit_counts_reaches_sums():
         assert min(budget, int((sizes * counts).sum())) - int((sizes * take).sum()) in range(0, 3)
 
 
+def test_fit_counts_of_small_sources_against_all_sums():
+    """Sources of a few documents: within one part in a thousand of the best sum that any choice reaches."""
+    rng = np.random.default_rng(6)
+    for _ in range(600):
+        sizes = np.unique(np.maximum(1, (rng.pareto(1.1, rng.integers(2, 30)) * rng.choice([3, 40, 700])).astype(np.int64)))
+        sizes = sizes[sizes < 20_000]
+        if not len(sizes):
+            continue
+        counts = rng.integers(1, rng.choice([2, 4, 9]), len(sizes), endpoint=True)
+        total = int((sizes * counts).sum())
+        budget = int(rng.integers(1, total + 1))
+        sums = 1
+        for size, count in zip(sizes.tolist(), counts.tolist(), strict=True):
+            for _ in range(count):
+                sums |= sums << size
+        best = (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1
+        take = mixing.fit_counts(sizes, counts, budget)
+        assert (take <= counts).all() and (take >= 0).all()
+        assert best - budget / 1000 <= int((sizes * take).sum()) <= budget
+
+
+def test_targets_of_many_sources(spark):
+    """Against filling level by level, with sources that tie and one without words."""
+    rng = random.Random(12)
+    sizes = {(None if k == 0 else f"s{k:03d}"): rng.choice([0, 5, 10, 1000, 70_000]) for k in range(60)}
+    rows = [("" if s is None else "=" + s, s, n) for s, n in sizes.items()]
+    got = {r["skey"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(rows, "skey string, source string, source_size long").repartition(7)).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * sizes[s]}
+        for s in full or open_:
+            target[s] = 2.0 * sizes[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ = open_ - full if full else set()
+    assert all(abs(got["" if s is None else "=" + s] - target[s]) < 1e-6 * max(1, target[s]) for s in order)
+
+
 # 9 quality rules
 
 
