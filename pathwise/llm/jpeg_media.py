@@ -1,12 +1,14 @@
 """Texts as baseline JPEG images: the coefficients are the payload, the DC terms the thumbnail.
 
 A payload of whole 64-byte blocks becomes one grey baseline image. A block's first byte is its DC term (minus 128), the
-other 63 are AC terms in zigzag order, mapped to the non-zero values that one code byte can hold. The Huffman tables
-are chosen so that code and amplitude take 8 bits for any AC term and 16 for any DC difference. That is an ordinary
-baseline file; its reader here parses the markers and decodes any baseline scan bit by bit (several components,
-sampling, restarts, zero runs), and a scan whose tables give every term the same width in one step in numpy. The
-luminance thumbnail is rebuilt from the DC terms alone. Blocks are laid out nearly square, and the thumbnail's hash
-averages all of its samples.
+other 63 are AC terms in zigzag order, mapped to the non-zero values up to 7 bits. Each image's Huffman tables are fitted
+to its own terms, and a restart marker follows every `RESTART` blocks. That is an ordinary baseline file.
+
+The reader parses the markers, takes out stuffed bytes, and decodes the restart intervals of all images of a batch side
+by side: one lane each, a symbol of every lane at a time, by tables on the next bits (`decode_scans`). It reads any scan
+of one component, with zero runs and without restarts, too; several components are read term by term. The luminance
+thumbnail is rebuilt from the DC terms alone. Blocks are laid out nearly square, and the thumbnail's hash averages all of
+its samples.
 
 Defined cases: a null text is empty; an empty text is one unit of 192 spaces; a text of any length is one image; equal texts give equal files; an empty table gives an empty result;
 other columns are ignored. Bytes that no UTF-8 text contains are refused.
@@ -15,6 +17,7 @@ other columns are ignored. Bytes that no UTF-8 text contains are refused.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -50,27 +53,30 @@ def _canonical(table_: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
     return codes
 
 
-#: Our tables as (length, symbol): size s takes 8 - s bits as an AC term, 16 - s bits as a DC difference.
-AC_TABLE = [(8 - s, s) for s in range(7, 0, -1)]
-DC_TABLE = [(16 - s, s) for s in range(8, -1, -1)]
+def fitted_lengths(counts: list[int]) -> list[tuple[int, int]]:
+    """A Huffman table for symbols by their counts, as (length, symbol) in file order. A symbol more, the rarest, keeps the
+    code of ones free, as the format asks."""
+    heap = [(n, s, (s,)) for s, n in enumerate(counts) if n] + [(0, len(counts), (len(counts),))]
+    heapq.heapify(heap)
+    length = dict.fromkeys(range(len(counts) + 1), 0)
+    while len(heap) > 1:
+        (n, s, some), (m, t, more) = heapq.heappop(heap), heapq.heappop(heap)
+        for k in some + more:
+            length[k] += 1
+        heapq.heappush(heap, (n + m, max(s, t), some + more))
+    return sorted((length[s], s) for s, n in enumerate(counts) if n)
+
+
+#: Fixed values of this format: categories of DC differences and AC terms, blocks between restart markers.
+DC_SIZES, AC_SIZES, RESTART = 9, 8, 8
 RANK = np.zeros(256, np.int64)
 RANK[USED] = np.arange(len(USED))
 #: Rank of a byte -> AC term: -121 to -1 and 1 to 122.
 AC_VALUE = np.where(np.arange(len(USED)) < 121, np.arange(len(USED)) - 121, np.arange(len(USED)) - 120)
-
-
-def _terms(values: np.ndarray, codes: dict[int, tuple[int, int]]) -> np.ndarray:
-    size, bits = _amplitude(values)
-    code = np.zeros(size.max() + 1, np.int64)
-    for s, (c, _) in codes.items():
-        if s < len(code):
-            code[s] = c
-    return (code[size] << size) | bits
-
-
-AC_BYTE = np.zeros(256, np.uint8)
-AC_BYTE[USED] = _terms(AC_VALUE, _canonical(AC_TABLE))
-DC_WORD = _terms(np.arange(-244, 245), _canonical(DC_TABLE)).astype(np.uint16)
+#: Category and amplitude bits of each byte as an AC term, and of each DC difference from -244 on.
+AC_SIZE, AC_BITS = (np.zeros(256, np.int64) for _ in range(2))
+AC_SIZE[USED], AC_BITS[USED] = _amplitude(AC_VALUE)
+DC_SIZE, DC_BITS = _amplitude(np.arange(-244, 245))
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -82,7 +88,41 @@ def _dht(kind: int, table_: list[tuple[int, int]]) -> bytes:
     return _segment(0xC4, bytes([kind, *(lengths.count(k) for k in range(1, 17)), *(s for _, s in table_)]))
 
 
-HEAD = b"\xff\xd8" + _segment(0xDB, bytes([0] + [1] * 64)) + _dht(0x00, DC_TABLE) + _dht(0x10, AC_TABLE)
+HEAD = b"\xff\xd8" + _segment(0xDB, bytes([0] + [1] * 64))
+
+
+def _codes(table_: list[tuple[int, int]], sizes: int) -> tuple[np.ndarray, np.ndarray]:
+    code, length = np.zeros(sizes, np.int64), np.zeros(sizes, np.int64)
+    for s, (c, n) in _canonical(table_).items():
+        code[s], length[s] = c, n
+    return code, length
+
+
+def _scan(words: np.ndarray, widths: np.ndarray) -> bytes:
+    """The scan of terms (code and amplitude, and how many bits) in rows of one block: intervals padded with ones to whole
+    bytes, stuffed, with restart markers between."""
+    blocks = len(words)
+    ends = np.cumsum(widths.ravel())
+    last = np.minimum(np.arange(RESTART, blocks + RESTART, RESTART), blocks) * BLOCK - 1  # each interval's last term
+    bits = np.diff(ends[last], prepend=0)
+    size = -(-bits // 8)
+    starts = 8 * (np.cumsum(size) - size)
+    at = ends - widths.ravel() + np.repeat(starts - (ends[last] - bits), np.diff(last, prepend=-1))
+    # A term is less than 32 bits wide: it lies in a word of 32 and the next. Sums below 2^32 are exact in doubles.
+    word, spread = at >> 5, words.ravel() << (64 - widths.ravel() - (at & 31)).astype(np.uint64)
+    n = int(size.sum() * 8 >> 5) + 2
+    whole = np.bincount(word, (spread >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+    data = whole.astype(np.uint32).astype(">u4").view(np.uint8)[: int(size.sum())].copy()
+    byte_ends = np.cumsum(size)
+    data[byte_ends - 1] |= ((1 << (8 * size - bits)) - 1).astype(np.uint8)
+    full = data == 0xFF
+    interval = np.repeat(np.arange(len(size)), size)
+    to = np.arange(len(data)) + np.cumsum(full) - full + 2 * interval
+    out = np.zeros(len(data) + int(full.sum()) + 2 * (len(size) - 1), np.uint8)
+    out[to] = data
+    marks = (to + full)[byte_ends[:-1] - 1] + 1
+    out[marks], out[marks + 1] = 0xFF, 0xD0 + np.arange(len(size) - 1) % 8
+    return out.tobytes()
 
 
 def pad(text: bytes) -> bytes:
@@ -98,12 +138,20 @@ def encode(text: bytes) -> bytes:
     body = np.frombuffer(payload.ljust(wide * high * BLOCK), np.uint8).reshape(-1, BLOCK)
     if (body >= 0xF5).any() or ((body == 0xC0) | (body == 0xC1)).any():
         raise ValueError("the payload has bytes that no UTF-8 text contains")
-    scan = np.empty((len(body), BLOCK + 1), np.uint8)
     dc = np.diff(body[:, 0].astype(np.int64), prepend=128)
-    scan[:, :2] = DC_WORD[dc + 244].astype(">u2").view(np.uint8).reshape(-1, 2)
-    scan[:, 2:] = AC_BYTE[body[:, 1:]]
+    dc[::RESTART] = body[::RESTART, 0].astype(np.int64) - 128  # prediction begins anew
+    dc_table = fitted_lengths(np.bincount(DC_SIZE[dc + 244], minlength=DC_SIZES).tolist())
+    byte_counts = np.bincount(body[:, 1:].ravel(), minlength=256)
+    ac_table = fitted_lengths(np.bincount(AC_SIZE, byte_counts, AC_SIZES).astype(np.int64).tolist())
+    words, widths = np.empty(body.shape, np.uint64), np.empty(body.shape, np.int64)
+    code, length = _codes(dc_table, DC_SIZES)
+    size = DC_SIZE[dc + 244]
+    words[:, 0], widths[:, 0] = (code[size] << size) | DC_BITS[dc + 244], length[size] + size
+    code, length = _codes(ac_table, AC_SIZES)
+    words[:, 1:], widths[:, 1:] = ((code[AC_SIZE] << AC_SIZE) | AC_BITS).astype(np.uint64)[body[:, 1:]], (length[AC_SIZE] + AC_SIZE)[body[:, 1:]]
     frame = struct.pack(">BHHBBBB", 8, 8 * high, 8 * wide, 1, 1, 0x11, 0)
-    return HEAD + _segment(0xFE, b"%d" % len(text)) + _segment(0xC0, frame) + _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])) + scan.tobytes() + b"\xff\xd9"
+    tables = _dht(0x00, dc_table) + _dht(0x10, ac_table) + _segment(0xDD, struct.pack(">H", RESTART))
+    return HEAD + tables + _segment(0xFE, b"%d" % len(text)) + _segment(0xC0, frame) + _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])) + _scan(words, widths) + b"\xff\xd9"
 
 
 def parse(data: bytes) -> dict:
@@ -145,42 +193,74 @@ def parse(data: bytes) -> dict:
             return out
 
 
-def _uniform(image: dict) -> tuple[int, int] | None:
-    """Bits of every DC and every AC term where the tables fix them to whole bytes, there is one component and no restart."""
-    if len(image["components"]) != 1 or image["restart"]:
-        return None
-    c = image["components"][0]
-    dc = {length + s for length, s in image["huffman"][c["dc"]]}
-    ac = {length + s for length, s in image["huffman"][c["ac"]]}
-    runs = any(s >> 4 or not s for _, s in image["huffman"][c["ac"]])
-    return (dc.pop(), ac.pop()) if (dc, ac) == ({16}, {8}) and not runs else None
-
-
 def _lookup(table_: list[tuple[int, int]], bits: int) -> np.ndarray:
-    """Coefficient of each pattern of `bits` bits, code and amplitude together."""
-    out = np.zeros(1 << bits, np.int64)
-    for s, (code, _) in _canonical(table_).items():
-        a = np.arange(1 << s)
-        out[(code << s) + a] = np.where(a >= (1 << s) >> 1, a, a - (1 << s) + 1) if s else 0
+    """For each pattern of the next `bits` bits the symbol and, in the lowest 8 bits, its code's length; 0 where no code fits."""
+    out = np.zeros(1 << bits, np.int32)
+    for s, (code, length) in _canonical(table_).items():
+        out[code << (bits - length) : (code + 1) << (bits - length)] = s << 8 | length
     return out
 
 
-_LOOKUPS: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _decode_uniform(image: dict) -> np.ndarray:
-    c = image["components"][0]
-    dc_table, ac_table = image["huffman"][c["dc"]], image["huffman"][c["ac"]]
-    key = repr((dc_table, ac_table)).encode()
-    if key not in _LOOKUPS:
-        _LOOKUPS.clear()
-        _LOOKUPS[key] = _lookup(dc_table, 16), _lookup(ac_table, 8)
-    dc, ac = _LOOKUPS[key]
-    raw = np.frombuffer(image["scan"].replace(b"\xff\x00", b"\xff"), np.uint8).reshape(-1, BLOCK + 1)
-    out = np.empty((len(raw), BLOCK), np.int64)
-    out[:, 0] = np.cumsum(dc[(raw[:, 0].astype(np.int64) << 8) | raw[:, 1]])
-    out[:, 1:] = ac[raw[:, 2:]]
-    return out
+def decode_scans(images: list[dict]) -> list[np.ndarray]:
+    """The blocks of each image of one component, coefficients in zigzag order.
+
+    Every restart interval is a lane with its place in the bits, its block and its term. A step decodes one symbol of every
+    lane: a table on the next bits gives its length and category, the bits after it the amplitude."""
+    raw = np.frombuffer(b"".join(x["scan"] for x in images), np.uint8)
+    sizes = np.array([len(x["scan"]) for x in images], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    mark = np.flatnonzero((raw[:-1] == 0xFF) & ((raw[1:] == 0) | ((raw[1:] & 0xF8) == 0xD0)))  # a stuffed byte goes, a marker goes whole
+    restart = raw[mark + 1] != 0
+    keep = np.ones(len(raw), bool)
+    keep[mark + 1] = False
+    keep[mark[restart]] = False
+    place = np.append(0, np.cumsum(keep))
+    data = np.append(raw[keep], np.zeros(16, np.uint8))
+    view = np.ndarray((len(data) - 8,), ">u8", data.tobytes(), 0, (1,))  # the eight bytes from any place on
+    blocks = np.array([-(-x["width"] // 8) * -(-x["height"] // 8) for x in images], np.int64)
+    step = np.array([x["restart"] or n for x, n in zip(images, blocks.tolist(), strict=True)], np.int64)
+    lanes = -(-blocks // step)
+    first_row = np.cumsum(blocks) - blocks
+    image = np.repeat(np.arange(len(images)), lanes)
+    number = np.arange(len(image)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+    starts = np.sort(np.concatenate([begin, mark[restart] + 2]))
+    if len(starts) != len(image):
+        raise ValueError("restart markers don't fit the image")
+    bit = place[starts] * 8
+    row, left = first_row[image] + number * step[image], np.minimum(step[image], blocks[image] - number * step[image])
+    deep = max(length for x in images for t in x["huffman"].values() for length, _ in t)
+    table_ = np.concatenate([_lookup(x["huffman"][x["components"][0][kind]], deep) for x in images for kind in ("dc", "ac")])
+    base, index, last = image * 2 << deep, np.zeros(len(image), np.int64), np.zeros(len(image), np.int64)
+    out = np.zeros((int(blocks.sum()), BLOCK), np.int32)
+    top, one = np.uint64(64 - deep), np.uint64(1)
+    while len(bit):
+        if (bit >> 3).max() >= len(view):
+            raise ValueError("the scan ends early")
+        bits = view[bit >> 3].astype(np.uint64) << (bit & 7).astype(np.uint64)
+        is_dc = index == 0
+        found = table_[base + (~is_dc << deep) + (bits >> top).astype(np.int64)]
+        if not found.all():
+            raise ValueError("no such Huffman code")
+        length, symbol = found & 255, found >> 8
+        size = symbol & 15
+        amplitude = ((bits << length.astype(np.uint64)) >> one >> (63 - size).astype(np.uint64)).astype(np.int64)
+        value = np.where(amplitude < (1 << size) >> 1, amplitude - (1 << size) + 1, amplitude)
+        bit += length + size
+        last = np.where(is_dc, last + value, last)
+        index += np.where(is_dc, 0, symbol >> 4)
+        has = is_dc | (size > 0)
+        if has.all():
+            out[row, index] = np.where(is_dc, last, value)
+        else:
+            out[row[has], index[has]] = np.where(is_dc, last, value)[has]
+        index = np.where(~is_dc & (symbol == 0), BLOCK, index + 1)
+        done = index >= BLOCK
+        if done.any():
+            row, left, index = row + done, left - done, np.where(done, 0, index)
+            if not left.all():
+                going = left > 0
+                bit, row, left, base, index, last = (x[going] for x in (bit, row, left, base, index, last))
+    return [out[a : a + n] for a, n in zip(first_row.tolist(), blocks.tolist(), strict=True)]
 
 
 def _decode_bits(image: dict) -> list[np.ndarray]:
@@ -241,7 +321,7 @@ def _decode_bits(image: dict) -> list[np.ndarray]:
 
 
 def coefficients(image: dict) -> list[np.ndarray]:
-    return [_decode_uniform(image)] if _uniform(image) else _decode_bits(image)
+    return decode_scans([image]) if len(image["components"]) == 1 else _decode_bits(image)
 
 
 def thumbnail(image: dict, blocks: list[np.ndarray]) -> np.ndarray:
@@ -273,16 +353,17 @@ BYTE_OF = np.zeros(256, np.uint8)
 BYTE_OF[AC_VALUE + 128] = USED
 
 
-def decode(media: bytes) -> tuple[bytes, int, str]:
-    """Payload, text length and feature (width x height : thumbnail hash) of a stored image."""
-    image = parse(media)
-    blocks = coefficients(image)
-    body = np.empty(blocks[0].shape, np.uint8)
-    body[:, 0] = blocks[0][:, 0] + 128
-    body[:, 1:] = BYTE_OF[blocks[0][:, 1:] + 128]
-    n = int(image["comment"])
-    payload = body.tobytes()[: max(UNIT, -(-n // UNIT) * UNIT)]
-    return payload, n, f"{image['width']}x{image['height']}:{thumbnail_hash(thumbnail(image, blocks))}"
+def decode(media: list[bytes]) -> list[tuple[bytes, int, str]]:
+    """Payload, text length and feature (width x height : thumbnail hash) of stored images, decoded together."""
+    images, out = [parse(x) for x in media], []
+    for image, blocks in zip(images, decode_scans(images) if images else [], strict=True):
+        body = np.empty(blocks.shape, np.uint8)
+        body[:, 0] = blocks[:, 0] + 128
+        body[:, 1:] = BYTE_OF[blocks[:, 1:] + 128]
+        n = int(image["comment"])
+        payload = body.tobytes()[: max(UNIT, -(-n // UNIT) * UNIT)]
+        out.append((payload, n, f"{image['width']}x{image['height']}:{thumbnail_hash(thumbnail(image, [blocks]))}"))
+    return out
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +375,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for batch in slices(batches):
-        rows = []
-        for value in batch["media"]:
-            media = value.as_py()
-            payload, n, feature = decode(media)
+        rows, every = [], batch["media"].to_pylist()
+        for media, (payload, n, feature) in zip(every, decode(every), strict=True):
             rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", *names])

@@ -660,7 +660,7 @@ def test_images(spark):
         media = jpeg_media.encode(text.encode())
         image = jpeg_media.parse(media)
         (blocks,) = jpeg_media._decode_bits(image)
-        assert (blocks == jpeg_media._decode_uniform(jpeg_media.parse(media))).all()
+        assert (blocks == jpeg_media.decode_scans([jpeg_media.parse(media)])[0]).all()
         row = by_payload[hashlib.sha256(jpeg_media.pad(text.encode())).hexdigest()]
         assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
         wide, high, step = image["width"] // 8, image["height"] // 8, int(image["quant"][0][0])
@@ -670,12 +670,39 @@ def test_images(spark):
         assert row["feature"] == f"{8 * wide}x{8 * high}:{int(bits, 2):016x}"
 
 
+def test_lanes_read_any_scan_of_one_component():
+    """Images of many sizes together, restarts or none, zero runs, ends of blocks, stuffed bytes; broken scans are refused."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("eeeeetaoin \u00e9\u20ac\U0001f600~") for _ in range(rng.choice([0, 5, 190, 700, 9000]))).encode() for _ in range(40)]
+    media = [jpeg_media.encode(x) for x in texts]
+    assert any(b"\xff\x00" in x for x in media) and any(b"\xff\xd7" in x for x in media)
+    assert [(p, n) for p, n, _ in jpeg_media.decode(media)] == [(jpeg_media.pad(x), len(x)) for x in texts]
+    assert jpeg_media.decode([]) == []
+    dc, ac = [(2, 0), (2, 3), (3, 7)], [(1, 0x01), (3, 0x00), (3, 0x21), (4, 0xF0), (5, 0x14)]
+    codes = {0: jpeg_media._canonical(dc), 1: jpeg_media._canonical(ac)}
+    term = lambda t, s, amplitude="": format(codes[t][s][0], f"0{codes[t][s][1]}b") + amplitude
+    blocks = [term(0, 3, "101") + term(1, 0x21, "1") + term(1, 0xF0) + term(1, 0x01, "0") + term(1, 0x14, "1111") + term(1, 0), term(0, 0) + term(1, 0x01, "1") * 63, term(0, 7, "1111111") + term(1, 0)]
+    for restart in (0, 1, 2):
+        parts = ["".join(blocks[k : k + (restart or 3)]) for k in range(0, 3, restart or 3)]
+        coded = [int(x.ljust(-(-len(x) // 8) * 8, "1"), 2).to_bytes(-(-len(x) // 8), "big").replace(b"\xff", b"\xff\x00") for x in parts]
+        scan = b"".join(x + (bytes([0xFF, 0xD0 + k]) if k + 1 < len(coded) else b"") for k, x in enumerate(coded))
+        data = jpeg_media.HEAD + jpeg_media._dht(0, dc) + jpeg_media._dht(0x10, ac) + (jpeg_media._segment(0xDD, bytes([0, restart])) if restart else b"") + jpeg_media._segment(0xC0, bytes([8, 0, 8, 0, 24, 1, 1, 0x11, 0])) + jpeg_media._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+        slow, (fast,) = jpeg_media._decode_bits(jpeg_media.parse(data))[0], jpeg_media.coefficients(jpeg_media.parse(data))
+        assert (slow == fast).all() and fast[0, [0, 3, 20, 22]].tolist() == [5, 1, -1, 15] and fast[:, 0].tolist() == ([5, 0, 127] if restart == 1 else [5, 5, 127] if restart else [5, 5, 132])
+        with pytest.raises(ValueError):
+            jpeg_media.coefficients(jpeg_media.parse(data) | {"restart": 1 if restart != 1 else 0})
+    for counts in ([3], [0, 1, 1, 2, 3, 5, 8, 13, 21], [5, 0, 0, 5]):
+        table_ = jpeg_media.fitted_lengths(counts)
+        assert [s for s, n in enumerate(counts) if n] == sorted(s for _, s in table_) and sum(2.0**-n for n, _ in table_) < 1
+
+
 def test_scans_decode_alike_and_by_hand():
     for text in (b"", b"hello " * 70, "é€😀".encode() * 99, b"x" * (64 * 8192 * 3 + 5)):
-        payload, n, _ = jpeg_media.decode(jpeg_media.encode(text))
+        ((payload, n, _),) = jpeg_media.decode([jpeg_media.encode(text)])
         assert payload == jpeg_media.pad(text) and n == len(text)
     image = jpeg_media.parse(jpeg_media.encode(b"hello world " * 40))
-    assert (jpeg_media._decode_bits(image)[0] == jpeg_media._decode_uniform(image)).all()
+    assert (jpeg_media._decode_bits(image)[0] == jpeg_media.decode_scans([image])[0]).all()
+    assert len({length for length, _ in image["huffman"][0x10]}) > 1  # codes of several lengths
     # Two components, 2x1 sampling, restarts, zero runs: tables DC {0: "0", 2: "10"}, AC {EOB: "0", 0x21: "10"}.
     bits = lambda s: int(s.ljust(-(-len(s) // 8) * 8, "1"), 2).to_bytes(-(-len(s) // 8), "big")
     head = b"\xff\xd8" + jpeg_media._segment(0xDB, bytes([0] + [16] * 64)) + jpeg_media._dht(0, [(1, 0), (2, 2)]) + jpeg_media._dht(0x10, [(1, 0), (2, 0x21)])

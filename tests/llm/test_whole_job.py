@@ -43,7 +43,7 @@ def test_images_are_nearly_square():
     other = text.copy()
     for k in range(64, 64 * 13, 64):
         other[k] = ord("z")
-    assert jpeg_media.decode(jpeg_media.encode(bytes(text)))[2] != jpeg_media.decode(jpeg_media.encode(bytes(other)))[2]
+    assert jpeg_media.decode([jpeg_media.encode(bytes(text))])[0][2] != jpeg_media.decode([jpeg_media.encode(bytes(other))])[0][2]
 
 
 def test_every_language_is_learned_from_whole_texts(spark, monkeypatch):
