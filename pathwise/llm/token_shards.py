@@ -140,7 +140,10 @@ class Encoder:
             spans = zip(lo[beyond].tolist(), hi[beyond].tolist(), after_blank[beyond].tolist(), strict=True)
             for k, own in zip(beyond.tolist(), self._long_pieces([(raw[a:b], after) for a, b, after in spans]), strict=True):
                 count[k] = len(own)
-                long.append((np.array([k]), own))
+                if len(own) <= INLINE:
+                    ids[k, : len(own)] = own
+                else:
+                    long.append((np.array([k]), own))
         if len(missing):
             _, some, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
             some = missing[some]
@@ -162,19 +165,21 @@ class Encoder:
                 to, of = missing[mine], place[which][mine]
                 ids[to], count[to] = ids_new[of], n[of]
                 long += [(to[of == k], flat[start[k] : start[k] + n[k]]) for k in np.flatnonzero(~fits)]
+        # A row is a line break of its own, the piece's ids and a closing mark, of which the mask has what there is.
+        rows, there = np.empty((len(lo), INLINE + 2), np.uint16), np.empty((len(lo), INLINE + 2), bool)
+        rows[:, 0], rows[:, 1:-1], rows[:, -1] = self.line_break, ids, self.mark[data[hi]]
+        there[:, 0], there[:, -1] = before, closed
+        np.less(np.arange(INLINE), np.where(count > INLINE, 0, count)[:, None], out=there[:, 1:-1])
         total = count + before + closed
-        ends = np.cumsum(total)
-        out = np.empty(int(ends[-1]), np.uint16)
-        at = ends - total
-        out[at[before]] = self.line_break
-        at += before
-        for k in range(INLINE):
-            has = np.flatnonzero(count > k)
-            out[at[has] + k] = ids[has, k]
-        for rows, whole in long:  # over what the table had there
-            for row in rows.tolist():
-                out[at[row] : at[row] + len(whole)] = whole
-        out[at[closed] + count[closed]] = self.mark[data[hi[closed]]]
+        out = rows[there]
+        if long:
+            ends = np.cumsum(total)
+            short, out, rest = out, np.empty(int(ends[-1]), np.uint16), np.ones(int(ends[-1]), bool)
+            at = ends - total + before
+            for which, whole in long:
+                for k in at[which].tolist():
+                    out[k : k + len(whole)], rest[k : k + len(whole)] = whole, False
+            out[rest] = short
         return out, np.add.reduceat(total, first)
 
     def encode(self, texts: list[str]) -> list[bytes]:
