@@ -4,11 +4,16 @@ Pass one reads every page into containers (sections, lists, tables, and blocks w
 directly in each by its characters outside links less those inside. Each page votes with these scores for the containers'
 generalised paths, tag and class from the body down with digits dropped, and says by a hash what it has there. Spark sums
 the votes by host and path. A path is no article's where most of a host's different pages, three at least, say the same
-there; the others win, the one with the most votes first. Pass two reads the page again and takes what stands on its
-host's winning paths, in page order and cut into blocks; containers of links only inside the first path's containers.
+there. Of the others those win that have a hundredth of the votes of the host's best one, or stand on half of its pages.
+Pass two reads the page again and takes what stands on winning paths, inside containers on them, or directly in what is
+around these, in page order and cut into blocks; containers of links only inside the first path's containers. A page that
+has nothing on winning paths, and hosts of fewer than three different pages, are taken whole but for rejected paths.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag and role,
-and by class and id unless what is named so has most of the text of a host's pages, three at least, or all of a page's.
+Menus, headers, footers, sidebars, notices, adverts, scripts, styles and reader comments are known by tag and role, and by
+class and id unless what is named so has most of the text of a host's pages, three at least, or all of a page's. Forms are
+treated as if named so, and are read, too, where most of a page's text is in them. A header inside an article or main
+element is the article's. A word that also has other uses (`share`, `notice`) counts in a name only alone or with words of
+layout (`share-buttons`, not `share-price`). Formulas are text, but for their annotations.
 
 Reading is one pass over the page without recursion: its time and memory grow with the page's length, however deep its
 elements are nested and however its tags are broken.
@@ -37,18 +42,23 @@ UNQUOTED = re.compile(r"[^>\"']*")
 SPACE = re.compile(r"\s+")
 #: Different pages of a host that say the same on a path, from which on it may be no article's.
 SAME_PAGES = 3
+#: A path wins with this part of the best one's votes, or on this part of the host's pages.
+VOTE_PART, PAGE_PART = 100, 2
 #: Bytes of all hosts' verdicts up to which they are sent to the pages; beyond, both are dealt over hosts and SALTS parts.
 SENT_BYTES, SALTS = 16 << 20, 64
 #: HTML's void elements, elements whose content is no text, and elements that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select button canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object select button canvas".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of the key's group ends an open element of the value's.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = frozenset("ul ol dl table body html div article section main".split())
-ASIDE_TAGS = frozenset("nav header footer aside form menu dialog".split())
-ASIDE_NAMES = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|side-?bar|foot\w*|header|masthead|cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|widget|toolbar|pagination|pager|skip)(?:$|[-_\s\d])", re.I)
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+ASIDE_TAGS = frozenset("nav header footer aside menu dialog".split())
+#: Words of names that stand beside articles, those that do so only alone or with words of layout, and these.
+ASIDE_WORDS = re.compile(r"advert\w*|adsense|sponsor\w*|nav\w*|breadcrumbs?|side-?bar|foot(?:er)?\w*|masthead|cookies?|consent|newsletter|subscribe|disqus|pagination|pager")
+TWO_WAY_WORDS = re.compile(r"ads?|promo\w*|banner|menu|header|notices?|alert|popup|modal|share|sharing|social|related|recommend\w*|comments?|replies|respond|widget|toolbar|skip")
+LAYOUT_WORDS = frozenset("area areas articles bar block blocks body bottom box boxes btn btns button buttons card cards col column container content contents entries fixed form global group holder icon icons id inline inner item items label left link links list lists main module more page panel posts right row section site slot sticky stories thread title top unit widgets wrap wrapper zone".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
 
 CONTAINERS = frozenset("html body address article blockquote center details dir div dl fieldset figure main ol section table ul".split())
@@ -64,6 +74,7 @@ class Page:
         self.path, self.container, self.linked, self.beside, self.named = [_hash("html")], [0], [False], [False], [-1]
         self.around = [0]
         self.up_named: dict[int, int] = {}  # a named element's next one outward
+        self.forms: set[int] = set()
         self.named_path: dict[int, int] = {}
         self._read(page)
         self._settle(released)
@@ -161,7 +172,7 @@ class Page:
             if tag in VOID:
                 continue
             up = stack[-1][0]
-            label, classed, beside, named = _label(tag, attributes)
+            label, classed, beside, named = _label(tag, attributes, bool(at_tag.get("article") or at_tag.get("main")))
             node = len(self.path)
             block = tag in BLOCKS
             self.around.append(up)
@@ -172,6 +183,8 @@ class Page:
             self.named.append(node if named else self.named[up])
             if named:
                 self.up_named[node] = self.named[up]
+                if tag == "form":
+                    self.forms.add(node)
                 self.named_path[node] = _hash(f"{self.path[up]:x}/named/{label}")
             if not attributes.endswith("/"):
                 at_tag.setdefault(tag, []).append(len(stack))
@@ -180,17 +193,21 @@ class Page:
                 stack.append((node, tag))
 
     def _settle(self, released: frozenset[int]) -> None:
-        """Leaves out what stands beside the text: named elements, too, but for the released paths and pages without other text."""
-        self.inside = dict.fromkeys(self.up_named, 0)  # characters outside links
+        """Leaves out what stands beside the text: named elements, too, but for the released paths, forms with most of the
+        page's text, and pages without other text."""
+        self.inside, whole = dict.fromkeys(self.up_named, 0), 0  # characters outside links
         for node, text in self.runs:
-            if text is not None and self.named[node] >= 0 and not self.beside[node] and not self.linked[node]:
-                self.inside[self.named[node]] += len(text.strip())
+            if text is not None and not self.beside[node] and not self.linked[node]:
+                whole += len(text.strip())
+                if self.named[node] >= 0:
+                    self.inside[self.named[node]] += len(text.strip())
         for node in sorted(self.inside, reverse=True):
             if self.up_named[node] >= 0:
                 self.inside[self.up_named[node]] += self.inside[node]
         hidden = {-1: False}
         for node in sorted(self.inside):
-            hidden[node] = hidden[self.up_named[node]] or self.named_path[node] not in released
+            read = self.named_path[node] in released or (node in self.forms and 2 * self.inside[node] > whole)
+            hidden[node] = hidden[self.up_named[node]] or not read
         runs = [(k, x) for k, x in self.runs if not self.beside[k]]
         seen = [(k, x) for k, x in runs if not hidden[self.named[k]]]
         self.runs = seen if any(x is not None and x.strip() for _, x in seen) else runs
@@ -210,16 +227,30 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Tag with its first class, digits dropped; whether it has one; whether tag or role, and whether class or id, say that
-    the element stands beside the text."""
+def _named_beside(names: str, in_article: bool) -> bool:
+    """Whether a class or id says that the element stands beside the text."""
+    for name in names.lower().replace("side-bar", "sidebar").split():
+        parts = [x.strip("0123456789") for x in re.split("[-_]+", name)]
+        two_way = [x for x in parts if TWO_WAY_WORDS.fullmatch(x)]
+        if in_article and two_way == ["header"]:
+            continue
+        if any(ASIDE_WORDS.fullmatch(x) for x in parts) or (two_way and all(x in two_way or x in LAYOUT_WORDS or not x for x in parts)):
+            return True
+    return False
+
+
+def _label(tag: str, attributes: str, in_article: bool) -> tuple[str, bool, bool, bool]:
+    """Tag with its first class, digits dropped; whether it has one; whether tag or role, and whether class or id (or that it
+    is a form), say that the element stands beside the text."""
+    own = tag == "header" and in_article
     if not attributes:
-        return tag, False, tag in ASIDE_TAGS, False
+        return tag, False, tag in ASIDE_TAGS and not own, tag == "form"
     names = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in NAMES.finditer(attributes)}
     first = names.get("class", "").split()[:1]
     label = tag + "." + re.sub(r"\d+", "", first[0]) if first else tag
-    beside = tag in ASIDE_TAGS or names.get("role", "").lower() in ASIDE_ROLES
-    named = tag not in ("body", "article", "main") and any(ASIDE_NAMES.search(x) for x in (names.get("class", ""), names.get("id", "")) if x)
+    role = names.get("role", "").lower()
+    beside = (tag in ASIDE_TAGS and not own) or role in ASIDE_ROLES
+    named = tag not in ("body", "article", "main") and (tag == "form" or role == "form" or any(_named_beside(x, in_article) for x in (names.get("class", ""), names.get("id", "")) if x))
     return label, bool(first), beside, named
 
 
@@ -241,18 +272,26 @@ def votes(page: str | None) -> list[tuple[int, int, int, int, bool]]:
     return [(path, score, said[path], whole, False) for path, (score, _) in by_path.items()] + [(path, n, whole, whole, True) for path, n in named.items()]
 
 
-def extract(page: str | None, first: int | None, rejected: list[int] | None, released: list[int] | None = None) -> str:
-    """Text of a page's containers on other paths than the rejected ones; those that are mostly links only within a
+def extract(page: str | None, first: int | None, rejected: list[int] | None, released: list[int] | None = None, won: list[int] | None = None) -> str:
+    """Text of a page's containers on the paths that won, inside such containers or around them (of all paths where none
+    of them has text here or `won` is None), but for the rejected paths; those that are mostly links only within a
     container on the first path. released: paths of named elements that are read nevertheless."""
-    read, out = Page(page or "", frozenset(released or ())), []
-    against = set(rejected or ())
-    within = [False] * len(read.path)
+    open_ = frozenset(released or ())
+    read, out = Page(page or "", open_), []
+    against, winners = set(rejected or ()), None if won is None else {first, *won}
+    within, chosen = [False] * len(read.path), [winners is None] * len(read.path)
     for node, up in enumerate(read.around):  # elements come after those around them
         within[node] = read.path[node] == first or (node > 0 and within[up])
-    kept = set()
-    for node, (free, linked, _) in read.containers().items():
-        if read.path[node] not in against and (free >= linked or within[node]):
-            kept.add(node)
+        chosen[node] = chosen[node] or read.path[node] in winners or read.named_path.get(node) in open_ or (node > 0 and chosen[up])
+    kept = {node for node, (free, linked, _) in read.containers().items() if read.path[node] not in against and (free >= linked or within[node])}
+    if any(chosen[node] for node in kept):
+        for node in range(len(read.path) - 1, 0, -1):  # what is around a container that is taken
+            if chosen[node] and node in kept:
+                up = read.around[node]
+                while not chosen[up]:
+                    chosen[up] = True
+                    up = read.around[up]
+        kept = {node for node in kept if chosen[node]}
     block: list[str] = []
     for node, text in [*read.runs, (0, None)]:
         if text is None:
@@ -270,8 +309,8 @@ def host_of(pages: DataFrame):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host_key, path (the one with the most votes, ties by path), rejected (paths where pages say the same) and released
-    (paths of named elements with most of the host's text)."""
+    """host_key, path (the one with the most votes, ties by path), rejected (paths where pages say the same), released
+    (paths of named elements with most of the host's text) and won (null for hosts of fewer than `SAME_PAGES` pages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
@@ -284,11 +323,16 @@ def host_paths(pages: DataFrame) -> DataFrame:
     said = said.groupBy("host_key", "named", "path", "said").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
     paths = said.groupBy("host_key", "named", "path").agg(F.max("n").alias("most"), F.sum("n").alias("pages"), F.sum("votes").alias("votes"))
     same = ~F.col("named") & (F.col("most") >= SAME_PAGES) & (2 * F.col("most") > F.col("pages"))
-    first = F.max_by("path", F.struct((~F.col("named")).alias("own"), (~same).alias("won"), "votes", "path"))
-    named = F.collect_list(F.when(F.col("named") & (F.col("pages") >= SAME_PAGES), F.struct("path", "votes")))
-    hosts = paths.groupBy("host_key").agg(first.alias("path"), F.sum("votes").alias("total"), F.collect_list(F.when(same, F.col("path"))).alias("rejected"), named.alias("named"))
-    released = F.transform(F.filter("named", lambda x: 2 * x["votes"] > F.col("total")), lambda x: x["path"])
-    return hosts.select("host_key", "path", F.array_remove("rejected", F.col("path")).alias("rejected"), released.alias("released"))
+    paths = paths.withColumn("same", same)
+    own = F.when(~F.col("named") & ~F.col("same"), F.col("votes"))
+    first = F.max_by("path", F.struct((~F.col("named")).alias("own"), (~F.col("same")).alias("won"), "votes", "path"))
+    hosts = paths.groupBy("host_key").agg(first.alias("path"), F.sum("votes").alias("total"), F.max(own).alias("best"), F.max(F.when(~F.col("named"), F.col("pages"))).alias("host_pages"))
+    # A host's verdicts are filtered before they are gathered: each list has paths of many pages or many votes.
+    known = paths.withColumnRenamed("path", "p").join(hosts, "host_key")
+    enough = (VOTE_PART * F.col("votes") >= F.col("best")) | (PAGE_PART * F.col("pages") >= F.col("host_pages"))
+    kind = F.when(F.col("named"), F.when((F.col("pages") >= SAME_PAGES) & (2 * F.col("votes") > F.col("total")), "released")).when(F.col("same"), F.when(F.col("p") != F.col("path"), "rejected")).when(enough & (F.col("votes") > 0), "won")
+    listed = known.withColumn("kind", kind).groupBy("host_key", "path", "host_pages").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("p"))).alias(k) for k in ("rejected", "released", "won")))
+    return listed.select("host_key", "path", "rejected", "released", F.when(F.col("host_pages") >= SAME_PAGES, F.col("won")).alias("won"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -297,18 +341,18 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            texts = [extract(*x) for x in zip(*(batch[c].to_pylist() for c in ("html", "path", "rejected", "released")), strict=True)]
+            texts = [extract(*x) for x in zip(*(batch[c].to_pylist() for c in ("html", "path", "rejected", "released", "won")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), batch["path"]], ["page_id", "url", "text", "n_chars", "path"])
 
     hosts = written(host_paths(pages), "host-paths")
-    size = hosts.agg(F.sum(F.octet_length("host_key") + 8 * (F.size("rejected") + F.size("released") + 8))).first()[0] or 0
+    size = hosts.agg(F.sum(F.octet_length("host_key") + 8 * (F.size("rejected") + F.size("released") + F.coalesce(F.size("won"), F.lit(0)) + 8))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host_of(pages).alias("host_key"))
     if size <= SENT_BYTES:
         joined = rows.join(F.broadcast(hosts), "host_key", "left")  # the pages stay where they are
     else:
         salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS)).cast("int")).join(salted, ["host_key", "salt"], "left")
-    return joined.select("page_id", "url", "html", "path", "rejected", "released").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path long")
+    return joined.select("page_id", "url", "html", "path", "rejected", "released", "won").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

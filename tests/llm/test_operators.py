@@ -279,15 +279,19 @@ def _plain_text(page: str) -> list[str]:
     from html.parser import HTMLParser
 
     class Reader(HTMLParser):
-        out, run, skip = None, "", 0
+        out, run, skip, articles = None, "", 0, 0
 
         def handle_starttag(self, tag, attrs):
             self.flush(tag)
-            self.skip += tag in html_extract.ASIDE_TAGS or tag in html_extract.RAW
+            own = tag == "header" and self.articles > 0  # the article's own
+            self.skips.append((tag in html_extract.ASIDE_TAGS and not own) or tag in html_extract.RAW)
+            self.skip += self.skips[-1]
+            self.articles += tag == "article"
 
         def handle_endtag(self, tag):
             self.flush(tag)
-            self.skip -= tag in html_extract.ASIDE_TAGS or tag in html_extract.RAW
+            self.skip -= self.skips.pop()
+            self.articles -= tag == "article"
 
         def handle_data(self, data):
             if not self.skip:
@@ -300,7 +304,7 @@ def _plain_text(page: str) -> list[str]:
                 self.run = ""
 
     reader = Reader()
-    reader.out = []
+    reader.out, reader.skips = [], []
     reader.feed(page)
     reader.close()
     reader.flush()
@@ -312,7 +316,7 @@ def test_pages_against_another_parser():
     words = lambda: " ".join(rng.choice(["alpha", "beta &amp; more", "gamma", "d&eacute;j&agrave;", "x\n y"]) for _ in range(rng.randrange(1, 9)))
 
     def element(depth: int) -> str:
-        tag = rng.choice("div section article ul p h2 blockquote table nav footer aside form script span b".split())
+        tag = rng.choice("div section article ul p h2 blockquote table nav footer aside header script span b".split())
         inner = "".join(rng.choice([words, lambda: element(depth - 1) if depth and tag not in ("p", "h2", "span", "b", "script") else words()])() for _ in range(rng.randrange(1, 4)))
         inner = {"ul": f"<li>{inner}</li>", "table": f"<tr><td>{inner}</td></tr>"}.get(tag, inner)
         return f"<{tag} class='c{rng.randrange(3)}'>{inner}</{tag}>"
@@ -355,6 +359,71 @@ def test_pages_by_consensus(spark, monkeypatch, sent):
     assert {k: texts[k].split("\n\n") for k in lines} == lines
 
 
+def test_whole_articles_stay(spark):
+    """Pages inside a form, an article's own header, formulas, and names whose words have other uses."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    form = lambda k: f"<body><form action=x><div class='nav-bar'>menu</div><h1>{words(k, 3)}</h1><p>{words(k, 40)}</p><input><select><option>no</select></form></body>"
+    assert all(html_extract.extract(form(k), None, None) == f"{words(k, 3)}\n\n{words(k, 40)}" for k in range(3))
+    assert html_extract.extract(f"<p>{words(1, 30)}</p><form><p>Your name</p></form>", None, None) == words(1, 30)
+    rows = [(k, f"http://f.example/{k}", form(k)) for k in range(6)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"{words(k, 3)}\n\n{words(k, 40)}" for k in range(6)}
+    page = f"<header>site</header><article><header class='entry-header'><h1>Title</h1><p>Lead.</p></header><p>{words(1, 9)}</p><footer>by us</footer></article><header>more</header>"
+    assert html_extract.extract(page, None, None) == f"Title\n\nLead.\n\n{words(1, 9)}"
+    assert html_extract.extract("<main><p>Since <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></main>", None, None) == "Since x=2 holds."
+    for name in ("share-price", "notice-period", "alert-levels-explained", "related-party-rules", "commentary", "adsorption", "table-header-note"):
+        assert html_extract.extract(f"<p>a</p><div class='{name}'>b</div>", None, None) == "a\n\nb", name
+    for name in ("share", "share-buttons", "notice", "cookie-law-info", "related_posts", "comments", "comment-list-2", "ad", "ad-slot-3", "page-header", "main-menu", "top-banner", "x newsletter-signup"):
+        assert html_extract.extract(f"<p>a</p><div class='{name}'>b</div>", None, None) == "a", name
+
+
+def _plain_host(pages: list[str]) -> tuple[set, set, set]:
+    """Rejected, released and won paths of a host's pages, by loops over all votes."""
+    votes, said, named = collections.Counter(), collections.defaultdict(dict), collections.Counter()
+    seen_named, total = collections.defaultdict(set), 0
+    for one in {(tuple(sorted(html_extract.votes(p))), n) for n, p in enumerate(pages)}:
+        for path, score, what, page, is_named in one[0]:
+            total += score
+            if is_named:
+                named[path] += score
+                seen_named[path].add(page)
+            else:
+                votes[path] += score
+                said[path].setdefault(what, set()).add(page)
+    count = {p: sum(map(len, said[p].values())) for p in said}
+    same = {p for p in said if max(map(len, said[p].values())) >= 3 and 2 * max(map(len, said[p].values())) > count[p]}
+    free = {p: votes[p] for p in said if p not in same}
+    first = max(free or votes, key=lambda p: (votes[p], p))
+    won = {p for p, n in free.items() if n and (100 * n >= max(free.values()) or 2 * count[p] >= max(count.values()))}
+    return same - {first}, {p for p, n in named.items() if len(seen_named[p]) >= 3 and 2 * n > total}, won if max(count.values()) >= 3 else None
+
+
+def test_votes_select_paths_against_a_loop(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta".split()) + str(rng.randrange(99)) for _ in range(n))
+    hosts = {}
+    for h in range(6):
+        pages = []
+        for k in range(rng.choice([2, 5, 9])):
+            stray = f"<div class='stray{chr(97 + k)}'>{text(1)}</div>" if k == 1 else ""
+            side = f"<div class='box'>{'Same words.' if h % 2 else text(3)}</div>" if rng.random() < 0.8 else ""
+            pages.append(f"<body>{side}<div class='title'>{text(2)}</div><div class='story'><p>{text(60)}</p><ul class='in'><li>{text(2)}</ul></div>{stray}<div class='sidebar'>{text(rng.choice([3, 400]))}</div></body>")
+        hosts[f"h{h}.example"] = pages
+    rows = [(n, f"http://{host}/{k}", page) for host, pages in hosts.items() for n, (k, page) in enumerate([*enumerate(pages), (0, pages[0])])]
+    got = {r["host_key"]: r for r in html_extract.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    dropped = 0
+    for host, pages in hosts.items():
+        rejected, released, won = _plain_host([*pages, pages[0]])
+        r = got[host]
+        assert (set(r["rejected"]), set(r["released"]), r["won"] and set(r["won"])) == (rejected, released, won)
+        for page in pages:
+            text_ = html_extract.extract(page, r["path"], r["rejected"], r["released"], r["won"])
+            whole = html_extract.extract(page, r["path"], r["rejected"], r["released"])
+            dropped += text_ != whole
+            assert ("stray" in page and won is not None) or text_ == whole
+    assert dropped
+
+
 # 6 quality
 
 
