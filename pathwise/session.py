@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -24,3 +25,15 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut, kept in the folder of spark.checkpoint.dir, which driver and executors share. Where it is
+    unset, as in tests, a folder of this machine; on a cluster ValueError."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pathwise-"))
+    return df.checkpoint()
