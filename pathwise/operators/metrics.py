@@ -88,3 +88,38 @@ def proper_scores(p: str, target: str) -> dict[str, Column]:
     nll = -F.aggregate(F.zip_with(F.col(p), F.col(target), lambda a, b: b * F.ln(F.greatest(a, F.lit(1e-12)))), F.lit(0.0), lambda s, x: s + x)
     brier = F.aggregate(F.zip_with(F.col(p), F.col(target), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return {"nll": F.avg(nll), "brier": F.avg(brier)}
+
+
+#: Neighbours and opposites among the ten values.
+ADJACENT = (
+    ("achievement", "hedonism"), ("achievement", "power"), ("benevolence", "conformity"), ("benevolence", "tradition"), ("benevolence", "universalism"), ("conformity", "security"),
+    ("conformity", "tradition"), ("hedonism", "stimulation"), ("power", "security"), ("security", "tradition"), ("self_direction", "stimulation"), ("self_direction", "universalism"),
+)
+OPPOSITE = (
+    ("achievement", "benevolence"), ("achievement", "universalism"), ("benevolence", "power"), ("conformity", "hedonism"), ("conformity", "self_direction"), ("conformity", "stimulation"),
+    ("hedonism", "tradition"), ("power", "universalism"), ("security", "self_direction"), ("security", "stimulation"), ("self_direction", "tradition"), ("stimulation", "tradition"),
+)
+
+
+def circumplex(rows: DataFrame, item: str, score: str | None = None, plus: str | None = None, minus: str | None = None, dimension: str = "dimension") -> DataFrame:
+    """relation, left, right, score and mean of the relation's scores, for 12 adjacent and 12 opposite pairs.
+
+    By expected scores: adjacent pairs score the mean product of what both have above 0, opposite ones that of the product
+    where it is above 0. By probabilities (plus, minus): both plus, and for opposite pairs both minus, too. Items without a
+    value in every dimension are left out; an item's ten rows meet in one aggregation, and one more gives all pairs."""
+    dims = sorted({d for pair in ADJACENT + OPPOSITE for d in pair})
+    columns = {"s": score} if score else {"p": plus, "m": minus}
+    cell = lambda k, c, d: F.max(F.when(F.col(dimension) == d, F.col(c))).alias(f"{k}_{d}")
+    items = rows.groupBy(item).agg(*(cell(k, c, d) for k, c in columns.items() for d in dims)).na.drop()
+    both = lambda k, a, b: F.col(f"{k}_{a}") * F.col(f"{k}_{b}")
+    above = lambda c: F.greatest(c, F.lit(0.0))
+
+    def value(relation: str, a: str, b: str) -> Column:
+        if score:
+            return above(F.col(f"s_{a}").cast("double")) * above(F.col(f"s_{b}").cast("double")) if relation == "adjacent" else above(both("s", a, b).cast("double"))
+        return both("p", a, b) if relation == "adjacent" else both("p", a, b) + both("m", a, b)
+
+    pairs = [(relation, a, b) for relation, some in (("adjacent", ADJACENT), ("opposite", OPPOSITE)) for a, b in some]
+    means = items.agg(*(F.avg(value(*pair)).alias(f"x{k}") for k, pair in enumerate(pairs)))  # one row
+    out = means.select(F.inline(F.array(*(F.struct(F.lit(r).alias("relation"), F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"x{k}").alias("score")) for k, (r, a, b) in enumerate(pairs)))))
+    return out.withColumn("mean", F.avg("score").over(Window.partitionBy("relation")))  # 12 rows each

@@ -107,6 +107,34 @@ def permutation_test(clusters: DataFrame, cluster: str, stratum: str, x: str, y:
     return counts.select("observed", ((1 + F.col("extreme")) / (F.col("n") + 1)).alias("p"), F.col("n").alias("n_replicates"))
 
 
+def placement_test(opportunities: DataFrame, triggers: DataFrame, references: DataFrame, week: list[str], replicates: int, seed: int = 7) -> DataFrame:
+    """One row: whether triggers meet references more often than as many opportunities placed at random.
+
+    opportunities and triggers: week (columns that name it) and cutoff; references: week and confirmation. A placement hits
+    if a reference of its week is confirmed by its cutoff. In each replicate as many weeks as there are triggers are drawn
+    without replacement, those with the least hashes, and one opportunity of each by another hash."""
+    first = references.groupBy(*week).agg(F.min("confirmation").alias("_first"))
+    hit = F.coalesce(F.col("_first") <= F.col("cutoff"), F.lit(False))
+    seen = triggers.join(first, week, "left").agg(F.count(F.lit(1)).alias("n_triggers"), F.count_if(hit).alias("n_hits")).first()
+    chances = opportunities.join(first, week, "left").groupBy(*week).agg(F.sort_array(F.collect_list(F.struct("cutoff", hit.alias("hit")))).alias("_all"))  # a week's opportunities: a few
+    n_weeks, n = chances.count(), seen["n_triggers"]
+    if n > n_weeks:
+        raise ValueError("more triggers than eligible weeks")
+    name = F.concat_ws(":", *(F.col(c).cast("string") for c in week))
+    draws = chances.select(name.alias("_name"), "_all", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    draws = draws.withColumn("_u", uniform(F.lit(seed), F.col("replicate"), F.col("_name")))
+    rank = F.row_number().over(Window.partitionBy("replicate").orderBy("_u", "_name"))
+    pick = F.least(F.floor(uniform(F.lit(seed + 1), F.col("replicate"), F.col("_name")) * F.size("_all")), F.size("_all") - 1).cast("int")
+    placed = draws.withColumn("_rank", rank).where(F.col("_rank") <= n).groupBy("replicate").agg(F.count_if(F.get("_all", pick)["hit"]).alias("hits"))
+    rate = F.col("hits") / F.lit(n) if n else F.lit(0.0)
+    observed = seen["n_hits"] / n if n else 0.0
+    rates = placed.select(rate.cast("double").alias("rate"))
+    out = rates.agg(F.count(F.lit(1)).alias("n_replicates"), F.avg("rate").alias("random_mean"), F.median("rate").alias("random_median"), F.percentile("rate", F.lit(0.025)).alias("low"), F.percentile("rate", F.lit(0.975)).alias("high"),
+                    F.count_if(F.col("rate") <= observed).alias("_le"), F.count_if(F.col("rate") >= observed).alias("_ge"))
+    return out.select(F.lit(n_weeks).cast("long").alias("n_weeks"), F.lit(n).cast("long").alias("n_triggers"), F.lit(observed).alias("observed_rate"), "random_mean", "random_median", "low", "high",
+                      (F.col("_le") / F.col("n_replicates")).alias("percentile"), ((1 + F.col("_ge")) / (F.col("n_replicates") + 1)).alias("p"), "n_replicates")
+
+
 def weighted_choice(df: DataFrame, weights: dict[str, float], *seed) -> DataFrame:
     """`df` with `choice`, drawn by hash of the seed columns; weights must be finite, none negative, some positive."""
     if not weights or any(not math.isfinite(w) or w < 0 for w in weights.values()) or not sum(weights.values()) > 0:

@@ -22,15 +22,6 @@ CORE = ["persona_id", "dimension"]
 CELL = ["event_id", "dimension"]
 
 
-@plans.add("x17_review_queues", """WITH g AS (SELECT persona_id, dimension, bool_or(verdict = 'abstain') AS a, bool_or(review_status <> 'ok') AS f, bool_or(verdict = 'conflict' AND confidence = 'low') AS l FROM decision GROUP BY ALL)
-SELECT persona_id, dimension, 'abstained' AS queue FROM g WHERE a UNION ALL SELECT persona_id, dimension, 'failed' FROM g WHERE f UNION ALL SELECT persona_id, dimension, 'low_confidence' FROM g WHERE l""", views=True)
-def _(spark, sf):
-    v = F.col("verdict")
-    flags = {"abstained": v == "abstain", "failed": F.col("review_status") != "ok", "low_confidence": (v == "conflict") & (F.col("confidence") == "low")}
-    g = adapter.decision(spark, sf).groupBy(*CORE).agg(*(F.bool_or(c).alias(k) for k, c in flags.items()))
-    return g.unpivot(CORE, list(flags), "queue", "hit").where("hit").drop("hit")
-
-
 @plans.add("x19_model_disagreement", """WITH m AS (SELECT persona_id, dimension, pass, string_agg(CAST(score AS VARCHAR), ',' ORDER BY score, t_index) AS tokens FROM vote WHERE pass <= 2 GROUP BY ALL)
 SELECT persona_id, dimension FROM m GROUP BY ALL HAVING count(DISTINCT tokens) > 1""", views=True)
 def _(spark, sf):
@@ -75,14 +66,6 @@ def _(spark, sf):
     return adapter.decision(spark, sf).select(*CELL, F.when((F.col("review_status") != "ok") & valid, "ok").otherwise(F.col("review_status")).alias("status"))
 
 
-@plans.add("x35_guardrails", lab.PAIRS + """, a AS (SELECT dimension, round(avg(CASE WHEN predicted = target THEN 1.0 ELSE 0 END), 9) AS acc, round(avg(abs(prediction)), 9) AS size FROM mc GROUP BY 1)
-SELECT dimension, acc >= 0.3 AS above_floor, size <= 0.6 AS bounded, row_number() OVER (ORDER BY (acc >= 0.3) DESC, acc DESC, dimension) AS place FROM a""", views=True)
-def _(spark, sf):
-    a = lab._pairs(spark, sf).groupBy("dimension").agg(F.round(F.avg((F.col("predicted") == F.col("target")).cast("double")), 9).alias("acc"), F.round(F.avg(F.abs("prediction")), 9).alias("size"))
-    a = a.withColumns({"above_floor": F.col("acc") >= 0.3, "bounded": F.col("size") <= 0.6})
-    return a.select("dimension", "above_floor", "bounded", F.row_number().over(Window.orderBy(F.desc("above_floor"), F.desc("acc"), "dimension")).alias("place"))  # ten rows
-
-
 #: Means of amounts in hundredths, to four places, by whole numbers: no order of summation shows in them.
 RUNS = "SELECT user_id AS run, event_id % 20 AS epoch, CAST((200 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 10000 AS q FROM events GROUP BY ALL"
 

@@ -89,24 +89,6 @@ def _(spark, sf):
     return vot.adjudicate(open_, rulings, CELL).select(*CELL, "answer")
 
 
-@plans.add("v10_pair_acceptance", """WITH c AS (SELECT persona_id, t_index // 2 AS pair, dimension, count(*) = 2 AND count(score) = 2 AND bool_or(score = 1) AND bool_or(score = -1) AND count(*) FILTER (WHERE confidence = 'no_majority') = 0 AS accepted FROM label GROUP BY ALL)
-SELECT persona_id, dimension, count(*) AS n_pairs, count(*) FILTER (WHERE accepted) AS n_accepted FROM c GROUP BY ALL""", views=True)
-def _(spark, sf):
-    s = F.col("score")
-    ok = (F.count(F.lit(1)) == 2) & (F.count(s) == 2) & F.coalesce(F.bool_or(s == 1), F.lit(False)) & F.coalesce(F.bool_or(s == -1), F.lit(False)) & (F.count_if(F.col("confidence") == "no_majority") == 0)
-    pairs = adapter.label(spark, sf).groupBy("persona_id", F.floor(F.col("t_index") / 2).alias("pair"), "dimension").agg(ok.alias("accepted"))
-    return pairs.groupBy("persona_id", "dimension").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("accepted").alias("n_accepted"))
-
-
-@plans.add("v11_response_consistency", """WITH s AS (SELECT persona_id, dimension, t_index, verdict, lead(verdict) OVER w AS n, lead(t_index) OVER w AS nt FROM decision WINDOW w AS (PARTITION BY persona_id, dimension ORDER BY t_index))
-SELECT persona_id, dimension, bool_or(coalesce(verdict = 'conflict' AND n = 'conflict' AND nt = t_index + 1, false)) AS sustained, count(*) FILTER (WHERE verdict = 'conflict') AS n_yes FROM s GROUP BY ALL""", views=True)
-def _(spark, sf):
-    w = Window.partitionBy("persona_id", "dimension").orderBy("t_index")
-    v = F.col("verdict")
-    rows = adapter.decision(spark, sf).withColumn("pair", F.coalesce((v == "conflict") & (F.lead(v).over(w) == "conflict") & (F.lead("t_index").over(w) == F.col("t_index") + 1), F.lit(False)))
-    return rows.groupBy("persona_id", "dimension").agg(F.bool_or("pair").alias("sustained"), F.count_if(v == "conflict").alias("n_yes"))
-
-
 @plans.add("v12_id_problems", """WITH got AS (SELECT event_id FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id FROM events WHERE event_id % 15 = 1 UNION ALL SELECT -event_id FROM events WHERE event_id % 50 = 3),
 g AS (SELECT event_id, count(*) AS n FROM got GROUP BY 1)
 SELECT coalesce(e.event_id, g.event_id) AS event_id, CASE WHEN e.event_id IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS problem FROM events e FULL JOIN g ON g.event_id = e.event_id WHERE e.event_id IS NULL OR n IS NULL OR n > 1""")
@@ -237,16 +219,6 @@ def _(spark, sf):
     return met.spearman(df, ["dimension"], "uncertainty", "err").select("dimension", F.round("rho", 6).alias("rho"), met.calibration_quality(F.col("rho")).alias("quality"))
 
 
-@plans.add("m13_circumplex", """SELECT a.dimension AS left_dim, b.dimension AS right_dim, CASE WHEN (b.dim_index - a.dim_index) IN (1, 9) THEN 'adjacent' ELSE 'opposite' END AS relation, round(avg(a.score * b.score), 6) AS product, count(*) AS n
-  FROM label a JOIN label b ON a.event_id = b.event_id AND a.dim_index < b.dim_index AND (b.dim_index - a.dim_index) IN (1, 9, 5) WHERE a.score IS NOT NULL AND b.score IS NOT NULL GROUP BY ALL""", views=True)
-def circumplex(spark, sf):
-    """Mean product of scores over pairs of neighbours and opposites on the ring; the ten scores of an entry meet in one row."""
-    rows = adapter.label(spark, sf).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("dim_index", "dimension", "score"))).alias("x"))
-    pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (b["dim_index"] - a["dim_index"]).isin(1, 9, 5)), lambda b: F.struct(
-        a["dimension"].alias("left_dim"), b["dimension"].alias("right_dim"), F.when((b["dim_index"] - a["dim_index"]) == 5, "opposite").otherwise("adjacent").alias("relation"), (a["score"] * b["score"]).alias("v")))))
-    return rows.select(F.inline(pairs)).where("v is not null").groupBy("left_dim", "right_dim", "relation").agg(F.round(F.avg("v"), 6).alias("product"), F.count(F.lit(1)).alias("n"))
-
-
 @plans.add("m14_binary_abstaining", "WITH x AS (SELECT l.dimension, l.score = -1 AS t, CASE d.verdict WHEN 'conflict' THEN true WHEN 'not_conflict' THEN false END AS p FROM label l JOIN decision d ON d.event_id = l.event_id AND d.dimension = l.dimension WHERE l.score IS NOT NULL) SELECT " + BINARY.format(t="t", p="p") + " FROM x", views=True)
 def _(spark, sf):
     d = adapter.decision(spark, sf).select(*CELL, "verdict")

@@ -362,11 +362,6 @@ def _(spark, sf):
         F.coalesce("o_orderpriority", F.lit("all")).alias("stratum"), "n", "hits", "rate")
 
 
-@plans.add("a15_expected_counts", "SELECT count(*) AS n_labels, count(DISTINCT persona_id) AS n_personas, count(DISTINCT event_id) AS n_entries, count(*) FILTER (WHERE score = -1) AS n_neg FROM label", views=True)
-def _(spark, sf):
-    return adapter.label(spark, sf).agg(F.count(F.lit(1)).alias("n_labels"), F.count_distinct("persona_id").alias("n_personas"), F.count_distinct("event_id").alias("n_entries"), F.count_if(F.col("score") == -1).alias("n_neg"))
-
-
 @plans.add("a16_class_counts", "SELECT dimension, count(*) FILTER (WHERE score = -1) AS neg, count(*) FILTER (WHERE score = 0) AS zero, count(*) FILTER (WHERE score = 1) AS pos FROM label GROUP BY 1", views=True)
 def _(spark, sf):
     n = lambda v: F.count_if(F.col("score") == v)
@@ -505,16 +500,6 @@ def _(spark, sf):
     return adapter.entry(spark, sf).groupBy("persona_id").agg(F.max_by("event_type", "t_index").alias("last_type"), F.max("t_index").alias("t_index"))
 
 
-@plans.add("q11_evidence_pick", """WITH s AS (SELECT persona_id, CAST(date_trunc('week', d) AS DATE) AS week, t_index, avg(score) AS m, count(*) OVER (PARTITION BY persona_id, CAST(date_trunc('week', d) AS DATE)) AS n FROM label WHERE score IS NOT NULL GROUP BY persona_id, d, t_index),
-r AS (SELECT *, row_number() OVER (PARTITION BY persona_id, week ORDER BY m, t_index) AS i FROM s)
-SELECT persona_id, week, t_index, round(m, 6) AS m, i FROM r WHERE i <= CASE WHEN n <= 2 THEN 1 ELSE 2 END""", views=True)
-def _(spark, sf):
-    e = adapter.label(spark, sf).where("score is not null").groupBy("persona_id", F.date_trunc("week", "d").cast("date").alias("week"), "t_index").agg(F.avg("score").alias("m"))
-    w = Window.partitionBy("persona_id", "week")
-    ranked = e.withColumns({"n": F.count(F.lit(1)).over(w), "i": F.row_number().over(w.orderBy("m", "t_index"))})
-    return ranked.where(F.col("i") <= F.when(F.col("n") <= 2, 1).otherwise(2)).select("persona_id", "week", "t_index", F.round("m", 6).alias("m"), "i")
-
-
 @plans.add("q12_tiered_fill", """WITH t AS (SELECT c_mktsegment, c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 9000 THEN 1 WHEN c_nationkey < 5 THEN 2 ELSE 3 END AS tier FROM customer)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY tier, c_custkey) AS rank FROM t) WHERE rank <= 20""")
 def _(spark, sf):

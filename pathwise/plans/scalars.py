@@ -23,13 +23,6 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", fn.normalized_name("p_name").alias("name"))
 
 
-@plans.add("f03_display_name", "SELECT DISTINCT dimension, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(dimension, '_')], ' ') AS name FROM dims", views=True)
-def _(spark, sf):
-    from pathwise.schema import dims_table
-
-    return dims_table(spark).select("dimension", fn.display_name("dimension").alias("name"))
-
-
 WORDS = "[w FOR w IN regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') IF w <> '']"
 
 

@@ -210,16 +210,6 @@ def paired(spark, sf):
     return _rounded(res.percentile_interval(res.cluster_bootstrap(c, "cluster", "delta", "one", 200)))
 
 
-@plans.add("b06_placement_test", f"""WITH w AS (SELECT persona_id, CAST(date_trunc('week', d) AS DATE) AS week, count(*) FILTER (WHERE score = -1) AS n FROM label GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY {_u("7", "persona_id", "week")}) AS k FROM w), g AS (SELECT persona_id, max(n) AS most, max(n) FILTER (WHERE k = 1) AS drawn FROM r GROUP BY 1)
-SELECT round(avg(CASE WHEN drawn >= most THEN 1.0 ELSE 0 END), 6) AS share FROM g""", views=True)
-def placement(spark, sf):
-    """Share of random weeks that hold as many conflicts as the week of each persona's first predicted episode."""
-    weeks = adapter.label(spark, sf).groupBy("persona_id", fn.week_start("d").alias("week")).agg(F.count_if(F.col("score") == -1).alias("n"))
-    draw = F.row_number().over(Window.partitionBy("persona_id").orderBy(res.uniform(F.lit(7), F.col("persona_id"), F.col("week"))))
-    return weeks.withColumn("k", draw).groupBy("persona_id").agg(F.max("n").alias("most"), F.max(F.when(F.col("k") == 1, F.col("n"))).alias("drawn")).agg(F.round(F.avg((F.col("drawn") >= F.col("most")).cast("double")), 6).alias("share"))
-
-
 @plans.add("b07_gate_grid", """WITH g AS (SELECT * FROM (VALUES (0.4::DOUBLE), (0.6), (0.8)) p(p) CROSS JOIN (VALUES (0.2::DOUBLE), (0.5)) u(u)) SELECT p, u, count(*) FILTER (WHERE p_minus1 >= p AND uncertainty <= u) AS n_pass FROM evidence CROSS JOIN g GROUP BY ALL""", views=True)
 def _(spark, sf):
     grid = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(u).alias("u")) for p in (0.4, 0.6, 0.8) for u in (0.2, 0.5)))).alias("g")
@@ -227,12 +217,6 @@ def _(spark, sf):
     return adapter.evidence(spark, sf).select("p_minus1", "uncertainty", grid).groupBy("g.p", "g.u").agg(F.count_if(ok).alias("n_pass"))
 
 
-@plans.add("b08_simplex_grid", "SELECT a / 4 AS w1, b / 4 AS w2, (4 - a - b) / 4 AS w3 FROM range(0, 5) x(a), range(0, 5) y(b) WHERE a + b <= 4")
-def _(spark, sf):
-    w = F.col("weights")
-    return res.simplex_grid(spark, 3, 4).select(w[0].alias("w1"), w[1].alias("w2"), w[2].alias("w3"))
-
-
 @plans.add("b09_dimension_search", lab.PAIRS + """, g AS (SELECT dimension, m, avg(CASE WHEN (CASE WHEN prediction < -m THEN -1 WHEN prediction > m THEN 1 ELSE 0 END) = target THEN 1.0 ELSE 0 END) AS acc FROM mc CROSS JOIN (VALUES (0.3::DOUBLE), (0.5), (0.8)) v(m) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY round(acc, 9) DESC, m) AS i FROM g) SELECT dimension, m AS margin, round(acc, 6) AS accuracy FROM r WHERE i = 1""", views=True)
 def _(spark, sf):
@@ -256,22 +240,6 @@ def _(spark, sf):
     return g.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hit"), F.round(100 * F.avg(F.col("hit").cast("double")), 1).alias("pct"))
 
 
-@plans.add("x10_full_cases", "SELECT persona_id, dimension, count(*) AS n, min(t_index) = 0 AND max(t_index) = count(*) - 1 AS complete FROM decision GROUP BY ALL", views=True)
-def _(spark, sf):
-    n = F.count(F.lit(1))
-    return adapter.decision(spark, sf).groupBy(*CORE).agg(n.alias("n"), ((F.min("t_index") == 0) & (F.max("t_index") == n - 1)).alias("complete"))
-
-
-@plans.add("x11_inventory", """WITH a AS (SELECT event_id, persona_id, dimension, t_index, score = -1 AS hit FROM label WHERE is_core), d AS (SELECT event_id, dimension, verdict = 'conflict' AS hit FROM decision)
-SELECT a.persona_id, a.dimension, count(*) AS n_entries, count(*) FILTER (WHERE a.hit) AS n_label, count(*) FILTER (WHERE d.hit) AS n_review, count(*) FILTER (WHERE a.hit AND d.hit) AS n_both FROM a LEFT JOIN d ON d.event_id = a.event_id AND d.dimension = a.dimension GROUP BY ALL""", views=True)
-def _(spark, sf):
-    no = F.lit(False)
-    d = adapter.decision(spark, sf).select("event_id", "dimension", (F.col("verdict") == "conflict").alias("r"))
-    rows = adapter.label(spark, sf).where("is_core").join(d, ["event_id", "dimension"], "left").withColumn("l", F.coalesce(F.col("score") == -1, no))
-    r = F.coalesce(F.col("r"), no)
-    return rows.groupBy(*CORE).agg(F.count(F.lit(1)).alias("n_entries"), F.count_if("l").alias("n_label"), F.count_if(r).alias("n_review"), F.count_if(F.col("l") & r).alias("n_both"))
-
-
 @plans.add("x12_candidate_union", "SELECT persona_id, dimension, bool_or(coalesce(score = -1, false)) AS by_label, bool_or(coalesce(score = 1, false)) AS by_support FROM label GROUP BY ALL HAVING count(*) FILTER (WHERE score = -1) > 6 OR count(*) FILTER (WHERE score = 1) > 14", views=True)
 def _(spark, sf):
     s, no = F.col("score"), F.lit(False)
@@ -279,32 +247,6 @@ def _(spark, sf):
     return g.where("a > 6 or b > 14").drop("a", "b")
 
 
-@plans.add("x14_gate", "WITH s AS (SELECT dimension, avg(CASE WHEN score = 0 THEN 0.0 ELSE 1.0 END) AS share FROM vote GROUP BY 1) SELECT bool_and(isfinite(share) AND share < 0.5) AS passed, count(*) FILTER (WHERE share >= 0.5) AS n_failed FROM s", views=True)
-def _(spark, sf):
-    s = adapter.vote(spark, sf).groupBy("dimension").agg(F.avg((F.col("score") != 0).cast("double")).alias("share"))
-    ok = F.col("share").isNotNull() & ~F.isnan("share") & (F.col("share") < 0.5)
-    return s.agg(F.bool_and(ok).alias("passed"), F.count_if(~ok).alias("n_failed"))
-
-
-@plans.add("x18_run_disagreement", "SELECT event_id, dimension FROM vote WHERE pass <= 3 GROUP BY ALL HAVING count(DISTINCT score) > 1", views=True)
-def _(spark, sf):
-    return adapter.vote(spark, sf).where("pass <= 3").groupBy("event_id", "dimension").agg((F.min("score") != F.max("score")).alias("differ")).where("differ").drop("differ")
-
-
-@plans.add("x22_window_completeness", """WITH w AS (SELECT DISTINCT persona_id, CAST(date_trunc('week', d) AS DATE) AS week_start FROM entry) SELECT e.persona_id, e.t_index, count(w.week_start) AS n_windows, count(*) FILTER (WHERE e.d BETWEEN w.week_start AND w.week_start + 6) AS n_current FROM entry e JOIN w ON w.persona_id = e.persona_id AND e.d <= w.week_start + 6 GROUP BY ALL""", views=True)
-def _(spark, sf):
-    """An entry is visible in its own week and all later ones of its persona: weeks are ranked, so no range join is needed."""
-    e = adapter.entry(spark, sf).withColumn("week_start", fn.week_start("d"))
-    weeks = Window.partitionBy("persona_id").orderBy("week_start")
-    last = F.max("_w").over(Window.partitionBy("persona_id"))
-    return e.withColumn("_w", F.dense_rank().over(weeks)).select("persona_id", "t_index", (last - F.col("_w") + 1).cast("long").alias("n_windows"), F.lit(1).alias("n_current"))
-
-
-@plans.add("x24_state_evidence", "SELECT persona_id, dimension, t_index FROM (SELECT *, row_number() OVER (PARTITION BY persona_id, dimension ORDER BY t_index DESC) AS i FROM decision) WHERE i <= 3", views=True)
-def _(spark, sf):
-    return rel.top_k(adapter.decision(spark, sf), CORE, [F.desc("t_index")], 3).select(*CORE, "t_index")
-
-
 @plans.add("x36_best_family", lab.PAIRS + "SELECT event_id, dimension, CASE WHEN round(abs(prediction - target), 9) <= round(abs(uncertainty - target), 9) THEN 'a' ELSE 'b' END AS family FROM mc", views=True)
 def _(spark, sf):
     far = lambda c: F.round(F.abs(F.col(c) - F.col("target")), 9)
@@ -335,12 +277,6 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_quantity") * 0.25 + F.col("l_linenumber") * 1.25 + F.col("l_tax") * 10), 4).alias("cost"))
 
 
-@plans.add("x53_matched_coverage", "SELECT count(*) AS n, count(*) FILTER (WHERE a.score = -1) AS n_a, count(*) FILTER (WHERE b.verdict = 'conflict') AS n_b FROM label a JOIN decision b ON a.event_id = b.event_id AND a.dimension = b.dimension WHERE a.score IS NOT NULL AND b.verdict <> 'abstain'", views=True)
-def _(spark, sf):
-    b = adapter.decision(spark, sf).where("verdict <> 'abstain'").select("event_id", "dimension", "verdict")
-    return adapter.label(spark, sf).where("score is not null").join(b, ["event_id", "dimension"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") == -1).alias("n_a"), F.count_if(F.col("verdict") == "conflict").alias("n_b"))
-
-
 @plans.add("x54_helped_harmed", "SELECT change, count(*) AS n FROM (SELECT CASE WHEN (a.score = l.score) = (b.score = l.score) THEN 'unchanged' WHEN b.score = l.score THEN 'helped' ELSE 'harmed' END AS change FROM vote a JOIN vote b ON a.event_id = b.event_id AND a.dimension = b.dimension AND a.pass = 1 AND b.pass = 2 JOIN label l ON l.event_id = a.event_id AND l.dimension = a.dimension WHERE l.score IS NOT NULL) GROUP BY 1", views=True)
 def _(spark, sf):
     v = lambda p: F.max(F.when(F.col("pass") == p, F.col("score")))
@@ -373,4 +309,3 @@ def choices(spark, sf):
 def _(spark, sf):
     e = lab._pairs(spark, sf).groupBy("dimension").agg(F.round(F.avg(F.abs(F.col("prediction") - F.col("target"))), 9).alias("err"))
     return e.select("dimension", F.row_number().over(Window.orderBy(F.desc_nulls_last("err"), "dimension")).alias("place"))  # ten rows
-
