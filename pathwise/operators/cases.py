@@ -219,3 +219,24 @@ def run_tokens(decisions: DataFrame, run: Column, off: Column) -> DataFrame:
 
 def run_spans(rows: DataFrame, case=CASE) -> DataFrame:
     return sequence.drift_spans(rows, F.coalesce(F.col("label"), F.lit(False)), ("repeat", *case))
+
+
+def recovered(responses: DataFrame, parsed: Column) -> DataFrame:
+    """`responses` (verdict, status, quote, text) with status ok and recovered_from where an invalid one that was parsed satisfies
+    the contract: a known verdict, and for a conflict a quote that says something and stands in the text as it is."""
+    quoted = (F.trim("quote") != "") & F.contains("text", "quote")
+    valid = F.when(F.col("verdict") == "conflict", F.coalesce(quoted, F.lit(False))).otherwise(F.coalesce(F.col("verdict").isin("not_conflict", "abstain"), F.lit(False)))
+    again = (F.col("status") == "invalid") & parsed & valid
+    return responses.withColumns({"status": F.when(again, "ok").otherwise(F.col("status")), "recovered_from": F.when(again, "invalid")})
+
+
+def dimension_trace(epochs: DataFrame, fields: list[str], dims, selected: int | None = None) -> DataFrame:
+    """epoch, dimension, the fields, val_recall_minus1, val_recall_zero, val_recall_plus1, eligible and selected: one row per epoch
+    and dimension of epochs' vectors (fields: arrays; recall: array of minus1, zero, plus1). A vector of another length raises;
+    without epochs the frame has its columns and types all the same."""
+    arrays = [*fields, "recall"]
+    short = F.array_max(F.array(*(F.abs(F.size(c) - len(dims)) for c in arrays)))
+    checked = epochs.withColumn("recall", F.when(F.coalesce(short, F.lit(1)) == 0, F.col("recall")).otherwise(F.raise_error(F.concat(F.lit("a vector of epoch "), F.col("epoch").cast("string"), F.lit(" lacks dimensions")))))
+    rows = checked.select("epoch", "eligible", F.inline(F.arrays_zip(F.array(*map(F.lit, dims)).alias("dimension"), *arrays)))
+    chosen = F.lit(False) if selected is None else F.col("epoch") == selected
+    return rows.select("epoch", F.col("dimension"), *fields, *(F.col(f"recall.{k}").alias(f"val_recall_{k}") for k in ("minus1", "zero", "plus1")), "eligible", chosen.alias("selected"))

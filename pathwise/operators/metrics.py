@@ -123,3 +123,20 @@ def circumplex(rows: DataFrame, item: str, score: str | None = None, plus: str |
     means = items.agg(*(F.avg(value(*pair)).alias(f"x{k}") for k, pair in enumerate(pairs)))  # one row
     out = means.select(F.inline(F.array(*(F.struct(F.lit(r).alias("relation"), F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"x{k}").alias("score")) for k, (r, a, b) in enumerate(pairs)))))
     return out.withColumn("mean", F.avg("score").over(Window.partitionBy("relation")))  # 12 rows each
+
+
+def policy_bundle(rows: DataFrame, by: list[str], target: str = "target", prediction: str = "prediction", predicted: str = "predicted", uncertainty: str = "uncertainty") -> DataFrame:
+    """by, and per group n, mse, mae, accuracy, qwk, the three recalls and their minority mean, hedging, calibration (rank
+    correlation of uncertainty and error) with its band, activation precision and recall, and sign accuracy on active rows:
+    one aggregation, and one for the ranks."""
+    t, p = F.col(target), F.col(predicted)
+    e = error_measures(prediction, target)
+    recalls = {f"recall_{name}": recall_of(target, predicted, k) for name, k in (("minus", -1), ("zero", 0), ("plus", 1))}
+    active = binary_measures(t != 0, p != 0)
+    plain = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), e["mse"].alias("mse"), e["mae"].alias("mae"), F.avg((t == p).cast("double")).alias("accuracy"), quadratic_kappa(target, predicted).alias("qwk"), *(c.alias(k) for k, c in recalls.items()),
+        ((recalls["recall_minus"] + recalls["recall_plus"]) / 2).alias("minority_recall"), e["hedging"].alias("hedging"), active["precision"].alias("activation_precision"), active["recall"].alias("activation_recall"),
+        F.try_divide(F.count_if((t != 0) & (t == p)), F.count_if((t != 0) & (p != 0))).alias("sign_accuracy"))
+    error = rows.withColumn("_error", F.round(F.abs(F.col(prediction) - t), 9))
+    rho = spearman(error, by, uncertainty, "_error", "calibration")
+    return plain.join(rho, by, "left").withColumn("calibration_band", calibration_quality(F.col("calibration")))

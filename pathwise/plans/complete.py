@@ -20,6 +20,7 @@ from pathwise.plans.base import Plans
 from pathwise.plans.sequence import CORE, MACHINE, REFERENCE, _recursive
 from pathwise.plans.weekly import _drawn, _u
 from pathwise.schema import DIMS
+from pathwise.streaming import live
 
 plans = Plans()
 CELL = ["event_id", "dimension"]
@@ -324,3 +325,103 @@ def _(spark, sf):
     means = lab._pairs(spark, sf).groupBy("dimension").agg(*(far(w).alias(f"x{k}") for k, w in enumerate(grid)))
     tried = F.array(*(F.struct(F.col(f"x{k}").alias("mae"), F.lit(-w[0]).alias("a"), F.lit(-w[1]).alias("b"), F.lit(w[0]).alias("w1"), F.lit(w[1]).alias("w2"), F.lit(w[2]).alias("w3")) for k, w in enumerate(grid)))
     return means.select("dimension", F.array_min(tried).alias("x")).select("dimension", "x.w1", "x.w2", "x.w3", "x.mae")
+
+
+def _bundle_sql(rows: str, by: str) -> str:
+    """SQL of `metrics.policy_bundle` over rows (target, prediction, predicted, uncertainty)."""
+    recall = lambda k: f"count(*) FILTER (WHERE target = {k} AND predicted = {k}) / nullif(count(*) FILTER (WHERE target = {k}), 0)"
+    rank = lambda c: f"rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0"
+    return f"""er AS (SELECT *, round(abs(prediction - target), 9) AS err FROM ({rows})), rk AS (SELECT *, {rank("uncertainty")} AS ra, {rank("err")} AS rb FROM er),
+bd AS (SELECT {by}, count(*) AS n, avg((prediction - target) * (prediction - target)) AS mse, avg(abs(prediction - target)) AS mae, avg(CASE WHEN target = predicted THEN 1.0 ELSE 0 END) AS accuracy, {_kappa()} AS qwk, {recall(-1)} AS recall_minus, {recall(0)} AS recall_zero, {recall(1)} AS recall_plus, ({recall(-1)} + {recall(1)}) / 2 AS minority_recall,
+  avg(CASE WHEN abs(prediction) < 0.3 THEN 1.0 ELSE 0 END) AS hedging, count(*) FILTER (WHERE target <> 0 AND predicted <> 0) / nullif(count(*) FILTER (WHERE predicted <> 0), 0) AS activation_precision, count(*) FILTER (WHERE target <> 0 AND predicted <> 0) / nullif(count(*) FILTER (WHERE target <> 0), 0) AS activation_recall,
+  count(*) FILTER (WHERE target <> 0 AND target = predicted) / nullif(count(*) FILTER (WHERE target <> 0 AND predicted <> 0), 0) AS sign_accuracy, corr(ra, rb) AS calibration FROM rk GROUP BY {by})
+SELECT {by}, n, {", ".join(f"round({c}, 6) AS {c}" for c in BUNDLE)}, CASE WHEN calibration IS NULL THEN 'unknown' WHEN calibration >= 0.3 THEN 'good' WHEN calibration >= 0.1 THEN 'marginal' WHEN calibration >= 0 THEN 'poor' ELSE 'negative' END AS calibration_band FROM bd"""
+
+
+BUNDLE = ("mse", "mae", "accuracy", "qwk", "recall_minus", "recall_zero", "recall_plus", "minority_recall", "hedging", "activation_precision", "activation_recall", "sign_accuracy", "calibration")
+
+
+def _six(df):
+    return df.withColumns({c: F.round(c, 6) for c in BUNDLE})
+
+
+@plans.add("x39_policy_bundle", lab.PAIRS + ", " + _bundle_sql("SELECT * FROM mc", "dimension"), views=True)
+def _(spark, sf):
+    """All measures of a policy by dimension."""
+    return _six(met.policy_bundle(lab._pairs(spark, sf), ["dimension"]))
+
+
+@plans.add("m19_model_by_lens", lab.PAIRS + lab.TALLY.replace("WITH t AS", ", t AS") + ", " + _bundle_sql("SELECT a.model, l.lens, CASE l.lens WHEN 'label' THEN target ELSE con.label END AS target, CASE a.model WHEN 'full' THEN prediction ELSE prediction / 2 END AS prediction, CASE WHEN CASE a.model WHEN 'full' THEN prediction ELSE prediction / 2 END < -0.5 THEN -1 WHEN CASE a.model WHEN 'full' THEN prediction ELSE prediction / 2 END > 0.5 THEN 1 ELSE 0 END AS predicted, uncertainty FROM mc JOIN con ON con.event_id = mc.event_id AND con.dimension = mc.dimension CROSS JOIN (VALUES ('label'), ('consensus')) l(lens) CROSS JOIN (VALUES ('full'), ('timid')) a(model) WHERE mc.dimension = 'security'", "model, lens"), views=True)
+def _(spark, sf):
+    """Two models under two target lenses, on one dimension, by all measures."""
+    consensus = lab.vot.resolve(adapter.vote(spark, sf), CELL).select(*CELL, "label")
+    rows = lab._pairs(spark, sf).where("dimension = 'security'").join(consensus, CELL)
+    arms = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(lens).alias("lens"), (F.col("prediction") * scale).alias("_p"), F.col(t).alias("_t")) for m, scale in (("full", 1.0), ("timid", 0.5)) for lens, t in (("label", "target"), ("consensus", "label"))))
+    rows = rows.select("uncertainty", F.inline(arms)).select("model", "lens", "uncertainty", F.col("_p").alias("prediction"), F.col("_t").alias("target")).withColumn("predicted", fn.discretized("prediction"))
+    return _six(met.policy_bundle(rows, ["model", "lens"]))
+
+
+@plans.add("x36_best_family", lab.PAIRS + f""", fam AS (SELECT *, CASE WHEN uncertainty < -0.5 THEN -1 WHEN uncertainty > 0.5 THEN 1 ELSE 0 END AS b, CASE WHEN prediction * 2 < -0.5 THEN -1 WHEN prediction * 2 > 0.5 THEN 1 ELSE 0 END AS c FROM mc),
+ch AS (SELECT dimension, target, CASE WHEN abs(predicted - target) <= abs(b - target) AND abs(predicted - target) <= abs(c - target) THEN 'a' WHEN abs(b - target) <= abs(c - target) THEN 'b' ELSE 'c' END AS family, predicted AS a, b, c FROM fam),
+pk AS (SELECT dimension, family, target, CASE family WHEN 'a' THEN a WHEN 'b' THEN b ELSE c END AS predicted FROM ch)
+SELECT dimension, count(*) FILTER (WHERE family = 'a') AS n_a, count(*) FILTER (WHERE family = 'b') AS n_b, count(*) FILTER (WHERE family = 'c') AS n_c, round(avg(CASE WHEN target = predicted THEN 1.0 ELSE 0 END), 6) AS accuracy, round({_kappa()}, 6) AS qwk FROM pk GROUP BY 1""", views=True)
+def _(spark, sf):
+    """The best of three families' classes in every cell (the first of those that tie), and how good that choice is."""
+    rows = lab._pairs(spark, sf).select("dimension", "target", F.array(*(F.struct(F.abs(c - F.col("target")).alias("far"), F.lit(k).alias("family"), c.alias("predicted")) for k, c in (("a", F.col("predicted")), ("b", fn.discretized("uncertainty")), ("c", fn.discretized(F.col("prediction") * 2))))).alias("all"))
+    rows = rows.select("dimension", "target", F.array_min("all").alias("x")).select("dimension", "target", "x.family", "x.predicted")
+    n = lambda k: F.count_if(F.col("family") == k).alias(f"n_{k}")
+    return rows.groupBy("dimension").agg(n("a"), n("b"), n("c"), F.round(F.avg((F.col("target") == F.col("predicted")).cast("double")), 6).alias("accuracy"), F.round(met.quadratic_kappa("target", "predicted"), 6).alias("qwk"))
+
+
+@plans.add("x34_recovered_rows", """WITH r AS (SELECT event_id, dimension, verdict, CASE WHEN event_id % 7 = 0 THEN 'invalid' ELSE review_status END AS status, CASE WHEN event_id % 21 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'entry ' || event_id ELSE 'another' END AS quote, event_id % 35 = 0 AS unparsed FROM decision),
+c AS (SELECT *, status = 'invalid' AND NOT unparsed AND CASE WHEN verdict = 'conflict' THEN coalesce(trim(quote) <> '' AND contains('The entry ' || event_id || ' says', quote), false) ELSE verdict IN ('not_conflict', 'abstain') END AS again FROM r)
+SELECT event_id, dimension, CASE WHEN again THEN 'ok' ELSE status END AS status, CASE WHEN again THEN 'invalid' END AS recovered_from FROM c""", views=True)
+def _(spark, sf):
+    """Invalid responses that satisfy the corrected contract: they were parsed, and a conflict quotes the entry."""
+    k = F.col("event_id")
+    quote = F.when(k % 21 == 0, F.lit(None).cast("string")).when(k % 2 == 0, F.concat(F.lit("entry "), k.cast("string"))).otherwise("another")
+    rows = adapter.decision(spark, sf).select(*CELL, "verdict", F.when(k % 7 == 0, "invalid").otherwise(F.col("review_status")).alias("status"), quote.alias("quote"), F.concat(F.lit("The entry "), k.cast("string"), F.lit(" says")).alias("text"), (k % 35 == 0).alias("unparsed"))
+    return ca.recovered(rows, ~F.col("unparsed")).select(*CELL, "status", "recovered_from")
+
+
+@plans.add("x45_trace_rows", f"""WITH e AS (SELECT event_id % 20 AS epoch, dimension, avg(score) AS ce, avg(abs(score)) AS weight, count(*) FILTER (WHERE score = -1) / count(score) AS minus, count(*) FILTER (WHERE score = 0) / count(score) AS zero, count(*) FILTER (WHERE score = 1) / count(score) AS plus FROM label GROUP BY 1, 2),
+b AS (SELECT epoch, avg(weight) AS w FROM e GROUP BY 1), s AS (SELECT epoch FROM b ORDER BY round(w, 9) DESC, epoch LIMIT 1)
+SELECT e.epoch, dimension, round(ce, 9) AS train_ce_mean, round(weight, 9) AS applied_weight, round(minus, 9) AS val_recall_minus1, round(zero, 9) AS val_recall_zero, round(plus, 9) AS val_recall_plus1, e.epoch % 3 <> 0 AS eligible, e.epoch = s.epoch AS selected FROM e, s""", views=True)
+def _(spark, sf):
+    """One row per epoch and dimension of epochs' vectors, the selected epoch marked."""
+    share = lambda k: F.count_if(F.col("score") == k) / F.count("score")
+    cells = adapter.label(spark, sf).groupBy((F.col("event_id") % 20).alias("epoch"), "dim_index").agg(F.avg("score").alias("ce"), F.avg(F.abs("score")).alias("weight"), F.struct(share(-1).alias("minus1"), share(0).alias("zero"), share(1).alias("plus1")).alias("recall"))
+    vector = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("dim_index", c))), lambda x: x[c]).alias(c)
+    epochs = cells.groupBy("epoch").agg(vector("ce"), vector("weight"), vector("recall"), F.avg("weight").alias("mean")).select("epoch", F.col("ce").alias("train_ce_mean"), F.col("weight").alias("applied_weight"), "recall", (F.col("epoch") % 3 != 0).alias("eligible"), "mean")
+    best = epochs.orderBy(F.desc(F.round("mean", 9)), "epoch").first()
+    out = ca.dimension_trace(epochs, ["train_ce_mean", "applied_weight"], DIMS, best["epoch"] if best else None)
+    return out.withColumns({c: F.round(c, 9) for c in ("train_ce_mean", "applied_weight", "val_recall_minus1", "val_recall_zero", "val_recall_plus1")})
+
+
+@plans.add("t13_lifecycle", """WITH e AS (SELECT event_id, ['complete', 'reused', 'refused', 'invalid', 'failed', 'queued', 'running', 'lost'][1 + event_id % 8] AS status, ts AS started, CASE WHEN event_id % 5 <> 0 THEN CASE WHEN event_id % 11 = 3 THEN ts - INTERVAL 1 SECOND ELSE ts + INTERVAL 1 SECOND END END AS ended, CASE WHEN event_id % 7 <> 0 THEN 5 END AS ms, CASE WHEN event_id % 3 = 0 THEN 'x' END AS error, CASE event_id % 4 WHEN 0 THEN true WHEN 3 THEN event_id % 16 = 3 END AS valid FROM events),
+p AS (SELECT event_id, unnest([CASE WHEN status = 'lost' THEN 'unknown status' END, CASE WHEN status IN ('complete', 'reused', 'refused', 'invalid', 'failed') AND (ended IS NULL OR ms IS NULL) THEN 'no completion timing' END, CASE WHEN status IN ('complete', 'reused', 'refused', 'invalid', 'failed') AND ended < started THEN 'completion precedes start' END,
+  CASE WHEN status IN ('queued', 'running') AND (ended IS NOT NULL OR ms IS NOT NULL) THEN 'complete before the end' END, CASE WHEN status IN ('refused', 'invalid', 'failed') AND error IS NULL THEN 'no error' END, CASE WHEN status IN ('complete', 'reused') AND error IS NOT NULL THEN 'error of a success' END, CASE WHEN status = 'invalid' AND coalesce(valid, true) THEN 'no failed validation' END]) AS problem FROM e)
+SELECT * FROM p WHERE problem IS NOT NULL""")
+def _(spark, sf):
+    """Events that break their lifecycle."""
+    k = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, (*live.TERMINAL, "queued", "running", "lost"))), (k % 8 + 1).cast("int"))
+    second = F.expr("interval 1 second")
+    ended = F.when(k % 5 != 0, F.when(k % 11 == 3, F.col("ts") - second).otherwise(F.col("ts") + second))
+    rows = table(spark, sf, "events").select("event_id", status.alias("status"), F.col("ts").alias("started_at"), ended.alias("completed_at"), F.when(k % 7 != 0, 5).alias("duration_ms"), F.when(k % 3 == 0, "x").alias("error"), F.when(k % 4 == 0, True).when(k % 4 == 3, k % 16 == 3).alias("valid"))
+    return live.lifecycle_problems(rows)
+
+
+@plans.add("t13_session_problems", """WITH s AS (SELECT DISTINCT persona_id AS id FROM entry), n AS (SELECT persona_id, t_index, CASE WHEN event_id % 211 = 5 THEN t_index - 1 ELSE t_index END AS t FROM entry),
+b AS (SELECT persona_id, bool_or(coalesce(t <= p, false)) AS back FROM (SELECT *, lag(t) OVER (PARTITION BY persona_id ORDER BY t_index) AS p FROM n) GROUP BY 1), l AS (SELECT persona_id, arg_max(d, t_index) AS last, bool_or(event_id % 97 = 11) AS twice FROM entry GROUP BY 1)
+SELECT CAST(id AS VARCHAR) AS session_id, 'profile of another session' AS problem FROM s WHERE id % 6 = 1 UNION ALL SELECT CAST(persona_id AS VARCHAR), 'positions not unique and ascending' FROM b WHERE back
+UNION ALL SELECT CAST(persona_id AS VARCHAR), 'clock precedes entries' FROM l WHERE persona_id % 5 = 2 UNION ALL SELECT CAST(persona_id AS VARCHAR), 'event ids not unique' FROM l WHERE twice""", views=True)
+def _(spark, sf):
+    """Sessions whose profile, positions, clock or event ids don't fit."""
+    e = adapter.entry(spark, sf).withColumn("session_id", F.col("persona_id").cast("string"))
+    p, k = F.col("persona_id"), F.col("event_id")
+    rows = e.groupBy("session_id", "persona_id").agg(F.max_by("d", "t_index").alias("last"))
+    rows = rows.select("session_id", F.when(p % 6 == 1, "other").otherwise(F.col("session_id")).alias("profile_session_id"), F.when(p % 5 == 2, F.date_sub("last", 1)).when(p % 5 == 3, F.col("last")).alias("clock"))
+    entries = e.select("session_id", F.col("t_index").alias("place"), F.when(k % 211 == 5, F.col("t_index") - 1).otherwise(F.col("t_index")).alias("t_index"), F.col("d").alias("date"))
+    ids = e.select("session_id", F.explode(F.when(k % 97 == 11, F.array(k, k)).otherwise(F.array(k))).alias("event_id"))
+    return live.session_problems(rows, entries, ids)

@@ -60,12 +60,6 @@ def _(spark, sf):
     return lab._pairs(spark, sf).join(v, CELL).select("predicted", F.inline(both)).groupBy("lens").agg(*(m[k].alias(k) for k in ("tp", "fp", "fn")))
 
 
-@plans.add("x34_recovered_rows", "SELECT event_id, dimension, CASE WHEN review_status <> 'ok' AND event_id % 34 = 0 THEN 'ok' ELSE review_status END AS status FROM decision", views=True)
-def _(spark, sf):
-    valid = F.col("event_id") % 34 == 0
-    return adapter.decision(spark, sf).select(*CELL, F.when((F.col("review_status") != "ok") & valid, "ok").otherwise(F.col("review_status")).alias("status"))
-
-
 #: Means of amounts in hundredths, to four places, by whole numbers: no order of summation shows in them.
 RUNS = "SELECT user_id AS run, event_id % 20 AS epoch, CAST((200 * sum(CAST(round(value * 100) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 10000 AS q FROM events GROUP BY ALL"
 
@@ -88,12 +82,6 @@ def _(spark, sf):
     return _against_first(spark, sf).groupBy((F.col("epoch") % 4).alias("family")).agg(F.round(F.median("delta"), 6).alias("mid"), F.count(F.lit(1)).alias("n"))
 
 
-@plans.add("x39_policy_bundle", lab.PAIRS + """SELECT dimension, count(*) AS n, round(avg(abs(prediction - target)), 6) AS mae, round(avg(CASE WHEN predicted = target THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg(CASE WHEN abs(prediction) < 0.3 THEN 1.0 ELSE 0 END), 6) AS hedging FROM mc GROUP BY 1""", views=True)
-def _(spark, sf):
-    e = met.error_measures("prediction", "target")
-    return lab._pairs(spark, sf).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"), F.round(e["mae"], 6).alias("mae"), F.round(F.avg((F.col("predicted") == F.col("target")).cast("double")), 6).alias("accuracy"), F.round(e["hedging"], 6).alias("hedging"))
-
-
 @plans.add("x40_ineligible_reasons", DELTAS + " SELECT run, epoch, concat_ws(',', CASE WHEN delta < -5 THEN 'worse' END, CASE WHEN q < 30 THEN 'low' END) AS reasons FROM d")
 def _(spark, sf):
     reasons = F.concat_ws(",", F.when(F.col("delta") < -5, "worse"), F.when(F.col("q") < 30, "low"))
@@ -110,11 +98,6 @@ def _(spark, sf):
     return adapter.entry(spark, sf).groupBy("persona_id").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("n_clusters"))
 
 
-@plans.add("x45_trace_rows", f"SELECT run, epoch, q, q >= max(q) OVER (PARTITION BY run ORDER BY epoch) AS best_so_far FROM ({RUNS})")
-def _(spark, sf):
-    return _runs(spark, sf).withColumn("best_so_far", F.col("q") >= F.max("q").over(Window.partitionBy("run").orderBy("epoch")))
-
-
 @plans.add("x46_matched_manifest", "SELECT count(*) AS n_rows, count(d.event_id) AS n_matched FROM label l LEFT JOIN decision d ON d.event_id = l.event_id AND d.dimension = l.dimension WHERE l.is_core", views=True)
 def _(spark, sf):
     d = adapter.decision(spark, sf).select(*CELL, F.lit(1).alias("hit"))

@@ -247,14 +247,6 @@ def _(spark, sf):
     return soft.groupBy("dimension").agg(*_rounded(**met.proper_scores("q", "p")))
 
 
-@plans.add("m19_model_by_lens", PAIRS + TALLY.replace("WITH t AS", ", t AS") + """, g AS (SELECT mc.dimension, l.lens, CASE l.lens WHEN 'label' THEN target ELSE con.label END AS t, predicted AS p FROM mc JOIN con ON con.event_id = mc.event_id AND con.dimension = mc.dimension CROSS JOIN (VALUES ('label'), ('consensus')) l(lens))
-SELECT lens, dimension, count(*) AS n, round(count(*) FILTER (WHERE t = -1 AND p = -1) / nullif(count(*) FILTER (WHERE t = -1), 0), 6) AS recall_neg, round(avg(CASE WHEN t = p THEN 1.0 ELSE 0 END), 6) AS accuracy FROM g GROUP BY ALL""", views=True)
-def _(spark, sf):
-    con = vot.resolve(adapter.vote(spark, sf), CELL).select(*CELL, "label")
-    rows = _pairs(spark, sf).join(con, CELL).select("dimension", "predicted", F.inline(F.array(F.struct(F.lit("label").alias("lens"), F.col("target").alias("t")), F.struct(F.lit("consensus").alias("lens"), F.col("label").alias("t")))))
-    return rows.groupBy("lens", "dimension").agg(F.count(F.lit(1)).alias("n"), F.round(met.recall_of("t", "predicted", -1), 6).alias("recall_neg"), F.round(F.avg((F.col("t") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
-
-
 @plans.add("m20_confidence_gate", """SELECT persona_id, t_index, dimension, CASE WHEN verdict = 'abstain' THEN NULL WHEN CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END >= 1 THEN verdict = 'conflict' END AS predicted FROM decision""", views=True)
 def _(spark, sf):
     rank = F.when(F.col("confidence") == "low", 0).when(F.col("confidence") == "medium", 1).otherwise(2)

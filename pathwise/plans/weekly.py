@@ -247,12 +247,6 @@ def _(spark, sf):
     return g.where("a > 6 or b > 14").drop("a", "b")
 
 
-@plans.add("x36_best_family", lab.PAIRS + "SELECT event_id, dimension, CASE WHEN round(abs(prediction - target), 9) <= round(abs(uncertainty - target), 9) THEN 'a' ELSE 'b' END AS family FROM mc", views=True)
-def _(spark, sf):
-    far = lambda c: F.round(F.abs(F.col(c) - F.col("target")), 9)
-    return lab._pairs(spark, sf).select("event_id", "dimension", F.when(far("prediction") <= far("uncertainty"), "a").otherwise("b").alias("family"))
-
-
 @plans.add("x37_paired_deltas", f"""WITH p AS (SELECT a.run, a.epoch % 4 AS family, b.q - a.q AS delta FROM ({RUNS}) a JOIN ({RUNS}) b ON b.run = a.run AND b.epoch = a.epoch + 10 WHERE a.epoch < 10) SELECT family, round(min(delta), 6) AS low, round(median(delta), 6) AS mid, round(max(delta), 6) AS high FROM p GROUP BY 1""")
 def _(spark, sf):
     pair = _runs(spark, sf).groupBy("run", (F.col("epoch") % 10).alias("e")).agg(F.max(F.when(F.col("epoch") < 10, F.col("q"))).alias("a"), F.max(F.when(F.col("epoch") >= 10, F.col("q"))).alias("b"))

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from pathwise.schema import DIMS, assert_columns
@@ -34,9 +35,30 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of every line of text files. A line's number is its place in its split and the lines of the
+    file's splits before: splits are counted, no file has to be read by one task."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value").withColumn("_id", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start")) - F.col("_n")
+    splits = splits.select("file", "_start", (before - F.col("_first") + 1).alias("_shift"))
+    return rows.join(splits, ["file", "_start"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "value")
+
+
+def jsonl_problems(spark: SparkSession, path: str) -> DataFrame:
+    """file, line and problem of the lines that are no JSON or no object; blank lines are none."""
+    parsed = F.try_parse_json("value")
+    problem = F.when(parsed.isNull(), "is not valid JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "must contain a JSON object")
+    return numbered_lines(spark, path).where(F.trim("value") != "").select("file", "line", problem.alias("problem")).where("problem is not null")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines, blank lines skipped. `strict` raises on the first malformed line when it is read; else such lines go."""
+    """JSON lines, blank lines skipped. `strict`: ValueError that names file and line of the first one that is no JSON or no
+    object, by a pass before the rows are read; else such lines go."""
     if strict:
+        bad = jsonl_problems(spark, path).orderBy("file", "line").limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0]['file']}:{bad[0]['line']} {bad[0]['problem']}")
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     full = f"{schema}, _corrupt_record string"
     rows = spark.read.schema(full).json(path)

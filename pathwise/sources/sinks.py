@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathwise.operators.relational import upsert
-from pathwise.schema import TIERS, assert_columns
+from pathwise.schema import TIERS, assert_columns, assert_unique
 
 
 def _fs(spark: SparkSession, path: str):
@@ -54,6 +54,15 @@ def write_new(df: DataFrame, path: str, keys: list[str]) -> None:
     new.write.mode("append").parquet(path)
 
 
+def write_new_stage(df: DataFrame, path: str, keys: list[str], registry: DataFrame, flag: str) -> DataFrame:
+    """`write_new`, then the registry with `flag` set for every key that the folder has: the same after any number of reruns,
+    also after one that wrote rows and died before the registry was stored."""
+    write_new(df, path, keys)
+    done = df.sparkSession.read.parquet(path).select(*keys).distinct().withColumn("_done", F.lit(True))
+    out = registry.join(done, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | F.coalesce("_done", F.lit(False)))
+    return out.select(*registry.columns)
+
+
 def swap_in(df: DataFrame, path: str) -> None:
     """Replaces a Parquet folder by `df`, which may read it: written beside it, then renamed into place.
 
@@ -135,3 +144,25 @@ def cached(df: DataFrame, path: str, provenance: str, check=None) -> DataFrame:
 
 def as_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
+#: The fields of a weekly review's receipt, and its statuses.
+RECEIPT = ("persona_id", "week_start", "week_end", "status", "assessments", "refusal", "validation_error", "prompt_sha256", "latency_seconds")
+RECEIPT_STATUSES = ("ok", "refusal", "invalid", "error")
+
+
+def persist_receipts(receipts: DataFrame, path: str) -> None:
+    """One JSON per receipt, keys in order of name, in the folder of its persona and week: a receipt that is stored again
+    replaces its own. A receipt with other fields, an unknown status, or assessments though it is not ok raises, and so do two
+    of one week."""
+    assert_columns(receipts, RECEIPT)
+    ok = F.col("status").isin(*RECEIPT_STATUSES) & ((F.col("status") == "ok") | (F.coalesce(F.size("assessments"), F.lit(0)) <= 0))
+    if not receipts.where(~F.coalesce(ok, F.lit(False))).isEmpty():
+        raise ValueError("receipts outside their contract")
+    assert_unique(receipts, ["persona_id", "week_start"])
+    text = F.to_json(F.struct(*sorted(RECEIPT)), {"ignoreNullFields": "false"}).alias("value")
+    receipts.select("persona_id", "week_start", text).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("persona_id", "week_start").text(path)
+
+
+def read_receipts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.window import Window
 
 REQUEST = "session_id string, kind string, key string, revision long, entry_id string, t_index long, date string, body string, seq_in long"
 LOG = ("session_id string, seq long, row string, key string, event_type string, event_id string, parent_id string, status string, reason string, revision long, "
@@ -503,3 +504,38 @@ class _Fold(StatefulProcessor):
 def drift_states(changelog: DataFrame) -> DataFrame:
     """Streaming: the state of each trajectory after every batch that changes it; null where no decision is left."""
     return changelog.groupBy("session_id", "value").transformWithStateInPandas(_Fold(), "session_id string, value string, seq long, state string, run_length long, t_index long", "Append", "None")
+
+
+#: Statuses of an event that has ended, and of one that has failed.
+TERMINAL = ("complete", "reused", "refused", "invalid", "failed")
+FAILED = ("refused", "invalid", "failed")
+
+
+def lifecycle_problems(events: DataFrame) -> DataFrame:
+    """event_id and problem of events that break their lifecycle. events: event_id, status, started_at, completed_at,
+    duration_ms, error, valid (of its validation, null without one)."""
+    status, ended = F.col("status"), F.col("completed_at").isNotNull() | F.col("duration_ms").isNotNull()
+    over = status.isin(*TERMINAL)
+    checks = {
+        "unknown status": ~F.coalesce(status.isin(*TERMINAL, "queued", "running"), F.lit(False)),
+        "no completion timing": over & (F.col("completed_at").isNull() | F.col("duration_ms").isNull()),
+        "completion precedes start": over & F.coalesce(F.col("completed_at") < F.col("started_at"), F.lit(False)),
+        "complete before the end": status.isin("queued", "running") & ended,
+        "no error": status.isin(*FAILED) & F.col("error").isNull(), "error of a success": status.isin("complete", "reused") & F.col("error").isNotNull(),
+        "no failed validation": (status == "invalid") & F.coalesce(F.col("valid"), F.lit(True)),
+    }
+    return events.select("event_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items())))).alias("problem"))
+
+
+def session_problems(sessions: DataFrame, entries: DataFrame, event_ids: DataFrame) -> DataFrame:
+    """session_id and problem. sessions: session_id, profile_session_id, clock; entries: session_id, place (order of storage),
+    t_index, date; event_ids: session_id, event_id."""
+    w = Window.partitionBy("session_id").orderBy("place")
+    back = F.coalesce(F.col("t_index") <= F.lag("t_index").over(w), F.lit(False))
+    of_entries = entries.withColumn("_back", back).groupBy("session_id").agg(F.bool_or("_back").alias("_back"), F.max_by("date", "place").alias("_last"))
+    of_events = event_ids.groupBy("session_id").agg((F.count("event_id") != F.count_distinct("event_id")).alias("_twice"))
+    rows = sessions.join(of_entries, "session_id", "left").join(of_events, "session_id", "left")
+    no = F.lit(False)
+    checks = {"profile of another session": ~F.col("profile_session_id").eqNullSafe(F.col("session_id")), "positions not unique and ascending": F.coalesce("_back", no),
+              "clock precedes entries": F.coalesce(F.col("clock") < F.col("_last"), no), "event ids not unique": F.coalesce("_twice", no)}
+    return rows.select("session_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in checks.items())))).alias("problem"))
