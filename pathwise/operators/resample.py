@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,15 +41,37 @@ def poisson_weight(u: Column, most: int = 9) -> Column:
     return out.otherwise(most)
 
 
+def _draws(cluster, replicates: int, seed: int) -> np.ndarray:
+    """What `uniform` gives for seed, every replicate and the cluster."""
+    tail = "" if cluster is None else f"|{cluster}"
+    return np.array([int(hashlib.md5(f"{seed}|{k}{tail}".encode()).hexdigest()[:13], 16) for k in range(replicates)]) / float(1 << 52)
+
+
 def cluster_bootstrap(clusters: DataFrame, cluster: str, top: str, bottom: str, replicates: int, seed: int = 7, by: tuple[str, ...] = ()) -> DataFrame:
     """Per replicate the ratio of the weighted sums of `top` and `bottom` over clusters drawn with replacement.
 
-    `clusters` has one row per cluster (and group): the draw is a weight per cluster and replicate, so nothing is resampled
-    in place and each replicate is one weighted sum, combined before the shuffle.
+    `clusters` has one row per cluster (and group): the draw is a weight per cluster and replicate. Every task keeps one
+    vector of sums over the replicates for each group, and only these meet: no row is made for a cluster and replicate.
     """
-    draws = clusters.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    weight = poisson_weight(uniform(F.lit(seed), F.col("replicate"), F.col(cluster)))
-    return draws.groupBy(*by, "replicate").agg(F.try_divide(F.sum(weight * F.col(top)), F.sum(weight * F.col(bottom))).alias("value"))
+    steps = np.array(poisson_steps())
+    kinds = {c: clusters.schema[c].dataType.simpleString() for c in by}
+    schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "tops array<double>", "bottoms array<double>"])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for name, rows in pdf.groupby("_cluster", dropna=False, sort=False):
+                weight = np.searchsorted(steps, _draws(None if pd.isna(name) else name, replicates, seed), "right").astype(float)
+                for *group, _, a, b in rows.itertuples(index=False, name=None):
+                    own = held.setdefault(tuple(group), np.zeros((2, replicates)))
+                    own[0] += weight * (0.0 if pd.isna(a) else a)
+                    own[1] += weight * (0.0 if pd.isna(b) else b)
+        if held:
+            yield pd.DataFrame([(*group, own[0], own[1]) for group, own in held.items()], columns=[*by, "tops", "bottoms"])
+
+    rows = clusters.select(*by, F.col(cluster).cast("string").alias("_cluster"), F.col(top).cast("double").alias("_top"), F.col(bottom).cast("double").alias("_bottom"))
+    each = rows.mapInPandas(sums, schema).select(*by, F.posexplode(F.arrays_zip("tops", "bottoms")).alias("replicate", "x"))
+    return each.groupBy(*by, "replicate").agg(F.try_divide(F.sum("x.tops"), F.sum("x.bottoms")).alias("value"))
 
 
 def percentile_interval(replicates: DataFrame, by: tuple[str, ...] = (), level: float = 0.95) -> DataFrame:

@@ -173,10 +173,25 @@ def bootstrap(spark, sf):
     return _rounded(res.percentile_interval(res.cluster_bootstrap(c, "persona_id", "hits", "n", 200, by=("dimension",)), ("dimension",)))
 
 
-@plans.add("b02_bca_interval")
+def _phi(x: str) -> str:
+    """SQL of the normal distribution at x, by its series."""
+    term = f"list_reduce(range(1, 80), lambda s, k: {{'t': s.t * {x} * {x} / (2 * k + 1), 'a': s.a + s.t * {x} * {x} / (2 * k + 1)}}, {{'t': {x}::DOUBLE, 'a': {x}::DOUBLE}})"
+    return f"(0.5 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * ({term}).a)"
+
+
+@plans.add("b02_bca_interval", f"""WITH RECURSIVE c AS (SELECT persona_id, count(*) FILTER (WHERE score = -1) AS hits, count(score) AS n FROM ({adapter.over_views("SELECT * FROM label")}) GROUP BY 1), tot AS (SELECT sum(hits) AS t, sum(n) AS b FROM c),
+dr AS (SELECT c.*, replicate, {_u("7", "replicate", "persona_id")} AS u FROM c CROSS JOIN (SELECT unnest(range(0, 400)) AS replicate)), bv AS (SELECT replicate, sum(w * hits) / nullif(sum(w * n), 0) AS v FROM (SELECT *, {"CASE " + " ".join(f"WHEN u < {step!r} THEN {k}" for k, step in enumerate(res.poisson_steps())) + " ELSE 9 END"} AS w FROM dr) GROUP BY 1),
+j AS (SELECT (t - hits) / (b - n) AS j FROM c, tot WHERE b <> n), jm AS (SELECT avg(j) AS m FROM j), jk AS (SELECT sum((m - j) ** 2) AS squares, sum((m - j) ** 3) AS cubes FROM j, jm),
+bl AS (SELECT count(*) FILTER (WHERE v < t / b) / count(v) AS below FROM bv, tot),
+z AS (SELECT 0 AS step, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, below FROM bl UNION ALL SELECT step + 1, CASE WHEN {_phi("((lo + hi) / 2)")} < below THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_phi("((lo + hi) / 2)")} < below THEN hi ELSE (lo + hi) / 2 END, below FROM z WHERE step < 55),
+k AS (SELECT (lo + hi) / 2 AS z0, below, cubes / (6 * squares ** 1.5) AS a, squares FROM z, jk WHERE step = 55),
+q AS (SELECT k.*, x.z, x.plain, z0 + (z0 + x.z) / (1 - a * (z0 + x.z)) AS zq FROM k, (VALUES (-1.9599639845400545::DOUBLE, 0.025), (1.9599639845400545::DOUBLE, 0.975)) x(z, plain)),
+p AS (SELECT plain, CASE WHEN below > 0 AND below < 1 AND squares > 0 THEN {_phi("zq")} ELSE plain END AS p FROM q), s AS (SELECT list(v ORDER BY v) AS xs FROM bv WHERE v IS NOT NULL),
+e AS (SELECT plain, p * (len(xs) - 1) AS x, xs FROM p, s), f AS (SELECT plain, xs[1 + floor(x)::BIGINT] + (x - floor(x)) * (xs[least(2 + floor(x)::BIGINT, len(xs))] - xs[1 + floor(x)::BIGINT]) AS bound FROM e)
+SELECT round(t / b, 6) AS estimate, round((SELECT bound FROM f WHERE plain < 0.5), 6) AS low, round((SELECT bound FROM f WHERE plain > 0.5), 6) AS high, 400 AS n_replicates FROM tot""")
 def bca(spark, sf):
     c = adapter.label(spark, sf).groupBy("persona_id").agg(F.count_if(F.col("score") == -1).alias("hits"), F.count("score").alias("n"))
-    return res.bca_interval(c, "persona_id", "hits", "n", 400)
+    return res.bca_interval(c, "persona_id", "hits", "n", 400).withColumns({x: F.round(x, 6) for x in ("estimate", "low", "high")})
 
 
 @plans.add("b03_permutation_test", f"""WITH c AS (SELECT persona_id, coalesce(avg(score) FILTER (WHERE dim_index % 2 = 0), 0) AS x, coalesce(avg(score) FILTER (WHERE dim_index % 2 = 1), 0) AS y, count(*) // 100 AS stratum FROM label GROUP BY 1),
