@@ -110,7 +110,15 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(fn.quoted_phrases(said), "|").alias("quotes"))
 
 
-@plans.add("f17_narrative_checks")
+def _label_pattern() -> str:
+    return "|".join(d.replace("_", " ") for d in DIMS)
+
+
+@plans.add("f17_narrative_checks", f"""WITH t AS (SELECT conv_id, part, a, 'You said "' || coalesce(a, NULL)[1:12] || '". ' || b AS x FROM ({TURNS}) WHERE b IS NOT NULL)
+SELECT conv_id, part, CASE WHEN x IS NOT NULL THEN len([q FOR q IN [trim(r) FOR r IN regexp_extract_all(x, '"([^"]+)"', 1)] IF q <> '' AND contains(lower(a), lower(q))]) > 0 END AS groundedness,
+  NOT (contains(lower(x), 'score') OR contains(lower(x), 'alignment') OR contains(lower(x), 'mean=')) AS non_circularity, NOT regexp_matches(lower(x), '\\b({_label_pattern()})\\b') AS value_leakage,
+  NOT regexp_matches(x, '(?i)\\b(better|improv\\w*|progress\\w*|recover\\w*|success\\w*)\\b') AND (NOT regexp_matches(x, '(?i)\\b(did not continue|didn''t continue|pattern (has )?(ended|stopped))\\b') OR conv_id % 2 = 0) AS state_claims,
+  len(regexp_extract_all(x, '[^\\s]+')) BETWEEN 25 AND 180 AS length FROM t""")
 def narrative(spark, sf):
     df = _turns(spark, sf).where("b is not null").select("conv_id", "part", F.concat(F.lit('You said "'), F.substring("a", 1, 12), F.lit('". '), F.col("b")).alias("text"), F.array("a").alias("evidence"), (F.col("conv_id") % 2 == 0).alias("ended"))
     checks = fn.narrative_checks("text", "evidence", [d.replace("_", " ") for d in DIMS], ("score", "alignment", "mean="), r"\b(better|improv\w*|progress\w*|recover\w*|success\w*)\b", r"\b(did not continue|didn't continue|pattern (has )?(ended|stopped))\b", "ended")
