@@ -142,6 +142,10 @@ def _(spark, sf):
     return DataFrame.unionByName(e.groupBy("event_type", "repeat").agg(F.round(F.median("v"), 6).alias("mid")), e.groupBy("event_type").agg(F.round(F.median("v"), 6).alias("mid")).withColumn("repeat", F.lit("all")))
 
 
-@plans.add("w24_change_points")
+@plans.add("w24_change_points", adapter.VIEWS.replace("WITH entry", "WITH RECURSIVE entry", 1) + """, o AS (SELECT persona_id, dimension, t_index, CASE score WHEN -1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS k, row_number() OVER (PARTITION BY persona_id, dimension ORDER BY t_index) AS i FROM label WHERE is_core AND score IS NOT NULL),
+r AS (SELECT DISTINCT persona_id, dimension, CAST(-1 AS BIGINT) AS t_index, CAST(0 AS BIGINT) AS i, [1.0::DOUBLE] AS a, [1.0::DOUBLE] AS b, [1.0::DOUBLE] AS c, [1.0::DOUBLE] AS w, 1.0::DOUBLE AS p FROM o
+  UNION ALL SELECT persona_id, dimension, t_index, i, list_transform(list_append(a, 1.0), lambda x: x + (k = 0)::INTEGER), list_transform(list_append(b, 1.0), lambda x: x + (k = 1)::INTEGER), list_transform(list_append(c, 1.0), lambda x: x + (k = 2)::INTEGER), list_transform(j, lambda x: x / list_sum(j)), (0.1 / 3) / list_sum(j)
+  FROM (SELECT r.persona_id, r.dimension, o.t_index, o.i, o.k, a, b, c, list_append(list_transform(range(1, len(w) + 1), lambda n: w[n] * 0.9 * (CASE o.k WHEN 0 THEN a[n] WHEN 1 THEN b[n] ELSE c[n] END) / (a[n] + b[n] + c[n])), 0.1::DOUBLE / 3) AS j FROM r JOIN o ON o.persona_id = r.persona_id AND o.dimension = r.dimension AND o.i = r.i + 1))
+SELECT persona_id, dimension, t_index, round(p, 6) AS p_change FROM r WHERE i > 0""")
 def regimes(spark, sf):
     return cps.change_points(adapter.label(spark, sf).where("is_core")).withColumn("p_change", F.round("p_change", 6))
