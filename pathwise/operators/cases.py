@@ -238,5 +238,5 @@ def dimension_trace(epochs: DataFrame, fields: list[str], dims, selected: int |
     short = F.array_max(F.array(*(F.abs(F.size(c) - len(dims)) for c in arrays)))
     checked = epochs.withColumn("recall", F.when(F.coalesce(short, F.lit(1)) == 0, F.col("recall")).otherwise(F.raise_error(F.concat(F.lit("a vector of epoch "), F.col("epoch").cast("string"), F.lit(" lacks dimensions")))))
     rows = checked.select("epoch", "eligible", F.inline(F.arrays_zip(F.array(*map(F.lit, dims)).alias("dimension"), *arrays)))
-    chosen = F.lit(False) if selected is None else F.col("epoch") == selected
+    chosen = F.coalesce(F.col("epoch") == F.lit(selected), F.lit(False))
     return rows.select("epoch", F.col("dimension"), *fields, *(F.col(f"recall.{k}").alias(f"val_recall_{k}") for k in ("minus1", "zero", "plus1")), "eligible", chosen.alias("selected"))
