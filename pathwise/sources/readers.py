@@ -183,10 +183,19 @@ def profile(files: DataFrame, fields=("Age", "Profession", "Culture", "Core Valu
     return df.select("persona_id", _nonblank(named).alias("name"), *(c.alias(k) for k, c in cols.items()))
 
 
-#: Fixed values of the raw format: lines of metadata, marks that there is no nudge or no response, placeholders of responses.
+#: Fixed values of the raw format: lines of metadata; marks, in any case, that there is no nudge, no response, or that a nudge
+#: was not made; and whole responses that are none.
 METADATA = "Tone:", "Verbosity:", "Reflection Mode:", "Mode:"
-NO_NUDGE, NO_NUDGE_GENERATED, NO_RESPONSE = "*(no nudge", "[no nudge generated", "*(no response"
-PLACEHOLDERS = "[n/a - no nudge provided]", "[na - no nudge provided]", "[no response recorded]", "**[no response]**", "*no response recorded*"
+NO_NUDGE = r"\*\(No nudge[^\n]*\)\*"
+NO_RESPONSE = r"\*\(No response[^\n]*\)\*"
+NO_NUDGE_GENERATED = r"\[\s*No nudge generated[^\]]*\]"
+PLACEHOLDERS = (
+    r"\[N/?A\s*-\s*No nudge provided\]",
+    r"\[No response recorded\]",
+    r"\*\*\[No Response\]\*\*",
+    r"\*No response recorded\*",
+    r"\*\(No response[^\n]*\)\*",
+)
 DATE = r"\d{4}-\d{2}-\d{2}"
 
 
@@ -197,13 +206,12 @@ def raw_entries(files: DataFrame) -> DataFrame:
     quoted text after Trigger, a plain one after Category and a blank line, a block quote after Type.
     """
     lines = F.col("lines")
-    squeezed = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
-    inside = lambda line, mark: F.contains(F.lower(line), F.lit(mark)) & F.contains(F.substring_index(F.lower(line), mark, -1), F.lit(")*"))
+    inside = lambda line, mark: line.rlike(f"(?i){mark}")
     bare = lambda line: F.trim(F.replace(line, F.lit("**"), F.lit("")))
     marked = lambda name: F.exists(lines, lambda line: F.contains(line, F.lit(f"**{name}**:")) | F.contains(line, F.lit(f"**{name}:**")))
     df = _entry_lines(files)
     whole = F.array_join(lines, "\n")
-    generated = F.contains(F.substring_index(squeezed(whole), NO_NUDGE_GENERATED.replace(" ", ""), -1), F.lit("]")) & F.contains(squeezed(whole), F.lit(NO_NUDGE_GENERATED.replace(" ", "")))
+    generated = inside(whole, NO_NUDGE_GENERATED)
     df = df.withColumns({
         "entry_at": _first(lines, _starts("### Initial Entry")), "nudge_at": _first(lines, _starts("### Nudge")), "answer_at": _first(lines, _starts("### Response")),
         "unanswered": F.exists(lines, lambda line: inside(line, NO_RESPONSE)), "wanted": F.exists(lines, _starts("### Nudge")) & ~F.exists(lines, lambda line: inside(line, NO_NUDGE)) & ~generated,
@@ -211,7 +219,7 @@ def raw_entries(files: DataFrame) -> DataFrame:
     # The entry: leading blank lines and metadata go, and so does the mark that there is no nudge, wherever it stands.
     begins = _first(lines, lambda line: (F.length(F.trim(line)) > 0) & ~_starts(*METADATA)(bare(line)), F.col("entry_at"))
     ends = _first(lines, _starts("### Nudge", "---"), F.col("entry_at"))
-    kept = F.filter(F.slice(lines, begins, F.greatest(F.lit(0), ends - begins)), lambda line: ~(F.startswith(F.lower(F.trim(line)), F.lit(NO_NUDGE)) & F.endswith(F.trim(line), F.lit(")*"))))
+    kept = F.filter(F.slice(lines, begins, F.greatest(F.lit(0), ends - begins)), lambda line: ~F.btrim(line, F.lit(SPACES)).rlike(f"(?i)^{NO_NUDGE}$"))
     # The nudge: what stands in its section after the line with the format's mark.
     until = _first(lines, lambda line: _starts("### Response", "---")(line) | inside(line, NO_RESPONSE), F.col("nudge_at"))
     mark = lambda name: _first(lines, _starts(f"**{name}**:", f"**{name}:**"), F.col("nudge_at"))
@@ -224,8 +232,9 @@ def raw_entries(files: DataFrame) -> DataFrame:
     # The response: less a first line that tells its mode.
     mode = F.coalesce(_starts("Mode:", "Response Mode:")(bare(F.get(lines, F.col("answer_at")))), F.lit(False)).cast("int")
     answer = _nonblank(_text(lines, F.col("answer_at") + 1 + mode, _first(lines, _starts("---", "## "), F.col("answer_at"))))
-    said = F.lower(F.btrim(F.when(F.startswith(answer, F.lit("`")) & F.endswith(answer, F.lit("`")), F.btrim(answer, F.lit("`"))).otherwise(answer), F.lit(SPACES)))
-    nobody = squeezed(said).isin(*(x.replace(" ", "") for x in PLACEHOLDERS))
+    ticked = F.startswith(answer, F.lit("`")) & F.endswith(answer, F.lit("`")) & (F.length(answer) > 1)
+    said = F.when(ticked, F.btrim(F.substring(answer, F.lit(2), F.length(answer) - 2), F.lit(SPACES))).otherwise(answer)
+    nobody = F.coalesce(said.rlike(f"(?i)^(?:{'|'.join(PLACEHOLDERS)})$"), F.lit(False))
     out = df.select("persona_id", (F.row_number().over(Window.partitionBy("persona_id", "file").orderBy("nth")) - 1).cast("long").alias("t_index"), F.regexp_extract("head", f"({DATE})", 1).alias("date"),
                     _nonblank(F.array_join(kept, "\n")).alias("initial_entry"), nudge.alias("nudge_text"), F.when(~F.col("unanswered") & ~nobody, answer).alias("response_text"), "wanted")
     return out.select("persona_id", "t_index", "date", "initial_entry", "nudge_text", F.when(F.col("nudge_text").isNotNull(), F.col("response_text")).alias("response_text"),

@@ -216,6 +216,16 @@ def test_raw_markdown_marks(spark):
     assert [bool(r.problem) for r in rows] == [*[False] * 8, True]
 
 
+def test_raw_markdown_marks_that_are_none(spark):
+    at = folder()
+    head = "## Entry 9 - 2025-02-0{}\n\n### Initial Entry\nText {}.\n\n### Nudge\n**Trigger:** x\n\n\"Why?\"\n\n### Response\n{}\n\n---\n"
+    said = ["[noresponserecorded]", "[No  response recorded]", "*no response recorded", "[No response recorded] but", "`[No response recorded]", "[N-A - No nudge provided]", "(no response)"]
+    none = ["[na-no nudge provided]", "[N/A  -  NO NUDGE PROVIDED]", "` [no RESPONSE recorded] `", "*(No response yet)*"]
+    write(at, "p_12345678.md", "# Persona 12345678: Ann\n\n" + "\n".join(head.format(1 + k % 9, k, x) for k, x in enumerate(said + none)))
+    rows = sorted(readers.raw_entries(readers.whole_files(spark, at)).collect())
+    assert [r.response_text for r in rows] == said + [None] * len(none)
+
+
 def test_raw_markdown_problem(spark):
     at = folder()
     write(at, "p_12345678.md", RAW.format(nudge="nothing known"))
