@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pathwise.operators.sequence import KEY, along
+from pathwise.operators.sequence import KEY, along, coverage
 
 UP_TO = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
@@ -153,3 +153,42 @@ def merge_overlaps(spans: DataFrame, case: str = "case_id") -> DataFrame:
         return F.when(at > 0, grown).otherwise(F.concat(kept, F.array(s)))
 
     return islands.select(case, F.inline(F.aggregate("spans", F.expr(f"cast(array() as {kind})"), step)))
+
+
+def scheduled_episodes(weekly: DataFrame, early: DataFrame, records: DataFrame, keys=KEY, by: str = "persona_id") -> tuple[DataFrame, DataFrame]:
+    """Episodes of weekly reviews and earlier scheduled ones together: (keys, alert, onset, end), and the coverage of each trajectory.
+
+    weekly: keys, t_index, d and label (true, false, or null without a verdict) of every entry; early: keys, t_index and label;
+    records: by, record_id, week_start, cutoff and review_at, the early reviews. At an early review the entries up to its cutoff
+    are known: those of its week by early labels, those before by weekly ones. Its alerts come at review_at, weekly ones on the
+    Monday after the confirming entry. Overlapping episodes are merged, the earliest alert first.
+
+    Of what an early review sees only runs that reach into its week are new; the others are beginnings of weekly episodes that
+    alert no later. So each review is joined with its own week's entries, and a run that was open before the week goes on from
+    its onset: no snapshot of the whole history is made.
+    """
+    w = along(keys)
+    true = F.coalesce(F.col("label"), F.lit(False))
+    near = F.coalesce(F.col("t_index") == F.lag("t_index").over(w) + 1, F.lit(False))
+    rows = weekly.withColumns({"_true": true, "_near": near, "week_start": F.date_trunc("week", "d").cast("date")})
+    rows = rows.withColumn("_goes_on", F.col("_near") & F.coalesce(F.lag("_true").over(w), F.lit(False)))
+    rows = rows.withColumn("_run", F.when(F.col("_true"), F.last(F.when(F.col("_true") & ~F.col("_goes_on"), F.col("t_index")), ignorenulls=True).over(w.rowsBetween(*UP_TO))))
+    rows = rows.withColumn("_carry", F.when(F.col("_goes_on"), F.lag("_run").over(w)))
+    monday = F.date_add("week_start", 7)
+    spans = rows.where("_true").groupBy(*keys, "_run").agg(F.max("t_index").alias("end"), F.max(F.when(F.col("t_index") == F.col("_run") + 1, monday)).alias("alert"))
+    spans = spans.where(F.col("end") > F.col("_run")).select(*keys, "alert", F.col("_run").alias("onset"), "end")
+
+    seen = rows.join(records.select(by, "week_start", "record_id", "cutoff", "review_at"), [by, "week_start"]).where(F.col("t_index") <= F.col("cutoff"))
+    seen = seen.join(early.select(*keys, "t_index", F.col("label").alias("_early")), [*keys, "t_index"], "left")
+    of = along((*keys, "record_id"))
+    hit = F.coalesce(F.col("_early"), F.lit(False))
+    seen = seen.withColumns({"_hit": hit, "_first": F.row_number().over(of) == 1, "_beside": F.coalesce(F.lag(hit).over(of) & (F.lag("t_index").over(of) == F.col("t_index") - 1), F.lit(False))})
+    begins = F.when(F.col("_hit") & ~F.col("_beside"), F.when(F.col("_first"), F.coalesce("_carry", "t_index")).otherwise(F.col("t_index")))
+    seen = seen.withColumn("_begin", F.last(begins, ignorenulls=True).over(of.rowsBetween(*UP_TO)))
+    sooner = seen.where("_hit").groupBy(*keys, "record_id", "_begin").agg(F.max("t_index").alias("end"), F.max("review_at").alias("alert")).where(F.col("end") > F.col("_begin")).select(*keys, "alert", F.col("_begin").alias("onset"), "end")
+
+    packed = spans.unionByName(sooner).select(F.struct(*keys).alias("_case"), "alert", "onset", "end")
+    merged = merge_overlaps(packed, "_case").select("_case.*", "alert", "onset", "end")
+    filled = seen.where("_early is not null").groupBy(*keys, "t_index").agg(F.min_by("_early", "record_id").alias("_fill"))
+    known = weekly.join(filled, [*keys, "t_index"], "left").withColumn("label", F.coalesce("label", "_fill"))
+    return merged, coverage(known, keys=keys)

@@ -425,3 +425,45 @@ def _(spark, sf):
     entries = e.select("session_id", F.col("t_index").alias("place"), F.when(k % 211 == 5, F.col("t_index") - 1).otherwise(F.col("t_index")).alias("t_index"), F.col("d").alias("date"))
     ids = e.select("session_id", F.explode(F.when(k % 97 == 11, F.array(k, k)).otherwise(F.array(k))).alias("event_id"))
     return live.session_problems(rows, entries, ids)
+
+
+# Early reviews: some weeks of some personas, at half of the week's entries; their labels follow another whole-number rule.
+
+EARLY = """cs AS (SELECT persona_id, dimension, t_index, d, event_id, CAST(date_trunc('week', d) AS DATE) AS week, CASE WHEN review_status <> 'ok' OR verdict = 'abstain' THEN NULL ELSE verdict = 'conflict' END AS label, CASE WHEN (event_id * 3 + dim_index) % 7 = 0 THEN NULL ELSE (event_id * 3 + dim_index) % 7 < 5 END AS early FROM decision),
+rec AS (SELECT persona_id, week, persona_id || ':' || week AS record_id, CAST(min(t_index) + (max(t_index) - min(t_index)) // 2 AS BIGINT) AS cutoff, CAST(week + CAST(persona_id % 3 AS INTEGER) + 2 AS DATE) AS review_at FROM cs WHERE (persona_id + day(week)) % 3 <> 0 GROUP BY 1, 2)"""
+
+
+def _early(spark, sf):
+    v = F.col("verdict")
+    rule = (F.col("event_id") * 3 + F.col("dim_index")) % 7
+    rows = adapter.decision(spark, sf).withColumn("week_start", _week("d"))
+    weekly = rows.withColumn("label", F.when((F.col("review_status") == "ok") & (v != "abstain"), v == "conflict"))
+    early = rows.withColumn("label", F.when(rule != 0, rule < 5)).select(*CORE, "t_index", "label")
+    p, low, high = F.col("persona_id"), F.min("t_index"), F.max("t_index")
+    records = rows.where((p + F.dayofmonth("week_start")) % 3 != 0).groupBy("persona_id", "week_start").agg((low + F.floor((high - low) / 2)).alias("cutoff"))
+    records = records.select("persona_id", "week_start", F.concat_ws(":", p.cast("string"), F.col("week_start").cast("string")).alias("record_id"), "cutoff", F.date_add("week_start", (p % 3).cast("int") + 2).alias("review_at"))
+    return epi.scheduled_episodes(weekly, early, records)
+
+
+_SNAPSHOTS = """snap AS (SELECT r.record_id, r.review_at, r.cutoff, c.persona_id, c.dimension, c.t_index, CASE WHEN c.week = r.week THEN c.early ELSE c.label END AS l FROM rec r JOIN cs c ON c.persona_id = r.persona_id AND c.t_index <= r.cutoff),
+es AS (SELECT persona_id, dimension, review_at AS alert, min(t_index) AS onset, max(t_index) AS fin FROM (SELECT *, t_index - row_number() OVER (PARTITION BY record_id, persona_id, dimension ORDER BY t_index) AS g FROM snap WHERE l) GROUP BY record_id, persona_id, dimension, review_at, g HAVING count(*) >= 2),
+ws AS (SELECT persona_id, dimension, min(t_index) AS onset, max(t_index) AS fin FROM (SELECT *, t_index - row_number() OVER (PARTITION BY persona_id, dimension ORDER BY t_index) AS g FROM cs WHERE label) GROUP BY persona_id, dimension, g HAVING count(*) >= 2),
+sp AS (SELECT persona_id || '|' || dimension AS case_id, alert, onset, fin FROM es UNION ALL SELECT ws.persona_id || '|' || ws.dimension, CAST(c.week + 7 AS DATE), onset, fin FROM ws JOIN cs c ON c.persona_id = ws.persona_id AND c.dimension = ws.dimension AND c.t_index = ws.onset + 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY alert, onset, fin) AS i FROM sp),
+g AS (SELECT case_id, i, [{'alert': alert, 'onset': onset, 'fin': fin}] AS kept FROM o WHERE i = 1 UNION ALL
+  SELECT case_id, i, CASE WHEN coalesce(h, 0) = 0 THEN list_append(kept, {'alert': alert, 'onset': onset, 'fin': fin}) ELSE list_transform(kept, lambda x, j: CASE WHEN j = h THEN {'alert': x.alert, 'onset': x.onset, 'fin': greatest(x.fin, fin)} ELSE x END) END
+  FROM (SELECT o.case_id, o.i, o.alert, o.onset, o.fin, g.kept, list_position(list_transform(g.kept, lambda x: o.onset <= x.fin AND o.fin >= x.onset), true) AS h FROM g JOIN o ON o.case_id = g.case_id AND o.i = g.i + 1)),
+z AS (SELECT case_id, unnest(arg_max(kept, i)) AS x FROM g GROUP BY 1)"""
+
+
+@plans.add("x31_scheduled_episodes", _recursive(f"WITH RECURSIVE {EARLY}, {_SNAPSHOTS} SELECT CAST(split_part(case_id, '|', 1) AS BIGINT) AS persona_id, split_part(case_id, '|', 2) AS dimension, x.alert AS alert, x.onset AS onset, x.fin AS \"end\" FROM z"))
+def _(spark, sf):
+    """Weekly and scheduled reviews' episodes merged; the SQL makes every review's whole snapshot."""
+    return _early(spark, sf)[0]
+
+
+@plans.add("x31_scheduled_coverage", f"""WITH {EARLY}, k AS (SELECT c.*, coalesce(c.label, CASE WHEN r.record_id IS NOT NULL THEN c.early END) AS l FROM cs c LEFT JOIN rec r ON r.persona_id = c.persona_id AND r.week = c.week AND c.t_index <= r.cutoff),
+n AS (SELECT persona_id, dimension, l, lead(l) OVER w AS nl, lead(t_index) OVER w = t_index + 1 AS near FROM k WINDOW w AS (PARTITION BY persona_id, dimension ORDER BY t_index))
+SELECT persona_id, dimension, coalesce(bool_or(l AND nl) FILTER (WHERE near), false) OR coalesce(bool_and(coalesce(NOT l, false) OR coalesce(NOT nl, false)) FILTER (WHERE near), false) AS covered FROM n GROUP BY 1, 2""", views=True)
+def _(spark, sf):
+    return _early(spark, sf)[1]

@@ -1,10 +1,9 @@
-"""The value order, table schemas and checks that operators make on entry."""
+"""The value order, tiers and checks that operators make on entry."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The ten dimensions; the order has meaning.
 DIMS = ("self_direction", "stimulation", "hedonism", "achievement", "power", "security", "conformity", "tradition", "benevolence", "universalism")
@@ -12,21 +11,6 @@ DIMS = ("self_direction", "stimulation", "hedonism", "achievement", "power", "se
 #: Confidence tiers of a vote, from the surest.
 TIERS = ("unanimous", "strong", "bare_majority", "no_majority")
 
-EPISODE = T.StructType([
-    T.StructField("episode_id", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("persona_id", T.LongType()), T.StructField("dimension", T.StringType()),
-    T.StructField("onset_t_index", T.LongType()), T.StructField("confirmation_t_index", T.LongType()),
-    T.StructField("end_t_index", T.LongType()), T.StructField("length", T.LongType()),
-    T.StructField("open_at_cutoff", T.BooleanType()), T.StructField("delivery_state", T.StringType()),
-])
-REGISTRY = T.StructType([
-    T.StructField("persona_id", T.StringType(), False), T.StructField("name", T.StringType()), T.StructField("age", T.StringType()),
-    T.StructField("profession", T.StringType()), T.StructField("culture", T.StringType()), T.StructField("core_values", T.ArrayType(T.StringType())),
-    T.StructField("entry_count", T.LongType()), T.StructField("created_at", T.TimestampType()), T.StructField("stage_synthetic", T.BooleanType()),
-    T.StructField("stage_wrangled", T.BooleanType()), T.StructField("stage_labeled", T.BooleanType()), T.StructField("nudge_enabled", T.BooleanType()),
-    T.StructField("annotation_order", T.LongType()),
-])
-
 
 def dims_table(spark: SparkSession) -> DataFrame:
     """dim_index, dimension: ten rows."""
