@@ -83,17 +83,17 @@ def folded(node: bytes, path: list[tuple[bytes, bytes]]) -> bytes:
     return node
 
 
-def _placed(nodes: DataFrame, name: str) -> DataFrame:
-    """`nodes` (group, name, node, changed), sorted by these, with place (within the group, from 0) and total. The sorted
-    rows are a table, so that the parts' counts belong to the very rows that get their places; windows run over groups'
-    parts."""
+def _placed(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """`nodes` (group, name, node, changed), sorted by these, with place (within the group, from 0) and total; and the table
+    that it reads. The sorted rows are a table, so that the parts' counts belong to the very rows that get their places;
+    windows run over groups' parts."""
     ordered = nodes.repartitionByRange("group", "name", "node").sortWithinPartitions("group", "name", "node")
     ordered = written(ordered.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)), name)
     parts = ordered.groupBy("group", "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     by_group = Window.partitionBy("group")
     before = F.sum("_n").over(by_group.orderBy("_part")) - F.col("_n")
     parts = parts.select("group", "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(by_group).alias("total"))
-    return ordered.join(parts, ["group", "_part"]).withColumn("place", F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
+    return ordered.join(parts, ["group", "_part"]).withColumn("place", F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift"), ordered
 
 
 def _blocks(placed: DataFrame, name: str, levels: int) -> DataFrame:
@@ -171,13 +171,15 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
         F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("group"), F.col("doc_id").cast("long").alias("name"),
         leaf().alias("node"), F.when(chosen, leaf(text=lowered)).alias("changed"))
     leaves = written(leaves, "merkle-leaves")  # the texts are read and hashed once
-    placed = _placed(leaves, "merkle-sorted")
+    placed, ordered = _placed(leaves, "merkle-sorted")
     rounds = _rounds(placed, "merkle-blocks", levels)
-    discard(leaves)
+    discard(leaves, ordered)
     # `top` of a group's only block in the last round is its subroot; groups ascend bytewise, that of null first.
     subroots = rounds[-1].select("group", F.col("top").alias("subroot"))
     heads = subroots.select(F.lit("").alias("group"), F.col("group").alias("name"), F.col("subroot").alias("node"), F.lit(None).cast("string").alias("changed"))
-    heads = written(_placed(heads, "merkle-groups").select("place", "total", F.col("name").alias("head"), "node"), "merkle-heads")
+    placed, ordered = _placed(heads, "merkle-groups")
+    heads = written(placed.select("place", "total", F.col("name").alias("head"), "node"), "merkle-heads")
+    discard(ordered)
     upper = _rounds(heads.select(F.lit("").alias("group"), "place", "total", F.col("place").alias("name"), "node", F.lit(None).cast("string").alias("changed")), "merkle-root", levels)
     root = upper[-1].select(F.col("top").alias("root"))
     start = upper[-1].select("group", F.col("block").alias("place"), F.array().cast("array<binary>").alias("path"))

@@ -35,7 +35,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import shared_dir, slices, table, written
+from pathwise.llm.common import discard, shared_dir, slices, table, written
 
 #: The rules of the registered query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -151,7 +151,9 @@ def build(named: DataFrame, label: str) -> list[tuple[int, int, str]]:
     parts = max(1, -(-keyed.count() // SEGMENT_NAMES))
     dealt = keyed.repartitionByRange(parts, "key").sortWithinPartitions("key", "name")
     # One row a segment of about a million names.
-    segments = [(r["first"], r["last"], r["path"]) for r in written(dealt.mapInArrow(run, SCHEMA), f"{label}-segments").collect()]
+    listed = written(dealt.mapInArrow(run, SCHEMA), f"{label}-segments")
+    segments = [(r["first"], r["last"], r["path"]) for r in listed.collect()]
+    discard(keyed, listed)
     if urlparse(folder).scheme not in ("", "file"):
         for _, _, path in segments:
             spark.sparkContext.addFile(path)

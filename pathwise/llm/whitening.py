@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import slices, table, written
+from pathwise.llm.common import discard, slices, table, written
 
 SCALE, OFFSET, COMPONENTS = 1024, 100_000, 8
 #: Rows of a block and bits of a limb: 2^12 products of 2 x 20 bits stay below 2^53.
@@ -110,8 +110,10 @@ def _merged(partials: DataFrame, merge: Callable[[list[bytes]], bytes]) -> bytes
 
     now = written(partials, "whitening-parts")
     while (n := now.count()) > 1:
-        now = written(now.repartition(-(-n // MERGE)).mapInArrow(run, "part binary"), "whitening-parts")
+        before, now = now, written(now.repartition(-(-n // MERGE)).mapInArrow(run, "part binary"), "whitening-parts")
+        discard(before)
     row = now.first()
+    discard(now)
     return None if row is None else bytes(row["part"])
 
 
