@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from pathwise import adapter
 from pathwise.adapter import table
 from pathwise.functions import scalars as fn
+from pathwise.functions import tables
 from pathwise.operators import cases as ca
 from pathwise.operators import episodes as epi
 from pathwise.operators import metrics as met
@@ -467,3 +468,12 @@ n AS (SELECT persona_id, dimension, l, lead(l) OVER w AS nl, lead(t_index) OVER
 SELECT persona_id, dimension, coalesce(bool_or(l AND nl) FILTER (WHERE near), false) OR coalesce(bool_and(coalesce(NOT l, false) OR coalesce(NOT nl, false)) FILTER (WHERE near), false) AS covered FROM n GROUP BY 1, 2""", views=True)
 def _(spark, sf):
     return _early(spark, sf)[1]
+
+
+@plans.add("f62_text_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL), w AS (SELECT *, len([x FOR x IN regexp_split_to_array(value, '[ \t\n\x0B\f\r]+') IF x <> '']) AS n FROM l)
+SELECT doc_id, count(*) AS n_lines, max(line) AS last_line, CAST(sum(n) AS BIGINT) AS n_words, max(n) AS longest FROM w WHERE n > 0 GROUP BY 1""")
+def _(spark, sf):
+    """Lines of every text by a table function that is joined laterally."""
+    tables.register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("_documents_of_lines")
+    return spark.sql("SELECT doc_id, count(*) AS n_lines, max(line) AS last_line, sum(n_words) AS n_words, max(n_words) AS longest FROM _documents_of_lines, LATERAL text_lines(text) GROUP BY doc_id")

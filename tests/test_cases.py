@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathwise.functions import tables
 from pathwise.operators import cases, metrics, resample
 from pathwise.schema import DIMS
+from pathwise.sources import readers
 from pathwise.streaming import live
 
 
@@ -154,3 +156,14 @@ def test_lifecycle_of_events(spark):
     for r in live.lifecycle_problems(spark.createDataFrame(rows, kind)).collect():
         got.setdefault(r["event_id"], set()).add(r["problem"])
     assert got == {4: {"no failed validation"}, 5: {"complete before the end"}, 6: {"no completion timing", "completion precedes start", "no error"}, 7: {"error of a success"}, 8: {"unknown status"}}
+
+
+def test_table_functions_agree_with_readers(spark):
+    text = "# Persona\n## Entry 1 - 2024-01-02\r\nFirst.\n\n## Entry none\nMore.\n## Entry 2 - 2024-01-03\n"
+    df = spark.createDataFrame([("p_12345678.md", text), ("p_00000001.md", ""), ("p_00000002.md", None)], "file string, content string")
+    tables.register(spark)
+    df.createOrReplaceTempView("journals")
+    got = {(r["file"], r["nth"], r["head"], r["date"], r["body"]) for r in spark.sql("SELECT file, s.* FROM journals, LATERAL journal_sections(content) s").collect()}
+    own = readers._entry_lines(df.where("content is not null")).select("file", "nth", "head", F.array_join("lines", "\n").alias("body"))
+    assert {(f, n, h, b) for f, n, h, _, b in got} == {(r["file"], r["nth"], r["head"], r["body"]) for r in own.collect()}
+    assert {(n, d) for _, n, _, d, _ in got} == {(1, "2024-01-02"), (2, "2024-01-03")}
