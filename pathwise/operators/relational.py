@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pathwise.schema import assert_columns, assert_unique
+from pathwise.session import checkpointed
 
 
 def orphans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,10 +176,11 @@ def nearest_quantiles(df: DataFrame, value: str, points: list[float]) -> DataFra
 def running_sum(df: DataFrame, order: str, value: str) -> DataFrame:
     """`upto`: sum of `value` over all rows up to this one in `order`, without one task that holds all of them.
 
-    Rows are dealt by ranges; sums within a range add to the sums of the ranges before it (one row per range).
+    Rows are dealt by ranges; sums within a range add to the sums of the ranges before it (one row per range). The ranges
+    come from samples that differ from run to run, so rows and sums read the same ranges, kept with the rows.
     """
-    dealt = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     inner = dealt.withColumn("_sum", F.sum(value).over(Window.partitionBy("_part").orderBy(order)))
-    sums = inner.groupBy("_part").agg(F.max("_sum").alias("_all"))
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_all"))
     offset = F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return inner.join(F.broadcast(sums.select("_part", offset.alias("_offset"))), "_part").withColumn("upto", F.col("_sum") + F.col("_offset")).drop("_part", "_sum", "_offset")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathwise.operators import packing
 
@@ -21,6 +22,22 @@ def test_capped_shards_against_a_loop(spark, n, groups, size, chunk):
     assert {r["g"]: r["shard"] for r in packing.capped_shards(df, "g", "n", groups, size, chunk).collect()} == expected
 
 
+def test_shards_and_splits_of_more_rows_than_ranges_are_sampled_from(spark):
+    n = 200_000
+    df = spark.range(0, n, 1, 4).select(F.col("id").alias("g"), (F.col("id") % 5).alias("n"), F.lit("unread").alias("text"))
+    shard, held, total, expected = 1, 0, 0, []
+    for x in (k % 5 for k in range(n)):
+        if held >= 7 or (held and total + x > 11):
+            shard, held, total = shard + 1, 0, 0
+        held, total = held + 1, total + x
+        expected.append(shard)
+    got = {r["g"]: r["shard"] for r in packing.capped_shards(df, "g", "n", 7, 11).collect()}
+    assert [got.get(k) for k in range(n)] == expected
+    flags = df.select("g", (F.col("g") % 3 == 0).cast("long").alias("a"), "text")
+    out = packing.stratified_split(flags, "g", ["a"], int(n * 0.7), int(n * 0.15), 7, 2)
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 140_000, "val": 30_000, "test": 30_000}
+
+
 def test_capped_shards_of_nothing(spark):
     df = spark.createDataFrame([], "g long, n long")
     assert packing.capped_shards(df, "g", "n", 2, 5).count() == 0

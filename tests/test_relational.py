@@ -57,6 +57,15 @@ def test_wide_and_long(spark):
         rel.long_to_wide(long.unionByName(long), ["k"], "alignment_", DIMS, "score").collect()
 
 
+def test_running_sum_of_more_rows_than_its_ranges_are_sampled_from(spark):
+    order = F.struct((F.col("id") % 7).alias("o"), "id")
+    df = spark.range(0, 400_000, 1, 4).select("id", order.alias("o"), F.lit(1).alias("one"), F.lit("unread").alias("text"))
+    got = rel.running_sum(df, "o", "one").select("id", "upto")
+    want = lambda k, i: i // 7 + 1 + sum((400_000 - j + 6) // 7 for j in range(k))
+    rows = {r["id"]: r["upto"] for r in got.collect()}
+    assert len(rows) == 400_000 and all(upto == want(k % 7, k) for k, upto in rows.items())
+
+
 def test_running_sum_and_quantiles(spark):
     df = spark.range(500).select((F.col("id") * 37 % 501).alias("v"), F.lit(2).alias("n"))
     rows = rel.running_sum(df, "v", "n").orderBy("v").collect()
