@@ -63,12 +63,13 @@ def cosine(profiles: DataFrame, keys=("persona_id",), below: float = 0.0) -> Dat
     return out.withColumn("cosine", value).where(F.col("cosine") < below).select(*keys, "t_index", "cosine")
 
 
-def control_chart(df: DataFrame, width: float = 2.0, keys=KEY) -> DataFrame:
-    """Scores below mean - width * deviation (population) of the warm-up rows, after the warm-up."""
+def control_chart(df: DataFrame, width: float = 2.0, keys=KEY, tolerance: float = 1e-9) -> DataFrame:
+    """Scores below mean - width * deviation (population) of the warm-up rows, after the warm-up; one within `tolerance` of
+    that limit is on it, whichever way its last digits were rounded."""
     every = Window.partitionBy(*keys)
     early = F.when(F.col("position") < F.col("warmup"), F.col("score"))
     rows = df.withColumns({"_mean": F.avg(early).over(every), "_sd": F.stddev_pop(early).over(every)})
-    return rows.where((F.col("position") >= F.col("warmup")) & (F.col("score") < F.col("_mean") - width * F.col("_sd"))).select(*keys, "t_index")
+    return rows.where((F.col("position") >= F.col("warmup")) & (F.col("score") < F.col("_mean") - width * F.col("_sd") - tolerance)).select(*keys, "t_index")
 
 
 def kl_divergence(df: DataFrame, above: float = 0.15, smoothing: float = 0.05, recent: int = 3, keys=KEY) -> DataFrame:

@@ -354,7 +354,7 @@ def _(spark, sf):
 m AS (SELECT persona_id, dimension, avg(score) AS m, stddev_pop(score) AS sd FROM sc WHERE position < warmup GROUP BY ALL)
 SELECT sc.persona_id, sc.dimension, t_index FROM sc JOIN m ON m.persona_id = sc.persona_id AND m.dimension = sc.dimension WHERE position >= warmup AND score < m - 2 * sd - 1e-9""", views=True)
 def _(spark, sf):
-    return det.control_chart(_signal(spark, sf).withColumn("score", F.round("score", 9)))
+    return det.control_chart(_signal(spark, sf))
 
 
 @plans.add("w21_kl", f"""WITH {SIGNAL},
@@ -382,7 +382,7 @@ def detector_votes(spark, sf):
     rows = _signal(spark, sf)
     core = rows.where("is_core")
     vector = det.cosine(rows, below=-1e-7).select("persona_id", "t_index").join(core.select(*CORE, "t_index"), ["persona_id", "t_index"])
-    control = det.control_chart(core.withColumn("score", F.round("score", 9)))
+    control = det.control_chart(core)
     return det.votes({"crash_or_rut": det.crash_or_rut(core), "ema": det.ema(core), "cusum": det.cusum(core, slack=0.2, above=0.500001), "cosine": vector, "control": control, "kl": det.kl_divergence(core)})
 
 
@@ -392,7 +392,7 @@ x AS (SELECT position >= warmup AND score < m - 2 * sd - 1e-9 AS a, score < -0.5
 c AS (SELECT count(*) FILTER (WHERE a AND t) AS hits, count(*) FILTER (WHERE a AND NOT t) AS false_alerts, count(*) FILTER (WHERE NOT a AND t) AS misses, count(*) FILTER (WHERE NOT a AND NOT t) AS quiet FROM x)
 SELECT *, round(hits / (hits + false_alerts), 6) AS precision, round(hits / (hits + misses), 6) AS recall, round(false_alerts / (false_alerts + quiet), 6) AS false_alert_rate FROM c""", views=True)
 def _(spark, sf):
-    rows = _signal(spark, sf).withColumn("score", F.round("score", 9))
+    rows = _signal(spark, sf)
     out = det.score_alerts(rows, det.control_chart(rows), F.col("score") < -0.5)
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "false_alert_rate")})
 

@@ -253,3 +253,15 @@ def test_empty_tables(spark):
     no_labels, no_decisions, no_evidence = labels(spark, []), decisions(spark, []), evidence(spark, [], [])
     assert seq.reference_episodes(no_labels).count() == 0 == epi.transitions(no_decisions).count() == seq.predicted_episodes(no_evidence, 0.5, None).count()
     assert seq.coverage(no_decisions.withColumn("label", F.lit(None).cast("boolean"))).count() == 0
+
+
+def test_control_chart_takes_a_score_on_its_limit_as_on_it(spark):
+    """Warm-ups p, p, q, q end at (3q - p) / 2, which is their limit however its digits are rounded."""
+    rows = []
+    for a in range(0, 60):
+        for b in range(0, a, 2):
+            p, q = a / 50, b / 50
+            rows += [(a * 100 + b, "x", t, score, 0.5) for t, score in enumerate([p, p, q, q] + [3.0] * 8 + [(3 * b - a) / 100, (3 * b - a) / 100 - 1e-6])]
+    df = det.positions(spark.createDataFrame(rows, "persona_id long, dimension string, t_index long, score double, weight double"))
+    found = {r["t_index"]: r["count"] for r in det.control_chart(df).groupBy("t_index").count().collect()}
+    assert found == {13: len(rows) // 14}
