@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pathwise.operators.relational import running_sum
+from pathwise.session import checkpointed
+
 
 def _sums(a: str, b: str) -> tuple[Column, ...]:
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -15,7 +20,10 @@ def _sums(a: str, b: str) -> tuple[Column, ...]:
 
 def pearson(a: str, b: str) -> Column:
     """Correlation by sums; null where a side does not vary."""
-    n, x, y, xx, yy, xy = _sums(a, b)
+    return _correlation(*_sums(a, b))
+
+
+def _correlation(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
     vx, vy = n * xx - x * x, n * yy - y * y
     return F.when((vx > 1e-9) & (vy > 1e-9), F.try_divide(n * xy - x * y, F.sqrt(vx) * F.sqrt(vy)))
 
@@ -54,18 +62,28 @@ def binary_measures(target: Column, predicted: Column) -> dict[str, Column]:
     return {"tp": tp, "fp": fp, "fn": fn, "n_abstained": F.count_if(predicted.isNull()), "precision": precision, "recall": recall, "f1": F.try_divide(2 * tp, 2 * tp + fp + fn)}
 
 
-def average_ranks(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
-    """Ranks in which equal values share their mean rank; one window per column, all by the same groups."""
-    for source, name in columns.items():
-        first = F.rank().over(Window.partitionBy(*by).orderBy(source))
-        copies = F.count(F.lit(1)).over(Window.partitionBy(*by, source))
-        df = df.withColumn(name, (first + (copies - 1) / 2.0).cast("double"))
-    return df
+def _mean_ranks(counts: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """by, column and the mean rank of a value's copies in its group, from counts `_n` of distinct values. The counts are
+    summed over ranges, so that no task holds a group."""
+    upto = running_sum(counts.withColumn("_at", F.struct(*by, column)), "_at", "_n").withColumn("_before", F.col("upto") - F.col("_n"))
+    starts = upto.groupBy(*by).agg(F.min("_before").alias("_start"))
+    same = reduce(lambda a, b: a & b, (F.col(f"u.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by), F.lit(True))
+    rank = F.col("_before") - F.col("_start") + (F.col("_n") + 1) / 2.0
+    return upto.alias("u").join(starts.alias("s"), same).select(*(f"u.{k}" for k in (*by, column)), rank.cast("double").alias(name))
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str, name: str = "rho") -> DataFrame:
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return average_ranks(rows, by, {a: "_ra", b: "_rb"}).groupBy(*by).agg(pearson("_ra", "_rb").alias(name))
+    """Correlation of mean ranks, from counts of each pair of values."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_pairs"))
+    kept = checkpointed(pairs)
+    each = kept.select(*by, a, b, F.col("_pairs").cast("double"))
+    for column, rank in ((a, "_ra"), (b, "_rb")):
+        counts = kept.groupBy(*by, column).agg(F.sum("_pairs").alias("_n"))
+        ranks = _mean_ranks(counts, by, column, rank)
+        same = reduce(lambda x, y: x & y, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*by, column)))
+        each = each.alias("l").join(ranks.alias("r"), same).select("l.*", rank)
+    w, x, y = F.col("_pairs"), F.col("_ra"), F.col("_rb")
+    return each.groupBy(*by).agg(_correlation(*map(F.sum, (w, w * x, w * y, w * x * x, w * y * y, w * x * y))).alias(name))
 
 
 def fleiss_kappa(df: DataFrame, by: list[str], item: str, score: str = "score", labels=(-1, 0, 1)) -> DataFrame:

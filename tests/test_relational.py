@@ -364,6 +364,23 @@ def test_weekly_stream(spark):
     assert [(str(r.week_start), r.n) for r in spark.table("weeks").collect()] == [("2025-01-06", 2)]
 
 
+def test_spearman_of_groups_with_ties_holds_no_group_in_a_task(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(g, rng.choice([None, *range(6)]), rng.randrange(4) / 4) for g in (1, 2, None) for _ in range(80)]
+    df = spark.createDataFrame(rows, "g int, a int, b double")
+    out = met.spearman(df, ["g"], "a", "b")
+    mean = lambda values, v: sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2
+    for r in out.collect():
+        kept = [(a, b) for g, a, b in rows if g == r.g and a is not None]
+        xs, ys = ([mean([k[i] for k in kept], k[i]) for k in kept] for i in (0, 1))
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        cov = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True))
+        assert math.isclose(r.rho, cov / math.sqrt(sum((x - mx) ** 2 for x in xs) * sum((y - my) ** 2 for y in ys)), abs_tol=1e-9)
+    assert out.count() == 3 and "rank(" not in out._jdf.queryExecution().toString()
+
+
 def test_views_are_dealt_by_their_own_size(spark, monkeypatch):
     from pathwise import adapter
 
