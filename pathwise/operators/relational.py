@@ -70,7 +70,7 @@ def key_differences(a: DataFrame, b: DataFrame, keys: list[str], same: list[str]
     return left.join(right, keys, "full_outer").where(differ).select(*keys, why.alias("why"))
 
 
-def pass_differences(df: DataFrame, item: str, rater: str, value: str) -> DataFrame:
+def pass_differences(df: DataFrame, item: str | list[str], rater: str, value: str) -> DataFrame:
     """How many items each pair of raters (a < b) labels differently, of how many shared ones.
 
     The raters of an item (a handful) pair up inside its row, so each item is read once.

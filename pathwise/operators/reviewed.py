@@ -71,7 +71,7 @@ def merge_passes(shards: DataFrame, expected: DataFrame, by=("pass",), item: str
     return shards, both.select(*by, item, problem.alias("problem")).where("problem is not null")
 
 
-def pass_similarity(results: DataFrame, now: DataFrame, rater: str = "pass", item: str = "event_id", value: str = "vector") -> DataFrame:
+def pass_similarity(results: DataFrame, now: DataFrame, rater: str = "pass", item: str | list[str] = "event_id", value: str = "vector") -> DataFrame:
     """a, b, n_shared, n_differ of every two passes, with whether their score hashes agree."""
     one = now.select(F.col(rater).alias("a"), F.col("score_hash").alias("_a"))
     other = now.select(F.col(rater).alias("b"), F.col("score_hash").alias("_b"))

@@ -11,6 +11,7 @@ from pathwise.operators import sequence as seq
 from pathwise.plans.base import Plans
 from pathwise.plans.sequence import CORE, GREEDY, REFERENCE, _recursive
 from pathwise.schema import DIMS
+from pathwise.session import checkpointed
 from pathwise.sources import readers
 
 plans = Plans()
@@ -43,7 +44,7 @@ def _passes(spark, sf):
     told = (F.col("event_id") % 97 != 0) | (F.col("pass") != 2)
     scores = F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "score"))))
     why = F.map_from_entries(F.sort_array(F.collect_list(F.when((F.col("score") != 0) & told, F.struct("dimension", F.lit("why").alias("w"))))))
-    return rows.groupBy("pass", "event_id").agg(scores.alias("scores"), why.alias("rationales"))
+    return rows.groupBy("persona_id", "pass", "event_id").agg(scores.alias("scores"), why.alias("rationales"))  # votes are dealt by persona
 
 
 VECTORS = """q AS (SELECT * FROM vote WHERE pass < 5 UNION ALL SELECT * REPLACE (5 AS pass) FROM vote WHERE pass = 4),
@@ -59,8 +60,8 @@ def _(spark, sf):
 @plans.add("v13_pass_similarity", f"WITH {VECTORS} SELECT x.pass AS a, y.pass AS b, count(*) AS n_shared, count(*) FILTER (WHERE x.vector <> y.vector) AS n_differ, any_value(px.score_hash = py.score_hash) AS hash_match FROM r x JOIN r y ON x.event_id = y.event_id AND x.pass < y.pass JOIN p px ON px.pass = x.pass JOIN p py ON py.pass = y.pass GROUP BY 1, 2", views=True)
 def _(spark, sf):
     rows = _passes(spark, sf)
-    vector = rows.select("pass", "event_id", F.array_join(F.transform(F.array(*(F.lit(d) for d in DIMS)), lambda d: F.element_at("scores", d).cast("string")), ",").alias("vector"))
-    return rev.pass_similarity(vector, rev.provenance(rows))
+    vector = rows.select("persona_id", "pass", "event_id", F.array_join(F.transform(F.array(*(F.lit(d) for d in DIMS)), lambda d: F.element_at("scores", d).cast("string")), ",").alias("vector"))
+    return rev.pass_similarity(vector, rev.provenance(rows), item=["persona_id", "event_id"])
 
 
 @plans.add("v13_shard_problems", "WITH s AS (SELECT pass, event_id FROM (SELECT DISTINCT pass, event_id FROM vote) WHERE (event_id + pass) % 29 <> 0 UNION ALL SELECT pass, event_id FROM (SELECT DISTINCT pass, event_id FROM vote) WHERE event_id % 31 = pass UNION ALL SELECT 1, -event_id FROM events WHERE event_id % 50 = 0), c AS (SELECT pass, event_id, count(*) AS n FROM s GROUP BY 1, 2), a AS (SELECT DISTINCT pass, event_id FROM vote) SELECT coalesce(c.pass, a.pass) AS pass, coalesce(c.event_id, a.event_id) AS event_id, CASE WHEN a.pass IS NULL THEN 'extra' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM c FULL JOIN a ON a.pass = c.pass AND a.event_id = c.event_id WHERE a.pass IS NULL OR n IS NULL OR n > 1", views=True)
@@ -72,7 +73,7 @@ def _(spark, sf):
 
 @plans.add("x16_provenance_problems", f"WITH {VECTORS} SELECT 2 AS pass, 'rationales are missing' AS problem UNION ALL SELECT 3, 'n_scores differs' UNION ALL SELECT 1, 'no provenance' UNION ALL SELECT 6, 'no results' UNION ALL SELECT pass, 'same scores as another pass' FROM (SELECT pass, count(*) OVER (PARTITION BY score_hash) AS k FROM p) WHERE k > 1", views=True)
 def _(spark, sf):
-    now = rev.provenance(_passes(spark, sf))
+    now = checkpointed(rev.provenance(_passes(spark, sf)))  # five rows that are read four times
     stored = now.where("pass > 1").withColumn("n_scores", F.col("n_scores") + (F.col("pass") == 3).cast("int"))
     return rev.provenance_problems(stored.unionByName(now.where("pass = 1").withColumn("pass", F.lit(6))), now)
 
