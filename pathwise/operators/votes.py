@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def tally(df: DataFrame, keys, score: str = "score") -> DataFrame:
@@ -24,8 +25,11 @@ def resolved(need: int = 5) -> dict[str, Column]:
 
 def resolve(df: DataFrame, keys, need: int = 5) -> DataFrame:
     """Activity, then polarity, over exactly `need` votes per cell; cells with another number are an error."""
-    counted = tally(df, keys)
-    return counted.withColumns(resolved(need)).withColumn("label", F.when(F.col("n_votes") == need, F.col("label")).otherwise(F.raise_error(F.lit(f"a cell has other than {need} votes")).cast("int")))
+    return _checked(tally(df, keys).withColumns(resolved(need)), need)
+
+
+def _checked(counted: DataFrame, need: int) -> DataFrame:
+    return counted.withColumn("label", F.when(F.col("n_votes") == need, F.col("label")).otherwise(F.raise_error(F.lit(f"a cell has other than {need} votes")).cast("int")))
 
 
 def vote_distribution(df: DataFrame, keys) -> DataFrame:
@@ -45,9 +49,15 @@ def majority_with_tiebreak(df: DataFrame, keys, rater: str = "pass", score: str
     return t.select(*keys, tie.alias("tied"), F.when(tie, F.col("fourth")).when(F.col("a") >= 2, -1).when(F.col("z") >= 2, 0).otherwise(1).alias("label"))
 
 
-def rationale_pass(df: DataFrame, keys, labels: DataFrame, rater: str = "pass") -> DataFrame:
-    """Per item the pass whose votes agree with the labels in most cells, the lowest of equals."""
-    joined = df.join(labels, [*keys, "dimension"])
+def rationale_pass(df: DataFrame, keys, labels: DataFrame | None = None, rater: str = "pass", need: int = 5) -> DataFrame:
+    """Per item the pass whose votes agree with the labels in most cells, the lowest of equals. Without `labels`, those that
+    `resolve` gives the votes, beside each vote: rows that are dealt by some of the keys are not dealt again."""
+    if labels is None:
+        cell, s = Window.partitionBy(*keys, "dimension"), F.col("score")
+        counts = {"n_neg": F.count_if(s == -1), "n_zero": F.count_if(s == 0), "n_pos": F.count_if(s == 1), "n_votes": F.count(s)}
+        joined = _checked(df.withColumns({c: n.over(cell) for c, n in counts.items()}).withColumns(resolved(need)), need)
+    else:
+        joined = df.join(labels, [*keys, "dimension"])
     scored = joined.groupBy(*keys, rater).agg(F.count_if(F.col("score") == F.col("label")).alias("matches"))
     return scored.groupBy(*keys).agg(F.max_by(rater, F.struct("matches", -F.col(rater))).alias("source_pass"), F.max("matches").alias("matches"))
 
@@ -58,8 +68,6 @@ def reconcile(a: DataFrame, b: DataFrame, keys, valid=("yes", "no"), case: list[
     agreed = F.coalesce((F.col("a") == F.col("b")) & F.col("a").isin(*valid), F.lit(False))
     out = both.withColumn("agreed", agreed)
     if case:
-        from pyspark.sql.window import Window
-
         out = out.withColumn("agreed", F.bool_and("agreed").over(Window.partitionBy(*case)))
     return out.withColumn("answer", F.when(F.col("agreed"), F.col("a")))
 

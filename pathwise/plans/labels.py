@@ -37,8 +37,7 @@ def _(spark, sf):
 @plans.add("v03_rationale_source", TALLY + """, m AS (SELECT v.event_id, v.pass, count(*) FILTER (WHERE v.score = con.label) AS n FROM vote v JOIN con ON con.event_id = v.event_id AND con.dimension = v.dimension GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, pass) AS i FROM m) SELECT event_id, pass AS source_pass, n AS matches FROM r WHERE i = 1""", views=True)
 def _(spark, sf):
-    votes = adapter.vote(spark, sf)
-    return vot.rationale_pass(votes, ["event_id"], vot.resolve(votes, CELL).select(*CELL, "label"))
+    return vot.rationale_pass(adapter.vote(spark, sf), ["persona_id", "event_id"]).drop("persona_id")  # votes are dealt by persona
 
 
 @plans.add("v04_majority_tiebreak", """WITH t AS (SELECT event_id, dimension, max(CASE WHEN pass = 1 THEN score END) AS v1, max(CASE WHEN pass = 2 THEN score END) AS v2, max(CASE WHEN pass = 3 THEN score END) AS v3, max(CASE WHEN pass = 4 THEN score END) AS v4 FROM vote GROUP BY ALL)

@@ -381,6 +381,16 @@ def test_spearman_of_groups_with_ties_holds_no_group_in_a_task(spark):
     assert out.count() == 3 and "rank(" not in out._jdf.queryExecution().toString()
 
 
+def test_rationale_pass_finds_the_labels_itself(spark):
+    rows = [(p, e, d, r, (p + e * 3 + len(d) * r * r) % 3 - 1) for p in (1, 2) for e in range(4) for d in DIMS for r in range(1, 6)]
+    df = spark.createDataFrame([(p, p * 10 + e, d, r, s) for p, e, d, r, s in rows], "persona_id long, event_id long, dimension string, pass int, score int")
+    keys = ["persona_id", "event_id"]
+    given = vot.rationale_pass(df, keys, vot.resolve(df, [*keys, "dimension"]).select(*keys, "dimension", "label"))
+    assert sorted(map(tuple, vot.rationale_pass(df, keys).collect())) == sorted(map(tuple, given.collect()))
+    with pytest.raises(PySparkException, match="other than 5"):
+        vot.rationale_pass(df.where("pass < 5"), keys).collect()
+
+
 def test_views_are_dealt_by_their_own_size(spark, monkeypatch):
     from pathwise import adapter
 
