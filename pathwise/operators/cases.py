@@ -55,12 +55,14 @@ def window_problems(windows: DataFrame, entries: DataFrame, by: str = "persona_i
     upto = Window.partitionBy(by).orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
     counted = marks.withColumn("_n", F.sum("_one").over(upto)).where("_w is not null").groupBy(F.shiftright("_w", 1).alias("_w")).agg(F.max(F.when(F.col("_w") % 2 == 1, F.col("_n"))).alias("_visible"), F.max(F.when(F.col("_w") % 2 == 0, F.col("_n"))).alias("_past"))
     said = ends.select("_w", by, "week_start", "week_end", F.explode_outer(F.array_distinct("visible")).alias("t_index"), "current", "shown")
+    # What a window says of a position is looked up before rows are dealt: the whole map in each row would grow with its square.
+    said = said.select("_w", by, "week_start", "week_end", "t_index", F.array_contains("current", F.col("t_index")).alias("_now"), F.element_at("shown", F.col("t_index")).alias("_shown"))
     known = said.join(entries.select(by, "t_index", "d", "text_hash"), [by, "t_index"], "left")
-    now = F.array_contains("current", F.col("t_index"))
+    now = F.col("_now")
     inside = F.col("d").between(F.col("week_start"), F.col("week_end"))
     facts = known.groupBy("_w").agg(
         F.count_if(F.coalesce(F.col("d") <= F.col("week_end"), F.lit(False))).alias("_right"), F.count_if(F.coalesce(now & inside, F.lit(False))).alias("_current"), F.max(F.when(F.coalesce(inside, F.lit(False)), F.col("t_index"))).alias("_last"),
-        F.coalesce(F.bool_and(F.element_at("shown", F.col("t_index")).eqNullSafe(F.col("text_hash"))), F.lit(True)).alias("_texts"))
+        F.coalesce(F.bool_and(F.col("_shown").eqNullSafe(F.col("text_hash"))), F.lit(True)).alias("_texts"))
     rows = ends.join(facts, "_w").join(counted, "_w").withColumn("_same", F.count(F.lit(1)).over(Window.partitionBy(*key)))
     n_now = F.col("_visible") - F.col("_past")
     checks = {

@@ -167,3 +167,15 @@ def test_table_functions_agree_with_readers(spark):
     own = readers._entry_lines(df.where("content is not null")).select("file", "nth", "head", F.array_join("lines", "\n").alias("body"))
     assert {(f, n, h, b) for f, n, h, _, b in got} == {(r["file"], r["nth"], r["head"], r["body"]) for r in own.collect()}
     assert {(n, d) for _, n, _, d, _ in got} == {(1, "2024-01-02"), (2, "2024-01-03")}
+
+
+def test_windows_are_not_dealt_with_their_whole_maps(spark):
+    import re
+
+    entries = spark.sql("select 1L as persona_id, id as t_index, date'2025-01-06' as d, 'h' as text_hash from range(8)")
+    windows = spark.sql("select 1L as persona_id, date'2025-01-06' as week_start, date'2025-01-12' as week_end, sequence(0L, 7L) as visible, sequence(0L, 7L) as current, 7L as cutoff, map_from_arrays(sequence(0L, 7L), array_repeat('h', 8)) as shown")
+    found, lost = cases.window_problems(windows, entries)
+    assert found.count() == 0 and lost.count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(k for k, line in enumerate(plan) if "Join LeftOuter" in line and "t_index" in line)
+    assert "t_index" in plan[join + 1] and not re.search(r"[\[ ](shown|current)#\d+[,\]]", plan[join + 1])
