@@ -12,9 +12,21 @@ from pathwise.schema import assert_columns, assert_unique
 from pathwise.session import checkpointed
 
 
+#: Rows of both sides in a partition of `orphans`.
+ROWS = 1_000_000
+
+
 def orphans(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Key rows of either side that the other lacks, with the side."""
-    one = lambda a, b, side: a.select(*keys).join(b.select(*keys).distinct(), keys, "left_anti").withColumn("side", F.lit(side))
+    """Key rows of either side that the other lacks, with the side.
+
+    Both sides are dealt by key over a partition per `ROWS` of their rows, and joined by sorting, which can spill: sorted keys
+    shrink so far in an exchange that Spark, which merges partitions by their size there, would leave tasks of any number of
+    rows.
+    """
+    left, right = left.select(*keys), right.select(*keys)
+    parts = max(left.sparkSession.sparkContext.defaultParallelism, -(-(left.count() + right.count()) // ROWS))
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
+    one = lambda a, b, side: a.join(b.hint("merge"), keys, "left_anti").withColumn("side", F.lit(side))
     return one(left, right, "left").unionByName(one(right, left, "right"))
 
 

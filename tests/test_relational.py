@@ -38,6 +38,17 @@ def test_integrity_join(spark):
         rel.join_checked(a, b.unionByName(b), ["k"], "m:1")
 
 
+def test_orphans_are_dealt_by_their_rows(spark, monkeypatch):
+    """A task takes `ROWS` rows or so, however small their keys are in an exchange; rows that repeat and null keys all count."""
+    monkeypatch.setattr(rel, "ROWS", 5000, raising=False)
+    a, b = spark.range(30_000).select(F.col("id").alias("k")), spark.range(0, 30_000, 2).select(F.col("id").alias("k"))
+    found = rel.orphans(a.union(a).union(spark.sql("select cast(null as bigint)")), b.union(spark.sql("select -1L union all select null")), ["k"])
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    tasks = [r["task"] for r in rows]
+    assert len(set(tasks)) >= 16 and max(map(tasks.count, set(tasks))) < 3000
+    assert sorted((r["side"], r["k"] is None, r["k"] or 0) for r in rows) == sorted([("left", False, k) for k in range(1, 30_000, 2)] * 2 + [("left", True, 0), ("right", False, -1), ("right", True, 0)])
+
+
 def test_upsert_evolves_columns(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string").withColumn("n", F.lit(None))
     new = spark.createDataFrame([(2, 5, "z"), (3, 6, "z")], "k long, n int, y string")
