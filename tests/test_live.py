@@ -64,6 +64,20 @@ def _rows(df):
     return sorted((tuple(r) for r in df.select(*live.COLUMNS).collect()), key=lambda r: r[:2])
 
 
+def test_replay_of_one_kind_of_row_and_of_large_positions(spark):
+    """The rows of one kind are those of the whole log; a position beyond 2^53 stays what it is beside nulls."""
+    requests, far = _traffic(3, 24), 2**53 + 1
+    entry = _request(session_id="far", kind="entry", key="k", revision=0, entry_id="e", t_index=far, date="2024-01-01", seq_in=0)
+    table = _table(spark, [*requests, entry, _request(session_id="far", kind="remove", key="r", entry_id="e", seq_in=1)]).coalesce(1)
+    whole = _rows(live.replay(table, JUDGES))
+    assert {r[live.COLUMNS.index("t_index")] for r in whole if r[0] == "far"} == {far, None}
+    for kind in ("answer", "event", "decision"):
+        rows = _rows(live.replay(table, JUDGES, kind))
+        assert rows and rows == [r for r in whole if r[2] == kind]
+    dealt = live.replay(table, JUDGES, parts=7)
+    assert dealt.rdd.getNumPartitions() == 7 and _rows(dealt) == whole
+
+
 def test_stream_restart_replay_and_fold(spark, tmp_path):
     requests = _traffic(4, 36)
     expected = _rows(live.replay(_table(spark, requests).repartition(3), JUDGES))
