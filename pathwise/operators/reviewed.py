@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -162,6 +164,15 @@ def case_metrics(cases: DataFrame, reference: DataFrame, predicted: DataFrame, c
     return out.withColumns({"missed": F.col("n_reference") - F.col("hits"), "false_alerts": F.col("n_predicted") - F.col("hits")})
 
 
+def case_errors(cases: DataFrame, reference: DataFrame, predicted: DataFrame, lag: int = 2, run=("repeat",), case=("persona_id", "dimension")) -> DataFrame:
+    """`missed` and `false_alerts` of `case_metrics` alone, for the runs and cases that have episodes; no dates are needed."""
+    keys = (*run, *case)
+    targets = cases.select(*keys).distinct().join(reference, list(case))
+    signs = ((targets, 1, 0), (predicted, 0, 1), (episodes.match_episodes(targets, predicted, lag, keys), -1, -1))
+    counted = reduce(DataFrame.unionByName, (df.select(*keys, F.lit(m).alias("missed"), F.lit(f).alias("false_alerts")) for df, m, f in signs))
+    return counted.groupBy(*keys).agg(F.sum("missed").alias("missed"), F.sum("false_alerts").alias("false_alerts"))
+
+
 def pair_metrics(reference: DataFrame, pairs: DataFrame, cases: DataFrame, lag: int = 2, case=("persona_id", "dimension")) -> DataFrame:
     """One row: drift metrics of verdicts on adjacent pairs (case, t_index of the first entry, decision yes, no or abstain).
 

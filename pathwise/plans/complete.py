@@ -14,6 +14,8 @@ from pathwise.operators import episodes as epi
 from pathwise.operators import metrics as met
 from pathwise.operators import relational as rel
 from pathwise.operators import resample as res
+from pathwise.operators import reviewed as rev
+from pathwise.operators import sequence as seq
 from pathwise.plans import composites
 from pathwise.plans import labels as lab
 from pathwise.plans import reviewed as rvw
@@ -21,6 +23,7 @@ from pathwise.plans.base import Plans
 from pathwise.plans.sequence import CORE, MACHINE, REFERENCE, _recursive
 from pathwise.plans.weekly import _drawn, _u
 from pathwise.schema import DIMS
+from pathwise.session import checkpointed
 from pathwise.streaming import live
 
 plans = Plans()
@@ -113,11 +116,16 @@ q AS (SELECT persona_id, dimension, 'All persona/Core Value cases' AS queue FROM
   UNION SELECT persona_id, dimension, 'Missed Drift' FROM mt WHERE missed > 0 UNION SELECT persona_id, dimension, 'False Drift alert' FROM mt WHERE false_alerts > 0)
 SELECT q.* FROM q JOIN k ON k.persona_id = q.persona_id AND k.dimension = q.dimension""", views=True)
 def _(spark, sf):
-    """All nine queues, over three runs of one setup."""
-    rows = _runs(spark, sf)
-    disagree = ca.run_disagreement(rows, ca.run_spans(rows))
-    models = composites.plans.queries["x19_model_disagreement"](spark, sf)
-    return ca.review_queues(rows, rvw._reference(spark, sf), adapter.label(spark, sf), models, disagree, rows, rvw.plans.queries["x20_case_metrics"](spark, sf))
+    """All nine queues, over three runs of one setup. Cases are of core dimensions, so labels and votes of others can't be in one.
+    What is left of a run (its spans) and the reference's episodes are kept, as several queues read them."""
+    rows, core = _runs(spark, sf), adapter.label(spark, sf).where("is_core")
+    cases = checkpointed(ca.run_profiles(rows))
+    reference = checkpointed(seq.reference_episodes(core).select(*ca.CASE, "episode_id", "onset_t_index", "confirmation_t_index", "end_t_index", "delivery_state"))
+    spans = cases.select("repeat", *ca.CASE, F.inline("spans"))
+    predicted = spans.select(
+        "repeat", *ca.CASE, F.col("onset").cast("string").alias("episode_id"), F.col("onset").alias("onset_t_index"), (F.col("onset") + 1).alias("confirmation_t_index"), F.lit("drift").alias("delivery_state"))
+    models = composites._models_differ(adapter.vote(spark, sf).where(adapter._core()))
+    return ca.review_queues(cases, reference, core, models, ca.run_disagreement(rows, spans), rev.case_errors(cases, reference, predicted))
 
 
 @plans.add("q11_evidence_pick", """WITH s AS (SELECT persona_id, CAST(date_trunc('week', d) AS DATE) AS week, t_index, avg(score) AS m, avg(score) FILTER (WHERE dim_index < 4) AS tension, avg(score) FILTER (WHERE dim_index >= 6) AS strength FROM label GROUP BY persona_id, d, t_index),

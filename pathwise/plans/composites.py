@@ -25,10 +25,15 @@ CELL = ["event_id", "dimension"]
 @plans.add("x19_model_disagreement", """WITH m AS (SELECT persona_id, dimension, pass, string_agg(CAST(score AS VARCHAR), ',' ORDER BY score, t_index) AS tokens FROM vote WHERE pass <= 2 GROUP BY ALL)
 SELECT persona_id, dimension FROM m GROUP BY ALL HAVING count(DISTINCT tokens) > 1""", views=True)
 def _(spark, sf):
-    """Two models differ in their sorted verdicts exactly where they differ in how many there are of each."""
-    n = lambda p, s: F.count_if((F.col("pass") == p) & (F.col("score") == s))
-    differ = reduce(lambda a, b: a | b, (n(1, s) != n(2, s) for s in (-1, 0, 1)))
-    return adapter.vote(spark, sf).groupBy(*CORE).agg(differ.alias("differ")).where("differ").drop("differ")
+    return _models_differ(adapter.vote(spark, sf))
+
+
+def _models_differ(votes: DataFrame) -> DataFrame:
+    """Two models differ in their sorted verdicts exactly where they differ in how many there are of each. Only the votes of the
+    two are made."""
+    more = lambda s: F.sum(F.when(F.col("score") == s, 3 - 2 * F.col("pass")).otherwise(0))
+    differ = reduce(lambda a, b: a | b, (more(s) != 0 for s in (-1, 0, 1)))
+    return votes.where("pass <= 2").groupBy(*CORE).agg(differ.alias("differ")).where("differ").drop("differ")
 
 
 @plans.add("x21_aggregate_parity", "WITH s AS (SELECT dimension, count(*) AS stored FROM vote WHERE pass = 1 AND (dim_index <> 3 OR score <> 0) GROUP BY 1) SELECT dimension, count(*) AS n, count(*) = (SELECT stored FROM s WHERE s.dimension = label.dimension) AS equal FROM label GROUP BY 1", views=True)
