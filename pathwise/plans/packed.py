@@ -64,4 +64,4 @@ def _(spark, sf):
     flag = lambda f: F.coalesce(F.bool_or(F.when(F.col("dimension") == f.split("_", 1)[1], F.col("score") == (1 if f.startswith("up") else -1))), F.lit(False)).cast("long").alias(f)
     flags = adapter.label(spark, sf).groupBy("persona_id").agg(*map(flag, FLAGS))
     n = flags.count()
-    return packing.stratified_split(flags, "persona_id", FLAGS, int(n * 0.7), int(n * 0.15), SEED, PERMUTATIONS)
+    return packing.stratified_split(flags, "persona_id", FLAGS, n * 7 // 10, n * 15 // 100, SEED, PERMUTATIONS)

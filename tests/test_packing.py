@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathwise import catalog
 from pathwise.operators import packing
+from tests.compare import differences, second_engine
 
 
 @pytest.mark.parametrize("n, groups, size, chunk", [(150, 4, 30, 8), (1, 3, 5, 4), (200, 7, 10**6, 16), (150, 5, 9, 4096)])
@@ -70,3 +72,12 @@ def test_split_against_a_loop(spark):
     assert {k: r["split"] for k, r in out.items()} == {k: "train" if at[k] < 40 else "val" if at[k] < 50 else "test" for k in range(60)}
     assert {(r["permutation"], r["score"]) for r in out.values()} == {(best, min(scores))}
     assert packing.stratified_split(spark.createDataFrame([], "k long, a int"), "k", ["a"], 1, 1).count() == 0
+
+
+def test_split_sizes_are_exact_shares_of_the_rows(spark, tmp_path):
+    """0.7 times 90, as doubles, is less than 63."""
+    events = spark.range(270).selectExpr("id AS event_id", "timestamp_seconds(id * 3600) AS ts", "id % 90 AS user_id", "'view' AS event_type", "1D AS value", "concat('{\"k\": ', id % 17, '}') AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con, name = second_engine("/none"), "q18_stratified_split"
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert differences(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name]) == ""
