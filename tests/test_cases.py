@@ -1,6 +1,7 @@
 """Cases, evidence, acceptance, guardrails, circumplex and placement on small tables with known outcomes."""
 
 import datetime as dt
+import hashlib
 import os
 import random
 
@@ -215,3 +216,14 @@ def test_queues_make_each_view_once(spark):
     """Of the events' views only those that a queue needs, and one of each: the plan reads the events four times at most."""
     plan = complete.plans.queries["x17_review_queues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") <= 4
+
+
+def test_hashes_of_passes_are_summed_beyond_a_long(spark):
+    """The digests of 8.5 million rows, whose first 40 bits are near 2^40, add up to more than 2^63."""
+    rows, item = 8_500_000, 2555
+    scores = F.create_map(F.lit("security"), F.lit(1))
+    results = spark.range(rows).select(F.lit(1).alias("pass"), F.lit(item).alias("event_id"), scores.alias("scores"), F.create_map(F.lit("security"), F.lit("why")).alias("rationales"))
+    digest = hashlib.md5(f"{item}|x,x,x,x,x,1,x,x,x,x".encode()).hexdigest()
+    sums = [rows * int(digest[k : k + 10], 16) for k in (0, 10, 20)]
+    assert sums[0] > 2**63
+    assert [tuple(r) for r in reviewed.provenance(results).collect()] == [(1, rows, "-".join(map(str, sums)), rows, rows)]
