@@ -38,16 +38,20 @@ def recommendations(df: DataFrame, path_flip="max_path_flip", band="max_path_ban
     return df.join(F.broadcast(worst), F.lit(True)).select(*df.columns, named(which).alias("recommendation"), named(F.col("_worst")).alias("overall"))
 
 
+def score_vector(scores="scores") -> Column:
+    """A map's scores of the ten dimensions in order, `x` where it has none."""
+    return F.concat_ws(",", *(F.coalesce(F.try_element_at(_c(scores), F.lit(d)).cast("string"), F.lit("x")) for d in DIMS))
+
+
 def provenance(results: DataFrame, by=("pass",), item: str = "event_id", scores: str = "scores", rationales: str = "rationales") -> DataFrame:
     """Per pass: rows, a hash of its items with their score vectors, scores other than 0 and those with a rationale.
 
     The hash is the sums of three parts of the rows' digests: rows in any order have one, and no task holds a pass. A part
     has 40 bits, so that some ten million rows are more than a long holds: it is summed in halves.
     """
-    scored = F.filter(F.map_entries(scores), lambda x: x["value"] != 0)
-    told = F.filter(scored, lambda x: F.length(F.trim(F.coalesce(F.try_element_at(F.col(rationales), x["key"]), F.lit("")))) > 0)
-    vector = F.array_join(F.transform(F.array(*(F.lit(d) for d in DIMS)), lambda d: F.coalesce(F.try_element_at(F.col(scores), d).cast("string"), F.lit("x"))), ",")
-    rows = results.select(*by, F.md5(F.concat_ws("|", F.col(item).cast("string"), vector)).alias("_row"), F.size(scored).alias("_n"), F.size(told).alias("_told"))
+    scored = F.map_keys(F.map_filter(scores, lambda d, x: x != 0))
+    told = F.map_keys(F.map_filter(F.coalesce(rationales, F.create_map().cast("map<string,string>")), lambda d, x: F.length(F.trim(x)) > 0))
+    rows = results.select(*by, F.md5(F.concat_ws("|", F.col(item).cast("string"), score_vector(scores))).alias("_row"), F.size(scored).alias("_n"), F.size(F.array_intersect(scored, told)).alias("_told"))
     part = lambda k: F.conv(F.substring("_row", k, 10), 16, 10).cast("long")
     exact = lambda x: F.sum(F.shiftright(x, 20)).cast("decimal(20,0)") * (1 << 20) + F.sum(x.bitwiseAND(F.lit((1 << 20) - 1)))
     parts = [exact(part(k)).cast("string") for k in (1, 11, 21)]

@@ -39,12 +39,11 @@ def _(spark, sf):
 
 def _passes(spark, sf):
     """A pass's scores per entry, with rationales for most of those that are not 0; passes 4 and 5 say the same."""
-    v = adapter.vote(spark, sf).withColumn("score", F.when(F.col("pass") == 5, F.lit(None)).otherwise(F.col("score")))
-    rows = v.where("pass < 5").unionByName(v.where("pass = 4").withColumn("pass", F.lit(5)))
+    again = F.when(F.col("pass") == 4, F.array(F.lit(4), F.lit(5))).otherwise(F.array("pass"))
+    rows = adapter.pass_scores(spark, sf).where("pass < 5").select("persona_id", "event_id", "scores", F.explode(again).alias("pass"))
     told = (F.col("event_id") % 97 != 0) | (F.col("pass") != 2)
-    scores = F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "score"))))
-    why = F.map_from_entries(F.sort_array(F.collect_list(F.when((F.col("score") != 0) & told, F.struct("dimension", F.lit("why").alias("w"))))))
-    return rows.groupBy("persona_id", "pass", "event_id").agg(scores.alias("scores"), why.alias("rationales"))  # votes are dealt by persona
+    why = F.transform_values(F.map_filter("scores", lambda d, s: (s != 0) & told), lambda d, s: F.lit("why"))
+    return rows.select("persona_id", "pass", "event_id", "scores", why.alias("rationales"))
 
 
 VECTORS = """q AS (SELECT * FROM vote WHERE pass < 5 UNION ALL SELECT * REPLACE (5 AS pass) FROM vote WHERE pass = 4),
@@ -60,8 +59,9 @@ def _(spark, sf):
 @plans.add("v13_pass_similarity", f"WITH {VECTORS} SELECT x.pass AS a, y.pass AS b, count(*) AS n_shared, count(*) FILTER (WHERE x.vector <> y.vector) AS n_differ, any_value(px.score_hash = py.score_hash) AS hash_match FROM r x JOIN r y ON x.event_id = y.event_id AND x.pass < y.pass JOIN p px ON px.pass = x.pass JOIN p py ON py.pass = y.pass GROUP BY 1, 2", views=True)
 def _(spark, sf):
     rows = _passes(spark, sf)
-    vector = rows.select("persona_id", "pass", "event_id", F.array_join(F.transform(F.array(*(F.lit(d) for d in DIMS)), lambda d: F.element_at("scores", d).cast("string")), ",").alias("vector"))
-    return rev.pass_similarity(vector, rev.provenance(rows), item=["persona_id", "event_id"])
+    vector = rows.select("persona_id", "pass", "event_id", rev.score_vector("scores").alias("vector"))
+    now = checkpointed(rev.provenance(rows))  # five rows that are read twice
+    return rev.pass_similarity(vector, now, item=["persona_id", "event_id"])
 
 
 @plans.add("v13_shard_problems", "WITH s AS (SELECT pass, event_id FROM (SELECT DISTINCT pass, event_id FROM vote) WHERE (event_id + pass) % 29 <> 0 UNION ALL SELECT pass, event_id FROM (SELECT DISTINCT pass, event_id FROM vote) WHERE event_id % 31 = pass UNION ALL SELECT 1, -event_id FROM events WHERE event_id % 50 = 0), c AS (SELECT pass, event_id, count(*) AS n FROM s GROUP BY 1, 2), a AS (SELECT DISTINCT pass, event_id FROM vote) SELECT coalesce(c.pass, a.pass) AS pass, coalesce(c.event_id, a.event_id) AS event_id, CASE WHEN a.pass IS NULL THEN 'extra' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM c FULL JOIN a ON a.pass = c.pass AND a.event_id = c.event_id WHERE a.pass IS NULL OR n IS NULL OR n > 1", views=True)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathwise import adapter, catalog
 from pathwise.functions import tables
 from pathwise.operators import cases, metrics, resample, reviewed
 from pathwise.plans import complete
@@ -227,3 +228,19 @@ def test_hashes_of_passes_are_summed_beyond_a_long(spark):
     sums = [rows * int(digest[k : k + 10], 16) for k in (0, 10, 20)]
     assert sums[0] > 2**63
     assert [tuple(r) for r in reviewed.provenance(results).collect()] == [(1, rows, "-".join(map(str, sums)), rows, rows)]
+
+
+def test_provenance_counts_what_has_a_rationale(spark):
+    rows = [(1, 1, {"security": 1, "power": -1, "other": 1}, {"security": "why", "power": " ", "tradition": "why"}), (1, 2, {"security": 0, "power": None}, {"security": "why"}), (1, 3, {"power": 1}, None), (1, 4, {"power": 1}, {"power": None})]
+    out = reviewed.provenance(spark.createDataFrame(rows, "pass int, event_id long, scores map<string,int>, rationales map<string,string>")).first()
+    assert (out["n_rows"], out["n_scores"], out["n_rationales"]) == (4, 5, 1)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test tables here")
+def test_passes_are_made_of_entries_and_not_gathered_from_votes(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = adapter.pass_scores(spark, sf).select("persona_id", "event_id", "t_index", "d", "pass", F.explode("scores").alias("dimension", "score"))
+    votes = adapter.vote(spark, sf).select(*rows.columns)
+    assert rows.count() == votes.count() and rows.exceptAll(votes).isEmpty()
+    gathered = lambda name: catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("collect_list")
+    assert [gathered(x) for x in ("v13_pass_provenance", "v13_pass_similarity", "j16_pass_pairs")] == [0, 1, 1]  # an item's passes alone
